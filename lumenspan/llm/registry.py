@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from lumenspan.session import shipped
+
 from .secrets import op1_secrets
+from .simhash import op9_simhash
 from .urls import SQL_OP4, op4_url_filter
 
 QUERIES = {
     "op1_secrets": op1_secrets,
     "op4_url_filter": op4_url_filter,
+    "op9_simhash": shipped(op9_simhash),
 }
 ORACLE_SQL = {"op4_url_filter": SQL_OP4}
