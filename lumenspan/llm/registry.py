@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from lumenspan.session import shipped
 
+from .decontaminate import op10_leaks
+from .mixing import SQL_OP6, op6_mix
 from .secrets import op1_secrets
 from .simhash import op9_simhash
 from .urls import SQL_OP4, op4_url_filter
@@ -11,6 +13,8 @@ from .urls import SQL_OP4, op4_url_filter
 QUERIES = {
     "op1_secrets": op1_secrets,
     "op4_url_filter": op4_url_filter,
+    "op6_mix": op6_mix,
     "op9_simhash": shipped(op9_simhash),
+    "op10_leaks": shipped(op10_leaks),
 }
-ORACLE_SQL = {"op4_url_filter": SQL_OP4}
+ORACLE_SQL = {"op4_url_filter": SQL_OP4, "op6_mix": SQL_OP6}
