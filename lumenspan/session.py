@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+#: Texts differ in length a thousandfold, so batches to Python are bounded by bytes; a setting made by the user stays.
+BATCH_KEY, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4194304"
 
 
 def ship(spark: SparkSession) -> SparkSession:
@@ -25,6 +27,8 @@ def ship(spark: SparkSession) -> SparkSession:
                     if n.endswith(".py"):
                         z.write(p := os.path.join(d, n), os.path.relpath(p, os.path.dirname(top)))
         spark.sparkContext.addPyFile(to)
+        if BATCH_KEY not in {k for k, _ in spark.sparkContext.getConf().getAll()}:
+            spark.conf.set(BATCH_KEY, BATCH_BYTES)
     return spark
 
 
