@@ -5,15 +5,21 @@ from __future__ import annotations
 from lumenspan.session import shipped
 
 from .decontaminate import op10_leaks
+from .lm_scoring import op7_lm_scores
 from .mixing import SQL_OP6, op6_mix
+from .quality_classifier import op5_quality
+from .quality_rules import op3_quality_rules
 from .secrets import op1_secrets
 from .simhash import op9_simhash
 from .urls import SQL_OP4, op4_url_filter
 
 QUERIES = {
     "op1_secrets": op1_secrets,
+    "op3_quality_rules": shipped(op3_quality_rules),
     "op4_url_filter": op4_url_filter,
+    "op5_quality": shipped(op5_quality),
     "op6_mix": op6_mix,
+    "op7_lm_scores": shipped(op7_lm_scores),
     "op9_simhash": shipped(op9_simhash),
     "op10_leaks": shipped(op10_leaks),
 }
