@@ -5,6 +5,7 @@ from __future__ import annotations
 from lumenspan.session import shipped
 
 from .decontaminate import op10_leaks
+from .html_text import op8_main_text
 from .lm_scoring import op7_lm_scores
 from .mixing import SQL_OP6, op6_mix
 from .quality_classifier import op5_quality
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_quality": shipped(op5_quality),
     "op6_mix": op6_mix,
     "op7_lm_scores": shipped(op7_lm_scores),
+    "op8_main_text": shipped(op8_main_text),
     "op9_simhash": shipped(op9_simhash),
     "op10_leaks": shipped(op10_leaks),
 }
