@@ -49,14 +49,14 @@ def _remove(spark: SparkSession, path: str) -> None:
         return
 
 
-def written(df: DataFrame, kept: list[str] | None = None) -> DataFrame:
+def written(df: DataFrame, kept: list[str] | None = None, compression: str | None = None) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts the lineage, survives lost executors, and is computed once.
 
     The table is removed when the driver exits, or earlier by drop_written() where its path was put into kept.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     if kept is None:
         atexit.register(_remove, spark, path)
     else:

@@ -12,10 +12,12 @@ from .quality_classifier import op5_quality
 from .quality_rules import op3_quality_rules
 from .secrets import op1_secrets
 from .simhash import op9_simhash
+from .token_output import op2_token_order
 from .urls import SQL_OP4, op4_url_filter
 
 QUERIES = {
     "op1_secrets": op1_secrets,
+    "op2_token_order": shipped(op2_token_order),
     "op3_quality_rules": shipped(op3_quality_rules),
     "op4_url_filter": op4_url_filter,
     "op5_quality": shipped(op5_quality),
