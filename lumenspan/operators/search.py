@@ -1,4 +1,7 @@
-"""Line scans: regular-expression filters, labelled multi-pattern search, first-match classification."""
+"""Line scans: single and labelled patterns, first-match classification, distinct kinds, table references.
+
+Patterns are literals, so each is compiled once for a task; a pattern table never becomes a nested-loop join.
+"""
 
 from __future__ import annotations
 
@@ -7,20 +10,51 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+Patterns = Sequence[tuple[str, str]]
+
 
-def to_lines(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, line, text): the \\n-split lines of each text, numbered from 1."""
-    return docs.select(key, F.posexplode(F.split(F.col(text), "\n", -1)).alias("pos", "line_text")).select(key, (F.col("pos") + 1).cast("long").alias("line"), "line_text")
+def to_lines(docs: DataFrame, *keys: str, text: str = "text") -> DataFrame:
+    """(keys, line, line_text): the \\n-split lines of each text, numbered from 1. A null text has none."""
+    return docs.select(*keys, F.posexplode(F.split(F.col(text), "\n", -1)).alias("pos", "line_text")).select(*keys, (F.col("pos") + 1).cast("long").alias("line"), "line_text")
 
 
-def labelled_hits(lines: DataFrame, patterns: Sequence[tuple[str, str]], text: str = "line_text") -> DataFrame:
-    """One row for each (line, pattern) that match: a line that fits k patterns appears k times, with ordinal and label.
+def grep(lines: DataFrame, regex: str, text: str = "line_text") -> DataFrame:
+    return lines.where(F.col(text).rlike(regex))
 
-    The patterns are literals, so that each is compiled once for a task, and no nested-loop join is needed.
-    """
+
+def labelled_hits(lines: DataFrame, patterns: Patterns, text: str = "line_text") -> DataFrame:
+    """One row for each (line, pattern) that match: a line that fits k patterns appears k times, with ordinal and label."""
     tests = [F.when(F.col(text).rlike(regex), F.struct(F.lit(i).cast("long").alias("ord"), F.lit(label).alias("label"))) for i, (label, regex) in enumerate(patterns)]
-    any_of: Column = F.lit(False)
-    for _, regex in patterns:
-        any_of = any_of | F.col(text).rlike(regex)
-    hits = lines.where(any_of).withColumn("__hit", F.explode(F.array_compact(F.array(*tests))))
+    hits = lines.withColumn("__hit", F.explode(F.array_compact(F.array(*tests))))
     return hits.select(*lines.columns, F.col("__hit.ord").alias("ord"), F.col("__hit.label").alias("label"))
+
+
+def first_match(text: Column, markers: Sequence[tuple[str, str, str]]) -> Column:
+    """struct(kind, label) of the first marker (kind, label, regex) that fits, else null."""
+    return F.coalesce(*(F.when(text.rlike(regex), F.struct(F.lit(kind).alias("kind"), F.lit(label).alias("label"))) for kind, label, regex in markers))
+
+
+def all_kinds(text: Column, markers: Sequence[tuple[str, str, str]]) -> Column:
+    """The distinct kinds of all markers that fit, sorted."""
+    return F.array_sort(F.array_distinct(F.array_compact(F.array(*(F.when(text.rlike(regex), F.lit(kind)) for kind, _, regex in markers)))))
+
+
+def kinds_by(lines: DataFrame, keys: Sequence[str], markers: Sequence[tuple[str, str, str]], text: str = "line_text") -> DataFrame:
+    """(keys, kinds): the sorted distinct kinds over all lines of a key, comma-joined; keys without any are left out."""
+    found = lines.select(*keys, F.explode(all_kinds(F.col(text), markers)).alias("kind")).distinct()
+    return found.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_list("kind")), ",").alias("kinds"))
+
+
+def captures(lines: DataFrame, regex: str, name: str, group: int = 1, text: str = "line_text") -> DataFrame:
+    """One row for each match of the pattern, with a group's text."""
+    return lines.withColumn(name, F.explode(F.regexp_extract_all(F.col(text), F.lit(regex), F.lit(group))))
+
+
+def call_edges(tokens: DataFrame, spans: DataFrame, defined: DataFrame, stop: Sequence[str] = ()) -> DataFrame:
+    """(caller, callee, path, line) from call tokens (path, line, callee), function spans (path, name, start, end) and the
+    names defined: tokens inside a span that name a defined function, neither a stop word nor the span's own name, once for
+    each line and caller's span."""
+    inside = tokens.join(spans, "path").where(F.col("line").between(F.col("start"), F.col("end")))
+    kept = inside.where((F.col("callee") != F.col("name")) & ~F.col("callee").isin(list(stop) or [""]))
+    known = kept.join(defined.select(F.col("name").alias("callee")).distinct(), "callee", "left_semi")
+    return known.select(F.col("name").alias("caller"), "callee", "path", "line", "start").distinct().drop("start")

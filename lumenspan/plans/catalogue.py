@@ -1,22 +1,332 @@
-"""Queries over the parquet tables, one for each relational operator, with their SQL."""
+"""Queries over the parquet tables, one for each relational operator, each with SQL that a second engine can run.
+
+Every query runs over its whole tables. Limits appear only where the operator is one (top-k, a page of a poll).
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from lumenspan.functions.regex import bounded, glob_to_regex
+from lumenspan.operators import graph, relate, search, windows
+from lumenspan.operators.store import stored
+from lumenspan.session import shipped
+from lumenspan.streaming import watch
+
+QUERIES: dict = {}
+ORACLE_SQL: dict[str, str] = {}
 
-from lumenspan.operators import search
 
-ENTRY_PATTERNS = [("article", r"(^|[^0-9A-Za-z_])the([^0-9A-Za-z_]|$)"), ("key", r"(token|secret)[ ]*[:=]")]
+def query(sql: str | None = None):
+    """Registers a query under its function's name, with its SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = shipped(f)
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def entrypoints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = search.to_lines(_table(spark, sf_dir, "documents"), "doc_id")
-    return search.labelled_hits(lines, ENTRY_PATTERNS).select("doc_id", "line", "ord", "label")
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.to_lines(_table(spark, sf_dir, "documents"), "doc_id")
 
 
-QUERIES = {"entrypoints": entrypoints}
-ORACLE_SQL: dict[str, str] = {}
+SQL_LINES = """l AS (SELECT doc_id, unnest(a) AS line_text, unnest(range(1, len(a) + 1))::BIGINT AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents))"""
+THE, OF = bounded("the"), bounded("of")
+ENTRY_PATTERNS = [("article", THE), ("key", r"(token|secret)[ ]*[:=]"), ("preposition", OF)]
+# Kinds and labels of markers, in order; the first that fits tells a line's effect.
+MARKERS = [("secret", "assignment", r"(token|secret|password)[ ]*[:=]"), ("contact", "mail", r"[a-z]+@[a-z]+"), ("markup", "table", r" [|] "), ("text", "article", THE)]
+
+
+@query(f"WITH {SQL_LINES} SELECT doc_id, line, line_text FROM l")
+def lines(spark, sf_dir):
+    return _lines(spark, sf_dir)
+
+
+@query(f"WITH {SQL_LINES} SELECT doc_id, line, line_text FROM l WHERE regexp_matches(line_text, '{THE}')")
+def references(spark, sf_dir):
+    return search.grep(_lines(spark, sf_dir), THE)
+
+
+_HITS = " UNION ALL ".join(f"SELECT doc_id, line, {i}::BIGINT AS ord, '{label}' AS label FROM l WHERE regexp_matches(line_text, '{regex}')" for i, (label, regex) in enumerate(ENTRY_PATTERNS))
+
+
+@query(f"WITH {SQL_LINES} {_HITS}")
+def entrypoints(spark, sf_dir):
+    return search.labelled_hits(_lines(spark, sf_dir), ENTRY_PATTERNS).select("doc_id", "line", "ord", "label")
+
+
+@query(r"""WITH l AS (SELECT page_id, unnest(a) AS line_text, unnest(range(1, len(a) + 1))::BIGINT AS line FROM (SELECT page_id, string_split(html, '>') AS a FROM pages))
+SELECT page_id, line FROM l WHERE regexp_matches(line_text, '[A-Za-z0-9_.$]*track[A-Za-z0-9_.$]*[ ]*\(')""")
+def exitpoints(spark, sf_dir):
+    pages = _table(spark, sf_dir, "pages").select("page_id", F.translate("html", "\n>", " \n").alias("text"))
+    return search.grep(search.to_lines(pages, "page_id"), glob_to_regex("*track*") + r"[ ]*\(").select("page_id", "line")
+
+
+_FIRST = "CASE " + " ".join(f"WHEN regexp_matches(line_text, '{regex}') THEN '{kind}'" for kind, _, regex in MARKERS) + " END"
+
+
+@query(f"WITH {SQL_LINES}, k AS (SELECT {_FIRST} AS kind FROM l) SELECT kind, count(*)::BIGINT AS n FROM k WHERE kind IS NOT NULL GROUP BY kind")
+def side_effects(spark, sf_dir):
+    hit = search.first_match(F.col("line_text"), MARKERS)
+    return _lines(spark, sf_dir).select(hit.alias("hit")).where("hit is not null").groupBy(F.col("hit.kind").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
+_ALL = " UNION ".join(f"SELECT doc_id, '{kind}' AS kind FROM l WHERE regexp_matches(line_text, '{regex}')" for kind, _, regex in MARKERS)
+
+
+@query(f"WITH {SQL_LINES}, k AS ({_ALL}) SELECT doc_id, string_agg(kind, ',' ORDER BY kind) AS kinds FROM k GROUP BY doc_id")
+def effect_kinds(spark, sf_dir):
+    return search.kinds_by(_lines(spark, sf_dir), ["doc_id"], MARKERS)
+
+
+TARGETS = r"(?:for|to|by|with)[ ]+([a-z_][a-z0-9_.]*)"
+
+
+@query(f"SELECT t AS target, count(*)::BIGINT AS refs FROM (SELECT unnest(regexp_extract_all(lower(text), '{TARGETS}', 1)) AS t FROM documents) GROUP BY t")
+def sql_tables(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select(F.lower("text").alias("line_text"))
+    return search.captures(docs, TARGETS, "target").groupBy("target").agg(F.count(F.lit(1)).alias("refs"))
+
+
+def _calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Call edges made of a stream: each event's user calls the user of the event before; self-calls are no edges."""
+    events = windows.previous(_table(spark, sf_dir, "events").select("event_id", "user_id"), "event_id", "user_id", "before")
+    return events.where("before is not null and before <> user_id").select(F.col("user_id").alias("caller"), F.col("before").alias("callee"))
+
+
+SQL_CALLS = "e AS (SELECT user_id AS caller, lag(user_id) OVER (ORDER BY event_id) AS callee FROM events), c AS (SELECT * FROM e WHERE callee IS NOT NULL AND callee <> caller)"
+
+
+@query(f"WITH {SQL_CALLS} SELECT callee, count(*)::BIGINT AS sites, count(DISTINCT caller)::BIGINT AS callers FROM c GROUP BY callee")
+def callers(spark, sf_dir):
+    return _calls(spark, sf_dir).groupBy("callee").agg(F.count(F.lit(1)).alias("sites"), F.count_distinct("caller").alias("callers"))
+
+
+SEED_USER = 8
+
+
+@query(f"""WITH RECURSIVE {SQL_CALLS}, d AS (SELECT DISTINCT caller, callee FROM c), r AS (SELECT {SEED_USER}::BIGINT AS node, 0::BIGINT AS depth UNION SELECT caller, depth + 1 FROM r JOIN d ON callee = node WHERE depth < 12)
+SELECT node, min(depth)::BIGINT AS depth FROM r GROUP BY node HAVING min(depth) > 0""")
+def impact_set(spark, sf_dir):
+    return graph.impact_set(_calls(spark, sf_dir), spark.createDataFrame([(SEED_USER,)], "node long"))
+
+
+@query(f"""WITH RECURSIVE {SQL_CALLS}, d AS (SELECT DISTINCT caller, callee FROM c),
+r AS (SELECT {SEED_USER}::BIGINT AS node, '/{SEED_USER}/' AS p, 0 AS hops UNION ALL SELECT caller, p || caller || '/', hops + 1 FROM r JOIN d ON callee = node WHERE hops < 2 AND p NOT LIKE '%/' || caller || '/%' AND (hops = 0 OR node % 7 <> 0))
+SELECT p AS path FROM r WHERE hops > 0 AND node % 7 = 0""")
+def trace_paths(spark, sf_dir):
+    found = graph.simple_paths(_calls(spark, sf_dir), spark.createDataFrame([(SEED_USER,)], "node long"), is_end=F.col("node") % 7 == 0, max_hops=2, src="callee", dst="caller")
+    return found.select(F.concat(F.lit("/"), F.array_join(F.transform("path", lambda x: x.cast("string")), "/"), F.lit("/")).alias("path"))
+
+
+@query("""SELECT a.n_nationkey::BIGINT AS start, b.n_nationkey::BIGINT AS node, 1::BIGINT AS depth FROM nation a JOIN nation b ON b.n_nationkey = a.n_nationkey + 5
+UNION ALL SELECT a.n_nationkey::BIGINT, b.n_nationkey::BIGINT, ((b.n_nationkey - a.n_nationkey) // 5)::BIGINT FROM nation a JOIN nation b ON b.n_nationkey > a.n_nationkey + 5 AND (b.n_nationkey - a.n_nationkey) % 5 = 0""")
+def subtype_closure(spark, sf_dir):
+    nation = _table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("k"))
+    edges = nation.join(nation.select((F.col("k") - 5).alias("j"), F.col("k").alias("dst")), F.col("k") == F.col("j")).select(F.col("k").alias("src"), "dst")
+    return graph.closure(edges).select("start", "node", "depth")
+
+
+def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user turn opens a span that ends before the next one."""
+    talk = _table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", F.col("turn").alias("start"))
+    return talk.withColumn("end", F.coalesce(F.lead("start").over(Window.partitionBy("conv_id").orderBy("start")) - 1, F.lit(1 << 40)))
+
+
+SQL_SPANS = "s AS (SELECT conv_id, turn AS start, coalesce(lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) - 1, 1099511627776) AS stop FROM conversations WHERE role = 'user')"
+
+
+@query(f"WITH {SQL_SPANS} SELECT c.conv_id, c.turn, s.start FROM conversations c JOIN s ON c.conv_id = s.conv_id AND c.turn BETWEEN s.start AND s.stop")
+def span_join(spark, sf_dir):
+    points = _table(spark, sf_dir, "conversations").select("conv_id", "turn")
+    return relate.span_join(points, _spans(spark, sf_dir), ["conv_id"], "turn").select("conv_id", "turn", "start")
+
+
+@query("""WITH s AS (SELECT conv_id, turn AS start FROM conversations WHERE role = 'user')
+SELECT c.conv_id, c.turn, max(s.start) AS start FROM conversations c JOIN s ON c.conv_id = s.conv_id AND c.turn >= s.start GROUP BY c.conv_id, c.turn""")
+def innermost(spark, sf_dir):
+    points = _table(spark, sf_dir, "conversations").select("conv_id", "turn")
+    spans = _table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", F.col("turn").alias("start"), F.lit(1 << 40).alias("end"))
+    return relate.innermost(points, spans, ["conv_id"], "turn").select("conv_id", "turn", "start")
+
+
+@query("""WITH o AS (SELECT doc_id, substr(sha1(text), 1, 12) AS h FROM documents WHERE lang <> 'es'),
+n AS (SELECT doc_id, substr(sha1(CASE WHEN n_chars % 7 = 0 THEN text || '~' ELSE text END), 1, 12) AS h FROM documents WHERE lang <> 'fr')
+SELECT coalesce(o.doc_id, n.doc_id) AS doc_id, CASE WHEN o.h IS NULL THEN 'added' WHEN n.h IS NULL THEN 'removed' ELSE 'modified' END AS change FROM o FULL JOIN n ON o.doc_id = n.doc_id WHERE o.h IS DISTINCT FROM n.h""")
+def manifest_diff(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    digest = lambda t: F.substring(F.sha1(t), 1, 12).alias("digest")
+    old = docs.where("lang <> 'es'").select("doc_id", digest(F.col("text")))
+    new = docs.where("lang <> 'fr'").select("doc_id", digest(F.when(F.col("n_chars") % 7 == 0, F.concat("text", F.lit("~"))).otherwise(F.col("text"))))
+    return relate.manifest_diff(old, new, "doc_id", "digest")
+
+
+@query("SELECT event_id, user_id, event_type FROM events WHERE event_id > 500 ORDER BY event_id LIMIT 1000")
+def watch_poll(spark, sf_dir):
+    return watch.page(_table(spark, sf_dir, "events"), "event_id", 500, 1000).select("event_id", "user_id", "event_type")
+
+
+@query("""SELECT event_type, count(*)::BIGINT AS n, max(event_id)::BIGINT AS last_id FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 600 MINUTE GROUP BY event_type""")
+def watch_window(spark, sf_dir):
+    events = _table(spark, sf_dir, "events")
+    newest = events.agg(F.max("ts").alias("now"))
+    kept = events.join(F.broadcast(newest), F.col("ts") >= F.col("now") - F.expr("INTERVAL 600 MINUTE"))
+    return kept.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.max("event_id").alias("last_id"))
+
+
+@query("SELECT coalesce(max(event_id), 0)::BIGINT AS last_id FROM events")
+def watch_mark(spark, sf_dir):
+    return watch.mark(_table(spark, sf_dir, "events"), "event_id")
+
+
+@query("SELECT role AS author, count(*)::BIGINT AS n FROM conversations GROUP BY role")
+def blame_authors(spark, sf_dir):
+    return _table(spark, sf_dir, "conversations").groupBy(F.col("role").alias("author")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS asked FROM conversations")
+def blame_carry(spark, sf_dir):
+    talk = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
+    return windows.carry_forward(talk, ["conv_id"], ["turn"], F.when(F.col("role") == "user", F.col("turn")), "asked").select("conv_id", "turn", "asked")
+
+
+@query(f"""WITH {SQL_LINES} SELECT doc_id, line, coalesce(sum(length(line_text) - length(replace(line_text, ',', '')) - length(line_text) + length(replace(line_text, '.', ''))) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS depth FROM l""")
+def guard_depth(spark, sf_dir):
+    count = lambda c: F.length("line_text") - F.length(F.replace(F.col("line_text"), F.lit(c), F.lit("")))
+    return windows.running_depth(_lines(spark, sf_dir), ["doc_id"], count(","), count(".")).select("doc_id", "line", "depth")
+
+
+@query(f"WITH {SQL_LINES} SELECT doc_id, line, max(CASE WHEN regexp_matches(line_text, '{OF}') THEN line END) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING) AS near FROM l")
+def lookback8(spark, sf_dir):
+    return windows.look_back(_lines(spark, sf_dir), ["doc_id"], F.col("line_text").rlike(OF), 8, "near").select("doc_id", "line", "near")
+
+
+@query("""SELECT n_name AS repo, coalesce(CASE WHEN r_regionkey < 3 THEN lower(r_name) END, lower(replace(n_name, 'NATION', 'table'))) AS target, CASE WHEN r_regionkey < 3 THEN 'mapped' ELSE 'guessed' END AS note FROM nation LEFT JOIN region ON n_regionkey = r_regionkey AND r_regionkey < 3""")
+def db_chain(spark, sf_dir):
+    region = _table(spark, sf_dir, "region").where("r_regionkey < 3").select(F.col("r_regionkey").alias("n_regionkey"), "r_name")
+    guess = F.lower(F.replace(F.col("n_name"), F.lit("NATION"), F.lit("table")))
+    return relate.left_with_default(_table(spark, sf_dir, "nation"), region, "n_regionkey", F.lower("r_name"), guess, "target", "note", "mapped", "guessed").select(F.col("n_name").alias("repo"), "target", "note")
+
+
+@query("""WITH e AS (SELECT DISTINCT c.c_nationkey AS a, s.s_nationkey AS b FROM lineitem JOIN orders o ON l_orderkey = o_orderkey JOIN customer c ON o_custkey = c_custkey JOIN supplier s ON l_suppkey = s_suppkey WHERE c.c_nationkey <> s.s_nationkey)
+SELECT x.n_name AS src, y.n_name AS dst, x.n_regionkey <> y.n_regionkey AS crosses FROM e JOIN nation x ON x.n_nationkey = a JOIN nation y ON y.n_nationkey = b""")
+def service_graph(spark, sf_dir):
+    t = lambda n: _table(spark, sf_dir, n)
+    uses = t("lineitem").select("l_orderkey", "l_suppkey").join(t("orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
+    uses = uses.join(t("customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("a")), "o_custkey").join(t("supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("b")), "l_suppkey")
+    edges = uses.where("a <> b").select("a", "b").distinct()
+    nation = t("nation")
+    end = lambda k, name: nation.select(F.col("n_nationkey").alias(k), F.col("n_name").alias(name), F.col("n_regionkey").alias(f"{name}_owner"))
+    return edges.join(end("a", "src"), "a").join(end("b", "dst"), "b").select("src", "dst", (F.col("src_owner") != F.col("dst_owner")).alias("crosses"))
+
+
+@query("""WITH p AS (SELECT page_id, regexp_extract(url, '^[^?#]*') AS path FROM pages), r AS (SELECT DISTINCT regexp_extract(path, '^[a-z]+://[^/]+') AS root FROM p UNION SELECT DISTINCT regexp_extract(path, '^[a-z]+://[^/]+/[^/]+') FROM p)
+SELECT page_id, path, max_by(root, length(root)) AS root FROM p LEFT JOIN r ON path = root OR starts_with(path, root || '/') GROUP BY page_id, path""")
+def longest_prefix(spark, sf_dir):
+    pages = _table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "^[^?#]*", 0).alias("path"))
+    roots = pages.select(F.explode(F.array(F.regexp_extract("path", "^[a-z]+://[^/]+", 0), F.regexp_extract("path", "^[a-z]+://[^/]+/[^/]+", 0))).alias("root"))
+    return relate.longest_prefix(pages, "path", roots, "root").select("page_id", "path", "root")
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'ring') ORDER BY p_name, p_partkey LIMIT 20")
+def symbol_topk(spark, sf_dir):
+    return relate.search_symbols(_table(spark, sf_dir, "part"), "p_name", "RING", ["p_name", "p_partkey"], 20).select("p_partkey", "p_name")
+
+
+@query("SELECT lang, count(*)::BIGINT AS n FROM documents WHERE lang IS NOT NULL GROUP BY lang ORDER BY n DESC, coalesce(list_position(['fr', 'de'], lang), 3), lang LIMIT 1")
+def lang_argmax(spark, sf_dir):
+    return relate.argmax_by(_table(spark, sf_dir, "documents"), "lang", ["fr", "de"]).select("lang", F.col("count").alias("n"))
+
+
+@query("""SELECT doc_id, CASE WHEN e AND c THEN 'conflict' WHEN e THEN 'to_source' WHEN c THEN 'to_projection' ELSE 'unchanged' END AS decision FROM (SELECT doc_id, sha1(CASE WHEN n_chars % 3 = 0 THEN text || '~' ELSE text END) <> sha1(text) AS e, sha1(CASE WHEN n_chars % 5 = 0 THEN '~' || text ELSE text END) <> sha1(text) AS c FROM documents)""")
+def sync_decision(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.sha1("text").alias("anchor"), F.sha1(F.when(F.col("n_chars") % 3 == 0, F.concat("text", F.lit("~"))).otherwise(F.col("text"))).alias("block"), F.sha1(F.when(F.col("n_chars") % 5 == 0, F.concat(F.lit("~"), "text")).otherwise(F.col("text"))).alias("live"))
+    return docs.select("doc_id", relate.sync_decision(F.col("block") != F.col("anchor"), F.col("live") != F.col("anchor")).alias("decision"))
+
+
+@query("SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id)::BIGINT AS k, count(*) OVER (PARTITION BY user_id)::BIGINT AS n FROM events")
+def k_of_n(spark, sf_dir):
+    return windows.k_of_n(_table(spark, sf_dir, "events").select("event_id", "user_id"), "user_id", "event_id").select("event_id", "user_id", "k", "n")
+
+
+@query("""WITH core AS (SELECT c_custkey AS k FROM customer WHERE c_mktsegment = 'BUILDING'), e AS (SELECT o_custkey AS src, o_custkey + 1 AS dst FROM orders), near AS (SELECT k FROM core UNION SELECT dst FROM e WHERE src IN (SELECT k FROM core) UNION SELECT src FROM e WHERE dst IN (SELECT k FROM core))
+SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT k FROM near)""")
+def semi_neighbours(spark, sf_dir):
+    nodes = _table(spark, sf_dir, "customer")
+    edges = _table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("src"), (F.col("o_custkey") + 1).alias("dst"))
+    return graph.neighbours(nodes, edges, F.col("c_mktsegment") == "BUILDING", node="c_custkey").select("c_custkey", "c_name")
+
+
+@query("SELECT doc_id, lang FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
+def anti_stop(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").join(_table(spark, sf_dir, "labels"), "doc_id", "left_anti").select("doc_id", "lang")
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
+def json_props(spark, sf_dir):
+    return _table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
+
+
+@query("SELECT user_id, event_type, min(event_id)::BIGINT AS first_id, arg_min(value, event_id) AS first_value FROM events GROUP BY user_id, event_type")
+def first_wins(spark, sf_dir):
+    events = _table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "value")
+    return relate.first_wins(events, ["user_id", "event_type"], ["event_id"]).select("user_id", "event_type", F.col("event_id").alias("first_id"), F.col("value").alias("first_value"))
+
+
+CALL = r"([a-z]+),"
+
+
+@query(f"""WITH {SQL_LINES}, t AS (SELECT doc_id, line, unnest(regexp_extract_all(line_text, '{CALL}', 1)) AS callee FROM l)
+SELECT DISTINCT source AS caller, callee, t.doc_id, line FROM t JOIN documents d ON t.doc_id = d.doc_id WHERE callee <> 'the' AND callee <> source""")
+def call_edges(spark, sf_dir):
+    found = _lines(spark, sf_dir)
+    tokens = search.captures(found, CALL, "callee").select(F.col("doc_id").alias("path"), "line", "callee")
+    spans = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.col("source").alias("name"), F.lit(1).alias("start"), F.lit(1 << 40).alias("end"))
+    made = search.call_edges(tokens, spans, tokens.select(F.col("callee").alias("name")), stop=["the"])
+    return made.select("caller", "callee", F.col("path").alias("doc_id"), "line")
+
+
+@query("SELECT doc_id, substr(sha1(text || chr(10)), 1, 12) AS digest FROM documents")
+def block_hash(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", F.substring(F.sha1(F.concat("text", F.lit("\n"))), 1, 12).alias("digest"))
+
+
+@query("SELECT user_id, count(DISTINCT event_type)::BIGINT AS near FROM events GROUP BY user_id")
+def method_effects(spark, sf_dir):
+    return _table(spark, sf_dir, "events").groupBy("user_id").agg(F.count_distinct("event_type").alias("near"))
+
+
+@query("""WITH m AS (SELECT p_brand AS name, count(*)::BIGINT AS n FROM part GROUP BY p_brand) SELECT name, n FROM m WHERE n > 1""")
+def ambiguous(spark, sf_dir):
+    return _table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("name")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
+@query("SELECT p_brand AS name, string_agg(DISTINCT p_type, ', ' ORDER BY p_type) AS calls FROM part GROUP BY p_brand")
+def cpg_methods(spark, sf_dir):
+    return _table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("name")).agg(F.array_join(F.array_sort(F.collect_set("p_type")), ", ").alias("calls"))
+
+
+@query("""WITH s AS (SELECT user_id AS scope, event_type AS field, count(*)::BIGINT AS n FROM events GROUP BY ALL), f AS (SELECT DISTINCT event_type AS field FROM events), o AS (SELECT DISTINCT user_id AS scope FROM events)
+SELECT scope, field, coalesce(n, 0)::BIGINT AS n, CASE WHEN n IS NULL THEN 'never set' WHEN n > 1 THEN 'more than once' ELSE 'once' END AS note FROM (SELECT * FROM o, f) LEFT JOIN s USING (scope, field)""")
+def object_flow_anomalies(spark, sf_dir):
+    sets = _table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("scope"), F.col("event_type").alias("field")).agg(F.count(F.lit(1)).alias("n"))
+    # The fields of a type are few; each scope gets the whole list as one array, made once.
+    fields = F.broadcast(stored(sets.select("field").distinct()).agg(F.array_sort(F.collect_list("field")).alias("fields")))
+    every = sets.groupBy("scope").agg(F.map_from_entries(F.collect_list(F.struct("field", "n"))).alias("had")).join(fields, F.lit(True))
+    told = every.select("scope", "had", F.explode("fields").alias("field")).select("scope", "field", F.coalesce(F.element_at("had", F.col("field")), F.lit(0)).cast("long").alias("n"))
+    return told.withColumn("note", F.when(F.col("n") == 0, "never set").when(F.col("n") > 1, "more than once").otherwise("once"))
+
+
+@query("SELECT doc_id, n_chars % 10 AS code, CASE WHEN n_chars % 10 > 6 THEN true WHEN n_chars % 10 < 3 THEN false END AS truth FROM documents")
+def evaluate_condition(spark, sf_dir):
+    """Three-valued conditions: known true, known false, unknown."""
+    code = F.col("n_chars") % 10
+    return _table(spark, sf_dir, "documents").select("doc_id", code.alias("code"), F.when(code > 6, True).when(code < 3, False).alias("truth"))
