@@ -86,16 +86,52 @@ def _features(text: Column) -> Column:
     return run(text)
 
 
-def _shares(counts: Column) -> Column:
-    total = F.aggregate(counts, F.lit(0).cast("long"), lambda s, x: s + x)
-    return F.transform(counts, lambda x: x / F.greatest(total, F.lit(1)))
+def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Jensen-Shannon distance of the rows of two matrices of shares; each logarithm is of a share over the mean share."""
+    m = (p + q) / 2
+    part = lambda x: np.where(x > 0, x * np.log2(np.where(x > 0, x, 1) / np.where(m > 0, m, 1)), 0.0)
+    return np.sqrt(np.maximum((part(p) + part(q)).sum(axis=1) / 2, 0))
 
 
-def js_distance(p: Column, q: Column) -> Column:
-    """Jensen-Shannon distance of two arrays of shares; each logarithm is of a share over the mean share."""
-    part = lambda x, m: F.when(x > 0, x * F.log2(x / m)).otherwise(0.0)
-    terms = F.zip_with(p, q, lambda x, y: part(x, (x + y) / 2) + part(y, (x + y) / 2))
-    return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(terms, F.lit(0.0), lambda s, x: s + x) / 2))
+def _matrix(lists: pa.Array, width: int) -> np.ndarray:
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, width)
+
+
+def _shares(counts: np.ndarray) -> np.ndarray:
+    return counts / np.maximum(counts.sum(axis=1, keepdims=True), 1)
+
+
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, chars, common) to (lang, n, sums): shares summed by language, and under null for all, once for each task."""
+    sums: dict[str | None, list] = {}
+    for batch in batches:
+        if not len(batch.column(0)):
+            continue
+        both = np.hstack([_shares(_matrix(batch.column(1), _CLASSES)), _shares(_matrix(batch.column(2), len(WORDS) + 1))])
+        langs = batch.column(0).to_pylist()
+        for lang in {*langs, None}:
+            rows = both if lang is None else both[np.array([x == lang for x in langs])]
+            n, total = sums.get(lang, (0, 0.0))
+            sums[lang] = [n + len(rows), total + rows.sum(axis=0)]
+    if sums:
+        yield pa.record_batch([pa.array(list(sums), pa.string()), pa.array([n for n, _ in sums.values()], pa.int64()), pa.array([t.tolist() for _, t in sums.values()], pa.list_(pa.float64()))], names=["lang", "n", "sums"])
+
+
+def references(used: DataFrame) -> DataFrame:
+    """(lang, chars, common) to (r_lang, n, means); the row of null is of all languages."""
+    parts = used.mapInArrow(_sums, "lang string, n long, sums array<double>").select("lang", "n", F.posexplode("sums").alias("k", "x"))
+    means = parts.groupBy("lang", "k").agg((F.sum("x") / F.sum("n")).alias("x"), F.sum("n").alias("n"))
+    return means.groupBy(F.col("lang").alias("r_lang")).agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda s: s["x"]).alias("means"))
+
+
+def _distances(chars: Column, common: Column, means: Column) -> Column:
+    @F.arrow_udf("struct<char_distance:double,word_distance:double>")
+    def run(chars: pa.Array, common: pa.Array, means: pa.Array) -> pa.Array:
+        q = _matrix(means, _CLASSES + len(WORDS) + 1)
+        near = js_distance(_shares(_matrix(chars, _CLASSES)), q[:, :_CLASSES]), js_distance(_shares(_matrix(common, len(WORDS) + 1)), q[:, _CLASSES:])
+        return pa.StructArray.from_arrays([pa.array(x, pa.float64()) for x in near], names=["char_distance", "word_distance"])
+
+    return run(chars, common, means)
 
 
 def _far() -> Column:
@@ -105,23 +141,22 @@ def _far() -> Column:
 def divergence(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """docs without the text, with the base counts, base_failed, char_distance, word_distance and kept."""
     own = [c for c in docs.columns if c != text_col]
-    made = written(docs.select(F.struct(*own).alias("own") if own else F.lit(None).alias("own"), F.col(lang_col).alias("lang"), _features(F.col(text_col)).alias("f")))
-    f = made.select("own", "lang", "f.*").withColumns({"p": _shares(F.col("chars")), "w": _shares(F.col("common"))}).drop("chars", "common")
-    f = f.withColumn("base_failed", (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
+    made = written(docs.select(F.struct(*own).alias("own") if own else F.lit(None).cast("int").alias("own"), F.col(lang_col).alias("lang"), _features(F.col(text_col)).alias("f")).select("own", "lang", "f.*"))
+    plain = made.withColumn("base_failed", (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     long = (F.col("n_words") >= LEAST_WORDS) & (F.col("word_chars") >= LEAST_CHARS)
-    mean = lambda c, n: F.array(*(F.avg(F.get(c, F.lit(i))) for i in range(n)))
-    means = [mean("p", _CLASSES).alias("rp"), mean("w", len(WORDS) + 1).alias("rw"), F.count(F.lit(1)).alias("n")]
-    used = long & ~F.col("base_failed")
-    plain = f
+    used = plain.where(long & ~F.col("base_failed"))
+    f = None
     for _ in range(2):  # the second time, the references are of what was near the first ones: a trimmed mean
-        near = f.where(used & ~_far()) if "char_distance" in f.columns else f.where(used)
-        of_all = written(near.agg(*means).select(F.col("rp").alias("ap"), F.col("rw").alias("aw"), F.col("n").alias("an")))  # one row
-        by_lang = written(near.where("lang is not null").groupBy(F.col("lang").alias("r_lang")).agg(*means).where(F.col("n") >= LEAST_DOCS))
+        near = used if f is None else f.where(long & ~F.col("base_failed") & ~_far())
+        refs = written(references(near.select("lang", "chars", "common")))
+        of_all = refs.where("r_lang is null").select(F.col("means").alias("all_means"))  # one row, or none
+        by_lang = refs.where("r_lang is not null").where(F.col("n") >= LEAST_DOCS).select("r_lang", "means")
         few = by_lang.limit(10_001).count() <= 10_000  # 1.2 kB a language
-        met = plain.join(F.broadcast(by_lang) if few else by_lang, F.col("lang") == F.col("r_lang"), "left").crossJoin(F.broadcast(of_all))
-        ref = lambda own, every: F.when(F.col("r_lang").isNotNull(), F.col(own)).otherwise(F.col(every))
-        judged = long & (F.col("an") > 0)
-        f = met.withColumns({"char_distance": F.when(judged, js_distance(F.col("p"), ref("rp", "ap"))), "word_distance": F.when(judged, js_distance(F.col("w"), ref("rw", "aw")))})
+        met = plain.join(F.broadcast(by_lang) if few else by_lang, F.col("lang") == F.col("r_lang"), "left")
+        met = met.join(F.broadcast(of_all), F.lit(True), "left").withColumn("means", F.coalesce("means", "all_means"))
+        uniform = F.array_repeat(F.lit(0.0), _CLASSES + len(WORDS) + 1)
+        d = _distances(F.col("chars"), F.col("common"), F.coalesce("means", uniform))
+        f = met.withColumn("d", d).withColumns({k: F.when(long & F.col("means").isNotNull(), F.col(f"d.{k}")) for k in ("char_distance", "word_distance")})
     return f.withColumn("kept", ~F.col("base_failed") & ~_far()).select("own", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_distance", "word_distance")
 
 
