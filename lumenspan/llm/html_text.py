@@ -24,7 +24,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
@@ -280,9 +280,9 @@ def _induced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def wrappers(pages: DataFrame) -> DataFrame:
     """(host, html) to (w_host, wrapper as JSON), one row a host."""
     keyed = pages.where("html is not null").withColumn("key", F.xxhash64("html"))
-    order = Window.partitionBy("host").orderBy("key")
-    # Ranked without the pages; Spark keeps the first SAMPLE of each host on the map side already.
-    picked = written(keyed.select("host", "key").distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= SAMPLE).drop("n"))
+    # The least key of each of 8 * SAMPLE buckets of keys, then the least SAMPLE of those: sums on the map side, no window.
+    least = keyed.groupBy("host", F.pmod("key", F.lit(8 * SAMPLE)).alias("bucket")).agg(F.min("key").alias("key"))
+    picked = written(least.groupBy("host").agg(F.slice(F.array_sort(F.collect_list("key")), 1, SAMPLE).alias("keys")).select("host", F.explode("keys").alias("key")))
     few = picked.limit(1_000_001).count() <= 1_000_000
     picked = picked.select(F.col("host").alias("p_host"), F.col("key").alias("p_key"))
     sample = keyed.join(F.broadcast(picked) if few else picked, (F.col("key") == F.col("p_key")) & (F.col("host") == F.col("p_host"))).groupBy("host", "key").agg(F.min("html").alias("html"))
