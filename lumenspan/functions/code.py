@@ -61,6 +61,7 @@ class Source:
     def _blocks(self) -> list[Block]:
         out: list[Block] = []
         open_: list[int | None] = []  # blocks, or None for a round bracket
+        within: dict[int, int] = {}  # of blocks inside round brackets, where the statement around them starts
         head = 0
         for m in re.finditer(r"[{}();]|\n", self.code):
             c, at = m[0], m.start()
@@ -73,14 +74,17 @@ class Source:
             elif c == "{":
                 parent = next((x for x in reversed(open_) if x is not None), -1)
                 out.append(Block(head, at, len(self.code), self.code[head:at], parent))
+                if in_round:
+                    within[len(out) - 1] = head
                 open_.append(len(out) - 1)
                 head = at + 1
             elif c == "}":
-                while open_ and open_[-1] is None:
+                while open_ and open_[-1] is None and any(x is not None for x in open_):
                     open_.pop()
-                if open_:
-                    out[open_.pop()].close = at
-                head = at + 1
+                k = open_.pop() if open_ and open_[-1] is not None else None
+                if k is not None:
+                    out[k].close = at
+                head = within.get(k, at + 1)
             elif (c == ";" and not in_round) or (c == "\n" and self.lang != "java" and not in_round and self._ends(head, at)):
                 head = at + 1
         return out
@@ -167,7 +171,7 @@ def types(src: Source) -> dict[int, Type]:
         m = _TYPE.search(header)
         if not m or "(" in header[: m.start()]:
             continue
-        rest = header[m.end() :]
+        rest = _after_generics(header[m.end() :])
         up = re.search(r"\bextends\s+([\w.]+(?:\s*<[^{]*?>)?)", rest)
         does = re.search(r"\bimplements\s+(.+)$", rest, re.S)
         t = Type(m[3], m[2], m[1] == "abstract" or "abstract" in header[: m.start()].split() or m[2] == "interface", simple_name(up[1]) if up else "", generic_args(up[1]) if up else [],
@@ -182,6 +186,18 @@ def types(src: Source) -> dict[int, Type]:
     return out
 
 
+def _after_generics(s: str) -> str:
+    """What follows a type's own parameters."""
+    depth = 0
+    if not s.lstrip().startswith("<"):
+        return s
+    for i, c in enumerate(s):
+        depth += (c == "<") - (c == ">")
+        if c == ">" and not depth:
+            return s[i + 1 :]
+    return s
+
+
 def _strip(piece: str) -> tuple[str, int]:
     """A declaration without annotations and outer space, and how much was cut in front."""
     at = 0

@@ -758,7 +758,7 @@ def entry_to_exit_plan(c: Context) -> DataFrame:
     edges = program.dispatch_edges(program.call_sites(parsed, ms, ts), ms, ts)
     # From each exit method back over callers; all exits at once.
     up = stored(edges.select(F.col("callee").alias("src"), F.col("caller").alias("dst")))
-    back = graph.closure(up).join(exits.select(F.col("key").alias("start")).distinct(), "start", "left_semi")
+    back = graph.closure(up, starts=exits.select(F.col("key").alias("start")))
     reach = back.select(F.col("start").alias("key"), F.col("node").alias("from"), "depth").unionByName(exits.select("key", F.col("key").alias("from"), F.lit(0).cast("long").alias("depth")).distinct())
     found = reach.join(entries.select(F.col("key").alias("from"), F.col("entry_name").alias("entry")), "from").join(exits.select("key", "path", "line", "code", F.concat_ws(".", "type", "name").alias("exit_method")), "key")
     return found.select("entry", "exit_method", F.col("depth").alias("steps"), "path", "line", "code").distinct().orderBy("path", "line", "steps", "entry")
