@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenspan.operators.store import remove, shared_dir
+
 #: ASCII white space; everything else belongs to a word.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -31,24 +32,6 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own only where that is unset."""
-    there = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not there:
-        there = "file://" + tempfile.mkdtemp(prefix="lumenspan-")
-        spark.sparkContext.setCheckpointDir(there)
-        there = spark.sparkContext.getCheckpointDir()
-    return there.rstrip("/")
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # the session has ended; the folder goes with the cluster's clean-up
-        return
-
-
 def written(df: DataFrame, kept: list[str] | None = None, compression: str | None = None) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts the lineage, survives lost executors, and is computed once.
 
@@ -58,7 +41,7 @@ def written(df: DataFrame, kept: list[str] | None = None, compression: str | Non
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path, compression=compression)
     if kept is None:
-        atexit.register(_remove, spark, path)
+        atexit.register(remove, spark, path)
     else:
         kept.append(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -66,7 +49,7 @@ def written(df: DataFrame, kept: list[str] | None = None, compression: str | Non
 
 def drop_written(spark: SparkSession, kept: list[str]) -> None:
     while kept:
-        _remove(spark, kept.pop())
+        remove(spark, kept.pop())
 
 
 def let(value: Column, body) -> Column:

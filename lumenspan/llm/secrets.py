@@ -126,3 +126,28 @@ def op1_secrets(spark, sf_dir: str) -> DataFrame:
         F.array_join(F.transform("spans", _text_of), ",").alias("spans"),
         F.size(F.filter("spans", lambda x: x["linked"])).cast("long").alias("n_linked"),
     )
+
+
+def _sql_parts(name: str, regex: str, rank: str, keep: str = "true") -> str:
+    """Matches of a pattern with their places: lengths of the pieces between them and of themselves, summed up."""
+    quoted = regex.replace("'", "''")
+    return f"""{name}_m AS (SELECT doc_id, unnest(hits) AS h, unnest(pieces[1:len(hits)]) AS p, unnest(range(len(hits))) AS i FROM (SELECT doc_id, regexp_extract_all(t, '{quoted}') AS hits, string_split_regex(t, '{quoted}') AS pieces FROM d)),
+{name}_at AS (SELECT doc_id, h, sum(length(p) + length(h)) OVER (PARTITION BY doc_id ORDER BY i) - length(h) AS s FROM {name}_m),
+{name} AS (SELECT doc_id, s::BIGINT AS s, {rank} AS r, (s + length(h))::BIGINT AS e FROM {name}_at WHERE {keep})"""
+
+
+_VALUE = "length(regexp_extract(h, '" + ASSIGN.replace("'", "''") + "', 2))"
+_KIND = "['" + "','".join(KINDS) + "'][r + 1] || ':' || s || ':' || e"
+SQL_OP1 = "WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),\n" + ",\n".join([
+    _sql_parts("assign", ASSIGN, f"CASE WHEN {_VALUE} >= {LEAST_VALUE} THEN 0 ELSE 3 END", f"{_VALUE} >= {SHORT_VALUE}"), _sql_parts("acc", ACCESS, "1"), _sql_parts("hex", HEX, "2"),
+    _sql_parts("weak", WEAK_SECRET, "3"), _sql_parts("ident", IDENT, "4"), _sql_parts("fin", ENDPOINT, "5"), _sql_parts("brk", BREAK, "6"),
+    """al AS (SELECT * FROM assign UNION SELECT * FROM acc UNION SELECT * FROM hex UNION SELECT * FROM weak UNION SELECT * FROM ident UNION SELECT * FROM fin UNION SELECT * FROM brk)""",
+    """o AS (SELECT *, row_number() OVER w AS k, sum(CASE WHEN r = 6 THEN 1 ELSE 0 END) OVER w AS scope FROM al WINDOW w AS (PARTITION BY doc_id ORDER BY s, r, e))""",
+    f"""near AS (SELECT x.doc_id, x.k, bool_or(y.r IN (1, 4) AND ok) AS i, bool_or(y.r IN (0, 3) AND ok) AS sec, bool_or(y.r = 5 AND ok) AS f, bool_or(y.r < 3 AND (y.k < x.k AND x.s < y.e OR y.k > x.k AND y.s < x.e)) AS covered
+      FROM (SELECT x.*, y.s AS ys, y.e AS ye, y.r AS yr, y.k AS yk, x.scope = y.scope AND CASE WHEN y.k < x.k THEN x.s - y.e ELSE y.s - x.e END <= {MAX_GAP} AS ok FROM o x JOIN o y ON x.doc_id = y.doc_id AND x.k <> y.k WHERE x.r BETWEEN 3 AND 5) z
+      JOIN o x ON x.doc_id = z.doc_id AND x.k = z.k JOIN o y ON y.doc_id = z.doc_id AND y.k = z.yk GROUP BY x.doc_id, x.k)""",
+    """kept AS (SELECT o.*, o.r > 2 AS linked FROM o LEFT JOIN near n ON o.doc_id = n.doc_id AND o.k = n.k WHERE o.r < 3 OR (NOT n.covered AND ((o.r = 3 AND (n.i OR n.f)) OR (o.r = 4 AND n.sec) OR (o.r = 5 AND n.i AND n.sec))))""",
+]) + f"""
+SELECT d.doc_id, count(*) FILTER (r = 0)::BIGINT AS n_assign, count(*) FILTER (r = 1)::BIGINT AS n_access, count(*) FILTER (r = 2)::BIGINT AS n_hex,
+  sha256(coalesce(string_agg({_KIND}, ',' ORDER BY k) FILTER (r < 3), '')) AS base_sha256, coalesce(string_agg({_KIND}, ',' ORDER BY k), '') AS spans, count(*) FILTER (linked)::BIGINT AS n_linked
+FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id GROUP BY d.doc_id"""
