@@ -200,12 +200,24 @@ def _normal(path: Column) -> Column:
 
 
 def object_flow(parsed: DataFrame, type_name: str) -> DataFrame:
-    """(repo, path, scope, var, line, field, code): setters called on variables that hold an instance of a type, in methods that
-    allocate one."""
+    """(scope, var, path, at, set_path, line, field, code): setters of instances of a type, by the method that makes one.
+
+    at is the line in that method: of the setter itself, or of the call that hands the instance to a method which sets it."""
     java = parsed.where("lang = 'java'")
-    spans = methods(java).select("repo", "path", "key", "start", "end")
-    made = explode(java, "locals").drop("lang").where(F.col("type") == type_name).withColumnRenamed("line", "at").join(spans, ["repo", "path"]).where(F.col("at").between(F.col("start"), F.col("end")))
-    made = made.select("repo", "path", "key", F.col("name").alias("qualifier"), "start", "end").distinct()
-    sets = explode(java, "calls").drop("lang").join(made, ["repo", "path", "qualifier"]).where(F.col("line").between(F.col("start"), F.col("end")) & F.startswith("callee", F.lit("set")))
+    ms, ts = methods(java), types(java)
+    spans = ms.select("repo", "path", "key", "start", "end")
+    within = F.col("line").between(F.col("start"), F.col("end"))
+    made = explode(java, "locals").drop("lang").where(F.col("type") == type_name).join(spans, ["repo", "path"]).where(within)
+    made = stored(made.select("repo", "path", "key", F.col("name").alias("var"), "start", "end").distinct())
     field = F.concat(F.lower(F.substring("callee", 4, 1)), F.substring("callee", 5, 10_000))
-    return sets.select("repo", "path", F.col("key").alias("scope"), F.col("qualifier").alias("var"), "line", field.alias("field"), "code")
+    calls = explode(java, "calls").drop("lang")
+    sets = calls.where(F.col("callee").rlike("^set[A-Z_]")).select("repo", "path", F.col("qualifier").alias("var"), "line", "callee", "code")
+    own = sets.join(made, ["repo", "path", "var"]).where(within).select(F.col("key").alias("scope"), "var", "path", F.col("line").alias("at"), F.col("path").alias("set_path"), "line", field.alias("field"), "code")
+    handed = calls.select("repo", "path", "line", "callee", F.posexplode("args").alias("n", "var")).join(made, ["repo", "path", "var"]).where(within).select("key", "path", "line", "callee", "n", "var")
+    sites = call_sites(java, ms, ts).select("key", "line", "recv", "callee")
+    to = handed.join(sites, ["key", "line", "callee"]).join(dispatch(sites, ms, ts), ["recv", "callee"])
+    params = explode(java, "functions").select("repo", "path", "start", F.posexplode("params").alias("n", "param"))
+    inner = ms.select("repo", "path", F.col("key").alias("target"), "start", "end").join(params, ["repo", "path", "start"])
+    inner = inner.join(sets.withColumnRenamed("var", "param"), ["repo", "path", "param"]).where(within).select("target", "n", F.col("path").alias("set_path"), F.col("line").alias("set_line"), field.alias("field"), "code")
+    passed = to.join(inner, ["target", "n"]).select(F.col("key").alias("scope"), "var", "path", F.col("line").alias("at"), "set_path", F.col("set_line").alias("line"), "field", "code")
+    return own.unionByName(passed).distinct()

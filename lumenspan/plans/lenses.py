@@ -772,12 +772,15 @@ def object_flow(c: Context) -> Projection:
     sets = sets.where(F.col("field") == field) if field else sets
     fields = [r[0] for r in program.types(c.parsed).where(F.col("name") == name).select(F.explode("fields.name")).distinct().orderBy("col").collect()]
     pieces, facts, by = [], [], {}
-    for r in sets.orderBy("scope", "var", "line").collect():
+    for r in sets.orderBy("scope", "var", "at", "set_path", "line").collect():
         by.setdefault((r.scope, r.var, r.path), []).append(r)
     for (scope, var, path), rows in by.items():
         src = c.file(path)
-        held = {r.line: _held(src, r.line) for r in rows}
-        shown = [located(r.code + (f"   // if {' && '.join(held[r.line])}" if held[r.line] else ""), path, r.line) for r in rows]
+        shown = []
+        for r in rows:
+            held = _held(src, r["at"])
+            through = "" if r.set_path == path else f"   // through {src.line_text(r['at']).strip()}"
+            shown.append(located(r.code + through + (f"   // if {' && '.join(held)}" if held else ""), r.set_path, r.line))
         label = scope.partition("::")[2].partition("#")[0]
         pieces.append(Piece(f"{label}.{var}", path, "object-flow", "object-flow", shown))
         n = {f: sum(r.field == f for r in rows) for f in dict.fromkeys([*fields, *(r.field for r in rows)])}

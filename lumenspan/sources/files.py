@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenspan.functions.code import Source, functions, types
+from lumenspan.functions.flow import parameters
 from lumenspan.functions.languages import CALL_KEYWORDS, EXCLUDED_DIRS, EXTENSIONS, OTHER_SOURCES, TEST_PATH, language_of
 
 FILES = "repo string, path string, ext string, lang string, is_test boolean, content_hash string, text string"
@@ -58,19 +59,36 @@ def lines(files: DataFrame) -> DataFrame:
     return files.where("text is not null and text <> ''").select("repo", "path", "lang", "is_test", F.posexplode(cut).alias("pos", "line_text")).select("repo", "path", "lang", "is_test", (F.col("pos") + 1).cast("long").alias("line"), F.col("line_text").alias("text"))
 
 
-_FUNCTION = "struct<name:string,owner:string,start:long,end:long,sig:string,annotations:array<string>>"
+_FUNCTION = "struct<name:string,owner:string,start:long,end:long,sig:string,annotations:array<string>,params:array<string>>"
 _TYPE = "struct<name:string,kind:string,abstract:boolean,extends:string,extends_args:array<string>,implements:array<string>,annotations:array<string>,line:long,end:long,package:string,fields:array<struct<name:string,type:string,line:long>>>"
-_CALL = "struct<line:long,qualifier:string,callee:string,code:string>"
+_CALL = "struct<line:long,qualifier:string,callee:string,code:string,args:array<string>>"
 _LOCAL = "struct<line:long,name:string,type:string>"
 _SYMBOL = "struct<name:string,kind:string,line:long>"
 PARSED = f"repo string, path string, lang string, functions array<{_FUNCTION}>, types array<{_TYPE}>, calls array<{_CALL}>, locals array<{_LOCAL}>, symbols array<{_SYMBOL}>"
 
 _CALLED = re.compile(r"(?:([A-Za-z_$][\w$]*)\s*\.\s*)?(?<![\w$])([A-Za-z_$][\w$]*)\s*\(")
 _LOCAL_VAR = re.compile(r"\b([A-Z]\w*)(?:<[^=;()]*>)?\s+([a-z_$][\w$]*)\s*=")
+_MADE_HERE = re.compile(r"\bnew\s+([A-Z]\w*)\s*(?:<[^<>]*>)?\s*\([^()]*\)\s*\.$")
 _GO_TYPE = re.compile(r"^\s*type\s+([A-Za-z_]\w*)\s+(\S+)")
 _GO_LOCAL = re.compile(r"^\s*([a-z]\w*)\s*:=")
 
 
+def _arguments(code: str, at: int) -> list[str]:
+    """The arguments of a call whose bracket opens before at, as far as its line goes."""
+    out, depth, start = [], 0, at
+    for i in range(at, len(code)):
+        if code[i] in "([{":
+            depth += 1
+        elif code[i] in ")]}":
+            depth -= 1
+        if depth < 0 or (code[i] == "," and not depth):
+            out.append(code[start:i].strip())
+            start = i + 1
+        if depth < 0:
+            break
+    return [] if out == [""] else out
+
+
 def scan(path: str, lang: str, text: str) -> dict:
     """What a file declares and calls."""
     src = Source(text, lang)
@@ -81,7 +99,9 @@ def scan(path: str, lang: str, text: str) -> dict:
         for m in _CALLED.finditer(code):
             before = code[: m.start()].rstrip()
             if m[2] not in CALL_KEYWORDS and not (before.endswith("new") and not m[1]):
-                calls.append({"line": n, "qualifier": m[1] or ("." if before.endswith(".") else ""), "callee": m[2], "code": src.line_text(n).strip()})
+                made = _MADE_HERE.search(before)
+                qualifier = m[1] or (made[1] if made else "." if before.endswith(".") else "")
+                calls.append({"line": n, "qualifier": qualifier, "callee": m[2], "code": src.line_text(n).strip(), "args": _arguments(code, m.end())})
         names += [{"line": n, "name": m[2], "type": m[1]} for m in _LOCAL_VAR.finditer(code)] if lang == "java" else []
     symbols = [{"name": path.rpartition("/")[2], "kind": "file", "line": 1}]
     symbols += [{"name": f.name, "kind": "method" if f.owner else "func", "line": f.start} for f in fns] + [{"name": t.name, "kind": t.kind, "line": t.line} for t in kinds]
@@ -90,7 +110,7 @@ def scan(path: str, lang: str, text: str) -> dict:
             if m := _GO_TYPE.match(src.code_line(n)):
                 symbols.append({"name": m[1], "kind": "type", "line": n})
     return {
-        "functions": [{k: v for k, v in asdict(f).items() if k not in ("open", "close")} for f in fns],
+        "functions": [{**{k: v for k, v in asdict(f).items() if k not in ("open", "close")}, "params": parameters(f.sig)} for f in fns],
         "types": [{**asdict(t), "fields": [{"name": a, "type": b, "line": c} for a, b, c in t.fields]} for t in kinds],
         "calls": calls, "locals": names, "symbols": sorted(symbols, key=lambda s: (s["line"], s["kind"] != "file")),
     }

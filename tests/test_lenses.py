@@ -318,6 +318,12 @@ def test_object_flow(spark, tmp_path):
     assert facts["Maker.make.c.label"] == "set 2 times: MORE THAN ONCE"
     assert facts["Maker.make.c.origin"] == "NEVER set"
     assert "// if b" in shown(p)[1]
+    (tmp_path / "Stage.java").write_text("class Stage {\n  void apply(int n, Cart target) {\n    target.setOrigin(\"s\");\n  }\n}\n")
+    (tmp_path / "Flow.java").write_text("class Flow {\n  void go() {\n    Cart c = new Cart();\n    new Stage().apply(1, c);\n  }\n}\n")
+    q = run(spark, config, Lens("object-flow", params={"type": "Cart"}))
+    facts = {f.id: f.text for f in q.facts}
+    assert facts["Flow.go.c.label"] == "NEVER set" and "Flow.go.c.origin" not in facts
+    assert any("through new Stage().apply(1, c);" in x and x.endswith("Stage.java:3") for x in shown(q))
 
 
 def test_cpg_methods_and_structure(spark, shop):
