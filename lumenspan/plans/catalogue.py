@@ -8,10 +8,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lumenspan.functions import layout
 from lumenspan.functions.regex import bounded, glob_to_regex
-from lumenspan.operators import graph, relate, search, windows
+from lumenspan.operators import components as connected
+from lumenspan.operators import graph, program, relate, search, windows
 from lumenspan.operators.store import stored
 from lumenspan.session import shipped
+from lumenspan.sources import files as source
 from lumenspan.streaming import watch
 
 QUERIES: dict = {}
@@ -330,3 +333,122 @@ def evaluate_condition(spark, sf_dir):
     """Three-valued conditions: known true, known false, unknown."""
     code = F.col("n_chars") % 10
     return _table(spark, sf_dir, "documents").select("doc_id", code.alias("code"), F.when(code > 6, True).when(code < 3, False).alias("truth"))
+
+
+@query(f"""WITH {SQL_LINES}, c AS (SELECT doc_id, line, regexp_replace(line_text, '[ \\t]+$', '') AS code FROM l)
+SELECT doc_id, line, code || CASE WHEN strlen(code) < 140 THEN repeat(' ', (140 - strlen(code))::BIGINT) ELSE '  ' END || 'text.md:' || line AS shown FROM c""")
+def row_layout(spark, sf_dir):
+    return _lines(spark, sf_dir).select("doc_id", "line", layout.located(F.col("line_text"), F.lit("docs/text.md"), F.col("line")).alias("shown"))
+
+
+_FIELD = """CASE WHEN regexp_matches({0}, '[,"]|^ ') THEN '"' || replace({0}, '"', '""') || '"' ELSE {0} END"""
+
+
+@query(f"SELECT event_id, event_id::VARCHAR || ',' || {_FIELD.format('event_type')} || ',' || {_FIELD.format('props')} AS shown FROM events")
+def csv_rows(spark, sf_dir):
+    return _table(spark, sf_dir, "events").select("event_id", layout.csv_row(F.col("event_id"), F.col("event_type"), F.col("props")).alias("shown"))
+
+
+@query(r"""WITH w AS (SELECT p_partkey, p_brand, p_name, unnest(string_split(p_name, ' ')) AS w, unnest(range(len(string_split(p_name, ' ')))) AS i FROM part),
+c AS (SELECT p_partkey, p_brand, p_name, string_agg(upper(substr(w, 1, 1)) || substr(w, 2), '' ORDER BY i) AS c FROM w GROUP BY p_partkey, p_brand, p_name)
+SELECT p_partkey, lower(regexp_replace(c, '([a-z0-9])([A-Z])', '\1_\2', 'g')) AS snake, lower(p_brand) AS table_name, p_brand AS simple, regexp_replace(p_name, '[^A-Za-z0-9._-]+', '_', 'g') AS file_name,
+  CASE WHEN length(p_name) > 8 THEN substr(p_name, 1, 8) || '…' ELSE p_name END AS short FROM c""")
+def names(spark, sf_dir):
+    part = _table(spark, sf_dir, "part")
+    camel = F.array_join(F.transform(F.split("p_name", " "), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 100))), "")
+    return part.select(
+        "p_partkey", program.snake(camel).alias("snake"), program.table_name(F.concat(F.lit('public."'), "p_brand", F.lit('"'))).alias("table_name"),
+        layout.simple_name(F.concat(F.lit("a.b."), "p_brand", F.lit("<K, V>"))).alias("simple"), layout.file_name(F.col("p_name")).alias("file_name"), layout.truncated(F.col("p_name"), 8).alias("short"),
+    )
+
+
+@query("""WITH c AS (SELECT c_nationkey AS k, min(c_name) AS entity FROM customer GROUP BY 1), s AS (SELECT s_nationkey AS k, count(*)::BIGINT AS migrations, max_by(s_name, s_suppkey) AS last FROM supplier GROUP BY 1)
+SELECT coalesce(c.k, s.k) AS k, coalesce(entity, '') AS entity, coalesce(migrations, 0)::BIGINT AS migrations, coalesce(last, '') AS last FROM c FULL JOIN s ON c.k = s.k""")
+def tables_and_migrations(spark, sf_dir):
+    c = _table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("k")).agg(F.min("c_name").alias("entity"))
+    s = _table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("k")).agg(F.count(F.lit(1)).alias("migrations"), F.max_by("s_name", "s_suppkey").alias("last"))
+    return c.join(s, "k", "full_outer").select("k", F.coalesce("entity", F.lit("")).alias("entity"), F.coalesce("migrations", F.lit(0)).cast("long").alias("migrations"), F.coalesce("last", F.lit("")).alias("last"))
+
+
+@query("""WITH g AS (SELECT n_name AS repo, r_name, n_nationkey FROM nation JOIN region ON n_regionkey = r_regionkey)
+SELECT DISTINCT a.repo, b.repo AS needs FROM customer JOIN g a ON c_nationkey = a.n_nationkey JOIN g b ON a.r_name = b.r_name AND a.repo <> b.repo""")
+def group_prefix(spark, sf_dir):
+    nation = _table(spark, sf_dir, "nation").join(_table(spark, sf_dir, "region").withColumnRenamed("r_regionkey", "n_regionkey"), "n_regionkey")
+    groups = nation.select(F.col("n_name").alias("repo"), F.concat(F.lit("com."), F.lower("r_name"), F.lit("."), F.lower("n_name")).alias("group"), "n_nationkey")
+    deps = _table(spark, sf_dir, "customer").join(groups, F.col("c_nationkey") == F.col("n_nationkey")).select("repo", "group", F.lit("lib").alias("artifact"), F.lit("1").alias("version"), F.lit("").alias("project"))
+    return source.internal_dependencies(groups.select("repo", "group"), deps).select("repo", "needs")
+
+
+@query("SELECT doc_id, score FROM (SELECT doc_id, (CASE WHEN lang = 'en' THEN 10 ELSE 0 END + CASE WHEN source = 'src1' THEN 20 ELSE 0 END + CASE WHEN n_chars > 500 THEN 15 ELSE 0 END)::BIGINT AS score FROM documents) ORDER BY score DESC, doc_id LIMIT 1")
+def best_candidate(spark, sf_dir):
+    points = lambda test, n: F.when(test, n).otherwise(0)
+    score = points(F.col("lang") == "en", 10) + points(F.col("source") == "src1", 20) + points(F.col("n_chars") > 500, 15)
+    return _table(spark, sf_dir, "documents").select("doc_id", score.cast("long").alias("score")).orderBy(F.desc("score"), "doc_id").limit(1)
+
+
+@query("SELECT (count(*) FILTER (event_type IN ('click', 'purchase')))::BIGINT AS emits, (count(*) FILTER (event_type = 'view'))::BIGINT AS listens, count(DISTINCT user_id)::BIGINT AS files FROM events")
+def surface_totals(spark, sf_dir):
+    return _table(spark, sf_dir, "events").agg(F.count_if(F.col("event_type").isin("click", "purchase")).alias("emits"), F.count_if(F.col("event_type") == "view").alias("listens"), F.count_distinct("user_id").alias("files"))
+
+
+@query(f"WITH {SQL_LINES}, k AS ({_ALL}) SELECT kind, count(*)::BIGINT AS docs FROM k GROUP BY kind")
+def effect_legend(spark, sf_dir):
+    kinds = search.kinds_by(_lines(spark, sf_dir), ["doc_id"], MARKERS)
+    return kinds.select(F.explode(F.split("kinds", ",")).alias("kind")).groupBy("kind").agg(F.count(F.lit(1)).alias("docs"))
+
+
+@query("SELECT p_partkey FROM part WHERE list_has_any(string_split(p_name, ' '), ['ring', 'bolt', 'red'])")
+def argument_overlap(spark, sf_dir):
+    return _table(spark, sf_dir, "part").where(F.arrays_overlap(F.split("p_name", " "), F.array(*map(F.lit, ("ring", "bolt", "red"))))).select("p_partkey")
+
+
+@query("SELECT page_id, url FROM pages WHERE ends_with(url, '.html')")
+def suffix_match(spark, sf_dir):
+    return _table(spark, sf_dir, "pages").where(F.endswith("url", F.lit(".html"))).select("page_id", "url")
+
+
+@query("SELECT event_id, strftime(ts, '%Y-%m-%d') AS day, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS stamp FROM events")
+def dates(spark, sf_dir):
+    return _table(spark, sf_dir, "events").select("event_id", F.date_format("ts", "yyyy-MM-dd").alias("day"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("stamp"))
+
+
+@query(f"""WITH {SQL_LINES} SELECT doc_id, line, regexp_replace(regexp_replace(line_text, '''[^'']*''|"[^"]*"|`[^`]*`', ' ', 'g'), '//.*', '') AS code FROM l""")
+def scrub(spark, sf_dir):
+    return _lines(spark, sf_dir).select("doc_id", "line", layout.scrubbed(F.col("line_text")).alias("code"))
+
+
+@query("SELECT c_custkey AS node, (c_custkey // (c_custkey & -c_custkey))::BIGINT AS root FROM customer WHERE c_custkey > 0 AND (c_custkey % 2 = 0 OR 2 * c_custkey <= (SELECT max(c_custkey) FROM customer))")
+def components(spark, sf_dir):
+    """Each customer is tied to the one of twice its key: what is left of a key without factors of two tells its component."""
+    keys = _table(spark, sf_dir, "customer").where("c_custkey > 0").select("c_custkey")
+    edges = keys.select(F.col("c_custkey").alias("a"), (2 * F.col("c_custkey")).alias("b")).join(keys.select(F.col("c_custkey").alias("b")), "b", "left_semi")
+    return connected.components(edges, stored)
+
+
+@query("""WITH RECURSIVE n AS (SELECT n_nationkey::BIGINT AS k FROM nation), r AS (SELECT k AS start, k + 5 AS node, 1::BIGINT AS depth FROM n WHERE k % 5 = 2 UNION ALL SELECT start, node + 5, depth + 1 FROM r WHERE node + 5 <= (SELECT max(k) FROM n))
+SELECT start, node, depth FROM r WHERE node <= (SELECT max(k) FROM n)""")
+def reachable_pairs(spark, sf_dir):
+    nation = _table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("k"))
+    edges = nation.join(nation.select((F.col("k") - 5).alias("j"), F.col("k").alias("dst")), F.col("k") == F.col("j")).select(F.col("k").alias("src"), "dst")
+    return graph.closure(edges, starts=nation.where("k % 5 = 2").select(F.col("k").alias("start"))).select("start", "node", "depth")
+
+
+@query(f"WITH {SQL_LINES} SELECT doc_id, line, 'a' AS label FROM l WHERE regexp_matches(line_text, '{THE}') UNION ALL SELECT doc_id, line, 'b' FROM l WHERE contains(line_text, '|')")
+def hit_union(spark, sf_dir):
+    found = _lines(spark, sf_dir)
+    return search.grep(found, THE).select("doc_id", "line", F.lit("a").alias("label")).unionByName(search.grep(found, "[|]").select("doc_id", "line", F.lit("b").alias("label")))
+
+
+@query("""SELECT event_type, count(*)::BIGINT AS n, count(DISTINCT user_id)::BIGINT AS users, min(event_id)::BIGINT AS first_id FROM events GROUP BY event_type UNION ALL SELECT 'none', 0, 0, NULL""")
+def polled_groups(spark, sf_dir):
+    """Groups of what was polled, with the groups that had no rows: a left join from the list of polled tables."""
+    kinds = _table(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("user_id").alias("users"), F.min("event_id").alias("first_id"))
+    polled = kinds.select("event_type").unionByName(spark.createDataFrame([("none",)], "event_type string"))
+    return polled.join(kinds, "event_type", "left").select("event_type", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("users", F.lit(0)).alias("users"), "first_id")
+
+
+@query("SELECT conv_id, turn, role, CASE WHEN turn > 0 AND role = 'assistant' THEN 'answer' WHEN role = 'user' THEN 'question' ELSE 'note' END AS note FROM conversations")
+def line_notes(spark, sf_dir):
+    """Why a line is told: the first reason that fits."""
+    why = F.when((F.col("turn") > 0) & (F.col("role") == "assistant"), "answer").when(F.col("role") == "user", "question").otherwise("note")
+    return _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", why.alias("note"))
