@@ -7,7 +7,7 @@ from dataclasses import dataclass
 # Extensions, default lens parameters and markers (kind, label, pattern), as lenses and questions expect them.
 EXTENSIONS = {".java": "java", ".go": "go", ".js": "js", ".mjs": "js", ".cjs": "js", ".jsx": "js", ".ts": "js", ".tsx": "js"}
 OTHER_SOURCES = (".kt", ".scala", ".py")
-EXCLUDED_DIRS = (".git", "node_modules", "build", "target", "dist", "out", "vendor", ".gradle", ".idea", "projections")
+EXCLUDED_DIRS = (".git", ".gocache", ".gomodcache", ".projections", "node_modules", "target", "build", "dist", "vendor", "__MACOSX")
 ORDER = ("java", "go", "js")
 JAVA_MARKERS = (
     ("db", "jdbc/jpa", r"\b(\.save|\.saveAll|\.delete|\.persist|\.merge|createQuery|prepareStatement|executeQuery|executeUpdate|\.find(One|All|ById)?)\s*\("),

@@ -155,7 +155,7 @@ class Config:
     """Where things are; projects are named lists of repositories."""
 
     root: str = "."
-    projections_dir: str = "projections"
+    projections_dir: str = ".projections"
     exclude_dirs: list[str] = field(default_factory=list)
     lenses: list[Lens] = field(default_factory=list)
     projects: dict[str, list[Repo]] = field(default_factory=dict)
@@ -168,7 +168,7 @@ class Config:
         lenses = [Lens(**{**{k: v for k, v in x.items() if k in Lens.__dataclass_fields__}, "params": {k: text(v) for k, v in (x.get("params") or {}).items()}}) for x in raw.get("lenses", [])]
         shown = raw.get("projects") or (raw.get("workspace") or {}).get("projects") or []
         projects = {p["name"]: [Repo(r["name"], r["path"], r.get("role") or "app") for r in p.get("repos", [])] for p in shown}
-        return cls(raw.get("root") or str(Path(path).parent), raw.get("projections_dir") or "projections", raw.get("exclude_dirs") or [], lenses, projects, raw.get("active_project") or next(iter(projects), ""))
+        return cls(raw.get("root") or str(Path(path).parent), raw.get("projections_dir") or ".projections", raw.get("exclude_dirs") or [], lenses, projects, raw.get("active_project") or next(iter(projects), ""))
 
     def save(self, path: str | Path) -> None:
         lens = lambda x: {k: v for k, v in x.__dict__.items() if v}

@@ -257,7 +257,7 @@ def test_following_a_tree(spark, tmp_path):
 
     (tmp_path / "projections").mkdir()
     (tmp_path / "A.java").write_text("class A {\n  int one() {\n    return 1;\n  }\n}\n")
-    config = Config(root=str(tmp_path), lenses=[Lens("references", "refs", params={"name": "one"})])
+    config = Config(root=str(tmp_path), projections_dir="projections", lenses=[Lens("references", "refs", params={"name": "one"})])
     steps = iter([lambda: (tmp_path / "projections/d.projection").write_text("A.java:2-4\n"), lambda: (tmp_path / "projections/d.projection").write_text((tmp_path / "projections/d.projection").read_text().replace("return 1;", "return 7;"))])
     done = list(follow_tree(spark, config, rounds=2, sleep=lambda _: next(steps)()))
     assert done[0]["drop_ins"] and list(done[1]["synced"]) == ["projections/d.projection"] and done[1]["changed"] == ["A.java"]

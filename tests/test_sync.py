@@ -16,7 +16,7 @@ def config(tmp_path):
     (tmp_path / "src").mkdir()
     (tmp_path / "projections").mkdir()
     (tmp_path / "src/A.java").write_text(CODE)
-    return Config(root=str(tmp_path))
+    return Config(root=str(tmp_path), projections_dir="projections")
 
 
 def marked(config, a, b, name="b"):
