@@ -162,4 +162,41 @@ def divergence(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
 
 def op3_quality_rules(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
-    return divergence(docs).select(F.col("own.doc_id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_distance", "word_distance")
+    return divergence(docs).select(F.col("own.doc_id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *(F.round(k, 6).alias(k) for k in ("char_distance", "word_distance")))
+
+
+_SPACE = r"[\x20\x09-\x0D]"
+_COUNT = "length(regexp_replace(t, '[^{}]', '', 'g'))"
+_WORDS_SQL = ",".join("'" + w.replace("'", "''") + "'" for w in WORDS)
+_JS = "sqrt(greatest(0, (coalesce(sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END), 0) + coalesce(sum(CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END), 0)) / 2))"
+
+
+def _round_sql(k: int, used: str) -> str:
+    """References of the documents in `used`, and all long documents' distances from them."""
+    return f"""
+n{k} AS (SELECT lang, count(*) AS n FROM {used} WHERE lang IS NOT NULL GROUP BY lang HAVING count(*) >= {LEAST_DOCS}), a{k} AS (SELECT count(*) AS n FROM {used}),
+r{k} AS (SELECT u.lang, h, k, sum(p) / any_value(n.n) AS q FROM {used} u JOIN n{k} n ON u.lang = n.lang JOIN shares s ON s.doc_id = u.doc_id GROUP BY u.lang, h, k),
+s{k} AS (SELECT h, k, sum(p) / (SELECT n FROM a{k}) AS q FROM {used} u JOIN shares s ON s.doc_id = u.doc_id GROUP BY h, k),
+e{k} AS (SELECT l.doc_id, g.h, g.k, CASE WHEN l.lang IN (SELECT lang FROM n{k}) THEN coalesce(r.q, 0) ELSE coalesce(s.q, 0) END AS q, coalesce(p.p, 0) AS p
+  FROM (SELECT doc_id, lang FROM base WHERE long AND (SELECT n FROM a{k}) > 0) l CROSS JOIN keys g LEFT JOIN r{k} r ON r.lang = l.lang AND r.h = g.h AND r.k = g.k LEFT JOIN s{k} s ON s.h = g.h AND s.k = g.k LEFT JOIN shares p ON p.doc_id = l.doc_id AND p.h = g.h AND p.k = g.k),
+d{k} AS (SELECT doc_id, max(CASE WHEN h = 'c' THEN js END) AS cd, max(CASE WHEN h = 'w' THEN js END) AS wd FROM (SELECT doc_id, h, {_JS} AS js FROM e{k} GROUP BY doc_id, h) GROUP BY doc_id)"""
+
+
+SQL_OP3 = rf"""
+WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, w, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS i FROM (SELECT doc_id, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM (SELECT doc_id, string_split_regex(t, '{_SPACE}+') AS ws FROM d)) WHERE w <> ''),
+g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, a, b, c) AS n FROM (SELECT doc_id, i, w AS a, lead(w) OVER v AS b, lead(w, 2) OVER v AS c FROM w WINDOW v AS (PARTITION BY doc_id ORDER BY i)) WHERE c IS NOT NULL),
+rep AS (SELECT doc_id, count(DISTINCT i + j)::BIGINT AS n_repeat_words FROM g, (SELECT unnest([0, 1, 2]) AS j) WHERE n > 1 GROUP BY doc_id),
+dup AS (SELECT doc_id, (count(*) - count(DISTINCT x))::BIGINT AS n_dup_lines FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS x FROM d) WHERE regexp_matches(x, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+num AS (SELECT doc_id, count(*)::BIGINT AS n_words FROM w GROUP BY doc_id),
+c AS (SELECT doc_id, lang, {_COUNT.format(r"\x20\x09-\x0D")} AS c0, {_COUNT.format("a-z")} AS c1, {_COUNT.format("A-Z")} AS c2, {_COUNT.format("0-9")} AS c3, {_COUNT.format("#*$%&|<>")} AS c4, length(regexp_replace(t, '[\x00-\x7F]', '', 'g')) AS c6, length(t) AS n FROM d),
+base AS (SELECT c.doc_id, c.lang, coalesce(n_words, 0) AS n_words, (n - c0)::BIGINT AS word_chars, c4::BIGINT AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+  coalesce(n_words, 0) < {LEAST_WORDS} OR 100 * coalesce(n_repeat_words, 0) > 50 * coalesce(n_words, 0) AS base_failed, coalesce(n_words, 0) >= {LEAST_WORDS} AND n - c0 >= {LEAST_CHARS} AS long
+  FROM c LEFT JOIN num USING (doc_id) LEFT JOIN rep USING (doc_id) LEFT JOIN dup USING (doc_id)),
+common AS (SELECT doc_id, CASE WHEN v IN ({_WORDS_SQL}) THEN v ELSE '' END AS k, count(*) AS n FROM (SELECT doc_id, translate(trim(w, '.,;:!?"''()[]'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS v FROM w) GROUP BY ALL),
+counts AS (SELECT doc_id, 'w' AS h, k, n FROM common UNION ALL SELECT doc_id, 'c', unnest(['0', '1', '2', '3', '4', '5', '6']), unnest([c0, c1, c2, c3, c4, n - c0 - c1 - c2 - c3 - c4 - c6, c6]) FROM c),
+shares AS (SELECT doc_id, h, k, n / greatest(sum(n) OVER (PARTITION BY doc_id, h), 1) AS p FROM counts), keys AS (SELECT DISTINCT h, k FROM counts),
+u1 AS (SELECT doc_id, lang FROM base WHERE long AND NOT base_failed),{_round_sql(1, "u1")},
+u2 AS (SELECT u1.* FROM u1 JOIN d1 USING (doc_id) WHERE cd < {MAX_CHAR_DISTANCE} AND wd < {MAX_WORD_DISTANCE}),{_round_sql(2, "u2")}
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(cd < {MAX_CHAR_DISTANCE} AND wd < {MAX_WORD_DISTANCE}, true) AS kept, round(cd, 6) AS char_distance, round(wd, 6) AS word_distance FROM base LEFT JOIN d2 USING (doc_id)
+"""

@@ -9,7 +9,7 @@ from .html_text import op8_main_text
 from .lm_scoring import op7_lm_scores
 from .mixing import SQL_OP6, op6_mix
 from .quality_classifier import op5_quality
-from .quality_rules import op3_quality_rules
+from .quality_rules import SQL_OP3, op3_quality_rules
 from .secrets import SQL_OP1, op1_secrets
 from .simhash import op9_simhash
 from .token_output import op2_token_order
@@ -27,4 +27,4 @@ QUERIES = {
     "op9_simhash": shipped(op9_simhash),
     "op10_leaks": shipped(op10_leaks),
 }
-ORACLE_SQL = {"op1_secrets": SQL_OP1, "op4_url_filter": SQL_OP4, "op6_mix": SQL_OP6}
+ORACLE_SQL = {"op1_secrets": SQL_OP1, "op3_quality_rules": SQL_OP3, "op4_url_filter": SQL_OP4, "op6_mix": SQL_OP6}
