@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-ERROR_RATE = 0.05
+ERROR_RATE = 0.08
 #: Characters of items in one automaton: about 100 bytes of memory each.
 BLOCK_CHARS = 1_000_000
 _RUNS = re.compile(r"[^\W_]+")
