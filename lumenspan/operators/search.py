@@ -41,8 +41,8 @@ def all_kinds(text: Column, markers: Sequence[tuple[str, str, str]]) -> Column:
 
 def kinds_by(lines: DataFrame, keys: Sequence[str], markers: Sequence[tuple[str, str, str]], text: str = "line_text") -> DataFrame:
     """(keys, kinds): the sorted distinct kinds over all lines of a key, comma-joined; keys without any are left out."""
-    found = lines.select(*keys, F.explode(all_kinds(F.col(text), markers)).alias("kind")).distinct()
-    return found.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_list("kind")), ",").alias("kinds"))
+    found = lines.select(*keys, F.explode(all_kinds(F.col(text), markers)).alias("kind"))
+    return found.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds"))  # as many as there are kinds
 
 
 def captures(lines: DataFrame, regex: str, name: str, group: int = 1, text: str = "line_text") -> DataFrame:

@@ -31,15 +31,32 @@ def tables_of(c) -> list[watch.Watched]:
             raise ValueError(f"postgres-watch: {t!r} is no table name")
     envs = {e: d if isinstance(d, dict) else {"default": d} for e, d in raw.items() if not c.lens.get("env") or e == c.lens.get("env")}
     get = c.lens.get
-    return [watch.Watched(env, db, t, _reader(url, t), get("id_column", default="id"), int(get("limit", default="1000")), get("bootstrap", default="latest")) for env, dbs in sorted(envs.items()) for db, url in sorted(dbs.items()) for t in names]
+    made = lambda env, db, url, t: watch.Watched(env, db, t, _reader(url, t), get("id_column", default="id"), int(get("limit", default="1000")), get("bootstrap", default="latest"), _statement(url))
+    return [made(env, db, url, t) for env, dbs in sorted(envs.items()) for db, url in sorted(dbs.items()) for t in names]
+
+
+def _jdbc(url: str) -> str | None:
+    """A database's address as JDBC wants it; None for a folder."""
+    if url.startswith("jdbc:"):
+        return url
+    m = re.match(r"^postgres(?:ql)?://(?:([^:@/]+)(?::([^@/]*))?@)?([^?]*)(?:\?(.*))?$", url)
+    if not m:
+        return None
+    args = [x for x in (f"user={m[1]}" if m[1] else "", f"password={m[2]}" if m[2] else "", m[4] or "") if x]
+    return f"jdbc:postgresql://{m[3]}" + ("?" + "&".join(args) if args else "")
 
 
 def _reader(url: str, table: str):
-    if re.match(r"^(postgres(ql)?|jdbc):", url):
-        return lambda spark: spark.read.format("jdbc").option("url", url if url.startswith("jdbc:") else "jdbc:" + url.replace("postgres:", "postgresql:")).option("dbtable", ".".join(f'"{p}"' for p in table.split("."))).load()
+    if to := _jdbc(url):
+        return lambda spark: spark.read.format("jdbc").option("url", to).option("dbtable", ".".join(f'"{p}"' for p in table.split("."))).load()
     return lambda spark: spark.read.parquet(f"{url.rstrip('/')}/{table}.parquet")
 
 
+def _statement(url: str):
+    to = _jdbc(url)
+    return (lambda spark, sql: spark.read.format("jdbc").option("url", to).option("query", sql).load()) if to else None
+
+
 def project(c, now: datetime | None = None) -> Projection:
     now = now or datetime.now(UTC)
     path = Path(c.config.root) / c.lens.get("state", default=f"{c.config.projections_dir}/.{c.lens.name or 'postgres-watch'}.state.json")

@@ -8,6 +8,7 @@ rounds on a schedule; stream() does the same with Structured Streaming, whose ch
 from __future__ import annotations
 
 import json
+import re
 import time
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
@@ -29,9 +30,22 @@ def page(table: DataFrame, id_column: str, after: int, limit: int) -> DataFrame:
     return table.where(F.col(id_column) > after).orderBy(id_column).limit(limit)
 
 
+_NAME = re.compile(r"[A-Za-z_]\w*(\.[A-Za-z_]\w*)?")
+
+
+def _quoted(name: str) -> str:
+    """A table's or column's name for a statement; only plain ones are let in."""
+    if not _NAME.fullmatch(name):
+        raise ValueError(f"{name!r} is no name")
+    return ".".join(f'"{p}"' for p in name.split("."))
+
+
 @dataclass
 class Watched:
-    """A table to follow: read(spark) gives it whole and lazily."""
+    """A table to follow: read(spark) gives it whole and lazily.
+
+    Where the source can page by itself (a database), statement(sql) reads what a statement gives, and the two statements of a
+    round, the highest id and the next page, run there: Spark's reader pushes filters down, but no order and limit."""
 
     env: str
     db: str
@@ -40,6 +54,18 @@ class Watched:
     id_column: str = "id"
     limit: int = 1000
     bootstrap: str = "latest"
+    statement: Callable[[SparkSession, str], DataFrame] | None = None
+
+    def newest(self, spark: SparkSession) -> int:
+        if self.statement:
+            return int(self.statement(spark, f"SELECT COALESCE(MAX({_quoted(self.id_column)}), 0) AS last_id FROM {_quoted(self.table)}").first()[0])
+        return mark(self.read(spark), self.id_column).first()[0]
+
+    def next_page(self, spark: SparkSession, after: int) -> DataFrame:
+        if self.statement:
+            key = _quoted(self.id_column)
+            return self.statement(spark, f"SELECT * FROM {_quoted(self.table)} WHERE {key} > {int(after)} ORDER BY {key} LIMIT {int(self.limit)}").orderBy(self.id_column)
+        return page(self.read(spark), self.id_column, after, self.limit)
 
     @property
     def key(self) -> tuple[str, str, str]:
@@ -84,14 +110,13 @@ def poll(spark: SparkSession, tables: list[Watched], state: State, now: datetime
     stamp, marks, new = _stamp(now), dict(state.marks), []
     for t in tables:
         key = "/".join(t.key)
-        source = t.read(spark)
         if key not in marks:
             if t.bootstrap == "latest":
-                marks[key] = {"last_id": mark(source, t.id_column).first()[0], "last_seen_at": stamp}
+                marks[key] = {"last_id": t.newest(spark), "last_seen_at": stamp}
                 continue
             marks[key] = {"last_id": 0, "last_seen_at": stamp}
-        got = page(source, t.id_column, marks[key]["last_id"], t.limit).collect()
-        names = source.columns
+        found = t.next_page(spark, marks[key]["last_id"])
+        got, names = found.collect(), found.columns
         for r in got:
             new.append({"env": t.env, "db": t.db, "table": t.table, "id": r[t.id_column], "seen_at": stamp, "columns": names, "values": [_text(v) for v in r]})
         if got:

@@ -226,6 +226,26 @@ def test_poll(spark):
     assert watch.prune([{"seen_at": "?"}], now, timedelta(0)) == [{"seen_at": "?"}]
 
 
+def test_statements_run_at_the_source(spark):
+    from lumenspan.plans.watching import _jdbc
+
+    said = []
+
+    def statement(s, sql):
+        said.append(sql)
+        return s.createDataFrame([(7,)], "last_id long") if "MAX" in sql else s.createDataFrame([(9, "b"), (8, "a")], "id long, v string")
+
+    t = watch.Watched("dev", "d", "app.t", lambda s: 1 / 0, limit=2, statement=statement)
+    state, new = watch.poll(spark, [t], watch.State(), datetime(2025, 1, 1, tzinfo=UTC))
+    assert not new and state.marks["dev/d/app.t"]["last_id"] == 7
+    state, new = watch.poll(spark, [t], state, datetime(2025, 1, 1, tzinfo=UTC))
+    assert [r["id"] for r in new] == [8, 9] and state.marks["dev/d/app.t"]["last_id"] == 9
+    assert said == ['SELECT COALESCE(MAX("id"), 0) AS last_id FROM "app"."t"', 'SELECT * FROM "app"."t" WHERE "id" > 7 ORDER BY "id" LIMIT 2']
+    with pytest.raises(ValueError):
+        watch.poll(spark, [watch.Watched("e", "d", "x; drop", t.read, statement=statement)], watch.State(), datetime(2025, 1, 1, tzinfo=UTC))
+    assert _jdbc("postgres://u:p@h:5432/app?sslmode=disable") == "jdbc:postgresql://h:5432/app?user=u&password=p&sslmode=disable" and _jdbc("/data") is None
+
+
 def test_stream_restarts_and_writes_once(spark, tmp_path):
     schema = "id long, ts timestamp, kind string"
     put = lambda a, b: spark.range(a, b).selectExpr("id", "timestamp_seconds(id * 60) ts", "concat('k', id % 2) kind").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
