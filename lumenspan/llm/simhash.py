@@ -238,3 +238,108 @@ def op9_simhash(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     found = near_duplicates(docs)
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+# Near copies further apart. A fingerprint of a text's longer words changes little where a few words are changed, so here a
+# segment that differs by one bit at most is taken as a hint, and the texts themselves decide.
+WIDE_SEEDS = (42, 43)
+WIDE_SHINGLE = 5
+SIMILARITY = 0.8
+LONG_WORD, LEAST_LONG = 5, 16
+#: Ids up to this many (16 bytes each) are broadcast to pick their rows out; beyond, the rows are joined by shuffle.
+BROADCAST_IDS = 1_000_000
+_EDGES = b".,;:!?\"'()"
+
+
+def wide_fingerprints(text: bytes | None) -> list[int]:
+    """SimHashes, one for each seed, of the distinct words of LONG_WORD bytes or more (of all words where those are few)."""
+    words = {w.strip(_EDGES) for w in (text or b"").lower().split()}
+    long = {w for w in words if len(w) >= LONG_WORD}
+    words = long if len(long) >= LEAST_LONG else words
+    if not words:
+        return [0] * len(WIDE_SEEDS)
+    out = []
+    for seed in WIDE_SEEDS:
+        h = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), np.uint64, len(words))
+        ones = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out.append(int(np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0]))
+    return out
+
+
+def wide_keys(fps: np.ndarray) -> np.ndarray:
+    """Rows of fingerprints to rows of one-wildcard variants of their 32-bit segments: each a number of its own kind."""
+    out = []
+    for s in range(fps.shape[1]):
+        for half in (0, 32):
+            seg = fps[:, s] >> np.uint64(half) & np.uint64(0xFFFFFFFF)
+            for j in range(32):
+                low = np.uint64((1 << j) - 1)
+                out.append((seg & low | (seg >> np.uint64(1)) & ~low) | np.uint64((s * 64 + half + j) << 32))
+    return np.stack(out, axis=1)
+
+
+def _wide(batches):
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = wide_keys(np.array([wide_fingerprints(t) for t in batch.column(2).cast(pa.large_binary()).to_pylist()], np.uint64)).view(np.int64)
+        n = keys.shape[1]
+        for i in range(0, len(keys), 1_000):
+            part = slice(i, i + 1_000)
+            which = pa.array(np.repeat(np.arange(len(keys))[part], n))
+            yield pa.record_batch([pa.array(keys[part].ravel()), batch.column(0).take(which), batch.column(1).take(which)], names=["key", "doc_id", "h"])
+
+
+def _leaders(batches):
+    """Batches sorted by key, doc_id and h to (h, leader): the first row under a key leads the others."""
+    key = leader = None
+    for batch in batches:
+        keys, h = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+        if not len(keys):
+            continue
+        first = np.flatnonzero(np.r_[key is None or keys[0] != key, keys[1:] != keys[:-1]])
+        head = h[first]
+        if not len(first) or first[0]:  # the batch goes on with a key from before
+            first, head = np.r_[0, first], np.r_[leader, head]
+        lead = np.repeat(head, np.diff(np.r_[first, len(keys)]))
+        key, leader = keys[-1], lead[-1]
+        other = h != lead
+        if other.any():
+            yield pa.record_batch([pa.array(h[other]), pa.array(lead[other])], names=["h", "leader"])
+
+
+def similarity(a: bytes | None, b: bytes | None) -> float:
+    """Jaccard similarity of the sets of WIDE_SHINGLE-word shingles; a text with fewer words is one shingle."""
+    sets = []
+    for t in (a, b):
+        w = (t or b"").lower().split()
+        sets.append(set(zip(*(w[i:] for i in range(WIDE_SHINGLE)), strict=False)) if len(w) >= WIDE_SHINGLE else {tuple(w)})
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def _picked(docs: DataFrame, row: str, ids: DataFrame, how: str) -> DataFrame:
+    ids = ids.select(F.col("h").alias(row))
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(ids) if few else ids, row, how)
+
+
+def without_near_copies(docs: DataFrame, row: str = "__h") -> DataFrame:
+    """docs (with doc_id, text, and a number of the row's own) without those SIMILARITY or more like a leader.
+
+    Under each variant the row with the least doc_id leads; every other one is compared with it, text by text. So each
+    document meets as many others as it has variants at most, however large its group is, and one document of a group, the
+    one that leads, always stays. A near copy is missed if no segment of its fingerprints comes within a bit of a leader's,
+    or if all its leaders are less alike than SIMILARITY; nothing is dropped that is not that much like a document before it.
+    """
+
+    @F.arrow_udf("boolean")
+    def alike(a: pa.Array, b: pa.Array) -> pa.Array:
+        return pa.array([similarity(x, y) >= SIMILARITY for x, y in zip(a.cast(pa.large_binary()).to_pylist(), b.cast(pa.large_binary()).to_pylist(), strict=True)], pa.bool_())
+
+    spread = docs.select(F.col("doc_id").cast("long"), F.col(row).alias("h"), "text").mapInArrow(_wide, "key long, doc_id long, h long")
+    pairs = written(spread.repartition("key").sortWithinPartitions("key", F.asc_nulls_last("doc_id"), "h").mapInArrow(_leaders, "h long, leader long").distinct())
+    ids = written(pairs.select("h").unionByName(pairs.select(F.col("leader").alias("h"))).distinct())
+    texts = written(_picked(docs.select(row, "text"), row, ids, "left_semi").select(F.col(row).alias("h"), "text"))
+    met = pairs.join(texts.withColumnRenamed("text", "a"), "h").join(texts.select(F.col("h").alias("leader"), F.col("text").alias("b")), "leader")
+    copies = written(met.where(alike(F.col("a"), F.col("b"))).select("h").distinct())
+    return _picked(docs, row, copies, "left_anti")
