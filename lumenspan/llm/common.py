@@ -32,26 +32,17 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
-def written(df: DataFrame, kept: list[str] | None = None, compression: str | None = None) -> DataFrame:
+def written(df: DataFrame, compression: str | None = None) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts the lineage, survives lost executors, and is computed once.
 
-    The table is removed when the driver exits, or earlier by drop_written() where its path was put into kept.
-    """
+    The table is removed when the driver exits."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path, compression=compression)
-    if kept is None:
-        atexit.register(remove, spark, path)
-    else:
-        kept.append(path)
+    atexit.register(remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_written(spark: SparkSession, kept: list[str]) -> None:
-    while kept:
-        remove(spark, kept.pop())
-
-
 def let(value: Column, body) -> Column:
     """body(value), with value computed once even where body's lambdas use it many times."""
     return F.element_at(F.transform(F.array(value), body), 1)
