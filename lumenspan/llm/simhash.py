@@ -17,6 +17,8 @@ ids stay rows of their own; a null id is never the smallest unless its component
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -240,19 +242,24 @@ def op9_simhash(spark, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-# Near copies further apart. A fingerprint of a text's longer words changes little where a few words are changed, so here a
-# segment that differs by one bit at most is taken as a hint, and the texts themselves decide.
+# Near copies further apart, found exactly: two texts whose sets of five-word shingles are SIMILARITY or more alike share one
+# of the first n - ceil(SIMILARITY * n) + 1 shingles of both (n, the size of the set), in whatever order all texts use.
 WIDE_SEEDS = (42, 43)
 WIDE_SHINGLE = 5
 SIMILARITY = 0.8
 LONG_WORD, LEAST_LONG = 5, 16
 #: Ids up to this many (16 bytes each) are broadcast to pick their rows out; beyond, the rows are joined by shuffle.
 BROADCAST_IDS = 1_000_000
+#: One row in SAMPLED tells which shingles are common; those it has LEAST_COMMON times go last in the order. This only makes
+#: groups small: any order finds the same pairs, so the bound on their number (8 bytes each) loses none.
+SAMPLED, LEAST_COMMON, MOST_COMMON = 32, 3, 100_000
+#: Parities of shingles kept for a document, and those carried with its rows.
+PARITIES, FOLDED = 2048, 256
 _EDGES = b".,;:!?\"'()"
 
 
 def wide_fingerprints(text: bytes | None) -> list[int]:
-    """SimHashes, one for each seed, of the distinct words of LONG_WORD bytes or more (of all words where those are few)."""
+    """SimHashes (hints of another, inexact way, which the tests take for their plain version), one for each seed, of the distinct words of LONG_WORD bytes or more (of all words where those are few)."""
     words = {w.strip(_EDGES) for w in (text or b"").lower().split()}
     long = {w for w in words if len(w) >= LONG_WORD}
     words = long if len(long) >= LEAST_LONG else words
@@ -278,34 +285,124 @@ def wide_keys(fps: np.ndarray) -> np.ndarray:
     return np.stack(out, axis=1)
 
 
-def _wide(batches):
+def shingles(text: bytes | None) -> np.ndarray:
+    """Distinct 64-bit hashes, in order, of what similarity() compares."""
+    words = (text or b"").lower().split()
+    own = {w: xxhash.xxh64_intdigest(w, SEED) for w in set(words)}
+    h = np.fromiter((own[w] for w in words), np.uint64, len(words))
+    out = np.full(1, len(words), np.uint64)
+    if len(words) >= WIDE_SHINGLE:
+        out = np.full(len(words) - WIDE_SHINGLE + 1, WIDE_SHINGLE, np.uint64)
+    for k in range(min(WIDE_SHINGLE, len(words))):
+        out = (out ^ h[k : k + len(out)]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return np.unique(out)
+
+
+def prefix(grams: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """The shingles that a text is put under: enough of the first, the common ones (sorted) last."""
+    n = len(grams) - math.ceil(SIMILARITY * len(grams) - 1e-9) + 1
+    if not len(common):
+        return grams[:n]
+    late = common[np.minimum(np.searchsorted(common, grams), len(common) - 1)] == grams
+    return np.r_[grams[~late], grams[late]][:n]
+
+
+def parity(grams: np.ndarray) -> bytes:
+    """Parities of PARITIES classes of shingles: two texts' differ in no more of them than in shingles."""
+    odd = np.bincount((grams >> np.uint64(7) & np.uint64(PARITIES - 1)).astype(np.int64), minlength=PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def _words(bits: pa.Array, of: int) -> np.ndarray:
+    """Parities as rows of 64-bit words, folded (still parities, of larger classes) to so many bits."""
+    rows = np.frombuffer(b"".join(bits.to_pylist()), np.uint64)
+    rows = rows.reshape(len(bits), len(rows) * 64 // (max(1, len(bits)) * of), of // 64)
+    return np.bitwise_xor.reduce(rows, axis=1)
+
+
+def _all_shingles(batches):
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        keys = wide_keys(np.array([wide_fingerprints(t) for t in batch.column(2).cast(pa.large_binary()).to_pylist()], np.uint64)).view(np.int64)
-        n = keys.shape[1]
-        for i in range(0, len(keys), 1_000):
-            part = slice(i, i + 1_000)
-            which = pa.array(np.repeat(np.arange(len(keys))[part], n))
-            yield pa.record_batch([pa.array(keys[part].ravel()), batch.column(0).take(which), batch.column(1).take(which)], names=["key", "doc_id", "h"])
+        for text in batch.column(0).cast(pa.large_binary()).to_pylist():
+            yield pa.record_batch([pa.array(shingles(text).view(np.int64))], names=["key"])
+
 
+def _spread(common: np.ndarray):
+    """Batches of (doc_id, h, text) to (key, doc_id, h, n): a row for each shingle of the prefix."""
 
-def _leaders(batches):
-    """Batches sorted by key, doc_id and h to (h, leader): the first row under a key leads the others."""
-    key = leader = None
+    def run(batches):
+        for batch in batches:
+            texts = batch.column(2).cast(pa.large_binary()).to_pylist()
+            for i in range(0, len(texts), 500):
+                sets = [shingles(t) for t in texts[i : i + 500]]
+                keys = [prefix(g, common) for g in sets]
+                which = np.repeat(np.arange(i, i + len(sets)), [len(k) for k in keys])
+                n = np.array([len(g) for g in sets], np.int32)[which - i]
+                ids, h, keys = batch.column(0).take(pa.array(which)), batch.column(1).take(pa.array(which)), np.concatenate(keys).view(np.int64)
+                for j in range(0, len(which), 100_000):
+                    part = slice(j, j + 100_000)
+                    yield pa.record_batch([pa.array(keys[part]), ids[part], h[part], pa.array(n[part])], names=["key", "doc_id", "h", "n"])
+
+    return run
+
+
+def _led(batches):
+    """Batches sorted by key, doc_id and h to (key, h, n, leader, leader_n) without the keys of one row (but for some at the
+    ends of batches): the first row under a key leads the others."""
+    key = leader = leader_n = None
     for batch in batches:
-        keys, h = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+        keys, h, n = batch.column(0).to_numpy(), batch.column(2).to_numpy(), batch.column(3).to_numpy()
         if not len(keys):
             continue
-        first = np.flatnonzero(np.r_[key is None or keys[0] != key, keys[1:] != keys[:-1]])
-        head = h[first]
+        new = np.r_[key is None or keys[0] != key, keys[1:] != keys[:-1]]
+        first = np.flatnonzero(new)
+        head, head_n = h[first], n[first]
         if not len(first) or first[0]:  # the batch goes on with a key from before
-            first, head = np.r_[0, first], np.r_[leader, head]
-        lead = np.repeat(head, np.diff(np.r_[first, len(keys)]))
-        key, leader = keys[-1], lead[-1]
-        other = h != lead
-        if other.any():
-            yield pa.record_batch([pa.array(h[other]), pa.array(lead[other])], names=["h", "leader"])
+            first, head, head_n = np.r_[0, first], np.r_[leader, head], np.r_[leader_n, head_n]
+        size = np.diff(np.r_[first, len(keys)])
+        lead, lead_n = np.repeat(head, size), np.repeat(head_n, size).astype(np.int32)
+        key, leader, leader_n = keys[-1], lead[-1], lead_n[-1]
+        met = ~new | np.r_[~new[1:], True]
+        yield pa.record_batch([pa.array(x[met]) for x in (keys, h, n, lead, lead_n)], names=["key", "h", "n", "leader", "leader_n"])
+
+
+def _close(n, m):
+    """Whether sets of n and m can be SIMILARITY alike."""
+    return np.minimum(n, m) >= SIMILARITY * np.maximum(n, m) - 1e-9
+
+
+def _met(batches):
+    """Batches of (key, n, h, parity) sorted by key and n to pairs (a, b) under one key that sizes and parities don't rule out.
+
+    A key's rows, some 50 bytes each, are held until it ends; its pairs are streamed."""
+
+    def pairs(keys, n, h, bits):
+        i, d = np.arange(len(keys)), 0
+        while len(i):
+            d += 1
+            i = i[i + d < len(keys)]
+            i = i[(keys[i] == keys[i + d]) & _close(n[i], n[i + d])]
+            for k in range(0, len(i), 50_000):
+                x = i[k : k + 50_000]
+                far = np.bitwise_count(bits[x] ^ bits[x + d]).sum(axis=1)
+                x = x[(far <= (n[x] + n[x + d]) * ((1 - SIMILARITY) / (1 + SIMILARITY)) + 1e-6) & (h[x] != h[x + d])]
+                if len(x):
+                    yield pa.record_batch([pa.array(np.minimum(h[x], h[x + d])), pa.array(np.maximum(h[x], h[x + d]))], names=["a", "b"])
+
+    held = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        bits = _words(batch.column(3), FOLDED)
+        held.append((*(batch.column(k).to_numpy() for k in range(3)), bits))
+        if held[0][0][0] == held[-1][0][-1]:
+            continue
+        keys, n, h, bits = (np.concatenate(x) for x in zip(*held, strict=True))
+        end = int(np.flatnonzero(keys != keys[-1])[-1]) + 1
+        yield from pairs(keys[:end], n[:end], h[:end], bits[:end])
+        held = [(keys[end:], n[end:], h[end:], bits[end:])]
+    if held:
+        yield from pairs(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
 
 def similarity(a: bytes | None, b: bytes | None) -> float:
@@ -324,22 +421,54 @@ def _picked(docs: DataFrame, row: str, ids: DataFrame, how: str) -> DataFrame:
 
 
 def without_near_copies(docs: DataFrame, row: str = "__h") -> DataFrame:
-    """docs (with doc_id, text, and a number of the row's own) without those SIMILARITY or more like a leader.
+    """docs (with doc_id, text, and a number of the row's own) without those SIMILARITY or more like a document before them.
 
-    Under each variant the row with the least doc_id leads; every other one is compared with it, text by text. So each
-    document meets as many others as it has variants at most, however large its group is, and one document of a group, the
-    one that leads, always stays. A near copy is missed if no segment of its fingerprints comes within a bit of a leader's,
-    or if all its leaders are less alike than SIMILARITY; nothing is dropped that is not that much like a document before it.
-    """
+    Documents are put under the shingles of their prefixes. Each is first compared with the one of least id under each of
+    its shingles, and goes if it is like that: so large groups of copies go by linear work. Of what is left, all pairs under
+    a shingle whose sizes and parities allow it are compared, text by text, and the later one goes. No two documents that
+    stay are SIMILARITY alike, and none goes that is not that much like a document before it (by doc_id, a null one last)."""
 
     @F.arrow_udf("boolean")
     def alike(a: pa.Array, b: pa.Array) -> pa.Array:
         return pa.array([similarity(x, y) >= SIMILARITY for x, y in zip(a.cast(pa.large_binary()).to_pylist(), b.cast(pa.large_binary()).to_pylist(), strict=True)], pa.bool_())
 
-    spread = docs.select(F.col("doc_id").cast("long"), F.col(row).alias("h"), "text").mapInArrow(_wide, "key long, doc_id long, h long")
-    pairs = written(spread.repartition("key").sortWithinPartitions("key", F.asc_nulls_last("doc_id"), "h").mapInArrow(_leaders, "h long, leader long").distinct())
-    ids = written(pairs.select("h").unionByName(pairs.select(F.col("leader").alias("h"))).distinct())
-    texts = written(_picked(docs.select(row, "text"), row, ids, "left_semi").select(F.col(row).alias("h"), "text"))
-    met = pairs.join(texts.withColumnRenamed("text", "a"), "h").join(texts.select(F.col("h").alias("leader"), F.col("text").alias("b")), "leader")
-    copies = written(met.where(alike(F.col("a"), F.col("b"))).select("h").distinct())
+    @F.arrow_udf("binary")
+    def parities(texts: pa.Array) -> pa.Array:
+        return pa.array([parity(shingles(t)) for t in texts.cast(pa.large_binary()).to_pylist()], pa.binary())
+
+    @F.arrow_udf("binary")
+    def folded(bits: pa.Array) -> pa.Array:
+        return pa.array([x.tobytes() for x in _words(bits, FOLDED)], pa.binary())
+
+    @F.arrow_udf("boolean")
+    def possible(a: pa.Array, b: pa.Array, n: pa.Array) -> pa.Array:
+        far = np.bitwise_count(_words(a, PARITIES) ^ _words(b, PARITIES)).sum(axis=1)
+        return pa.array(far <= n.to_numpy() * ((1 - SIMILARITY) / (1 + SIMILARITY)) + 1e-6, pa.bool_())
+
+    told = docs.where(F.pmod(F.col(row), F.lit(SAMPLED)) == 0).select("text").mapInArrow(_all_shingles, "key long").groupBy("key").count()
+    common = [r.key for r in told.where(F.col("count") >= LEAST_COMMON).orderBy(F.desc("count"), "key").limit(MOST_COMMON).collect()]  # MOST_COMMON at most
+    common = np.sort(np.array(common, np.int64).view(np.uint64))
+    spread = docs.select(F.col("doc_id").cast("long"), F.col(row).alias("h"), "text").mapInArrow(_spread(common), "key long, doc_id long, h long, n int")
+    met = written(spread.repartition("key").sortWithinPartitions("key", F.asc_nulls_last("doc_id"), "h").mapInArrow(_led, "key long, h long, n int, leader long, leader_n int"))
+    near = F.least("n", "leader_n") >= SIMILARITY * F.greatest("n", "leader_n") - 1e-9
+    pairs = written(met.where((F.col("h") != F.col("leader")) & near).select(F.col("h").alias("x"), F.col("leader").alias("y")).distinct())
+    ids = written(met.where(F.col("h") != F.col("leader")).select(F.explode(F.array("h", "leader")).alias("h")).distinct())
+    sizes = met.select("h", F.col("n").cast("long").alias("n")).distinct()
+    rows = docs.select(row, F.col("doc_id").cast("long").alias("doc_id"), "text")
+    marks = written(_picked(rows, row, ids, "left_semi").select(F.col(row).alias("h"), "doc_id", parities(F.col("text")).alias("bits")).join(sizes, "h"))
+
+    def copies_of(pairs: DataFrame) -> DataFrame:
+        """The pairs (x, y) that are alike, with their doc_ids: by parities first, then by the texts."""
+        of = lambda k: marks.select(F.col("h").alias(k), F.col("bits").alias(f"bits_{k}"), F.col("n").alias(f"n_{k}"))
+        left = written(pairs.join(of("x"), "x").join(of("y"), "y").where(possible(F.col("bits_x"), F.col("bits_y"), F.col("n_x") + F.col("n_y"))).select("x", "y"))
+        texts = written(_picked(rows, row, left.select(F.explode(F.array("x", "y")).alias("h")).distinct(), "left_semi"))
+        told = lambda k: texts.select(F.col(row).alias(k), F.col("doc_id").alias(f"id_{k}"), F.col("text").alias(f"text_{k}"))
+        return left.join(told("x"), "x").join(told("y"), "y").where(alike(F.col("text_x"), F.col("text_y"))).select("x", "y", "id_x", "id_y")
+
+    led = written(copies_of(pairs).select(F.col("x").alias("h")).distinct())
+    rest = _picked(met.select("key", "h", "n"), "h", led, "left_anti").join(marks.select("h", folded(F.col("bits")).alias("bits")), "h")
+    left = rest.select("key", "n", "h", "bits").repartition("key").sortWithinPartitions("key", "n", "h").mapInArrow(_met, "a long, b long")
+    order = lambda k: F.struct(F.col(f"id_{k}").isNull(), F.col(f"id_{k}"), F.col(k))
+    more = copies_of(written(left.select(F.col("a").alias("x"), F.col("b").alias("y")).distinct())).select(F.when(order("x") > order("y"), F.col("x")).otherwise(F.col("y")).alias("h"))
+    copies = written(led.unionByName(more).distinct())
     return _picked(docs, row, copies, "left_anti")

@@ -79,3 +79,29 @@ def test_defined_cases(spark):
     by = {(r.id, r.component) for r in got}
     assert {(5, 3), (3, 3), (None, 3), (9, 8), (8, 8), (1, 1), (None, None)} == by
     assert S.near_duplicates(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("words,changed,common", [(120, 2, False), (60, 1, False), (300, 4, True), (3, 1, False)])
+def test_every_pair_of_near_copies_goes(spark, monkeypatch, words, changed, common):
+    """Against all pairs: none that stay are 0.8 alike, and what goes is that much like a row before it."""
+    if common:
+        monkeypatch.setattr(S, "SAMPLED", 1)
+    r = random.Random(words)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randint(2, 8)))
+    rows = []
+    for g in range(8):
+        base = [word() for _ in range(words)]
+        for k in range(20):
+            w = list(base)
+            for i in r.sample(range(words), changed if k else 0):
+                w[i] = word()
+            rows.append((None if g == 7 and k % 2 else 100 * k + g, " ".join(w)))
+    rows += [(5000, None), (5001, ""), (5002, "of its own")]
+    df = spark.createDataFrame([(*x, i) for i, x in enumerate(rows)], "doc_id long, text string, __h long").repartition(3)
+    order = [i for _, i in sorted(((d is None, d or 0, i), i) for i, (d, _) in enumerate(rows))]
+    text = [(t or "").encode() for _, t in rows]
+    gone = {i for k, i in enumerate(order) if any(S.similarity(text[i], text[j]) >= S.SIMILARITY for j in order[:k])}
+    stay = {r["__h"] for r in S.without_near_copies(df).collect()}
+    left = [(i, j) for i in stay for j in stay if i < j and S.similarity(text[i], text[j]) >= S.SIMILARITY]
+    assert not left and set(range(len(rows))) - stay <= gone
+    assert len(gone) > (60 if words > 3 else 0)
