@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType, NullType
 
 from lumenspan.operators.store import remove, shared_dir
 
@@ -28,6 +29,19 @@ def words_of(text: str | None) -> list[str]:
     return [w for w in (text or "").translate(ASCII_SPACE).split(" ") if w]
 
 
+def quoted(name: str) -> Column:
+    """The column of that very name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def whole_id(docs: DataFrame, name: str = "doc_id") -> Column:
+    """The id column as a long; raises at once where it is not one of integers, instead of failing in a task."""
+    kind = docs.schema[name].dataType
+    if not isinstance(kind, IntegralType | NullType):
+        raise TypeError(f"{name} has to be a column of integers, not {kind.simpleString()}")
+    return quoted(name).cast("long")
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 

@@ -111,7 +111,10 @@ def test_same_as_sql(spark, sf_dir, tmp_path, name):
     for t in ("documents", "pages"):
         con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
     if name == "op1_secrets":  # more cases than the tables hold
-        from tests.llm.test_secrets_urls import TEXTS
+        from tests.llm.test_secrets_urls import SECRET_40, TRIPLES
+        from tests.llm.test_secrets_urls import TEXTS as PLAIN_TEXTS
+
+        TEXTS = PLAIN_TEXTS + [t.format(SECRET_40) for t, _ in TRIPLES] + ["a\x01pwd: \x02abcdef\n \nlogin=bob token=abcd@x host: db.x"]  # noqa: N806
 
         con.execute("drop view documents")
         con.execute("create table documents(doc_id bigint, text varchar)")
