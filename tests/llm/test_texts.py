@@ -5,7 +5,6 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from lumenspan.llm import html_text as H
 from lumenspan.llm import lm_scoring as L
 from lumenspan.llm import mixing as M
 from lumenspan.llm import quality_classifier as C
@@ -180,48 +179,6 @@ def test_lm_is_a_distribution_and_may_be_empty(spark, odd):
     assert L.score(odd.limit(0), model, odd["doc_id"].isNull()).count() == 0
 
 
-PAGE = """<html><head><title>T</title><style>p{{}}</style></head><body><nav><ul><li><a href=/>Home</a><li>About</ul></nav><div id=wrap class="page has-sidebar">
-<header><h2>Site</h2></header><script>var x = "<p>no</p>";</script><div class="content"><h1>{t} &amp; more</h1><p>First <b>bold</b>text
-of&nbsp;it<br>line {t}<p>Second &lt;tag&gt;<!-- <p>gone</p> --><ul><li>one<li>two {t}</ul></div><div class="sidebar">Other things to see</div><div class=ad>Buy {t}!</div>
-<section id="comments"><article class="comment"><p>Nice one</p></article></section><div class="blurb">About this site and its makers</div></div><form><p>Send</p></form><footer>(c)</footer></body></html>"""
-WANT = "{t} & more First boldtext of it line {t} Second <tag> one two {t}"
-
-
-def test_html_of_a_host(spark):
-    names = ["alpha", "beta", "gamma", "delta", "eps", "zeta", "eta"]
-    rows = [(i, f"http://h.org/{t}", PAGE.format(t=t)) for i, t in enumerate(names)] + [(90, None, None), (91, "http://h.org/", ""), (92, "x", "plain <b>text"), (0, "http://h.org/alpha", PAGE.format(t="alpha"))]
-    df = spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, main_text2 int")
-    got = sorted(H.extract(df).collect(), key=str)
-    by = defaultdict(set)
-    for r in got:
-        by[r.page_id].add(r.main_text)
-    assert len(got) == len(rows)
-    for i, t in enumerate(names):
-        assert by[i] == {WANT.format(t=t)}
-    assert by[90] == {""} and by[91] == {""} and by[92] == {"plain text"}
-    assert H.extract(df.limit(0)).count() == 0
-
-
-def test_article_and_its_asides():
-    page = "<body><nav>menu</nav><main><article><header><h1>Title</h1></header><p>Body one.</p><aside>See also</aside><div class='share-buttons'>Share</div><p>Body two.</p><div hidden>x</div></article><div class=comments><p>hm</p></div></main></body>"
-    assert H.main_text(page) == "Title Body one. Body two."
-    assert H.main_text("<div>" * 3000 + "deep" + "</p></div>") == "deep"
-    assert H.main_text("a < b & c &lt; d <") == "a < b & c < d <"
-
-
-def test_tree_matching():
-    a, b = (H.skeleton(H.blocks(H.parse(x))) for x in ("<div><h1>x</h1><p>same</p><ul><li>1</ul></div>", "<div><p>same</p><p>b</p><ul><li>2<li>3</ul><i>z</i></div>"))
-    n, pairs = H.match(a, b)
-    assert n == 5 and [x[0] for x, _ in pairs][:2] == ["", "div"]
-
-
-def test_copies_of_an_article_stay(spark):
-    same = "<body><nav>m{n}</nav><article><h1>Same</h1><p>Same text.</p></article></body>"
-    rows = [(i, "http://c.org/", same.format(n=i)) for i in range(12)]
-    got = H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
-    assert {r.main_text for r in got} == {"Same Same text."}
-
-
 def test_permutation():
     for n in (1, 2, 3, 7, 64, 65, 1000):
         assert sorted(T.permute(np.arange(n), n, key=3).tolist()) == list(range(n))
