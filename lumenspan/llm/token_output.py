@@ -1,21 +1,24 @@
 """Token-ID output in training order.
 
 Texts become token ids, with the end-of-text id behind each, cut into sequences of SEQ_LEN ids; a text's last sequence may be
-shorter. The sequences are numbered through (a running number within a partition, plus what the partitions before hold), and
-a keyed Feistel permutation sends each number to its global slot: it permutes the least even power of two that holds all
-numbers, and walks on along its cycle until it lands below their count, so it is a permutation of exactly the slots. Slots
-are dense, so their ranges are known without sampling: each range is one partition, sorted, and becomes one shard of records
-of one fixed stride. Slot s stands in shard s // per_shard at byte (s % per_shard) * stride: any place can be read or
-resumed by a seek, one epoch in order is one sequential read.
-
-Texts are tokenised once; their ids are written as a table, so a lost executor costs no tokenising twice. The permutation
-depends on the key and on the layout of the input (which files, in which order), so reruns over the same files agree.
+shorter. The sequences are numbered through in an order that the data alone decides: documents by a hash of id and text (ties
+by id and token ids, so that only equal rows tie, and those are interchangeable), each one's sequences in a row. Documents go
+to as many partitions as the session shuffles to, by ranges of the hash, are sorted there, and a running number within plus
+what the ranges before hold is the number; neither files, splits, cores nor the number of ranges change it. A keyed Feistel
+permutation sends each number to its global slot: it permutes the least even power of two that holds all numbers, and walks
+on along its cycle until it lands below their count, so it is a permutation of exactly the slots. Slots are dense, so their
+ranges are known without sampling: each range is one partition, sorted, and becomes one shard of records of one fixed stride.
+Slot s stands in shard s // per_shard at byte (s % per_shard) * stride: any place can be read or resumed by a seek, one epoch
+in order is one sequential read. The same documents and key give the same shards, so what was written can be resumed.
+
+Texts are tokenised once; their ids are written as a table, so a lost executor costs no tokenising twice.
 
 Record: doc_id int64, seq_no int32, n_tokens int32, then SEQ_LEN unsigned ids of 2 bytes (4 for vocabularies over 65,536),
 little-endian, unused ones 0. A null doc_id is the least int64.
 
 Defined cases: null and empty texts have one sequence, of the end-of-text id alone; repeated rows and null ids are rows of
-their own; an empty table gives no record and no shard; columns other than doc_id and text are ignored.
+their own; ids that are no integers raise at once; an empty table gives no record and no shard; columns other than doc_id
+and text are ignored.
 """
 
 from __future__ import annotations
@@ -31,11 +34,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs
 import tiktoken
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import whole_id, written
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: how that vocabulary cuts text into pieces.
@@ -100,32 +102,54 @@ def permute(index: np.ndarray, n: int, key: int = KEY) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def _sizes(cells: pa.Array) -> np.ndarray:
+    """Bytes of each cell of a binary column."""
+    return np.diff(np.frombuffer(cells.buffers()[1], np.int32)[cells.offset : cells.offset + len(cells) + 1]).astype(np.int64)
+
+
 def sequences(docs: DataFrame, vocabulary: str = VOCABULARY, seq_len: int = SEQ_LEN, key: int = KEY, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """(slot, shard, at, doc_id, seq_no, n_tokens, record): every sequence at its slot; each partition is a shard, in order."""
     spark = docs.sparkSession
     vocab = spark.sparkContext.broadcast(Path(vocabulary).read_bytes())  # one file, of 1 MB
     name = uuid.uuid4().hex
+    dtype = Tokens(vocab.value).dtype
+    width = seq_len * dtype.itemsize
+    stride = HEADER.itemsize + width
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, part, first = _tokens(name, vocab.value), TaskContext.get().partitionId(), 0
+        tokens = _tokens(name, vocab.value)
         for batch in batches:
-            ids = [tokens.encode(t) for t in batch.column(1).to_pylist()]
-            n = [-(-len(x) // seq_len) for x in ids]
-            firsts = first + np.r_[0, np.cumsum(n)].astype(np.int64)
-            first = int(firsts[-1])
-            yield pa.record_batch([pa.array([part] * len(n), pa.int32()), pa.array(firsts[:-1]), pa.array(n, pa.int64()), batch.column(0), pa.array([x.tobytes() for x in ids], pa.binary())], names=["part", "first", "n", "doc_id", "ids"])
-
-    made = written(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tokenise, "part int, first long, n long, doc_id long, ids binary"), compression="zstd")
-    counts = sorted((r.part, r.n) for r in made.groupBy("part").agg(F.sum("n").alias("n")).collect())  # a row for each partition
+            ids = [tokens.encode(t).tobytes() for t in batch.column(2).to_pylist()]
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(ids, pa.binary())], names=["h", "doc_id", "ids"])
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, 0  # the range before, and what it holds so far
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            part, n = batch.column(0).to_numpy(), -(-_sizes(batch.column(2)) // width)
+            before = np.cumsum(n) - n
+            starts = np.flatnonzero(np.r_[part[0] != last, part[1:] != part[:-1]])
+            base = np.full(len(n), held if part[0] == last else 0)
+            for at in starts:
+                base[at:] = -before[at]
+            firsts = before + base
+            last, held = part[-1], int(firsts[-1] + n[-1])
+            yield pa.record_batch([batch.column(0), pa.array(firsts, pa.int64()), pa.array(n), batch.column(1), batch.column(2)], names=["part", "first", "n", "doc_id", "ids"])
+
+    ranges = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # The hash's upper 31 bits, as a share of 2^31, tell the range.
+    part = F.shiftright(F.shiftrightunsigned(F.col("h").bitwiseXOR(F.lit(NO_ID)), 33) * ranges, 31).cast("int")
+    keyed = docs.select(F.xxhash64(whole_id(docs), "text").alias("h"), whole_id(docs).alias("doc_id"), "text").mapInArrow(tokenise, "h long, doc_id long, ids binary")
+    sorted_ = keyed.withColumn("part", part).repartitionById(ranges, F.col("part")).sortWithinPartitions("part", "h", "doc_id", "ids")
+    made = written(sorted_.select("part", "doc_id", "ids").mapInArrow(number, "part int, first long, n long, doc_id long, ids binary"), compression="zstd")
+    counts = sorted((r.part, r.n) for r in made.groupBy("part").agg(F.sum("n").alias("n")).collect())  # a row for each range
     before, total = {}, 0
-    for part, n in counts:
-        before[part], total = total, total + n
-    dtype = Tokens(vocab.value).dtype
-    stride = HEADER.itemsize + seq_len * dtype.itemsize
+    for k, n in counts:
+        before[k], total = total, total + n
     per_shard = max(1, shard_bytes // stride)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        width = seq_len * dtype.itemsize
         for batch in batches:
             rows = list(zip(*(c.to_pylist() for c in batch.columns), strict=True))
             if not rows:

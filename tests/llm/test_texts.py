@@ -1,9 +1,11 @@
 import math
+import struct
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 
 from lumenspan.llm import lm_scoring as L
 from lumenspan.llm import mixing as M
@@ -201,3 +203,43 @@ def test_shards_round_trip(spark, odd, tmp_path):
     assert {d: tokens.decode(np.concatenate(x)) for d, x in whole.items()} == {d: t or "" for d, t, _, _ in odd_rows() if d in (1, 6, 7)}
     assert sorted(map(str, T.sequences(odd, seq_len=16, shard_bytes=4_000).collect())) == sorted(map(str, records.collect()))
     assert T.sequences(odd.limit(0)).count() == 0
+
+
+def slots_by_hand(rows, seq_len, key=T.KEY):
+    """slot -> (doc_id, seq_no, ids): documents in the order of XXH64 over id and text, then id and ids, their sequences numbered."""
+    tokens, made = T.Tokens(open(T.VOCABULARY, "rb").read()), []
+    for d, t in rows:
+        h = 42 if d is None else xxhash.xxh64_intdigest(struct.pack("<q", d), 42)
+        h = h if t is None else xxhash.xxh64_intdigest(t.encode(), h)
+        made.append((h - (1 << 64) if h >> 63 else h, -(1 << 63) if d is None else d, tokens.encode(t).tobytes(), d))
+    out = []
+    for _, _, ids, d in sorted(made, key=lambda x: x[:3]):
+        out += [(d, k, ids[i : i + 2 * seq_len]) for k, i in enumerate(range(0, len(ids), 2 * seq_len))]
+    slots = T.permute(np.arange(len(out)), len(out), key)
+    return dict(zip(slots.tolist(), out, strict=True))
+
+
+def test_slots_by_hand_whatever_the_files(spark, sf_dir, odd, tmp_path):
+    """The same records at the same slots for any files, splits and numbers of ranges."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").unionByName(odd.select("doc_id", "text"))
+    docs = spark.createDataFrame([tuple(r) for r in docs.collect()], "doc_id long, text string")
+    want = slots_by_hand([tuple(r) for r in docs.collect()], 32)
+    found = {}
+    for k, (files, split, ranges) in enumerate([(1, "128m", "3"), (7, "16k", "11"), (3, "4k", "1")]):
+        docs.repartition(files).write.parquet(f"{tmp_path}/{k}")
+        had = {c: spark.conf.get(c) for c in ("spark.sql.files.maxPartitionBytes", "spark.sql.shuffle.partitions")}
+        try:
+            for c, v in zip(had, (split, ranges), strict=True):
+                spark.conf.set(c, v)
+            rows = T.sequences(spark.read.parquet(f"{tmp_path}/{k}"), seq_len=32, shard_bytes=4_000).collect()
+        finally:
+            for c, v in had.items():
+                spark.conf.set(c, v)
+        found[k] = {r.slot: (r.doc_id, r.seq_no, bytes(r.record)[16 : 16 + 2 * r.n_tokens]) for r in rows}
+        assert len(rows) == len(found[k]) and all(r.at == r.slot % (4_000 // 80) * 80 and r.shard == r.slot // (4_000 // 80) for r in rows)
+    assert found[0] == found[1] == found[2] == want
+
+
+def test_ids_have_to_be_integers(spark):
+    with pytest.raises(TypeError):
+        T.sequences(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
