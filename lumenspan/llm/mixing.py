@@ -8,7 +8,7 @@ Sources are counted, ranked and weighed as a table: the share-out takes a few ro
 
 Defined cases: a null text has size 0; a null source is a source of its own, the last; sources of size 0 have target and rate
 0, and their documents are not taken; repeated rows are rows of their own, with equal draws where id and text are equal; an
-empty table gives an empty result; columns named like ours are replaced.
+empty table gives an empty result; mix keeps all columns, whatever their names, and plan_mix replaces those named like its own.
 """
 
 from __future__ import annotations
@@ -18,13 +18,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, written
+from .common import WORD, quoted, written
 
 # The weights in order of source, the share of all sizes, the most a source may be repeated.
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
 MOST = 2.0
 SEED = "mix-1"
+OWN = ("size", "source_size", "target", "rate", "copies")
 #: Up to this many sources the rates are broadcast (below 0.1 kB a row, so 10 MB); beyond, AQE splits the hot ones of a shuffled join.
 BROADCAST_SOURCES = 100_000
 
@@ -66,24 +67,29 @@ def targets(sources: DataFrame, weights: Sequence[float] = WEIGHTS, share: float
     return rows.select("source", "source_size", target.cast("double").alias("target")).withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
 
 
-def plan_mix(docs: DataFrame, seed: str = SEED, **shares) -> DataFrame:
-    """docs with size, source_size, target, rate and copies (how often the mix takes the document)."""
-    own = [c for c in docs.columns if c not in ("size", "source_size", "target", "rate", "copies")]
-    sized = docs.select(*own).withColumn("size", size_of(F.col("text")))
-    sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+def _planned(docs: DataFrame, seed: str, **shares) -> DataFrame:
+    """(doc, size, source_size, target, rate, copies): doc holds the row whole, so that no name of its columns can clash."""
+    whole = docs.select(F.struct(*map(quoted, docs.columns)).alias("doc"))
+    sized = whole.withColumn("size", size_of(F.col("doc.text")))
+    sums = sized.groupBy(F.col("doc.source").alias("source")).agg(F.sum("size").alias("source_size"))
     rates = written(targets(sums, **shares))
     if rates.count() <= BROADCAST_SOURCES:
         rates = F.broadcast(rates)
-    rates = rates.withColumnRenamed("source", "__source")
-    extra = (uniform(seed, F.col("doc_id"), F.col("text")) < F.col("rate") - F.floor("rate")).cast("long")
-    out = sized.join(rates, sized["source"].eqNullSafe(rates["__source"]), "left").drop("__source")
+    extra = (uniform(seed, F.col("doc.doc_id"), F.col("doc.text")) < F.col("rate") - F.floor("rate")).cast("long")
+    out = sized.join(rates, F.col("doc.source").eqNullSafe(F.col("source")), "left").drop("source")
     return out.withColumn("copies", F.floor("rate") + extra)
 
 
+def plan_mix(docs: DataFrame, seed: str = SEED, **shares) -> DataFrame:
+    """docs with size, source_size, target, rate and copies (how often the mix takes the document)."""
+    own = [c for c in docs.columns if c.lower() not in OWN]
+    return _planned(docs, seed, **shares).select(*(F.col("doc").getField(c).alias(c) for c in own), *OWN)
+
+
 def mix(docs: DataFrame, seed: str = SEED, **shares) -> DataFrame:
-    """The documents of the mix, each row as often as it is taken, with the columns of docs."""
-    taken = plan_mix(docs, seed, **shares).where("copies > 0")
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    """The documents of the mix, each row as often as it is taken, with the columns of docs as they are."""
+    taken = _planned(docs, seed, **shares).where("copies > 0")
+    return taken.select("doc", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("doc.*")
 
 
 def op6_mix(spark, sf_dir: str) -> DataFrame:
