@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from lumenspan.operators.components import components
 
-from .common import written
+from .common import quoted, whole_id, written
 
 SHINGLE = 3
 SEED = 42
@@ -227,7 +227,7 @@ def fingerprint_links(fps: DataFrame, max_distance: int = MAX_DISTANCE) -> DataF
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, max_distance: int = MAX_DISTANCE) -> DataFrame:
     """(id, fp, component): one row per document; component is the smallest id that its links reach."""
-    marked = written(docs.select(F.col(id_col).alias("id"), simhash(F.col(text_col), shingle).alias("fp")))
+    marked = written(docs.select(quoted(id_col).alias("id"), simhash(F.col(text_col), shingle).alias("fp")))
     fps = written(marked.groupBy("fp").agg(F.min("id").alias("least")))
     tree = components(fingerprint_links(fps, max_distance), written)
     named = written(tree.join(fps.select(F.col("fp").alias("node"), "least"), "node").unionByName(tree.select("root").distinct().join(fps.select(F.col("fp").alias("root"), "least"), "root").select(F.col("root").alias("node"), "root", "least")).distinct())
@@ -244,49 +244,23 @@ def op9_simhash(spark, sf_dir: str) -> DataFrame:
 
 # Near copies further apart, found exactly: two texts whose sets of five-word shingles are SIMILARITY or more alike share one
 # of the first n - ceil(SIMILARITY * n) + 1 shingles of both (n, the size of the set), in whatever order all texts use.
-WIDE_SEEDS = (42, 43)
 WIDE_SHINGLE = 5
 SIMILARITY = 0.8
-LONG_WORD, LEAST_LONG = 5, 16
 #: Ids up to this many (16 bytes each) are broadcast to pick their rows out; beyond, the rows are joined by shuffle.
 BROADCAST_IDS = 1_000_000
-#: One row in SAMPLED tells which shingles are common; those it has LEAST_COMMON times go last in the order. This only makes
-#: groups small: any order finds the same pairs, so the bound on their number (8 bytes each) loses none.
+#: One row in SAMPLED, by a hash of its content, tells which shingles are common; those it has LEAST_COMMON times go last in the
+#: order. This only makes groups small: any order finds the same pairs, so the bound on their number (8 bytes each) loses none.
 SAMPLED, LEAST_COMMON, MOST_COMMON = 32, 3, 100_000
+#: Shingles that the sample has HOT times have SALTS leaders, each of its own part (1 to SALTS, 255 at most) of the rows.
+HOT, SALTS = 64, 64
+#: Groups under a shingle up to this size are compared pair by pair; beyond, what is not led is compared with the others.
+SMALL = 128
 #: Parities of shingles kept for a document, and those carried with its rows.
 PARITIES, FOLDED = 2048, 256
-_EDGES = b".,;:!?\"'()"
-
-
-def wide_fingerprints(text: bytes | None) -> list[int]:
-    """SimHashes (hints of another, inexact way, which the tests take for their plain version), one for each seed, of the distinct words of LONG_WORD bytes or more (of all words where those are few)."""
-    words = {w.strip(_EDGES) for w in (text or b"").lower().split()}
-    long = {w for w in words if len(w) >= LONG_WORD}
-    words = long if len(long) >= LEAST_LONG else words
-    if not words:
-        return [0] * len(WIDE_SEEDS)
-    out = []
-    for seed in WIDE_SEEDS:
-        h = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), np.uint64, len(words))
-        ones = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        out.append(int(np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0]))
-    return out
-
-
-def wide_keys(fps: np.ndarray) -> np.ndarray:
-    """Rows of fingerprints to rows of one-wildcard variants of their 32-bit segments: each a number of its own kind."""
-    out = []
-    for s in range(fps.shape[1]):
-        for half in (0, 32):
-            seg = fps[:, s] >> np.uint64(half) & np.uint64(0xFFFFFFFF)
-            for j in range(32):
-                low = np.uint64((1 << j) - 1)
-                out.append((seg & low | (seg >> np.uint64(1)) & ~low) | np.uint64((s * 64 + half + j) << 32))
-    return np.stack(out, axis=1)
 
 
 def shingles(text: bytes | None) -> np.ndarray:
-    """Distinct 64-bit hashes, in order, of what similarity() compares."""
+    """Distinct 64-bit hashes, in order, of the WIDE_SHINGLE-word shingles; a text with fewer words is one shingle."""
     words = (text or b"").lower().split()
     own = {w: xxhash.xxh64_intdigest(w, SEED) for w in set(words)}
     h = np.fromiter((own[w] for w in words), np.uint64, len(words))
@@ -299,15 +273,28 @@ def shingles(text: bytes | None) -> np.ndarray:
     return np.unique(out)
 
 
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sets of shingles."""
+    both = len(a) + len(b) - len(np.union1d(a, b))
+    return both / (len(a) + len(b) - both)
+
+
 def prefix(grams: np.ndarray, common: np.ndarray) -> np.ndarray:
     """The shingles that a text is put under: enough of the first, the common ones (sorted) last."""
     n = len(grams) - math.ceil(SIMILARITY * len(grams) - 1e-9) + 1
     if not len(common):
         return grams[:n]
-    late = common[np.minimum(np.searchsorted(common, grams), len(common) - 1)] == grams
+    late = _among(grams, common)
     return np.r_[grams[~late], grams[late]][:n]
 
 
+def _among(x: np.ndarray, those: np.ndarray) -> np.ndarray:
+    """Which of x are among those, which are in order."""
+    if not len(those):
+        return np.zeros(len(x), bool)
+    return those[np.minimum(np.searchsorted(those, x), len(those) - 1)] == x
+
+
 def parity(grams: np.ndarray) -> bytes:
     """Parities of PARITIES classes of shingles: two texts' differ in no more of them than in shingles."""
     odd = np.bincount((grams >> np.uint64(7) & np.uint64(PARITIES - 1)).astype(np.int64), minlength=PARITIES) & 1
@@ -327,43 +314,50 @@ def _all_shingles(batches):
             yield pa.record_batch([pa.array(shingles(text).view(np.int64))], names=["key"])
 
 
-def _spread(common: np.ndarray):
-    """Batches of (doc_id, h, text) to (key, doc_id, h, n): a row for each shingle of the prefix."""
+def _spread(common: np.ndarray, hot: np.ndarray):
+    """Batches of (doc_id, row, text) to (key, doc_id, row, m): a row for each shingle of the prefix.
+
+    m holds the number of shingles and, in its lower 8 bits, the part that the row belongs to if the key is hot, else 0."""
 
     def run(batches):
         for batch in batches:
             texts = batch.column(2).cast(pa.large_binary()).to_pylist()
+            rows = batch.column(1).to_numpy()
+            parts = np.fromiter((1 + xxhash.xxh32_intdigest(str(d), SEED) % SALTS for d in batch.column(0).to_pylist()), np.int64, len(texts))
             for i in range(0, len(texts), 500):
                 sets = [shingles(t) for t in texts[i : i + 500]]
                 keys = [prefix(g, common) for g in sets]
                 which = np.repeat(np.arange(i, i + len(sets)), [len(k) for k in keys])
-                n = np.array([len(g) for g in sets], np.int32)[which - i]
-                ids, h, keys = batch.column(0).take(pa.array(which)), batch.column(1).take(pa.array(which)), np.concatenate(keys).view(np.int64)
+                n = np.array([len(g) for g in sets], np.int64)[which - i]
+                keys = np.concatenate(keys)
+                m = n << 8 | np.where(_among(keys, hot), parts[which], 0)
+                ids = batch.column(0).take(pa.array(which))
                 for j in range(0, len(which), 100_000):
                     part = slice(j, j + 100_000)
-                    yield pa.record_batch([pa.array(keys[part]), ids[part], h[part], pa.array(n[part])], names=["key", "doc_id", "h", "n"])
+                    yield pa.record_batch([pa.array(keys[part].view(np.int64)), ids[part], pa.array(rows[which[part]]), pa.array(m[part])], names=["key", "doc_id", "row", "m"])
 
     return run
 
 
 def _led(batches):
-    """Batches sorted by key, doc_id and h to (key, h, n, leader, leader_n) without the keys of one row (but for some at the
-    ends of batches): the first row under a key leads the others."""
-    key = leader = leader_n = None
+    """Batches sorted by key, part, doc_id and row to (key, row, n, leader, leader_n) without the keys of one row (but for some
+    at the ends of batches and those of hot keys): the first row of a part of a key leads the others."""
+    key = part = leader = leader_n = None
     for batch in batches:
-        keys, h, n = batch.column(0).to_numpy(), batch.column(2).to_numpy(), batch.column(3).to_numpy()
+        keys, row, m = batch.column(0).to_numpy(), batch.column(2).to_numpy(), batch.column(3).to_numpy()
         if not len(keys):
             continue
-        new = np.r_[key is None or keys[0] != key, keys[1:] != keys[:-1]]
+        parts, n = m & 255, (m >> 8).astype(np.int32)
+        new = np.r_[key is None or keys[0] != key or parts[0] != part, (keys[1:] != keys[:-1]) | (parts[1:] != parts[:-1])]
         first = np.flatnonzero(new)
-        head, head_n = h[first], n[first]
-        if not len(first) or first[0]:  # the batch goes on with a key from before
+        head, head_n = row[first], n[first]
+        if not len(first) or first[0]:  # the batch goes on with what was before
             first, head, head_n = np.r_[0, first], np.r_[leader, head], np.r_[leader_n, head_n]
         size = np.diff(np.r_[first, len(keys)])
         lead, lead_n = np.repeat(head, size), np.repeat(head_n, size).astype(np.int32)
-        key, leader, leader_n = keys[-1], lead[-1], lead_n[-1]
-        met = ~new | np.r_[~new[1:], True]
-        yield pa.record_batch([pa.array(x[met]) for x in (keys, h, n, lead, lead_n)], names=["key", "h", "n", "leader", "leader_n"])
+        key, part, leader, leader_n = keys[-1], parts[-1], lead[-1], lead_n[-1]
+        met = ~new | np.r_[~new[1:], True] | (parts > 0)
+        yield pa.record_batch([pa.array(x[met]) for x in (keys, row, n, lead, lead_n)], names=["key", "row", "n", "leader", "leader_n"])
 
 
 def _close(n, m):
@@ -372,103 +366,146 @@ def _close(n, m):
 
 
 def _met(batches):
-    """Batches of (key, n, h, parity) sorted by key and n to pairs (a, b) under one key that sizes and parities don't rule out.
-
-    A key's rows, some 50 bytes each, are held until it ends; its pairs are streamed."""
-
-    def pairs(keys, n, h, bits):
-        i, d = np.arange(len(keys)), 0
+    """Batches of (key, n, row, doc_id, led, parity) sorted by key and n to pairs (x, y) of rows under one key, x behind y and not
+    led, that sizes and parities don't rule out.
+
+    A key's rows, some 60 bytes each, are held until it ends; its pairs are streamed."""
+    least = (1 - SIMILARITY) / (1 + SIMILARITY)
+
+    def told(i, j, n, row, none, ids, led, bits):
+        """Of places i and j, the pairs to be compared."""
+        behind = np.where(none[i] != none[j], none[i], np.where(ids[i] != ids[j], ids[i] > ids[j], row[i] > row[j]))
+        x, y = np.where(behind, i, j), np.where(behind, j, i)
+        ok = ~led[x] & (row[x] != row[y])
+        x, y = x[ok], y[ok]
+        ok = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1) <= (n[x] + n[y]) * least + 1e-6
+        return pa.record_batch([pa.array(row[x[ok]]), pa.array(row[y[ok]])], names=["x", "y"])
+
+    def pairs(keys, n, *rest):
+        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        size = np.diff(np.r_[first, len(keys)])
+        i, d = np.flatnonzero(np.repeat(size <= SMALL, size)), 0
         while len(i):
             d += 1
             i = i[i + d < len(keys)]
             i = i[(keys[i] == keys[i + d]) & _close(n[i], n[i + d])]
             for k in range(0, len(i), 50_000):
-                x = i[k : k + 50_000]
-                far = np.bitwise_count(bits[x] ^ bits[x + d]).sum(axis=1)
-                x = x[(far <= (n[x] + n[x + d]) * ((1 - SIMILARITY) / (1 + SIMILARITY)) + 1e-6) & (h[x] != h[x + d])]
-                if len(x):
-                    yield pa.record_batch([pa.array(np.minimum(h[x], h[x + d])), pa.array(np.maximum(h[x], h[x + d]))], names=["a", "b"])
+                yield told(i[k : k + 50_000], i[k : k + 50_000] + d, n, *rest)
+        led = rest[3]
+        for f, t in zip(first[size > SMALL], (first + size)[size > SMALL], strict=True):
+            for x in f + np.flatnonzero(~led[f:t]):  # in a large group, few are not led
+                lo, hi = f + np.searchsorted(n[f:t], [SIMILARITY * n[x] - 1e-6, n[x] / SIMILARITY + 1e-6])
+                for k in range(lo, hi, 50_000):
+                    y = np.arange(k, min(hi, k + 50_000))
+                    yield told(np.full(len(y), x), y, n, *rest)
 
     held = []
     for batch in batches:
         if not batch.num_rows:
             continue
-        bits = _words(batch.column(3), FOLDED)
-        held.append((*(batch.column(k).to_numpy() for k in range(3)), bits))
+        ids = batch.column(3)
+        held.append((*(batch.column(k).to_numpy() for k in range(3)), ids.is_null().to_numpy(False), ids.fill_null(0).to_numpy(), batch.column(4).to_numpy(False), _words(batch.column(5), FOLDED)))
         if held[0][0][0] == held[-1][0][-1]:
             continue
-        keys, n, h, bits = (np.concatenate(x) for x in zip(*held, strict=True))
-        end = int(np.flatnonzero(keys != keys[-1])[-1]) + 1
-        yield from pairs(keys[:end], n[:end], h[:end], bits[:end])
-        held = [(keys[end:], n[end:], h[end:], bits[end:])]
+        cols = [np.concatenate(x) for x in zip(*held, strict=True)]
+        end = int(np.flatnonzero(cols[0] != cols[0][-1])[-1]) + 1
+        yield from pairs(*(c[:end] for c in cols))
+        held = [tuple(c[end:] for c in cols)]
     if held:
         yield from pairs(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
 
-def similarity(a: bytes | None, b: bytes | None) -> float:
-    """Jaccard similarity of the sets of WIDE_SHINGLE-word shingles; a text with fewer words is one shingle."""
-    sets = []
-    for t in (a, b):
-        w = (t or b"").lower().split()
-        sets.append(set(zip(*(w[i:] for i in range(WIDE_SHINGLE)), strict=False)) if len(w) >= WIDE_SHINGLE else {tuple(w)})
-    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+def _alike(a: pa.Array, b: pa.Array) -> pa.Array:
+    known: dict[bytes, np.ndarray] = {}  # pairs of one leader follow each other
 
+    def of(text: bytes | None) -> np.ndarray:
+        if (text or b"") not in known:
+            if len(known) >= 16:
+                known.clear()
+            known[text or b""] = shingles(text)
+        return known[text or b""]
 
-def _picked(docs: DataFrame, row: str, ids: DataFrame, how: str) -> DataFrame:
-    ids = ids.select(F.col("h").alias(row))
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if few else ids, row, how)
+    return pa.array([similarity(of(y), shingles(x)) >= SIMILARITY for x, y in zip(a.cast(pa.large_binary()).to_pylist(), b.cast(pa.large_binary()).to_pylist(), strict=True)], pa.bool_())
 
 
-def without_near_copies(docs: DataFrame, row: str = "__h") -> DataFrame:
-    """docs (with doc_id, text, and a number of the row's own) without those SIMILARITY or more like a document before them.
+def _parities(texts: pa.Array) -> pa.Array:
+    return pa.array([parity(shingles(t)) for t in texts.cast(pa.large_binary()).to_pylist()], pa.binary())
 
-    Documents are put under the shingles of their prefixes. Each is first compared with the one of least id under each of
-    its shingles, and goes if it is like that: so large groups of copies go by linear work. Of what is left, all pairs under
-    a shingle whose sizes and parities allow it are compared, text by text, and the later one goes. No two documents that
-    stay are SIMILARITY alike, and none goes that is not that much like a document before it (by doc_id, a null one last)."""
 
-    @F.arrow_udf("boolean")
-    def alike(a: pa.Array, b: pa.Array) -> pa.Array:
-        return pa.array([similarity(x, y) >= SIMILARITY for x, y in zip(a.cast(pa.large_binary()).to_pylist(), b.cast(pa.large_binary()).to_pylist(), strict=True)], pa.bool_())
+def _folded(bits: pa.Array) -> pa.Array:
+    return pa.array([x.tobytes() for x in _words(bits, FOLDED)], pa.binary())
 
-    @F.arrow_udf("binary")
-    def parities(texts: pa.Array) -> pa.Array:
-        return pa.array([parity(shingles(t)) for t in texts.cast(pa.large_binary()).to_pylist()], pa.binary())
 
-    @F.arrow_udf("binary")
-    def folded(bits: pa.Array) -> pa.Array:
-        return pa.array([x.tobytes() for x in _words(bits, FOLDED)], pa.binary())
+def _possible(a: pa.Array, b: pa.Array, n: pa.Array) -> pa.Array:
+    far = np.bitwise_count(_words(a, PARITIES) ^ _words(b, PARITIES)).sum(axis=1)
+    return pa.array(far <= n.to_numpy() * ((1 - SIMILARITY) / (1 + SIMILARITY)) + 1e-6, pa.bool_())
 
-    @F.arrow_udf("boolean")
-    def possible(a: pa.Array, b: pa.Array, n: pa.Array) -> pa.Array:
-        far = np.bitwise_count(_words(a, PARITIES) ^ _words(b, PARITIES)).sum(axis=1)
-        return pa.array(far <= n.to_numpy() * ((1 - SIMILARITY) / (1 + SIMILARITY)) + 1e-6, pa.bool_())
 
-    told = docs.where(F.pmod(F.col(row), F.lit(SAMPLED)) == 0).select("text").mapInArrow(_all_shingles, "key long").groupBy("key").count()
-    common = [r.key for r in told.where(F.col("count") >= LEAST_COMMON).orderBy(F.desc("count"), "key").limit(MOST_COMMON).collect()]  # MOST_COMMON at most
-    common = np.sort(np.array(common, np.int64).view(np.uint64))
-    spread = docs.select(F.col("doc_id").cast("long"), F.col(row).alias("h"), "text").mapInArrow(_spread(common), "key long, doc_id long, h long, n int")
-    met = written(spread.repartition("key").sortWithinPartitions("key", F.asc_nulls_last("doc_id"), "h").mapInArrow(_led, "key long, h long, n int, leader long, leader_n int"))
+def _picked(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """docs (with row) that are among ids (row), or are not."""
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(ids) if few else ids, "row", how)
+
+
+def near_copies(rows: DataFrame) -> DataFrame:
+    """rows (row, a number of its own; doc_id, long; text; h, a hash of its content) to the rows (row) that are SIMILARITY or
+    more like any document before them (by doc_id, a null one last; rows of one id by their numbers).
+
+    Documents are put under the shingles of their prefixes. Each is first compared with the one of least id under each of its
+    shingles (under a hot shingle, with that of its part): so large groups of copies go by linear work. What is not led by any
+    is compared with all documents before it that are under one of its shingles and whose sizes and parities allow it, set by
+    set. Sample, parts and order only spread the work: what goes does not depend on them, nor on partitions."""
+    told = rows.where(F.pmod(F.col("h"), F.lit(SAMPLED)) == 0).select("text").mapInArrow(_all_shingles, "key long").groupBy("key").count()
+    told = told.where(F.col("count") >= LEAST_COMMON).orderBy(F.desc("count"), "key").limit(MOST_COMMON).toArrow()  # MOST_COMMON at most
+    keys, counts = told["key"].to_numpy().view(np.uint64), told["count"].to_numpy()
+    common, hot = np.sort(keys), np.sort(keys[counts >= HOT])
+    spread = rows.select("doc_id", "row", "text").mapInArrow(_spread(common, hot), "key long, doc_id long, row long, m long")
+    part = F.col("m").bitwiseAND(F.lit(255))
+    met = written(spread.repartition(F.col("key"), part).sortWithinPartitions("key", part, F.asc_nulls_last("doc_id"), "row").mapInArrow(_led, "key long, row long, n int, leader long, leader_n int"))
     near = F.least("n", "leader_n") >= SIMILARITY * F.greatest("n", "leader_n") - 1e-9
-    pairs = written(met.where((F.col("h") != F.col("leader")) & near).select(F.col("h").alias("x"), F.col("leader").alias("y")).distinct())
-    ids = written(met.where(F.col("h") != F.col("leader")).select(F.explode(F.array("h", "leader")).alias("h")).distinct())
-    sizes = met.select("h", F.col("n").cast("long").alias("n")).distinct()
-    rows = docs.select(row, F.col("doc_id").cast("long").alias("doc_id"), "text")
-    marks = written(_picked(rows, row, ids, "left_semi").select(F.col(row).alias("h"), "doc_id", parities(F.col("text")).alias("bits")).join(sizes, "h"))
+    pairs = written(met.where((F.col("row") != F.col("leader")) & near).select(F.col("row").alias("x"), F.col("leader").alias("y")).distinct())
+    # Of a hot key, a row that leads alone has still to be compared with those of other parts.
+    ids = written(met.select(F.explode(F.array("row", "leader")).alias("row")).distinct())
+    sizes = met.select("row", F.col("n").cast("long").alias("n")).distinct()
+    marks = written(_picked(rows.select("row", "doc_id", "text"), ids, "left_semi").select("row", "doc_id", F.arrow_udf(_parities, "binary")("text").alias("bits")).join(sizes, "row"))
 
     def copies_of(pairs: DataFrame) -> DataFrame:
-        """The pairs (x, y) that are alike, with their doc_ids: by parities first, then by the texts."""
-        of = lambda k: marks.select(F.col("h").alias(k), F.col("bits").alias(f"bits_{k}"), F.col("n").alias(f"n_{k}"))
-        left = written(pairs.join(of("x"), "x").join(of("y"), "y").where(possible(F.col("bits_x"), F.col("bits_y"), F.col("n_x") + F.col("n_y"))).select("x", "y"))
-        texts = written(_picked(rows, row, left.select(F.explode(F.array("x", "y")).alias("h")).distinct(), "left_semi"))
-        told = lambda k: texts.select(F.col(row).alias(k), F.col("doc_id").alias(f"id_{k}"), F.col("text").alias(f"text_{k}"))
-        return left.join(told("x"), "x").join(told("y"), "y").where(alike(F.col("text_x"), F.col("text_y"))).select("x", "y", "id_x", "id_y")
-
-    led = written(copies_of(pairs).select(F.col("x").alias("h")).distinct())
-    rest = _picked(met.select("key", "h", "n"), "h", led, "left_anti").join(marks.select("h", folded(F.col("bits")).alias("bits")), "h")
-    left = rest.select("key", "n", "h", "bits").repartition("key").sortWithinPartitions("key", "n", "h").mapInArrow(_met, "a long, b long")
-    order = lambda k: F.struct(F.col(f"id_{k}").isNull(), F.col(f"id_{k}"), F.col(k))
-    more = copies_of(written(left.select(F.col("a").alias("x"), F.col("b").alias("y")).distinct())).select(F.when(order("x") > order("y"), F.col("x")).otherwise(F.col("y")).alias("h"))
-    copies = written(led.unionByName(more).distinct())
-    return _picked(docs, row, copies, "left_anti")
+        """The pairs (x, y) that are alike: by parities first, then by the sets of shingles."""
+        of = lambda k: marks.select(F.col("row").alias(k), F.col("bits").alias(f"bits_{k}"), F.col("n").alias(f"n_{k}"))
+        left = written(pairs.join(of("x"), "x").join(of("y"), "y").where(F.arrow_udf(_possible, "boolean")("bits_x", "bits_y", F.col("n_x") + F.col("n_y"))).select("x", "y"))
+        texts = written(_picked(rows.select("row", "text"), left.select(F.explode(F.array("x", "y")).alias("row")).distinct(), "left_semi"))
+        told = lambda k: texts.select(F.col("row").alias(k), F.col("text").alias(f"text_{k}"))
+        return left.join(told("x"), "x").join(told("y"), "y").where(F.arrow_udf(_alike, "boolean")("text_x", "text_y")).select("x", "y")
+
+    led = written(copies_of(pairs).select(F.col("x").alias("row")).distinct())
+    rest = met.select("key", "row", "n").join(marks.select("row", "doc_id", F.arrow_udf(_folded, "binary")("bits").alias("bits")).join(led.withColumn("led", F.lit(True)), "row", "left").withColumn("led", F.col("led").isNotNull()), "row")
+    left = rest.select("key", "n", "row", "doc_id", "led", "bits").repartition("key").sortWithinPartitions("key", "n", "row").mapInArrow(_met, "x long, y long")
+    more = copies_of(written(left.distinct())).select(F.col("x").alias("row"))
+    return written(led.unionByName(more).distinct())
+
+
+def _content(docs: DataFrame, salt: int) -> Column:
+    """A 64-bit hash of a whole row; maps count as their JSON."""
+    kinds = {f.name: f.dataType for f in docs.schema}
+    parts = [F.to_json(F.struct(quoted(c))) if "map<" in kinds[c].simpleString() or "variant" in kinds[c].simpleString() else quoted(c) for c in docs.columns]
+    return F.xxhash64(F.lit(salt), *parts)
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one document of each group of near copies, as it is.
+
+    Of each group of linked fingerprints the row of least id stays (none is the least of all; then the least hash of the whole
+    row, of rows equal in every column any one); of those, what near_copies tells goes too. Rows are told apart by their id and
+    a 128-bit hash of the whole row, later by a number of their own that is written with them, so no two are taken for one."""
+    doc_id = whole_id(docs, id_col)
+    key = F.struct(doc_id.alias("id"), _content(docs, 1).alias("h"), _content(docs, 2).alias("g"))
+    keyed = docs.select(F.struct(*map(quoted, docs.columns)).alias("doc"), key.alias("key"))
+    found = near_duplicates(keyed.select("key", F.col("doc").getField(text_col).alias("text")), id_col="key")
+    kept = written(found.where(F.col("id") == F.col("component")).groupBy("id").agg(F.count(F.lit(1)).alias("n")).select(F.col("id.h").alias("k_h"), F.col("id.g").alias("k_g"), F.col("id.id").alias("k_id"), "n"))
+    met = keyed.join(kept, (F.col("key.h") == F.col("k_h")) & (F.col("key.g") == F.col("k_g")) & F.col("key.id").eqNullSafe(F.col("k_id")))
+    one = met.where("n = 1").select("doc", "key")
+    if not kept.where("n > 1").isEmpty():
+        one = one.unionByName(met.where("n > 1").groupBy("k_h", "k_g", "k_id").agg(F.first("doc").alias("doc"), F.first("key").alias("key")).select("doc", "key"))
+    rows = written(one.select("doc", F.col("key.id").alias("doc_id"), F.col("key.h").alias("h"), F.monotonically_increasing_id().alias("row")))
+    copies = near_copies(rows.select("row", "doc_id", "h", F.col("doc").getField(text_col).alias("text")))
+    return _picked(rows.select("row", "doc"), copies, "left_anti").select("doc.*")

@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import pytest
@@ -81,27 +82,51 @@ def test_defined_cases(spark):
     assert S.near_duplicates(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("words,changed,common", [(120, 2, False), (60, 1, False), (300, 4, True), (3, 1, False)])
-def test_every_pair_of_near_copies_goes(spark, monkeypatch, words, changed, common):
-    """Against all pairs: none that stay are 0.8 alike, and what goes is that much like a row before it."""
-    if common:
-        monkeypatch.setattr(S, "SAMPLED", 1)
-    r = random.Random(words)
+def jaccard(a, b):
+    """Of five-word shingles, by plain sets of tuples."""
+    sets = []
+    for t in (a, b):
+        w = re.sub("[A-Z]", lambda m: m[0].lower(), t or "").translate(str.maketrans("\t\n\v\f\r", "     ")).split(" ")
+        w = [x for x in w if x]
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)})
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def near_groups(r, groups, size, words, changed):
+    """(id, text) of groups whose members differ from their first one in `changed` words."""
     word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randint(2, 8)))
     rows = []
-    for g in range(8):
+    for g in range(groups):
         base = [word() for _ in range(words)]
-        for k in range(20):
+        for k in range(size):
             w = list(base)
             for i in r.sample(range(words), changed if k else 0):
                 w[i] = word()
-            rows.append((None if g == 7 and k % 2 else 100 * k + g, " ".join(w)))
-    rows += [(5000, None), (5001, ""), (5002, "of its own")]
-    df = spark.createDataFrame([(*x, i) for i, x in enumerate(rows)], "doc_id long, text string, __h long").repartition(3)
+            rows.append((None if g == groups - 1 and k % 2 else 100 * k + g, " ".join(w)))
+    return rows
+
+
+@pytest.mark.parametrize("words,changed,common,small", [(120, 2, False, 128), (60, 1, False, 128), (300, 4, True, 128), (3, 1, False, 128), (120, 2, True, 4), (60, 1, True, 4)])
+def test_what_goes_is_what_is_like_something_before_it(spark, monkeypatch, words, changed, common, small):
+    """Against all pairs; with hot shingles in parts, and with groups beyond those compared pair by pair."""
+    monkeypatch.setattr(S, "SMALL", small)
+    if common:
+        monkeypatch.setattr(S, "SAMPLED", 1)
+        monkeypatch.setattr(S, "HOT", 5)
+    rows = near_groups(random.Random(words), 8, 20, words, changed) + [(5000, None), (5001, ""), (5002, "of its own")]
+    df = spark.createDataFrame([(*x, i, i * 7919) for i, x in enumerate(rows)], "doc_id long, text string, row long, h long").repartition(3)
     order = [i for _, i in sorted(((d is None, d or 0, i), i) for i, (d, _) in enumerate(rows))]
-    text = [(t or "").encode() for _, t in rows]
-    gone = {i for k, i in enumerate(order) if any(S.similarity(text[i], text[j]) >= S.SIMILARITY for j in order[:k])}
-    stay = {r["__h"] for r in S.without_near_copies(df).collect()}
-    left = [(i, j) for i in stay for j in stay if i < j and S.similarity(text[i], text[j]) >= S.SIMILARITY]
-    assert not left and set(range(len(rows))) - stay <= gone
-    assert len(gone) > (60 if words > 3 else 0)
+    want = {i for k, i in enumerate(order) if any(jaccard(rows[i][1], rows[j][1]) >= 0.8 for j in order[:k])}
+    assert {r.row for r in S.near_copies(df).collect()} == want
+    assert len(want) > (60 if words > 3 else 0)
+
+
+def test_one_of_each_has_a_way_with_odd_rows(spark):
+    rows = [(1, "one two three four five six", 7, "x", {"a": 1}), (2, "one two three four five six", 8, "y", {"a": 1}), (3, None, 8, "y", None), (None, "", 8, "y", {}), (9, "seven words that no other row has got", 1, "z", {"b": 2})]
+    df = spark.createDataFrame(rows + rows[-1:] * 3, "doc_id long, text string, row long, `k.id` string, doc map<string,int>")
+    got = S.one_of_each(df)
+    assert got.columns == df.columns
+    assert sorted(map(str, got.collect())) == sorted(map(str, [r for r in df.dropDuplicates(["doc_id"]).collect() if r.doc_id in (None, 1, 9)]))
+    assert S.one_of_each(df.limit(0)).count() == 0
+    with pytest.raises(TypeError):
+        S.one_of_each(df.selectExpr("cast(doc_id as string) as doc_id", "text"))
