@@ -7,7 +7,6 @@ but for the last one, which returns the token records at their slots.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from lumenspan.llm import decontaminate, mixing, quality_classifier, simhash, token_output
 from lumenspan.llm.common import table, written
@@ -20,19 +19,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of linked fingerprints the row with the least doc_id (none is the least of all; then the least hash of the
-    whole row); then drops what is 0.8 or more like a document that leads it, by sets of five-word shingles."""
+    """Keeps one document of each group of near copies: by linked fingerprints, then by sets of five-word shingles, 0.8 alike."""
     ship(spark)
-    keyed = docs.withColumn("__key", F.struct("doc_id", F.xxhash64(*docs.columns).alias("h")))
-    found = simhash.near_duplicates(keyed, id_col="__key")
-    kept = written(found.where(F.col("id") == F.col("component")).groupBy("id").agg(F.count(F.lit(1)).alias("__n")).select(F.col("id.h").alias("__k"), F.col("id.doc_id").alias("__d"), "__n"))
-    met = docs.withColumn("__h", F.xxhash64(*docs.columns)).join(kept, (F.col("__h") == F.col("__k")) & F.col("doc_id").eqNullSafe(F.col("__d")))
-    own = [*docs.columns, "__h"]
-    one = met.select(*own)
-    if not kept.where("__n > 1").isEmpty():
-        # Rows that are equal in every column: one of them is as good as another.
-        one = met.where("__n = 1").select(*own).unionByName(met.where("__n > 1").select(*own).dropDuplicates())
-    return simhash.without_near_copies(written(one)).select(*docs.columns)
+    return simhash.one_of_each(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
