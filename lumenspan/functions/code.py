@@ -129,7 +129,8 @@ class Type:
     line: int
     end: int
     package: str
-    fields: list[tuple[str, str, int]] = field(default_factory=list)
+    fields: list[tuple[str, str, int]] = field(default_factory=list)  # of a declared type
+    members: list[str] = field(default_factory=list)  # all fields, those of plain values included
 
 
 _TYPE = re.compile(r"(?:\b(abstract)\s+(?:\w+\s+)*?)?\b(class|interface|enum|record)\s+([A-Za-z_]\w*)")
@@ -138,6 +139,7 @@ _GO_FUNC = re.compile(r"func\s*(?:\([^)]*\)\s*)?([A-Za-z_]\w*)\s*(?:\[[^\]]*\])?
 _JS_FUNC = (re.compile(r"\bfunction\s*\*?\s*([A-Za-z_$][\w$]*)\s*\("), re.compile(r"\b(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*(?::[^=]+)?=\s*(?:async\s*)?(?:\([^{]*\)|[A-Za-z_$][\w$]*)\s*(?::[^=]+)?=>\s*$"), re.compile(r"^\s*(?:export\s+)?(?:(?:public|private|protected|static|async|get|set|readonly)\s+)*([A-Za-z_$][\w$]*)\s*(?:<[^>]*>)?\([^{}]*\)\s*(?::[^{}]+)?$"))
 _CONTROL = {"if", "for", "while", "switch", "catch", "else", "do", "try", "finally", "synchronized", "return", "new", "function", "case", "throw"}
 _FIELD = re.compile(r"(?:(?:private|protected|public|final|static|transient|volatile)\s+)*([A-Z]\w*)(?:\s*<[^;=]*>)?\s+([a-z_]\w*)\s*(?:=|$)")
+_MEMBER = re.compile(r"(?:(?:private|protected|public|final|static|transient|volatile)\s+)*(?:[A-Z][\w.]*|boolean|byte|char|double|float|int|long|short)(?:\s*<[^;=]*>)?(?:\s*\[\s*\])*\s+([A-Za-z_]\w*)\s*(?:=|$)")
 
 
 def simple_name(s: str) -> str:
@@ -180,6 +182,8 @@ def types(src: Source) -> dict[int, Type]:
         kids = [x for x in src.blocks if x.parent == k]
         for piece, start in _between(src, b, kids):
             clean, skip = _strip(piece)
+            if f := _MEMBER.match(clean):
+                t.members.append(f[1])
             if f := _FIELD.match(clean):
                 t.fields.append((f[2], f[1], src.line(start + skip)))
         out[k] = t

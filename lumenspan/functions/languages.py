@@ -32,6 +32,7 @@ JS_MARKERS = (
     ("io-read", "fs-read", r"\b(fs\.(readFile|readFileSync|readdir|stat|existsSync)|createReadStream)\s*\("),
     ("process", "process/env", r"\b(process\.env|process\.exit|child_process|execSync|spawn|Bun\.spawn)\b"),
 )
+# Annotations of entry methods, base types of repositories, verbs of their methods, words that are no calls, test paths.
 SPRING_ENTRY = r"@(RestController|Controller|(?:Get|Post|Put|Delete|Patch|Request)Mapping|KafkaListener|Scheduled|EventListener|MessageMapping|RabbitListener|SqsListener)\b"
 REPOSITORY_BASES = ("JpaRepository", "CrudRepository", "PagingAndSortingRepository", "ListCrudRepository", "ReactiveCrudRepository", "Repository", "MongoRepository", "JpaSpecificationExecutor")
 WRITE_VERBS = r"\b(save|saveAll|saveAndFlush|delete|deleteAll|deleteById|persist|merge|insert|update|upsert)\w*"

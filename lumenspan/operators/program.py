@@ -38,6 +38,20 @@ def ambiguous(funcs: DataFrame) -> DataFrame:
     return funcs.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
+def caller_counts(edges: DataFrame) -> DataFrame:
+    """(callee, sites, callers): call sites of each callee, and the distinct functions they are in."""
+    return edges.groupBy("callee").agg(F.count(F.lit(1)).alias("sites"), F.count_distinct("caller").alias("callers"))
+
+
+def calls_of(parsed: DataFrame) -> DataFrame:
+    """(path, name, owner, start, end, calls): functions with the distinct names they call, sorted."""
+    funcs = explode(parsed, "functions").select("path", "name", "owner", "start", "end")
+    calls = explode(parsed, "calls").select("path", "line", "callee").where(~F.col("callee").isin(*CALL_KEYWORDS))
+    inside = calls.join(funcs, "path").where(F.col("line").between(F.col("start"), F.col("end")) & (F.col("callee") != F.col("name")))
+    names = inside.groupBy("path", "name", "start").agg(F.array_join(F.array_sort(F.collect_set("callee")), ", ").alias("calls"))
+    return funcs.join(names, ["path", "name", "start"], "left").withColumn("calls", F.coalesce("calls", F.lit("")))
+
+
 def methods(parsed: DataFrame) -> DataFrame:
     """(repo, path, type, name, start, end, sig, entry, key) of Java methods; entry is the annotation that makes one an entrypoint."""
     m = explode(parsed.where("lang = 'java'"), "functions")
@@ -79,7 +93,7 @@ def dispatch(pairs: DataFrame, methods_: DataFrame, types_: DataFrame) -> DataFr
     These are the ones of that name on the type itself and all below it, as far as not abstract; if there is none, the
     declared type's own. di marks a call whose declared type has no such concrete method itself."""
     pairs = pairs.select("recv", "callee").distinct()
-    below = graph.closure(inherits(types_)).select(F.col("start").alias("recv"), F.col("node").alias("type"))
+    below = graph.closure(inherits(types_), starts=pairs.select(F.col("recv").alias("start"))).select(F.col("start").alias("recv"), F.col("node").alias("type"))
     below = below.unionByName(types_.select(F.col("name").alias("recv"), F.col("name").alias("type"))).distinct()
     concrete = types_.where("not abstract").select(F.col("name").alias("type")).distinct()
     have = methods_.select("type", F.col("name").alias("callee"), F.col("key").alias("target"))
@@ -110,7 +124,7 @@ def db_model(types_: DataFrame, sql_lines: DataFrame) -> tuple[DataFrame, DataFr
     """(tables, access): tables (name, entity, entity_repo, migrations, mig_repo, map_note), and which repository types manage
     which table (repo, repo_type, table, writes, reads). sql_lines: (repo, path, line, text) of .sql files."""
     entity = types_.where(F.exists("annotations", lambda a: a.rlike(to_java(r"@Entity\b"))))
-    named = F.element_at(F.filter(F.transform("annotations", lambda a: F.regexp_extract(a, to_java(TABLE_NAME), 1)), lambda x: x != ""), 1)
+    named = F.get(F.filter(F.transform("annotations", lambda a: F.regexp_extract(a, to_java(TABLE_NAME), 1)), lambda x: x != ""), F.lit(0))
     entities = entity.groupBy("name").agg(F.min_by(F.struct("repo", named.alias("given")), "repo").alias("e")).select(F.col("name").alias("entity"), F.col("e.repo").alias("entity_repo"), F.coalesce("e.given", snake(F.col("name"))).alias("table"), F.when(F.col("e.given").isNotNull(), "@Table(name)").otherwise("default (snake_case of entity)").alias("note"))
     repos = types_.where(F.col("extends").isin(*REPOSITORY_BASES) & (F.size("extends_args") > 0)).select("repo", F.col("name").alias("repo_type"), F.col("extends_args")[0].alias("entity"))
     access = relate.left_with_default(repos, entities.select("entity", "table"), "entity", F.col("table"), snake(F.col("entity")), "of", "how", "entity", "guess")
@@ -199,12 +213,23 @@ def _normal(path: Column) -> Column:
     return F.array_join(parts, "/")
 
 
+def flow_calls(parsed: DataFrame) -> DataFrame:
+    """(path, line, args, to_path, to_start): calls of Java methods with the methods that they may run."""
+    java = parsed.where("lang = 'java'")
+    ms, ts = methods(java), types(java)
+    sites = call_sites(java, ms, ts).select("key", "path", "line", "recv", "callee")
+    runs = sites.join(dispatch(sites, ms, ts), ["recv", "callee"]).join(ms.select(F.col("key").alias("target"), F.col("path").alias("to_path"), F.col("start").alias("to_start")), "target")
+    args = explode(java, "calls").select("path", "line", "callee", "args")
+    return runs.join(args, ["path", "line", "callee"]).select("path", "line", "args", "to_path", "to_start").distinct()
+
+
 def object_flow(parsed: DataFrame, type_name: str) -> DataFrame:
     """(scope, var, path, at, set_path, line, field, code): setters of instances of a type, by the method that makes one.
 
-    at is the line in that method: of the setter itself, or of the call that hands the instance to a method which sets it."""
+    at is the line in that method: of the setter itself, or of the call that hands the instance to a method which sets it, or
+    which hands it on to one that does, however far; methods that hand it round in a circle are met once."""
     java = parsed.where("lang = 'java'")
-    ms, ts = methods(java), types(java)
+    ms, ts = stored(methods(java)), stored(types(java))
     spans = ms.select("repo", "path", "key", "start", "end")
     within = F.col("line").between(F.col("start"), F.col("end"))
     made = explode(java, "locals").drop("lang").where(F.col("type") == type_name).join(spans, ["repo", "path"]).where(within)
@@ -213,11 +238,25 @@ def object_flow(parsed: DataFrame, type_name: str) -> DataFrame:
     calls = explode(java, "calls").drop("lang")
     sets = calls.where(F.col("callee").rlike("^set[A-Z_]")).select("repo", "path", F.col("qualifier").alias("var"), "line", "callee", "code")
     own = sets.join(made, ["repo", "path", "var"]).where(within).select(F.col("key").alias("scope"), "var", "path", F.col("line").alias("at"), F.col("path").alias("set_path"), "line", field.alias("field"), "code")
-    handed = calls.select("repo", "path", "line", "callee", F.posexplode("args").alias("n", "var")).join(made, ["repo", "path", "var"]).where(within).select("key", "path", "line", "callee", "n", "var")
-    sites = call_sites(java, ms, ts).select("key", "line", "recv", "callee")
-    to = handed.join(sites, ["key", "line", "callee"]).join(dispatch(sites, ms, ts), ["recv", "callee"])
-    params = explode(java, "functions").select("repo", "path", "start", F.posexplode("params").alias("n", "param"))
-    inner = ms.select("repo", "path", F.col("key").alias("target"), "start", "end").join(params, ["repo", "path", "start"])
-    inner = inner.join(sets.withColumnRenamed("var", "param"), ["repo", "path", "param"]).where(within).select("target", "n", F.col("path").alias("set_path"), F.col("line").alias("set_line"), field.alias("field"), "code")
-    passed = to.join(inner, ["target", "n"]).select(F.col("key").alias("scope"), "var", "path", F.col("line").alias("at"), "set_path", F.col("set_line").alias("line"), "field", "code")
+    # Which variable of a method goes to which parameter of another: (key, var, line) to place, the other's key and the number.
+    sites = stored(call_sites(java, ms, ts).select("key", "line", "recv", "callee"))
+    place = F.concat_ws("\x00", "target", F.col("n").cast("string"))
+    given = calls.select("repo", "path", "line", "callee", F.posexplode("args").alias("n", "var")).join(spans, ["repo", "path"]).where(within)
+    given = stored(given.join(sites, ["key", "line", "callee"]).join(dispatch(sites, ms, ts), ["recv", "callee"]).select("key", "path", "line", "var", place.alias("place")).distinct())
+    params = spans.join(explode(java, "functions").select("repo", "path", "start", F.posexplode("params").alias("n", "var")), ["repo", "path", "start"]).withColumnRenamed("key", "target")
+    params = stored(params.select("repo", "path", F.col("target").alias("key"), "start", "end", "var", place.alias("of")))
+    handed = stored(given.join(made.select("key", "var"), ["key", "var"]))
+    onward = given.join(params.select("key", "var", "of"), ["key", "var"]).select(F.col("of").alias("src"), F.col("place").alias("dst"))
+    far = graph.closure(onward, starts=handed.select(F.col("place").alias("start"))).select("start", "node")
+    far = far.unionByName(handed.select(F.col("place").alias("start"), F.col("place").alias("node"))).distinct()
+    inner = params.join(sets, ["repo", "path", "var"]).where(within).select(F.col("of").alias("node"), F.col("path").alias("set_path"), F.col("line").alias("set_line"), field.alias("field"), "code")
+    passed = handed.join(far, F.col("place") == F.col("start")).join(inner, "node").select(F.col("key").alias("scope"), "var", "path", F.col("line").alias("at"), "set_path", F.col("set_line").alias("line"), "field", "code")
     return own.unionByName(passed).distinct()
+
+
+def set_counts(sets: DataFrame, fields: list[str]) -> DataFrame:
+    """(scope, var, field, n, note): how often each instance has each of its type's fields set, never included, and other names set."""
+    had = sets.groupBy("scope", "var", "field").agg(F.count(F.lit(1)).alias("n"))
+    every = sets.select("scope", "var").distinct().withColumn("field", F.explode(F.array(*map(F.lit, fields)).cast("array<string>")))
+    told = every.join(had, ["scope", "var", "field"], "full_outer").withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
+    return told.withColumn("note", F.when(F.col("n") == 0, "never set").when(F.col("n") > 1, "more than once").otherwise("once"))

@@ -67,3 +67,27 @@ def first_wins(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Data
     rest = [c for c in df.columns if c not in keys]
     picked = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("__row"))
     return picked.select(*(F.col(c) if c in keys else F.col(f"__row.{c}").alias(c) for c in df.columns))
+
+
+def common_directory(paths: DataFrame, path: str) -> DataFrame:
+    """(directory): the longest directory that all paths lie under, "." if there is none; one row.
+
+    What the least and the greatest directory share, all between them share."""
+    folder = F.when(F.contains(path, F.lit("/")), F.regexp_replace(path, r"/[^/]*$", "/")).otherwise("")
+    ends = paths.agg(F.min(folder).alias("a"), F.max(folder).alias("b")).select(F.split("a", "/").alias("a"), F.split("b", "/").alias("b"))
+    same = F.transform(F.sequence(F.lit(1), F.least(F.size("a"), F.size("b"))), lambda k: F.slice("a", F.lit(1), k) == F.slice("b", F.lit(1), k))
+    shared = F.array_join(F.slice("a", F.lit(1), F.size(F.filter(same, lambda x: x))), "/")
+    return ends.select(F.coalesce(F.nullif(F.regexp_replace(shared, "/+$", ""), F.lit("")), F.lit(".")).alias("directory"))
+
+
+def ends_with(paths: DataFrame, path: str, refs: DataFrame, ref: str) -> DataFrame:
+    """paths with the refs (column ref of refs) that they end in, at a slash or as a whole: an equi-join on each path's endings."""
+    parts = F.split(F.col(path), "/")
+    n = F.size(parts)
+    endings = F.transform(F.sequence(F.lit(1), n), lambda k: F.array_join(F.slice(parts, n - k + 1, k), "/"))
+    return paths.withColumn(ref, F.explode(endings)).join(refs.select(ref).distinct(), ref).select(*paths.columns, ref)
+
+
+def without(rows: DataFrame, stop: DataFrame, key: str) -> DataFrame:
+    """rows whose key is not in a stop set."""
+    return rows.join(stop.select(key).distinct(), key, "left_anti")

@@ -60,7 +60,7 @@ def lines(files: DataFrame) -> DataFrame:
 
 
 _FUNCTION = "struct<name:string,owner:string,start:long,end:long,sig:string,annotations:array<string>,params:array<string>>"
-_TYPE = "struct<name:string,kind:string,abstract:boolean,extends:string,extends_args:array<string>,implements:array<string>,annotations:array<string>,line:long,end:long,package:string,fields:array<struct<name:string,type:string,line:long>>>"
+_TYPE = "struct<name:string,kind:string,abstract:boolean,extends:string,extends_args:array<string>,implements:array<string>,annotations:array<string>,line:long,end:long,package:string,fields:array<struct<name:string,type:string,line:long>>,members:array<string>>"
 _CALL = "struct<line:long,qualifier:string,callee:string,code:string,args:array<string>>"
 _LOCAL = "struct<line:long,name:string,type:string>"
 _SYMBOL = "struct<name:string,kind:string,line:long>"
@@ -142,8 +142,12 @@ RECORD = "kind string, id string, file string, mode string, tool string, text st
 
 def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
     """Records of a JSON-lines file with their line numbers; blank lines are skipped, a line that can't be read has kind null."""
-    raw = spark.read.text(path).withColumn("__file", F.col("_metadata.file_path")).withColumn("n", F.monotonically_increasing_id())
-    return raw.where(F.trim("value") != "").select("n", "value", F.from_json("value", RECORD).alias("r")).select("n", "value", "r.*")
+    return records(spark.read.text(path).withColumn("n", F.monotonically_increasing_id()))
+
+
+def records(lines: DataFrame) -> DataFrame:
+    """(n, value, and the fields of a record) of lines (n, value) of JSON."""
+    return lines.where(F.trim("value") != "").select("n", "value", F.from_json("value", RECORD).alias("r")).select("n", "value", "r.*")
 
 
 GRADLE_FILES = ("build.gradle", "build.gradle.kts", "settings.gradle", "settings.gradle.kts")

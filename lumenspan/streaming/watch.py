@@ -136,6 +136,17 @@ def prune(rows: list[dict], now: datetime, window: timedelta) -> list[dict]:
     return [r for r in rows if stays(r)]
 
 
+def arrived(rows: DataFrame, time_column: str, window: str) -> DataFrame:
+    """The rows of a table that came within a window before its newest one, the edge included."""
+    newest = rows.agg(F.max(time_column).alias("__now"))  # one row
+    return rows.join(F.broadcast(newest), F.col(time_column) >= F.col("__now") - F.expr(f"INTERVAL {window}")).drop("__now")
+
+
+def by_table(rows: DataFrame, tables: DataFrame, key: str, *counts) -> DataFrame:
+    """Aggregates (columns) of rows by the table they come from, with those of the polled tables that had no rows."""
+    return tables.select(key).distinct().join(rows.groupBy(key).agg(*counts), key, "left")
+
+
 def poll_every(seconds: list[int]) -> int:
     """The least of the tables' intervals, no more than 30 s."""
     return min([*(s for s in seconds if s > 0), POLL_SECONDS])
