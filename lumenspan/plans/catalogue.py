@@ -5,18 +5,23 @@ Every query runs over its whole tables. Limits appear only where the operator is
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumenspan.functions import layout
+from lumenspan.functions import flow, layout
+from lumenspan.functions.code import Source, functions
 from lumenspan.functions.regex import bounded, glob_to_regex
 from lumenspan.operators import components as connected
 from lumenspan.operators import graph, program, relate, search, windows
 from lumenspan.operators.store import stored
 from lumenspan.session import shipped
+from lumenspan.sources import blame
 from lumenspan.sources import files as source
 from lumenspan.streaming import watch
 
+from . import lenses, views
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -110,7 +115,7 @@ SQL_CALLS = "e AS (SELECT user_id AS caller, lag(user_id) OVER (ORDER BY event_i
 
 @query(f"WITH {SQL_CALLS} SELECT callee, count(*)::BIGINT AS sites, count(DISTINCT caller)::BIGINT AS callers FROM c GROUP BY callee")
 def callers(spark, sf_dir):
-    return _calls(spark, sf_dir).groupBy("callee").agg(F.count(F.lit(1)).alias("sites"), F.count_distinct("caller").alias("callers"))
+    return program.caller_counts(_calls(spark, sf_dir))
 
 
 SEED_USER = 8
@@ -122,20 +127,37 @@ def impact_set(spark, sf_dir):
     return graph.impact_set(_calls(spark, sf_dir), spark.createDataFrame([(SEED_USER,)], "node long"))
 
 
-@query(f"""WITH RECURSIVE {SQL_CALLS}, d AS (SELECT DISTINCT caller, callee FROM c),
-r AS (SELECT {SEED_USER}::BIGINT AS node, '/{SEED_USER}/' AS p, 0 AS hops UNION ALL SELECT caller, p || caller || '/', hops + 1 FROM r JOIN d ON callee = node WHERE hops < 2 AND p NOT LIKE '%/' || caller || '/%' AND (hops = 0 OR node % 7 <> 0))
-SELECT p AS path FROM r WHERE hops > 0 AND node % 7 = 0""")
+def _keys(spark: SparkSession, sf_dir: str, back: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """Customers from 1 on, and edges from each to those of twice its key and one more, and to one further up, which closes cycles."""
+    nodes = _table(spark, sf_dir, "customer").where("c_custkey > 0").select(F.col("c_custkey").cast("long").alias("node"), "c_mktsegment", "c_nationkey")
+    to = [F.col("node") * 2, F.col("node") * 2 + 1, *([back] if back is not None else [])]
+    edges = nodes.select(F.col("node").alias("src"), F.explode(F.array(*to)).alias("dst"))
+    return nodes, edges.join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst")
+
+
+def _keys_sql(back: str) -> str:
+    return f"""n AS (SELECT c_custkey::BIGINT AS k, c_mktsegment = 'BUILDING' AND c_nationkey = 7 AS chosen FROM customer WHERE c_custkey > 0),
+e AS (SELECT DISTINCT a.k AS src, b.k AS dst FROM (SELECT k, unnest([2 * k, 2 * k + 1, {back}]) AS t FROM n) a JOIN n b ON b.k = a.t)"""
+
+
+CHOSEN = "c_mktsegment = 'BUILDING' AND c_nationkey = 7"
+
+
+@query(f"""WITH RECURSIVE {_keys_sql("k // 3")},
+r AS (SELECT 1::BIGINT AS node, [1::BIGINT] AS p, false AS done UNION ALL SELECT dst, list_append(p, dst), chosen FROM r JOIN e ON src = node JOIN n ON k = dst WHERE NOT done AND len(p) < 13 AND NOT list_contains(p, dst))
+SELECT '/' || array_to_string(p, '/') || '/' AS path FROM (SELECT p FROM r WHERE done ORDER BY len(p), p LIMIT 12)""")
 def trace_paths(spark, sf_dir):
-    found = graph.simple_paths(_calls(spark, sf_dir), spark.createDataFrame([(SEED_USER,)], "node long"), is_end=F.col("node") % 7 == 0, max_hops=2, src="callee", dst="caller")
+    """The twelve shortest ways, over a graph with cycles, to customers chosen by their columns; no bound on hops."""
+    nodes, edges = _keys(spark, sf_dir, F.expr("node div 3"))
+    found = graph.simple_paths(edges, spark.createDataFrame([(1,)], "node long"), ends=nodes.where(CHOSEN), most=12)
     return found.select(F.concat(F.lit("/"), F.array_join(F.transform("path", lambda x: x.cast("string")), "/"), F.lit("/")).alias("path"))
 
 
-@query("""SELECT a.n_nationkey::BIGINT AS start, b.n_nationkey::BIGINT AS node, 1::BIGINT AS depth FROM nation a JOIN nation b ON b.n_nationkey = a.n_nationkey + 5
-UNION ALL SELECT a.n_nationkey::BIGINT, b.n_nationkey::BIGINT, ((b.n_nationkey - a.n_nationkey) // 5)::BIGINT FROM nation a JOIN nation b ON b.n_nationkey > a.n_nationkey + 5 AND (b.n_nationkey - a.n_nationkey) % 5 = 0""")
+@query(f"""WITH RECURSIVE {_keys_sql("CASE WHEN k = 2 THEN 1 END")}, r AS (SELECT src AS start, dst AS node, 1::BIGINT AS depth FROM e UNION SELECT start, dst, depth + 1 FROM r JOIN e ON src = node WHERE depth < 40)
+SELECT start, node, min(depth)::BIGINT AS depth FROM r GROUP BY start, node""")
 def subtype_closure(spark, sf_dir):
-    nation = _table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("k"))
-    edges = nation.join(nation.select((F.col("k") - 5).alias("j"), F.col("k").alias("dst")), F.col("k") == F.col("j")).select(F.col("k").alias("src"), "dst")
-    return graph.closure(edges).select("start", "node", "depth")
+    """All pairs below each other in a tree that has one cycle at its top."""
+    return graph.closure(_keys(spark, sf_dir, F.expr("CASE WHEN node = 2 THEN 1L END"))[1]).select("start", "node", "depth")
 
 
 def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -179,9 +201,7 @@ def watch_poll(spark, sf_dir):
 
 @query("""SELECT event_type, count(*)::BIGINT AS n, max(event_id)::BIGINT AS last_id FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 600 MINUTE GROUP BY event_type""")
 def watch_window(spark, sf_dir):
-    events = _table(spark, sf_dir, "events")
-    newest = events.agg(F.max("ts").alias("now"))
-    kept = events.join(F.broadcast(newest), F.col("ts") >= F.col("now") - F.expr("INTERVAL 600 MINUTE"))
+    kept = watch.arrived(_table(spark, sf_dir, "events").select("ts", "event_type", "event_id"), "ts", "600 MINUTE")
     return kept.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.max("event_id").alias("last_id"))
 
 
@@ -190,9 +210,16 @@ def watch_mark(spark, sf_dir):
     return watch.mark(_table(spark, sf_dir, "events"), "event_id")
 
 
+def _blame(rows: DataFrame, key: str, author: Column, when: Column, order: Column, code: Column) -> DataFrame:
+    """Lines (key, commit, author, date, line, code) of blame output made of rows, a source line for each."""
+    shown = F.array(F.concat(F.sha1(author), F.lit(" 1 "), order.cast("string")), F.concat(F.lit("author "), author), F.concat(F.lit("author-time "), when.cast("string")), F.concat(F.lit("\t"), code))
+    return blame.lines_of(rows.select(key, F.posexplode(shown).alias("p", "s"), order.alias("o")).select(key, (F.col("o") * 4 + F.col("p")).alias("n"), "s"), key)
+
+
 @query("SELECT role AS author, count(*)::BIGINT AS n FROM conversations GROUP BY role")
 def blame_authors(spark, sf_dir):
-    return _table(spark, sf_dir, "conversations").groupBy(F.col("role").alias("author")).agg(F.count(F.lit(1)).alias("n"))
+    found = _blame(_table(spark, sf_dir, "conversations"), "conv_id", F.col("role"), F.lit(1_700_000_000), F.col("turn") + 1, F.regexp_replace("text", "\n", " "))
+    return blame.lines_by_author(found)
 
 
 @query("SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS asked FROM conversations")
@@ -219,16 +246,28 @@ def db_chain(spark, sf_dir):
     return relate.left_with_default(_table(spark, sf_dir, "nation"), region, "n_regionkey", F.lower("r_name"), guess, "target", "note", "mapped", "guessed").select(F.col("n_name").alias("repo"), "target", "note")
 
 
+def _java(rows: DataFrame, repo: Column, path: Column, text: Column) -> DataFrame:
+    """Java files made of rows."""
+    made = rows.select(repo.alias("repo"), path.alias("path"), F.lit(".java").alias("ext"), F.lit("java").alias("lang"), F.lit(False).alias("is_test"), text.alias("text"))
+    return made.select("repo", "path", "ext", "lang", "is_test", F.substring(F.sha1("text"), 1, 12).alias("content_hash"), "text")
+
+
 @query("""WITH e AS (SELECT DISTINCT c.c_nationkey AS a, s.s_nationkey AS b FROM lineitem JOIN orders o ON l_orderkey = o_orderkey JOIN customer c ON o_custkey = c_custkey JOIN supplier s ON l_suppkey = s_suppkey WHERE c.c_nationkey <> s.s_nationkey)
 SELECT x.n_name AS src, y.n_name AS dst, x.n_regionkey <> y.n_regionkey AS crosses FROM e JOIN nation x ON x.n_nationkey = a JOIN nation y ON y.n_nationkey = b""")
 def service_graph(spark, sf_dir):
+    """Nations are classes, in a repository for each region; one calls another if its customers order from suppliers there."""
     t = lambda n: _table(spark, sf_dir, n)
     uses = t("lineitem").select("l_orderkey", "l_suppkey").join(t("orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
     uses = uses.join(t("customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("a")), "o_custkey").join(t("supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("b")), "l_suppkey")
-    edges = uses.where("a <> b").select("a", "b").distinct()
-    nation = t("nation")
-    end = lambda k, name: nation.select(F.col("n_nationkey").alias(k), F.col("n_name").alias(name), F.col("n_regionkey").alias(f"{name}_owner"))
-    return edges.join(end("a", "src"), "a").join(end("b", "dst"), "b").select("src", "dst", (F.col("src_owner") != F.col("dst_owner")).alias("crosses"))
+    nation = t("nation").select("n_nationkey", F.concat(F.lit("Nation"), "n_nationkey").alias("type"), F.concat(F.lit("region"), "n_regionkey").alias("repo"), "n_name")
+    called = uses.where("a <> b").select("a", "b").distinct().groupBy(F.col("a").alias("n_nationkey")).agg(F.array_sort(F.collect_set("b")).alias("bs"))
+    each = lambda shape: F.array_join(F.transform(F.coalesce("bs", F.array().cast("array<long>")), lambda b: F.format_string(shape, b, b)), "")
+    text = F.concat(F.lit("class "), "type", F.lit(" {\n"), each("  private Nation%d n%d;\n"), F.lit("  void order() {\n"), each("    n%d.order(); // %d\n"), F.lit("  }\n}\n"))
+    files = _java(nation.join(called, "n_nationkey", "left"), F.col("repo"), F.concat("type", F.lit(".java")), text)
+    parsed, found = stored(source.parsed(files)), source.lines(files).select("repo", "path", "lang", "line", "text")
+    edges = program.type_graph(parsed, found.where("path like '%.sql'"), found)[1].where("kind = 'api-call'")
+    end = lambda k, name: nation.select(F.concat_ws("::", "repo", "type").alias(k), F.col("n_name").alias(name))
+    return edges.join(end("from", "src"), "from").join(end("to", "dst"), "to").select("src", "dst", F.col("cross").alias("crosses"))
 
 
 @query("""WITH p AS (SELECT page_id, regexp_extract(url, '^[^?#]*') AS path FROM pages), r AS (SELECT DISTINCT regexp_extract(path, '^[a-z]+://[^/]+') AS root FROM p UNION SELECT DISTINCT regexp_extract(path, '^[a-z]+://[^/]+/[^/]+') FROM p)
@@ -270,12 +309,15 @@ def semi_neighbours(spark, sf_dir):
 
 @query("SELECT doc_id, lang FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
 def anti_stop(spark, sf_dir):
-    return _table(spark, sf_dir, "documents").join(_table(spark, sf_dir, "labels"), "doc_id", "left_anti").select("doc_id", "lang")
+    return relate.without(_table(spark, sf_dir, "documents").select("doc_id", "lang"), _table(spark, sf_dir, "labels"), "doc_id")
 
 
-@query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
+@query("SELECT event_id, CASE WHEN event_type <> 'error' THEN 'fact' END AS kind, CASE WHEN event_type <> 'error' THEN event_type END AS text, CASE WHEN event_type <> 'error' THEN [event_type, props] END AS facts FROM events")
 def json_props(spark, sf_dir):
-    return _table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
+    """Records in JSON made of events; those of errors are cut short, so they can't be read."""
+    whole = F.to_json(F.struct(F.lit("fact").alias("kind"), F.col("event_type").alias("text"), F.array("event_type", "props").alias("facts")))
+    rows = _table(spark, sf_dir, "events").select(F.col("event_id").alias("n"), F.when(F.col("event_type") == "error", F.lit("{ no record")).otherwise(whole).alias("value"))
+    return source.records(rows).select(F.col("n").alias("event_id"), "kind", "text", "facts")
 
 
 @query("SELECT user_id, event_type, min(event_id)::BIGINT AS first_id, arg_min(value, event_id) AS first_value FROM events GROUP BY user_id, event_type")
@@ -299,40 +341,56 @@ def call_edges(spark, sf_dir):
 
 @query("SELECT doc_id, substr(sha1(text || chr(10)), 1, 12) AS digest FROM documents")
 def block_hash(spark, sf_dir):
-    return _table(spark, sf_dir, "documents").select("doc_id", F.substring(F.sha1(F.concat("text", F.lit("\n"))), 1, 12).alias("digest"))
+    return _table(spark, sf_dir, "documents").select("doc_id", layout.short_hash(F.concat("text", F.lit("\n"))).alias("digest"))
+
+
+_BY_SOURCE = " UNION ".join(f"SELECT source, '{kind}' AS kind FROM l JOIN documents USING (doc_id) WHERE regexp_matches(line_text, '{regex}')" for kind, _, regex in MARKERS)
 
 
-@query("SELECT user_id, count(DISTINCT event_type)::BIGINT AS near FROM events GROUP BY user_id")
+@query(f"WITH {SQL_LINES}, k AS ({_BY_SOURCE}) SELECT source, string_agg(kind, ',' ORDER BY kind) AS kinds FROM k WHERE source IS NOT NULL GROUP BY source")
 def method_effects(spark, sf_dir):
-    return _table(spark, sf_dir, "events").groupBy("user_id").agg(F.count_distinct("event_type").alias("near"))
+    found = search.to_lines(_table(spark, sf_dir, "documents").where("source is not null"), "source")
+    return search.kinds_by(found, ["source"], MARKERS)
 
 
 @query("""WITH m AS (SELECT p_brand AS name, count(*)::BIGINT AS n FROM part GROUP BY p_brand) SELECT name, n FROM m WHERE n > 1""")
 def ambiguous(spark, sf_dir):
-    return _table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("name")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return program.ambiguous(_table(spark, sf_dir, "part").select(F.col("p_brand").alias("name")))
 
 
-@query("SELECT p_brand AS name, string_agg(DISTINCT p_type, ', ' ORDER BY p_type) AS calls FROM part GROUP BY p_brand")
+@query("SELECT 'b' || substr(p_brand, 7) AS name, string_agg(DISTINCT lower(p_type), ', ' ORDER BY lower(p_type)) AS calls FROM part GROUP BY p_brand")
 def cpg_methods(spark, sf_dir):
-    return _table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("name")).agg(F.array_join(F.array_sort(F.collect_set("p_type")), ", ").alias("calls"))
+    """A file for each brand, with one method that calls the types of its parts, as often as there are parts."""
+    brands = _table(spark, sf_dir, "part").groupBy(F.concat(F.lit("b"), F.substring("p_brand", 7, 100)).alias("name")).agg(F.collect_list(F.lower("p_type")).alias("ts"))
+    text = F.concat(F.lit("class Brand {\n  void "), "name", F.lit("() {\n"), F.array_join(F.transform("ts", lambda t: F.concat(F.lit("    "), t, F.lit("();\n"))), ""), F.lit("  }\n}\n"))
+    return program.calls_of(source.parsed(_java(brands, F.lit(""), F.concat("name", F.lit(".java")), text))).select("name", "calls")
 
 
-@query("""WITH s AS (SELECT user_id AS scope, event_type AS field, count(*)::BIGINT AS n FROM events GROUP BY ALL), f AS (SELECT DISTINCT event_type AS field FROM events), o AS (SELECT DISTINCT user_id AS scope FROM events)
+@query("""WITH s AS (SELECT user_id AS scope, event_type AS field, count(*)::BIGINT AS n FROM events GROUP BY ALL), f AS (SELECT DISTINCT event_type AS field FROM events UNION SELECT 'never'), o AS (SELECT DISTINCT user_id AS scope FROM events)
 SELECT scope, field, coalesce(n, 0)::BIGINT AS n, CASE WHEN n IS NULL THEN 'never set' WHEN n > 1 THEN 'more than once' ELSE 'once' END AS note FROM (SELECT * FROM o, f) LEFT JOIN s USING (scope, field)""")
 def object_flow_anomalies(spark, sf_dir):
-    sets = _table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("scope"), F.col("event_type").alias("field")).agg(F.count(F.lit(1)).alias("n"))
-    # The fields of a type are few; each scope gets the whole list as one array, made once.
-    fields = F.broadcast(stored(sets.select("field").distinct()).agg(F.array_sort(F.collect_list("field")).alias("fields")))
-    every = sets.groupBy("scope").agg(F.map_from_entries(F.collect_list(F.struct("field", "n"))).alias("had")).join(fields, F.lit(True))
-    told = every.select("scope", "had", F.explode("fields").alias("field")).select("scope", "field", F.coalesce(F.element_at("had", F.col("field")), F.lit(0)).cast("long").alias("n"))
-    return told.withColumn("note", F.when(F.col("n") == 0, "never set").when(F.col("n") > 1, "more than once").otherwise("once"))
+    """A file for each user, with one method that makes an object and sets a field of it for each event."""
+    events = _table(spark, sf_dir, "events").select("user_id", "event_type")
+    users = events.groupBy("user_id").agg(F.collect_list("event_type").alias("es"))
+    text = F.concat(F.lit("class U"), "user_id", F.lit(" {\n  void make() {\n    Record r = new Record();\n"), F.array_join(F.transform("es", lambda e: F.concat(F.lit("    r.set"), F.initcap(e), F.lit("(1);\n"))), ""), F.lit("  }\n}\n"))
+    parsed = stored(source.parsed(_java(users, F.lit("app"), F.concat(F.lit("U"), "user_id", F.lit(".java")), text)))
+    fields = sorted(r[0] for r in events.select("event_type").distinct().collect())  # the fields of a type
+    told = program.set_counts(program.object_flow(parsed, "Record"), [*fields, "never"])
+    return told.select(F.regexp_extract("scope", r"U(\d+)\.", 1).cast("long").alias("scope"), "field", "n", "note")
 
 
-@query("SELECT doc_id, n_chars % 10 AS code, CASE WHEN n_chars % 10 > 6 THEN true WHEN n_chars % 10 < 3 THEN false END AS truth FROM documents")
+def _truths(batches):
+    for batch in batches:
+        told = [flow.evaluate(c, {} if v is None else {"code": str(v)}) for c, v in zip(batch.column("cond").to_pylist(), batch.column("code").to_pylist(), strict=True)]
+        yield pa.record_batch([batch.column("doc_id"), batch.column("code"), pa.array(told, pa.bool_())], names=["doc_id", "code", "truth"])
+
+
+@query("""SELECT doc_id, CASE WHEN lang <> 'fr' THEN n_chars % 10 END AS code, CASE WHEN lang <> 'fr' AND lang <> 'es' THEN CASE WHEN lang = 'en' THEN n_chars % 10 >= 5 ELSE n_chars % 10 <> 3 END END AS truth FROM documents""")
 def evaluate_condition(spark, sf_dir):
-    """Three-valued conditions: known true, known false, unknown."""
-    code = F.col("n_chars") % 10
-    return _table(spark, sf_dir, "documents").select("doc_id", code.alias("code"), F.when(code > 6, True).when(code < 3, False).alias("truth"))
+    """Three-valued conditions: true or false from known inputs, else unknown, as where an input is missing or the form is another."""
+    cond = F.when(F.col("lang") == "en", "code >= 5").when(F.col("lang") == "es", "code >= 5 && ready").otherwise("code != 3")
+    rows = _table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("lang") != "fr", F.col("n_chars") % 10).alias("code"), cond.alias("cond"))
+    return rows.mapInArrow(_truths, "doc_id long, code long, truth boolean")
 
 
 @query(f"""WITH {SQL_LINES}, c AS (SELECT doc_id, line, regexp_replace(line_text, '[ \\t]+$', '') AS code FROM l)
@@ -362,12 +420,16 @@ def names(spark, sf_dir):
     )
 
 
-@query("""WITH c AS (SELECT c_nationkey AS k, min(c_name) AS entity FROM customer GROUP BY 1), s AS (SELECT s_nationkey AS k, count(*)::BIGINT AS migrations, max_by(s_name, s_suppkey) AS last FROM supplier GROUP BY 1)
-SELECT coalesce(c.k, s.k) AS k, coalesce(entity, '') AS entity, coalesce(migrations, 0)::BIGINT AS migrations, coalesce(last, '') AS last FROM c FULL JOIN s ON c.k = s.k""")
+@query("""WITH c AS (SELECT DISTINCT c_nationkey AS k FROM customer), s AS (SELECT s_nationkey AS k, count(*)::BIGINT AS n FROM supplier GROUP BY 1)
+SELECT 'nation' || coalesce(c.k, s.k) || '_row' AS name, CASE WHEN c.k IS NULL THEN '' ELSE 'Nation' || c.k || 'Row' END AS entity, coalesce(n, 0)::BIGINT AS migrations, CASE WHEN n IS NULL THEN '' ELSE 'lib' END AS mig_repo,
+  CASE WHEN c.k IS NULL THEN 'from migration' ELSE 'default (snake_case of entity)' END AS map_note FROM c FULL JOIN s ON c.k = s.k""")
 def tables_and_migrations(spark, sf_dir):
-    c = _table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("k")).agg(F.min("c_name").alias("entity"))
-    s = _table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("k")).agg(F.count(F.lit(1)).alias("migrations"), F.max_by("s_name", "s_suppkey").alias("last"))
-    return c.join(s, "k", "full_outer").select("k", F.coalesce("entity", F.lit("")).alias("entity"), F.coalesce("migrations", F.lit(0)).cast("long").alias("migrations"), F.coalesce("last", F.lit("")).alias("last"))
+    """An entity for each nation with customers, and a migration for each supplier that alters its nation's table."""
+    kinds = _table(spark, sf_dir, "customer").select(F.concat(F.lit("Nation"), "c_nationkey", F.lit("Row")).alias("name")).distinct()
+    files = _java(kinds, F.lit("shop"), F.concat("name", F.lit(".java")), F.concat(F.lit("@Entity\npublic class "), "name", F.lit(" {\n}\n")))
+    sql = _table(spark, sf_dir, "supplier").select(F.lit("lib").alias("repo"), F.concat(F.lit("db/migration/V"), "s_suppkey", F.lit("__x.sql")).alias("path"), F.lit(1).cast("long").alias("line"), F.concat(F.lit('ALTER TABLE public."Nation'), "s_nationkey", F.lit('_Row" ADD x INT')).alias("text"))
+    tables, _ = program.db_model(program.types(stored(source.parsed(files))), sql)
+    return tables.select("name", "entity", F.size("migrations").cast("long").alias("migrations"), "mig_repo", "map_note")
 
 
 @query("""WITH g AS (SELECT n_name AS repo, r_name, n_nationkey FROM nation JOIN region ON n_regionkey = r_regionkey)
@@ -379,16 +441,26 @@ def group_prefix(spark, sf_dir):
     return source.internal_dependencies(groups.select("repo", "group"), deps).select("repo", "needs")
 
 
-@query("SELECT doc_id, score FROM (SELECT doc_id, (CASE WHEN lang = 'en' THEN 10 ELSE 0 END + CASE WHEN source = 'src1' THEN 20 ELSE 0 END + CASE WHEN n_chars > 500 THEN 15 ELSE 0 END)::BIGINT AS score FROM documents) ORDER BY score DESC, doc_id LIMIT 1")
+_STARTS = "CASE lang WHEN 'en' THEN 'main' WHEN 'de' THEN 'handle' WHEN 'fr' THEN 'process' ELSE 'other' END"
+
+
+@query(f"""WITH f AS (SELECT doc_id, source || '/' || CASE WHEN n_chars > 500 THEN 'OrderController' ELSE 'Order' END || '.java' AS path, {_STARTS} AS name FROM documents WHERE source IS NOT NULL)
+SELECT doc_id AS start, path, name, (CASE name WHEN 'main' THEN 90 WHEN 'handle' THEN 80 WHEN 'process' THEN 70 ELSE 0 END + CASE WHEN contains(path, 'Controller') THEN 10 ELSE 0 END)::BIGINT AS score FROM f ORDER BY score DESC, path, doc_id LIMIT 1""")
 def best_candidate(spark, sf_dir):
-    points = lambda test, n: F.when(test, n).otherwise(0)
-    score = points(F.col("lang") == "en", 10) + points(F.col("source") == "src1", 20) + points(F.col("n_chars") > 500, 15)
-    return _table(spark, sf_dir, "documents").select("doc_id", score.cast("long").alias("score")).orderBy(F.desc("score"), "doc_id").limit(1)
+    """The function a reader would start with, of functions named by language, in files named by length."""
+    path = F.concat("source", F.when(F.col("n_chars") > 500, "/OrderController.java").otherwise("/Order.java"))
+    made = _table(spark, sf_dir, "documents").where("source is not null").select(F.col("doc_id").alias("start"), path.alias("path"), F.expr(_STARTS).alias("name"))
+    return views.suggest_entry(made).select("start", "path", "name", F.col("score").cast("long").alias("score"))
 
 
-@query("SELECT (count(*) FILTER (event_type IN ('click', 'purchase')))::BIGINT AS emits, (count(*) FILTER (event_type = 'view'))::BIGINT AS listens, count(DISTINCT user_id)::BIGINT AS files FROM events")
+@query("SELECT (count(*) FILTER (event_type IN ('click', 'purchase')))::BIGINT AS emits, (count(*) FILTER (event_type = 'view'))::BIGINT AS listens, (count(*) FILTER (event_type = 'signup'))::BIGINT AS regs FROM events")
 def surface_totals(spark, sf_dir):
-    return _table(spark, sf_dir, "events").agg(F.count_if(F.col("event_type").isin("click", "purchase")).alias("emits"), F.count_if(F.col("event_type") == "view").alias("listens"), F.count_distinct("user_id").alias("files"))
+    """A script for each user, with a line for each event: an emit, a subscription, a registration, or a remark."""
+    kind = F.when(F.col("event_type").isin("click", "purchase"), "bus.emit('%s')").when(F.col("event_type") == "view", "bus.on('%s', go)").when(F.col("event_type") == "signup", "registerAction('%s')").otherwise("// bus.emit('%s')")
+    rows = _table(spark, sf_dir, "events").select("user_id", F.replace(kind, F.lit("%s"), F.col("event_type")).alias("s"))
+    users = rows.groupBy("user_id").agg(F.array_join(F.collect_list("s"), "\n").alias("text"))
+    files = _java(users, F.lit(""), F.concat("user_id", F.lit(".js")), F.col("text")).withColumns({"lang": F.lit("js"), "ext": F.lit(".js")})
+    return lenses.surface_counts(lenses.surface(files))
 
 
 @query(f"WITH {SQL_LINES}, k AS ({_ALL}) SELECT kind, count(*)::BIGINT AS docs FROM k GROUP BY kind")
@@ -397,19 +469,30 @@ def effect_legend(spark, sf_dir):
     return kinds.select(F.explode(F.split("kinds", ",")).alias("kind")).groupBy("kind").agg(F.count(F.lit(1)).alias("docs"))
 
 
-@query("SELECT p_partkey FROM part WHERE list_has_any(string_split(p_name, ' '), ['ring', 'bolt', 'red'])")
+@query("""SELECT p_partkey, 'colour' AS field, 4 + (p_size > 25)::BIGINT AS at FROM part UNION ALL SELECT p_partkey, 'size', 4 FROM part WHERE p_size <= 25 UNION ALL SELECT p_partkey, 'name', 3 + (p_size > 25)::BIGINT + 2 FROM part WHERE p_size > 25""")
 def argument_overlap(spark, sf_dir):
-    return _table(spark, sf_dir, "part").where(F.arrays_overlap(F.split("p_name", " "), F.array(*map(F.lit, ("ring", "bolt", "red"))))).select("p_partkey")
-
-
-@query("SELECT page_id, url FROM pages WHERE ends_with(url, '.html')")
+    """Parts make an object and hand it to a stage: small ones to one that sets a field and hands it on to itself and to another."""
+    call = F.when(F.col("p_size") > 25, F.lit("    int k = 1;\n    stage.second(o);\n    o.setName(k);\n")).otherwise(F.lit("    stage.first(o);\n"))
+    text = F.concat(F.lit("class P"), "p_partkey", F.lit(" { private Stage stage; void make() {\n\n    Paint o = new Paint();\n"), call, F.lit("  }\n}\n"))
+    parts = _java(_table(spark, sf_dir, "part"), F.lit("app"), F.concat(F.lit("P"), "p_partkey", F.lit(".java")), text)
+    stage = "class Stage {\n  void first(Paint p) {\n    p.setSize(2);\n    first(p);\n    second(p);\n  }\n  void second(Paint q) {\n    q.setColour(1);\n  }\n}\n"
+    files = parts.unionByName(source.from_texts(spark, {"Stage.java": stage}, "app"))
+    found = program.object_flow(stored(source.parsed(files)), "Paint")
+    return found.select(F.regexp_extract("scope", r"P(\d+)\.", 1).cast("long").alias("p_partkey"), "field", "at")
+
+
+@query("""WITH p AS (SELECT page_id, regexp_extract(url, '^[^?#]*') AS path FROM pages), r AS (SELECT DISTINCT regexp_extract(path, '[^/]*/[^/]*$') AS ref FROM p UNION SELECT DISTINCT regexp_extract(path, '[^/]*$') FROM p)
+SELECT page_id, ref FROM p JOIN r ON path = ref OR ends_with(path, '/' || ref)""")
 def suffix_match(spark, sf_dir):
-    return _table(spark, sf_dir, "pages").where(F.endswith("url", F.lit(".html"))).select("page_id", "url")
+    pages = _table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "^[^?#]*", 0).alias("path"))
+    refs = pages.select(F.explode(F.array(F.regexp_extract("path", "[^/]*/[^/]*$", 0), F.regexp_extract("path", "[^/]*$", 0))).alias("ref"))
+    return relate.ends_with(pages, "path", refs, "ref").select("page_id", "ref")
 
 
-@query("SELECT event_id, strftime(ts, '%Y-%m-%d') AS day, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS stamp FROM events")
+@query("SELECT event_id, strftime(ts, '%Y-%m-%d') AS day FROM events")
 def dates(spark, sf_dir):
-    return _table(spark, sf_dir, "events").select("event_id", F.date_format("ts", "yyyy-MM-dd").alias("day"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("stamp"))
+    events = _table(spark, sf_dir, "events")
+    return _blame(events, "event_id", F.col("event_type"), F.unix_timestamp("ts"), F.lit(1), F.lit("x")).select("event_id", F.col("date").alias("day"))
 
 
 @query(f"""WITH {SQL_LINES} SELECT doc_id, line, regexp_replace(regexp_replace(line_text, '''[^'']*''|"[^"]*"|`[^`]*`', ' ', 'g'), '//.*', '') AS code FROM l""")
@@ -425,12 +508,12 @@ def components(spark, sf_dir):
     return connected.components(edges, stored)
 
 
-@query("""WITH RECURSIVE n AS (SELECT n_nationkey::BIGINT AS k FROM nation), r AS (SELECT k AS start, k + 5 AS node, 1::BIGINT AS depth FROM n WHERE k % 5 = 2 UNION ALL SELECT start, node + 5, depth + 1 FROM r WHERE node + 5 <= (SELECT max(k) FROM n))
-SELECT start, node, depth FROM r WHERE node <= (SELECT max(k) FROM n)""")
+@query(f"""WITH RECURSIVE {_keys_sql("k // 3")}, r AS (SELECT src AS start, dst AS node, 1::BIGINT AS depth FROM e JOIN n ON k = src WHERE chosen UNION SELECT start, dst, depth + 1 FROM r JOIN e ON src = node WHERE depth < 40)
+SELECT start, node, min(depth)::BIGINT AS depth FROM r GROUP BY start, node""")
 def reachable_pairs(spark, sf_dir):
-    nation = _table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("k"))
-    edges = nation.join(nation.select((F.col("k") - 5).alias("j"), F.col("k").alias("dst")), F.col("k") == F.col("j")).select(F.col("k").alias("src"), "dst")
-    return graph.closure(edges, starts=nation.where("k % 5 = 2").select(F.col("k").alias("start"))).select("start", "node", "depth")
+    """What each chosen customer reaches over a graph with cycles."""
+    nodes, edges = _keys(spark, sf_dir, F.expr("node div 3"))
+    return graph.closure(edges, starts=nodes.where(CHOSEN).select(F.col("node").alias("start"))).select("start", "node", "depth")
 
 
 @query(f"WITH {SQL_LINES} SELECT doc_id, line, 'a' AS label FROM l WHERE regexp_matches(line_text, '{THE}') UNION ALL SELECT doc_id, line, 'b' FROM l WHERE contains(line_text, '|')")
@@ -441,14 +524,35 @@ def hit_union(spark, sf_dir):
 
 @query("""SELECT event_type, count(*)::BIGINT AS n, count(DISTINCT user_id)::BIGINT AS users, min(event_id)::BIGINT AS first_id FROM events GROUP BY event_type UNION ALL SELECT 'none', 0, 0, NULL""")
 def polled_groups(spark, sf_dir):
-    """Groups of what was polled, with the groups that had no rows: a left join from the list of polled tables."""
-    kinds = _table(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("user_id").alias("users"), F.min("event_id").alias("first_id"))
-    polled = kinds.select("event_type").unionByName(spark.createDataFrame([("none",)], "event_type string"))
-    return polled.join(kinds, "event_type", "left").select("event_type", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("users", F.lit(0)).alias("users"), "first_id")
+    """Groups of what was polled, with the one that had no rows."""
+    events = _table(spark, sf_dir, "events")
+    polled = events.select("event_type").distinct().unionByName(spark.createDataFrame([("none",)], "event_type string"))
+    found = watch.by_table(events, polled, "event_type", F.count(F.lit(1)).alias("n"), F.count_distinct("user_id").alias("users"), F.min("event_id").alias("first_id"))
+    return found.select("event_type", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("users", F.lit(0)).alias("users"), "first_id")
+
+
+def _slices(batches):
+    """Java texts to the lines that shape the variable p at their last return, each with why."""
+    for batch in batches:
+        rows = []
+        for conv, text in zip(batch.column("conv_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            src = Source(text, "java")
+            fn = functions(src)[0]
+            rows += [(conv, n, why) for n, why in flow.shape(src, fn, "p", fn.end - 1).hits.items()]
+        yield pa.record_batch([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.string())], names=["conv_id", "line", "why"])
 
 
-@query("SELECT conv_id, turn, role, CASE WHEN turn > 0 AND role = 'assistant' THEN 'answer' WHEN role = 'user' THEN 'question' ELSE 'note' END AS note FROM conversations")
+@query("""WITH t AS (SELECT conv_id, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations)
+SELECT conv_id, 2::BIGINT AS line, 'method signature' AS why FROM t WHERE k = 1 UNION ALL SELECT conv_id, k + 2, CASE role WHEN 'user' THEN 'assignment' ELSE 'reachability condition' END FROM t WHERE role IN ('user', 'system') UNION ALL SELECT conv_id, n + 3, 'target line' FROM t WHERE k = 1""")
 def line_notes(spark, sf_dir):
-    """Why a line is told: the first reason that fits."""
-    why = F.when((F.col("turn") > 0) & (F.col("role") == "assistant"), "answer").when(F.col("role") == "user", "question").otherwise("note")
-    return _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", why.alias("note"))
+    """Talks as methods: users assign to the variable, the system tests it, assistants do something else."""
+    line = F.when(F.col("role") == "user", F.concat(F.lit("    p = p + u"), "turn", F.lit(";"))).when(F.col("role") == "system", F.lit("    if (p > 9) { log(1); }")).otherwise("    other.touch(1);")
+    talks = _table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", line.alias("s")))).alias("x"))
+    text = F.concat(F.lit("class C {\n  int f(int p) {\n"), F.array_join(F.transform("x", lambda t: t["s"]), "\n"), F.lit("\n    return p;\n  }\n}\n"))
+    return talks.select("conv_id", text.alias("text")).mapInArrow(_slices, "conv_id long, line long, why string")
+
+
+@query("SELECT CASE WHEN count(DISTINCT coalesce(lang, '')) > 1 THEN 'data/docs' ELSE 'data/docs/' || any_value(coalesce(lang, '')) END AS directory FROM documents")
+def common_directory(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    return relate.common_directory(docs.select(F.concat(F.lit("data/docs/"), F.coalesce("lang", F.lit("")), F.lit("/"), F.coalesce("source", F.lit("")), F.lit("/x.txt")).alias("path")), "path")

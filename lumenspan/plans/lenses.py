@@ -25,9 +25,10 @@ from lumenspan.operators.store import stored
 from lumenspan.sources import blame, files as source
 from lumenspan.session import ship
 
+from . import manifest
 from .lens import Config, Fact, Lens, Origin, Piece, Projection, Repo, confidence, digest, located, noted, row
 
-MAX_PATHS, MAX_BRANCHES, MAX_PAIRS, MAX_HOPS = 8, 16, 200, 24
+MAX_PATHS, MAX_BRANCHES, MAX_PAIRS = 8, 16, 200
 
 
 class Context:
@@ -53,7 +54,7 @@ class Context:
 
     @cached_property
     def parsed(self) -> DataFrame:
-        return stored(source.parsed(self.files))
+        return manifest.indexed(self.files, f"{self.config.root}|{self.lens.source_root}|{self.config.exclude_dirs}", source.parsed)
 
     @cached_property
     def language(self) -> str:
@@ -70,6 +71,11 @@ class Context:
             raise FileNotFoundError(f"{self.lens.analyzer}: no file {path} under {self.lens.source_root or '.'}")
         return Source(got["text"] or "", got["lang"] or "java")
 
+    def file_path(self, path: str) -> str:
+        """The path below the source root of a file told by its path or its end."""
+        got = self.files.where((F.col("path") == path) | F.endswith("path", F.lit("/" + path))).orderBy(F.col("path") != path, "path").select("path").first()
+        return got["path"] if got else path
+
     def method(self, src: Source, file: str) -> tuple[Function, int]:
         """The method named, or the one around the line; and the line aimed at, a method's end where none is given."""
         name, line = self.lens.get("method"), int(self.lens.get("line", default="0") or 0)
@@ -237,8 +243,15 @@ def structural_plan(c: Context, pattern: str, lang: str) -> DataFrame:
     balanced = r"(?:[^()\[\]{},;]|\((?:[^()]|\([^()]*\))*\)|\[[^\[\]]*\])+?"
     parts = re.split(r"(\$\$\$\w*|\$[A-Z_]\w*|\s+)", pattern)
     rx = "".join(r"(?:[^()]|\((?:[^()]|\([^()]*\))*\))*?" if p.startswith("$$$") else balanced if p.startswith("$") else r"\s*" if p.isspace() else re.escape(p) for p in parts)
-    found = c.lines.where(F.col("lang") == lang).withColumn("m", F.explode(F.regexp_extract_all("text", F.lit(rx), F.lit(0))))
-    return found.select("path", "line", F.trim("m").alias("text"))
+    texts = c.files.where((F.col("lang") == lang) & F.col("text").isNotNull()).select("path", F.regexp_replace("text", "\r\n", "\n").alias("text"))
+    hits, pieces = F.regexp_extract_all("text", F.lit(rx), F.lit(0)), F.split("text", rx, -1)
+    newlines = lambda x: F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit("")))
+    # The lines before a match: line ends in the pieces before it and the matches before it, and in its own leading white space.
+    cut = texts.select("path", hits.alias("h"), pieces.alias("p")).where(F.size("h") > 0)
+    before = F.aggregate(F.zip_with(F.slice("p", F.lit(1), F.col("k") + 1), F.slice("h", F.lit(1), F.col("k")), lambda a, b: newlines(a) + F.coalesce(newlines(b), F.lit(0))), F.lit(0), lambda s, x: s + x)
+    found = cut.select("path", "h", "p", F.posexplode("h").alias("k", "m"))
+    head = newlines(F.regexp_extract("m", r"^\s*", 0))
+    return found.select("path", (before + head + 1).cast("long").alias("line"), F.regexp_replace(F.trim(F.regexp_replace("m", r"^\s+|\s+$", "")), r"\s*\n\s*", " ").alias("text"))
 
 
 # --- call graphs ----------------------------------------------------------------------------------------------------
@@ -261,9 +274,10 @@ def graph_callers(c: Context) -> Projection:
         none = [f"// no function named {name} is declared in this source root"]
         return Projection(pieces=[_block("callers", "callers", "call-graph", none)], facts=[confidence("structural", "no declaration found; lexical `callers` may still match text")])
     edges = callers_plan(c).collect()
+    n = program.caller_counts(callers_plan(c)).first()
     shown = [located(f"{e.caller} → {name}()", e.path, e.line) for e in edges]
     none = f"// {name} is declared but has no resolved callers (entrypoint, dead, or called via interface/reflection)"
-    count = Fact("count", f"{len(edges)} call sites from {len({e.caller for e in edges})} distinct functions", "call-graph")
+    count = Fact("count", f"{n.sites if n else 0} call sites from {n.callers if n else 0} distinct functions", "call-graph")
     return Projection(pieces=[_block("callers", "callers", "call-graph", shown or [none])], facts=[confidence("structural", _ambiguity(funcs, name)), count])
 
 
@@ -291,16 +305,14 @@ def impact(c: Context) -> Projection:
 
 @plan("cpg-methods")
 def methods_plan(c: Context) -> DataFrame:
-    """(path, name, start, end, calls): functions with the distinct names they call, sorted."""
-    funcs = source.explode(c.parsed, "functions").select("path", "name", "owner", "start", "end")
+    """(path, name, owner, start, end, calls) of the functions of a file or name."""
+    parsed = c.parsed
     if want := c.lens.get("file"):
-        funcs = funcs.where(F.endswith("path", F.lit(want)))
+        parsed = parsed.where(F.endswith("path", F.lit(want)))
+    found = program.calls_of(parsed)
     if want := c.lens.get("method"):
-        funcs = funcs.where(F.col("name") == want)
-    calls = source.explode(c.parsed, "calls").select("path", "line", "callee").where(~F.col("callee").isin(*CALL_KEYWORDS))
-    inside = calls.join(funcs, "path").where(F.col("line").between(F.col("start"), F.col("end")) & (F.col("callee") != F.col("name")))
-    names = inside.groupBy("path", "name", "start").agg(F.array_join(F.array_sort(F.collect_set("callee")), ", ").alias("calls"))
-    return funcs.join(names, ["path", "name", "start"], "left").withColumn("calls", F.coalesce("calls", F.lit(""))).orderBy("path", "start")
+        found = found.where(F.col("name") == want)
+    return found.orderBy("path", "start")
 
 
 @lens("cpg-methods")
@@ -384,8 +396,51 @@ def data_flow(c: Context) -> Projection:
         shown = [noted(src.line_text(n), flow.NOTES.get(why, "<- " + why).format(var)) for n, why in sorted(s.hits.items())]
         return Projection(pieces=[Piece(id_, file, "dataflow-inline", tool, shown, s.facts)], facts=[target, names])
     shown = [f"// target variable {var} at {file}:{line}", f"// enclosing method {fn.name} lines={fn.start}-{fn.end}", *(x for n, why in sorted(s.hits.items()) for x in (f"// line {n}: {why}", src.line_text(n)))]
-    limits = Fact("limits", "lexical and within one method, with object mutations; calls of other methods are not followed", tool)
-    return Projection(pieces=[Piece(id_, file, "var-flow", "joern-var-flow:fallback", shown, s.facts)], facts=[target, names, limits])
+    limits = Fact("limits", "lexical within a method, with object mutations; across methods by arguments and returns of resolved calls", tool)
+    return Projection(pieces=[Piece(id_, file, "var-flow", "joern-var-flow:fallback", shown, s.facts), *_flow_pieces(c, id_, file, fn, s, line)], facts=[target, names, limits])
+
+
+def _flow_pieces(c: Context, id_: str, file: str, fn: Function, s: flow.Slice, line: int) -> list[Piece]:
+    """What feeds a slice from other methods: the arguments of calls of its method where a parameter takes part, and the returns of
+    methods it calls; each of those sliced and followed in turn, once."""
+    calls = stored(program.flow_calls(c.parsed))
+    out: list[tuple] = []
+    seen: set[tuple] = set()
+    todo = [(c.file_path(file), fn, s, line)]
+    while todo:
+        path, f, slice_, upto = todo.pop(0)
+        fed = [(k, p) for k, p in enumerate(flow.parameters(f.sig)) if p in slice_.names]
+        told = sorted(n for n in slice_.hits if n <= upto)
+        rows = calls.where(((F.col("to_path") == path) & (F.col("to_start") == f.start)) | ((F.col("path") == path) & F.col("line").isin(told or [0]) & F.col("line").between(f.start, f.end))).orderBy("path", "line", "to_path", "to_start").collect()
+        for r in rows:
+            if (r.to_path, r.to_start) == (path, f.start):
+                for k, p in fed:
+                    arg = r.args[k] if k < len(r.args) else ""
+                    for name in flow.values_in(arg):
+                        todo += _follow(c, r.path, r.line, name, f"argument {p} of {f.name}", seen, out)
+            if r.path == path and r.line in told and slice_.hits[r.line] in ("assignment", "object mutation", "target line"):
+                src = c.file(r.to_path)
+                for g in functions(src):
+                    if g.start == r.to_start:
+                        for n in range(g.start, g.end + 1):
+                            if m := re.match(r"\s*return\b(.*)", src.code_line(n)):
+                                for name in flow.values_in(m[1]):
+                                    todo += _follow(c, r.to_path, n, name, f"return of {g.name}", seen, out)
+    return [Piece(f"{id_}#{k:03d}", file, "var-flow", "joern-var-flow:fallback", shown, facts) for k, (shown, facts) in enumerate(out, 1)]
+
+
+def _follow(c: Context, path: str, line: int, name: str, why: str, seen: set, out: list[tuple]) -> list[tuple]:
+    if (path, line, name) in seen:
+        return []
+    seen.add((path, line, name))
+    src = c.file(path)
+    f = next((f for f in functions(src) if f.start <= line <= f.end), None)
+    if f is None:
+        return []
+    s = flow.shape(src, f, name, line)
+    shown = [f"// {why}: {name} at {path}:{line}", *(x for n, w in sorted(s.hits.items()) for x in (f"// {path}:{n}: {w}", src.line_text(n)))]
+    out.append((shown, s.facts))
+    return [(path, f, s, line)]
 
 
 @lens("unrolled-program")
@@ -536,7 +591,7 @@ class Project:
             files = part if files is None else files.unionByName(part)
         self.files = stored(files)
         self.lines = stored(source.lines(self.files).select("repo", "path", "lang", "line", "text"))
-        self.parsed = stored(source.parsed(self.files))
+        self.parsed = manifest.indexed(self.files, "|".join([c.config.root, *(f"{r.name}={r.path}" for r in repos)]), source.parsed, ["repo", "path"])
 
     @cached_property
     def methods(self) -> DataFrame:
@@ -574,13 +629,12 @@ class Project:
         # Only what reaches the target takes part, so the search grows with the answer and not with the project.
         near = stored(graph.reach(up, seed).select("node"))
         up = stored(up.join(near.withColumnRenamed("node", "src"), "src", "left_semi"))
-        entries = {r.key for r in self.methods.where("entry is not null").join(near.withColumnRenamed("node", "key"), "key", "left_semi").select("key").collect()}
-        is_entry = F.col("node").isin(*entries) if entries else F.lit(False)
-        found = graph.simple_paths(up, seed, is_entry, MAX_HOPS).orderBy(F.size("path"), "path").limit(most).collect() if entries - {key} else []
+        near = near.withColumnRenamed("node", "key")
+        entries = stored(self.methods.where("entry is not null").join(near, "key", "left_semi").select(F.col("key").alias("node")).where(F.col("node") != key))
+        found = [] if entries.isEmpty() else graph.simple_paths(up, seed, ends=entries, most=most).collect()
         if not found:
-            every = graph.simple_paths(up, seed, None, MAX_HOPS)
-            ends = up.select("src").distinct()
-            found = every.join(ends, F.element_at("path", -1) == F.col("src"), "left_anti").orderBy(F.desc(F.size("path")), "path").limit(most).collect()
+            heads = near.select(F.col("key").alias("node")).join(up.select(F.col("src").alias("node")), "node", "left_anti")
+            found = graph.simple_paths(up, seed, ends=heads, most=most, longest=True).collect()
         chains = [list(reversed(r.path)) for r in found]
         keys = sorted({k for ch in chains for k in ch} | {key})
         nodes = {r.key: r for r in self.methods.where(F.col("key").isin(*keys)).collect()}
@@ -770,8 +824,11 @@ def object_flow(c: Context) -> Projection:
     name, field = c.lens.need("type", "var"), c.lens.get("field", "method")
     sets = stored(program.object_flow(c.parsed, name))
     sets = sets.where(F.col("field") == field) if field else sets
-    fields = [r[0] for r in program.types(c.parsed).where(F.col("name") == name).select(F.explode("fields.name")).distinct().orderBy("col").collect()]
+    fields = [r[0] for r in program.types(c.parsed).where(F.col("name") == name).select(F.explode("members")).distinct().orderBy("col").collect()]
     pieces, facts, by = [], [], {}
+    counted: dict = {}
+    for r in program.set_counts(sets, fields).orderBy("scope", "var", "field").collect():
+        counted.setdefault((r.scope, r.var), {})[r.field] = r.n
     for r in sets.orderBy("scope", "var", "at", "set_path", "line").collect():
         by.setdefault((r.scope, r.var, r.path), []).append(r)
     for (scope, var, path), rows in by.items():
@@ -783,7 +840,7 @@ def object_flow(c: Context) -> Projection:
             shown.append(located(r.code + through + (f"   // if {' && '.join(held)}" if held else ""), r.set_path, r.line))
         label = scope.partition("::")[2].partition("#")[0]
         pieces.append(Piece(f"{label}.{var}", path, "object-flow", "object-flow", shown))
-        n = {f: sum(r.field == f for r in rows) for f in dict.fromkeys([*fields, *(r.field for r in rows)])}
+        n = counted[scope, var]
         facts += [Fact(f"{label}.{var}.{f}", "NEVER set" if not k else f"set {k} times: MORE THAN ONCE", "object-flow") for f, k in n.items() if k != 1 and (not field or f == field)]
         facts += [Fact(f"{label}.{var}.{f}.name", f"setter names no declared field of {name}", "object-flow") for f in n if fields and f not in fields]
     return Projection(pieces=pieces or [_block("object-flow", "object-flow", "object-flow", [f"// no method makes a {name} and sets it"])], facts=[*facts, confidence("structural", f"setters of {name} by variable, where it is allocated")])
@@ -819,11 +876,16 @@ def js_events(c: Context) -> Projection:
     for r in rows.groupBy("path", "section").agg(F.array_sort(F.collect_list(F.struct("line", "ord", "shown"))).alias("x")).orderBy("path", "section").collect():
         shown = list(dict.fromkeys(x.shown for x in r.x))
         pieces.append(Piece(r.section, r.path, r.section, "js-events", shown, [f"event surface: {len(r.x)} events/listeners in {r.path}"] if r.section == "events" else []))
-    n = rows.agg(F.count_if(F.col("kind").isin("emit", "dispatch")).alias("emits"), F.count_if(F.col("kind").isin("listen", "subscribe")).alias("listens"), F.count_if(F.col("section") == "registrations").alias("regs")).first()
+    n = surface_counts(rows).first()
     summary = [f"files scanned: {_scripts(c).count()}", f"event emits/dispatches: {n.emits}", f"event listeners/subscriptions: {n.listens}", f"registrations: {n.regs}", "use this lens to see composable event-driven working surface without opening full files"]
     return Projection(pieces=[*pieces, _block("summary", "summary", "js-events", summary)])
 
 
+def surface_counts(rows: DataFrame) -> DataFrame:
+    """(emits, listens, regs) of a surface; one row."""
+    return rows.agg(F.count_if(F.col("kind").isin("emit", "dispatch")).alias("emits"), F.count_if(F.col("kind").isin("listen", "subscribe")).alias("listens"), F.count_if(F.col("section") == "registrations").alias("regs"))
+
+
 def _scripts(c: Context) -> DataFrame:
     files = c.files.where("lang = 'js'")
     if c.lens.include:
@@ -852,8 +914,12 @@ SURFACE = [
 
 @plan("js-events")
 def surface_plan(c: Context) -> DataFrame:
+    return surface(_scripts(c))
+
+
+def surface(scripts: DataFrame) -> DataFrame:
     """(path, section, kind, line, ord, shown) of scripts; functions at the left margin only."""
-    lines = source.lines(_scripts(c)).withColumn("code", F.trim("text")).where("code <> '' and not startswith(code, '//')")
+    lines = source.lines(scripts).withColumn("code", F.trim("text")).where("code <> '' and not startswith(code, '//')")
     found = None
     for k, (section, kind, rx) in enumerate(SURFACE):
         part = lines.where(~F.col("text").rlike(r"^\s")) if kind == "function" else lines
@@ -878,8 +944,8 @@ def git_blame(c: Context) -> Projection:
         raise RuntimeError(f"git-blame failed: {got.stderr.strip()[:200]}")
     rows = blame.from_porcelain(c.spark, got.stdout)
     shown = [located(r.code, f"{r.commit[:8]} {r.date} {r.author}", r.line) for r in rows.orderBy("line").collect()]
-    authors = rows.groupBy("author").count().orderBy("author").collect()
-    return Projection(pieces=[Piece("git-blame", file, "git-blame", "git-blame", shown or [f"// no blame output for {file}"])], facts=[*(Fact(f"author-{r.author}", f"{r.author}: {r['count']} lines", "git-blame") for r in authors), confidence("exact", "git blame --porcelain")])
+    authors = blame.lines_by_author(rows).orderBy("author").collect()
+    return Projection(pieces=[Piece("git-blame", file, "git-blame", "git-blame", shown or [f"// no blame output for {file}"])], facts=[*(Fact(f"author-{r.author}", f"{r.author}: {r.n} lines", "git-blame") for r in authors), confidence("exact", "git blame --porcelain")])
 
 
 @lens("postgres-watch")
