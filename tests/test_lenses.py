@@ -374,3 +374,81 @@ def test_watch_lens(spark, tmp_path):
     assert p.fact("dev.default.events") == "new_rows=2 last_id=3 window=10m"
     assert [x.split(",", 4)[4] for x in shown(p)] == ["id,kind,amount", '2,"a,b",', '3,"a,b",30']
     assert run(spark, config, lens).fact("dev.default.events").startswith("new_rows=0")
+
+
+FLOW = {
+    "src/A.java": """class A {
+    private B b;
+    void go(int seed) {
+        int start = seed + 1;
+        Parcel parcel = new Parcel();
+        b.pack(parcel, start);
+    }
+}
+""",
+    "src/B.java": """class B {
+    private C c;
+    void pack(Parcel box, int weight) {
+        int total = weight * 2;
+        c.seal(box, total);
+        box.setWeight(total);
+    }
+}
+""",
+    "src/C.java": """class C {
+    void seal(Parcel thing, int grams) {
+        int half = part(grams);
+        thing.setGrams(half);
+        seal(thing, half);
+        finish(thing);
+    }
+    int part(int whole) {
+        int result = whole / 2;
+        return result;
+    }
+    void finish(Parcel last) {
+        last.setDone(1);
+    }
+}
+""",
+    "src/Parcel.java": "class Parcel {\n    private int weight;\n    private int grams;\n    private int done;\n    private int never;\n}\n",
+}
+
+
+def test_variables_are_followed_over_methods(spark, tmp_path):
+    config = tree(tmp_path, FLOW)
+    p = run(spark, config, Lens("joern-var-flow", params={"file": "src/C.java", "line": "4", "var": "half"}))
+    heads = [x.lines[0] for x in p.pieces[1:]]
+    assert heads[0].startswith("// ") and any("return of part: result" in h for h in heads)
+    assert any("argument grams of seal: total at src/B.java:5" in h for h in heads)
+    assert any("argument weight of pack: start at src/A.java:6" in h for h in heads)
+    assert any("int start = seed + 1;" in x for x in shown(p))
+
+
+def test_objects_are_followed_through_any_number_of_calls(spark, tmp_path):
+    p = run(spark, tree(tmp_path, FLOW), Lens("object-flow", params={"type": "Parcel"}))
+    facts = {f.id: f.text for f in p.facts}
+    assert facts["A.go.parcel.never"] == "NEVER set" and "A.go.parcel.done" not in facts and "A.go.parcel.grams" not in facts
+    assert sum("setDone" in x for x in shown(p)) == 1 and sum("setGrams" in x for x in shown(p)) == 1
+
+
+def test_structures_over_several_lines(spark, tmp_path):
+    config = tree(tmp_path, {"a.go": "package a\n\nfunc f() {\n\tsave(\n\t\tx,\n\t\ty(1))\n\tsave(z, w)\n}\n", "b.go": "package a\n\nfunc g() { load(1) }\n"})
+    p = run(spark, config, Lens("ast-grep", params={"pattern": "save( $A, $B )", "lang": "go"}))
+    assert len(shown(p)) == 2
+    assert any("save( x, y(1))" in x and x.endswith("a.go:4") for x in shown(p)) and any(x.endswith("a.go:7") for x in shown(p))
+
+
+def test_paths_to_a_line_with_many_ways(spark, tmp_path):
+    """Eight layers of four classes, each calling all of the next: 4 ** 8 ways from the entry, of which eight are told."""
+    layers = 8
+    texts = {"src/Top.java": "class Top {\n" + "".join(f"    private L0x{j} f{j};\n" for j in range(4)) + '    @PostMapping("/x")\n    void start() {\n' + "".join(f"        f{j}.step();\n" for j in range(4)) + "    }\n}\n"}
+    for i in range(layers):
+        for j in range(4):
+            fields = "".join(f"    private L{i + 1}x{k} f{k};\n" for k in range(4 if i < layers - 1 else 1))
+            calls = "".join(f"        f{k}.step();\n" for k in range(4 if i < layers - 1 else 1))
+            texts[f"src/L{i}x{j}.java"] = f"class L{i}x{j} {{\n{fields}    void step() {{\n{calls}    }}\n}}\n"
+    texts[f"src/L{layers}x0.java"] = f"class L{layers}x0 {{\n    void step() {{\n        int x = 1;\n    }}\n}}\n"
+    config = tree(tmp_path, texts)
+    p = run(spark, config, Lens("trace-to-line", params={"symbol": f"L{layers}x0.step", "repos": json.dumps([{"name": "r", "path": "src"}])}))
+    assert len(p.extra) == 8

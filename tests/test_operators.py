@@ -294,3 +294,65 @@ def test_command_line(spark, tmp_path, capsys, monkeypatch):
     assert cli.main(["workspace", "add", "p", "."]) == 0
     assert cli.main(["perf"]) == 0
     assert '"flows": 0' in capsys.readouterr().out
+
+
+def test_paths_end_after_as_many_as_asked(spark):
+    """Twelve layers of four nodes, each linked to all of the next and back: millions of simple paths, of which five are asked for."""
+    layers = [[f"n{i:02d}{j}" for j in range(4)] for i in range(12)]
+    pairs = [(a, b) for x, y in zip(layers, layers[1:], strict=False) for a in x for b in y]
+    pairs += [(b, a) for a, b in pairs] + [("s", n) for n in layers[0]] + [(n, "t") for n in layers[-1]] + [("s", "trap"), ("trap", "s")]
+    edges = spark.createDataFrame(pairs, "src string, dst string")
+    one = lambda n: spark.createDataFrame([(n,)], "node string")
+    got = [r.path for r in graph.simple_paths(edges, one("s"), ends=one("t"), most=5, open_most=50).collect()]
+    want = [["s", *(f"n{i:02d}0" for i in range(11)), f"n11{j}", "t"] for j in range(4)] + [["s", *(f"n{i:02d}0" for i in range(10)), "n101", "n110", "t"]]
+    assert got == want
+    assert graph.simple_paths(edges, one("s"), ends=one("nowhere"), most=5).count() == 0
+    ring = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d")], "src string, dst string")
+    assert [r.path for r in graph.simple_paths(ring, one("a"), ends=one("d"), most=9).collect()] == [["a", "b", "c", "d"]]
+    assert [r.path for r in graph.simple_paths(ring, one("a"), ends=one("d").union(one("b")), most=1, longest=True).collect()] == [["a", "b"]]
+
+
+def test_an_index_computes_what_changed(spark):
+    from lumenspan.plans import manifest
+    from lumenspan.sources import files as source
+
+    done = []
+
+    def compute(files):
+        done.append(sorted(r.path for r in files.select("path").collect()))
+        return files.selectExpr("path", "length(text) AS n")
+
+    def index(texts):
+        return {r.path: r.n for r in manifest.indexed(source.from_texts(spark, texts), "t", compute).collect()}
+
+    assert index({"a.go": "x", "b.go": "yy"}) == {"a.go": 1, "b.go": 2}
+    assert index({"a.go": "x", "b.go": "yy"}) == {"a.go": 1, "b.go": 2}
+    assert index({"a.go": "xxx", "c.go": "z"}) == {"a.go": 3, "c.go": 1}
+    assert done == [["a.go", "b.go"], ["a.go", "c.go"]]
+
+
+def test_no_folder_of_one_machine_on_a_cluster():
+    from lumenspan.operators import store
+
+    class Cluster:
+        master = "spark://somewhere:7077"
+
+        def getCheckpointDir(self):  # noqa: N802
+            return None
+
+    class Session:
+        sparkContext = Cluster()  # noqa: N815
+        conf = {}
+
+    with pytest.raises(RuntimeError, match="checkpoint.dir"):
+        store.shared_dir(Session())
+
+
+def test_common_directory_and_endings(spark):
+    from lumenspan.operators import relate
+
+    common = lambda *paths: relate.common_directory(spark.createDataFrame([(p,) for p in paths], "path string"), "path").first()[0]
+    assert common("a/b/c.go", "a/b/d/e.go") == "a/b" and common("a/bc/x", "a/bd/x") == "a" and common("x.go", "a/y.go") == "." and common("a/x") == "a"
+    paths, refs = spark.createDataFrame([("a/b/c.go",), ("xb/c.go",)], "path string"), spark.createDataFrame([("b/c.go",), ("c.go",), ("a/b/c.go",)], "ref string")
+    got = {tuple(r) for r in relate.ends_with(paths, "path", refs, "ref").collect()}
+    assert got == {("a/b/c.go", "b/c.go"), ("a/b/c.go", "c.go"), ("a/b/c.go", "a/b/c.go"), ("xb/c.go", "c.go")}
