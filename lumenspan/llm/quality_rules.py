@@ -4,7 +4,8 @@ Each text gives two histograms, of character classes and of common words, and th
 the mean of the normalised histograms of all its documents that are long enough and pass the base rules, taken a second
 time without those that the first reference fails, so that junk does not shift what junk is measured by. A document's
 verdict compares it with the reference of its language by the Jensen-Shannon distance (the root of the divergence in bits,
-0 to 1); documents below the least length, whose histograms would be noise, are not judged by it, nor are those of a
+0 to 1): from MAX_CHAR_DISTANCE on in characters it fails; in words, from WORD_SHARE of the distance on that a text without
+any common word has from that reference, which only depends on the reference. Documents below the least length, whose histograms would be noise, are not judged by it, nor are those of a
 language with fewer than LEAST_DOCS reference documents, which are compared with the reference of all languages instead.
 
 One pass over the texts makes the features, about 0.5 kB a document, which are written as a table; the references are means
@@ -38,9 +39,9 @@ SYMBOLS = b"#*$%&|<>"
 LEAST_WORDS = 50
 LEAST_CHARS = 300
 LEAST_DOCS = 20
-#: Distances from here on fail.
+#: Distances from here on fail; that of words as a share of the distance of a text without common words.
 MAX_CHAR_DISTANCE = 0.3
-MAX_WORD_DISTANCE = 0.6
+WORD_SHARE = 0.85
 
 #: Classes of characters: white space, lower case, upper case, digits, listed symbols, other punctuation, beyond ASCII.
 _CLASSES = 7
@@ -124,22 +125,28 @@ def references(used: DataFrame) -> DataFrame:
     return means.groupBy(F.col("lang").alias("r_lang")).agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda s: s["x"]).alias("means"))
 
 
+def word_limits(others: np.ndarray) -> np.ndarray:
+    """Of references by their shares of words that are not common: WORD_SHARE of the distance to a text of such words alone."""
+    log = lambda x: np.log2(np.where(x > 0, x, 1))
+    return WORD_SHARE * np.sqrt(np.maximum(1 - others + others * log(2 * others / (1 + others)) + log(2 / (1 + others)), 0) / 2)
+
+
 def _distances(chars: Column, common: Column, means: Column) -> Column:
-    @F.arrow_udf("struct<char_distance:double,word_distance:double>")
+    @F.arrow_udf("struct<char_distance:double,word_distance:double,word_limit:double>")
     def run(chars: pa.Array, common: pa.Array, means: pa.Array) -> pa.Array:
         q = _matrix(means, _CLASSES + len(WORDS) + 1)
-        near = js_distance(_shares(_matrix(chars, _CLASSES)), q[:, :_CLASSES]), js_distance(_shares(_matrix(common, len(WORDS) + 1)), q[:, _CLASSES:])
-        return pa.StructArray.from_arrays([pa.array(x, pa.float64()) for x in near], names=["char_distance", "word_distance"])
+        near = js_distance(_shares(_matrix(chars, _CLASSES)), q[:, :_CLASSES]), js_distance(_shares(_matrix(common, len(WORDS) + 1)), q[:, _CLASSES:]), word_limits(q[:, -1])
+        return pa.StructArray.from_arrays([pa.array(x, pa.float64()) for x in near], names=["char_distance", "word_distance", "word_limit"])
 
     return run(chars, common, means)
 
 
 def _far() -> Column:
-    return F.coalesce((F.col("char_distance") >= MAX_CHAR_DISTANCE) | (F.col("word_distance") >= MAX_WORD_DISTANCE), F.lit(False))
+    return F.coalesce((F.col("char_distance") >= MAX_CHAR_DISTANCE) | (F.col("word_distance") >= F.col("word_limit")), F.lit(False))
 
 
 def divergence(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """docs without the text, with the base counts, base_failed, char_distance, word_distance and kept."""
+    """docs without the text, with the base counts, base_failed, char_distance, word_distance, word_limit and kept."""
     own = [c for c in docs.columns if c != text_col]
     made = written(docs.select(F.struct(*own).alias("own") if own else F.lit(None).cast("int").alias("own"), F.col(lang_col).alias("lang"), _features(F.col(text_col)).alias("f")).select("own", "lang", "f.*"))
     plain = made.withColumn("base_failed", (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
@@ -156,13 +163,13 @@ def divergence(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
         met = met.join(F.broadcast(of_all), F.lit(True), "left").withColumn("means", F.coalesce("means", "all_means"))
         uniform = F.array_repeat(F.lit(0.0), _CLASSES + len(WORDS) + 1)
         d = _distances(F.col("chars"), F.col("common"), F.coalesce("means", uniform))
-        f = met.withColumn("d", d).withColumns({k: F.when(long & F.col("means").isNotNull(), F.col(f"d.{k}")) for k in ("char_distance", "word_distance")})
-    return f.withColumn("kept", ~F.col("base_failed") & ~_far()).select("own", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_distance", "word_distance")
+        f = met.withColumn("d", d).withColumns({k: F.when(long & F.col("means").isNotNull(), F.col(f"d.{k}")) for k in ("char_distance", "word_distance", "word_limit")})
+    return f.withColumn("kept", ~F.col("base_failed") & ~_far()).select("own", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_distance", "word_distance", "word_limit")
 
 
 def op3_quality_rules(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
-    return divergence(docs).select(F.col("own.doc_id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *(F.round(k, 6).alias(k) for k in ("char_distance", "word_distance")))
+    return divergence(docs).select(F.col("own.doc_id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *(F.round(k, 6).alias(k) for k in ("char_distance", "word_distance", "word_limit")))
 
 
 _SPACE = r"[\x20\x09-\x0D]"
@@ -170,6 +177,8 @@ _COUNT = "length(regexp_replace(t, '[^{}]', '', 'g'))"
 _WORDS_SQL = ",".join("'" + w.replace("'", "''") + "'" for w in WORDS)
 _JS = "sqrt(greatest(0, (coalesce(sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END), 0) + coalesce(sum(CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END), 0)) / 2))"
 
+_LIMIT = f"{WORD_SHARE}::DOUBLE * sqrt(greatest(0, 1 - qo + CASE WHEN qo > 0 THEN qo * log2(2 * qo / (1 + qo)) ELSE 0 END + log2(2 / (1 + qo))) / 2)"
+
 
 def _round_sql(k: int, used: str) -> str:
     """References of the documents in `used`, and all long documents' distances from them."""
@@ -179,7 +188,7 @@ r{k} AS (SELECT u.lang, h, k, sum(p) / any_value(n.n) AS q FROM {used} u JOIN n{
 s{k} AS (SELECT h, k, sum(p) / (SELECT n FROM a{k}) AS q FROM {used} u JOIN shares s ON s.doc_id = u.doc_id GROUP BY h, k),
 e{k} AS (SELECT l.doc_id, g.h, g.k, CASE WHEN l.lang IN (SELECT lang FROM n{k}) THEN coalesce(r.q, 0) ELSE coalesce(s.q, 0) END AS q, coalesce(p.p, 0) AS p
   FROM (SELECT doc_id, lang FROM base WHERE long AND (SELECT n FROM a{k}) > 0) l CROSS JOIN keys g LEFT JOIN r{k} r ON r.lang = l.lang AND r.h = g.h AND r.k = g.k LEFT JOIN s{k} s ON s.h = g.h AND s.k = g.k LEFT JOIN shares p ON p.doc_id = l.doc_id AND p.h = g.h AND p.k = g.k),
-d{k} AS (SELECT doc_id, max(CASE WHEN h = 'c' THEN js END) AS cd, max(CASE WHEN h = 'w' THEN js END) AS wd FROM (SELECT doc_id, h, {_JS} AS js FROM e{k} GROUP BY doc_id, h) GROUP BY doc_id)"""
+d{k} AS (SELECT doc_id, max(CASE WHEN h = 'c' THEN js END) AS cd, max(CASE WHEN h = 'w' THEN js END) AS wd, max(CASE WHEN h = 'w' THEN {_LIMIT} END) AS wl FROM (SELECT doc_id, h, {_JS} AS js, coalesce(max(CASE WHEN k = '' THEN q END), 0) AS qo FROM e{k} GROUP BY doc_id, h) GROUP BY doc_id)"""
 
 
 SQL_OP3 = rf"""
@@ -197,6 +206,6 @@ common AS (SELECT doc_id, CASE WHEN v IN ({_WORDS_SQL}) THEN v ELSE '' END AS k,
 counts AS (SELECT doc_id, 'w' AS h, k, n FROM common UNION ALL SELECT doc_id, 'c', unnest(['0', '1', '2', '3', '4', '5', '6']), unnest([c0, c1, c2, c3, c4, n - c0 - c1 - c2 - c3 - c4 - c6, c6]) FROM c),
 shares AS (SELECT doc_id, h, k, n / greatest(sum(n) OVER (PARTITION BY doc_id, h), 1) AS p FROM counts), keys AS (SELECT DISTINCT h, k FROM counts),
 u1 AS (SELECT doc_id, lang FROM base WHERE long AND NOT base_failed),{_round_sql(1, "u1")},
-u2 AS (SELECT u1.* FROM u1 JOIN d1 USING (doc_id) WHERE cd < {MAX_CHAR_DISTANCE} AND wd < {MAX_WORD_DISTANCE}),{_round_sql(2, "u2")}
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(cd < {MAX_CHAR_DISTANCE} AND wd < {MAX_WORD_DISTANCE}, true) AS kept, round(cd, 6) AS char_distance, round(wd, 6) AS word_distance FROM base LEFT JOIN d2 USING (doc_id)
+u2 AS (SELECT u1.* FROM u1 JOIN d1 USING (doc_id) WHERE cd < {MAX_CHAR_DISTANCE} AND wd < wl),{_round_sql(2, "u2")}
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(cd < {MAX_CHAR_DISTANCE} AND wd < wl, true) AS kept, round(cd, 6) AS char_distance, round(wd, 6) AS word_distance, round(wl, 6) AS word_limit FROM base LEFT JOIN d2 USING (doc_id)
 """

@@ -63,7 +63,27 @@ def test_quality_rules_keep_labelled_good(spark, sf_dir):
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
     got = [r for r in Q.op3_quality_rules(spark, sf).collect() if r.doc_id in labels and not r.base_failed]
     good, bad = ([r.kept for r in got if labels[r.doc_id] == q] for q in (1, 0))
-    assert sum(good) / len(good) > 0.99 and sum(bad) / len(bad) < 0.8
+    assert sum(good) / len(good) > 0.99 and sum(bad) / len(bad) < 0.25
+
+
+def test_foreign_and_wordless_texts_fail(spark, sf_dir):
+    """A long text told to be of another language than it is, and one without common words, fail; the same text of its own passes."""
+    docs = spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.01')}/documents.parquet").select("doc_id", "text", "lang")
+    kept = {r.own.doc_id: r.kept for r in Q.divergence(docs).collect()}
+    some = [r for r in docs.orderBy("doc_id").collect() if kept[r.doc_id] and 150 <= len(r.text.split()) <= 2000]
+    other = {"en": "de", "de": "fr", "fr": "en", "es": "en"}
+    again = [(10**6 + r.doc_id, r.text, other[r.lang]) for r in some[:40]]
+    bare = [(2 * 10**6 + r.doc_id, " ".join(w for w in r.text.split() if w.strip(".,;:!?\"'()[]").lower() not in set(Q.WORDS)), r.lang) for r in some[:40]]
+    bare = [x for x in bare if len(x[1].split()) >= 50]
+    got = {r.own.doc_id: r.kept for r in Q.divergence(docs.unionByName(spark.createDataFrame(again + bare, docs.schema))).collect()}
+    assert len(again) == 40 and len(bare) > 20
+    assert not any(got[x[0]] for x in again + bare) and all(got[r.doc_id] for r in some[:40])
+
+
+def test_word_limit():
+    q = np.array([[0.2, 0.3, 0.5], [0.0, 0.0, 1.0], [0.6, 0.4, 0.0]])
+    want = Q.js_distance(np.array([[0.0, 0.0, 1.0]] * 3), q)
+    assert np.allclose(Q.word_limits(q[:, -1]), Q.WORD_SHARE * want)
 
 
 def test_classifier(spark, sf_dir, odd):
