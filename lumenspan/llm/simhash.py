@@ -473,9 +473,16 @@ def near_copies(rows: DataFrame) -> DataFrame:
         """The pairs (x, y) that are alike: by parities first, then by the sets of shingles."""
         of = lambda k: marks.select(F.col("row").alias(k), F.col("bits").alias(f"bits_{k}"), F.col("n").alias(f"n_{k}"))
         left = written(pairs.join(of("x"), "x").join(of("y"), "y").where(F.arrow_udf(_possible, "boolean")("bits_x", "bits_y", F.col("n_x") + F.col("n_y"))).select("x", "y"))
-        texts = written(_picked(rows.select("row", "text"), left.select(F.explode(F.array("x", "y")).alias("row")).distinct(), "left_semi"))
+        # One pair of each x settles most of them; only what that does not tell to be a copy is compared with the others.
+        one = written(left.groupBy("x").agg(F.min("y").alias("y")))
+        found = written(verified(one))
+        return found.unionByName(verified(left.join(one, ["x", "y"], "left_anti").join(found.select("x"), "x", "left_anti")))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = written(pairs)
+        texts = written(_picked(rows.select("row", "text"), pairs.select(F.explode(F.array("x", "y")).alias("row")).distinct(), "left_semi"))
         told = lambda k: texts.select(F.col("row").alias(k), F.col("text").alias(f"text_{k}"))
-        return left.join(told("x"), "x").join(told("y"), "y").where(F.arrow_udf(_alike, "boolean")("text_x", "text_y")).select("x", "y")
+        return pairs.join(told("x"), "x").join(told("y"), "y").where(F.arrow_udf(_alike, "boolean")("text_x", "text_y")).select("x", "y")
 
     led = written(copies_of(pairs).select(F.col("x").alias("row")).distinct())
     rest = met.select("key", "row", "n").join(marks.select("row", "doc_id", F.arrow_udf(_folded, "binary")("bits").alias("bits")).join(led.withColumn("led", F.lit(True)), "row", "left").withColumn("led", F.col("led").isNotNull()), "row")
