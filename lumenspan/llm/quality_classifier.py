@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket
+from .common import bucket, written
 
 BLOCK = 512
 DICT_BYTES = 32_768
@@ -129,19 +129,21 @@ def sample(docs: DataFrame, labels: DataFrame) -> list[tuple[int, bytes, int]]:
     """The labelled rows to fit on: of each class the first SAMPLE_ROWS by hash, as far as SAMPLE_BYTES go; no held-out ones."""
     seen = labels.where("doc_id is not null and quality in (0, 1)").where(bucket(F.col("doc_id"), FOLDS) != 0)
     seen = seen.groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"), F.count_distinct("quality").alias("n")).where("n = 1").drop("n")
-    sized = docs.where("text is not null").select("doc_id", F.octet_length("text").alias("bytes")).join(seen, "doc_id")
+    # Of a repeated id the text of least hash counts; its size is known before any text is collected.
+    labelled = docs.where("text is not null and doc_id is not null").select("doc_id", F.xxhash64("text").alias("h"), F.octet_length("text").alias("bytes")).join(seen, "doc_id")
+    sized = written(labelled.groupBy("doc_id", "quality").agg(F.min(F.struct("h", "bytes")).alias("t")).select("doc_id", "quality", "t.*"))
     chosen = []
     for q in (0, 1):
         left = SAMPLE_BYTES
-        for r in sized.where(F.col("quality") == q).orderBy(F.crc32(F.concat(F.lit("sample-"), F.col("doc_id").cast("string"))), "doc_id", "bytes").limit(SAMPLE_ROWS).collect():
+        for r in sized.where(F.col("quality") == q).orderBy(F.crc32(F.concat(F.lit("sample-"), F.col("doc_id").cast("string"))), "doc_id").limit(SAMPLE_ROWS).collect():
             if 0 < r.bytes <= left:
-                chosen.append((r.doc_id, q))
+                chosen.append((r.doc_id, q, r.h))
                 left -= r.bytes
     if not chosen:
         return []
-    picked = docs.sparkSession.createDataFrame(sorted(set(chosen)), "doc_id long, quality int")  # bounded by SAMPLE_ROWS
-    texts = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text")).collect()
-    return sorted((r.doc_id, r.text.encode(), r.quality) for r in texts)
+    picked = docs.sparkSession.createDataFrame(sorted(chosen), "doc_id long, quality int, h long")  # bounded by SAMPLE_ROWS
+    found = docs.where("text is not null").select("doc_id", "text", F.xxhash64("text").alias("h")).join(F.broadcast(picked), ["doc_id", "h"]).groupBy("doc_id", "quality").agg(F.min("text").alias("text")).collect()
+    return sorted((r.doc_id, r.text.encode(), r.quality) for r in found)
 
 
 def quality_score(model: Model, text: Column) -> Column:

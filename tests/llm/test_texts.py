@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+import zstandard
 
 from lumenspan.llm import lm_scoring as L
 from lumenspan.llm import mixing as M
@@ -102,6 +103,61 @@ def test_classifier(spark, sf_dir, odd):
     assert C.keep_good(odd.limit(0), none).count() == 0
 
 
+def quality_by_hand(docs, labels):
+    """doc_id -> score, by plain loops: sample, dictionaries, sizes, and a logistic fit by Newton steps on its penalised likelihood."""
+    by = defaultdict(set)
+    for d, q in labels:
+        if d is not None and q in (0, 1) and zlib.crc32(str(d).encode()) % 5:
+            by[d].add(q)
+    text = {}
+    for d, t in docs:
+        if d is not None and t is not None:
+            text[d] = min(text.get(d, t.encode()), t.encode(), key=lambda x: np.uint64(xxhash.xxh64_intdigest(x, 42)).view(np.int64))
+    rows = []
+    for q in (0, 1):
+        left, some = 8_000_000, sorted((d for d in text if by.get(d) == {q}), key=lambda d: (zlib.crc32(f"sample-{d}".encode()), d))[:5_000]
+        for d in some:
+            if 0 < len(text[d]) <= left:
+                rows.append((d, text[d], q))
+                left -= len(text[d])
+    blocks = lambda t: [t[i : i + 512] for i in range(0, len(t), 512)]
+    half = lambda d: zlib.crc32(f"half-{d}".encode()) % 2
+    rows.sort()
+    made = {q: zstandard.train_dictionary(32_768, [b for d, t, k in rows if k == q and not half(d) for b in blocks(t)]) for q in (1, 0)}
+    tools = [zstandard.ZstdCompressor(level=3, write_checksum=False, write_content_size=False, **({"dict_data": x} if x else {})) for x in (made[1], made[0], None)]
+
+    def terms(t):
+        g, b, p = (sum(len(c.compress(x)) for x in blocks(t)) for c in tools)
+        n = max(1, len(t))
+        f = [(b - g) / n, g / n, p / n, math.log1p(n)]
+        return [1.0, *f, *(f[i] * f[j] for i in range(4) for j in range(i + 1))]
+
+    fit = [(terms(t), q) for d, t, q in rows if half(d)]
+    x, y = np.array([r[0] for r in fit]), np.array([r[1] for r in fit], float)
+    mean, dev = x.mean(axis=0), x.std(axis=0) + 1e-9
+    mean[0], dev[0] = 0, 1
+    x = (x - mean) / dev
+    w = np.zeros(x.shape[1])
+    for _ in range(200):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        w = w - np.linalg.inv(x.T @ np.diag(p * (1 - p)) @ x + 0.1 * np.eye(len(w))) @ (x.T @ (p - y) + 0.1 * w)
+    return {d: float(1 / (1 + np.exp(-np.clip((np.array(terms((t or "").encode())) - mean) / dev @ w, -30, 30)))) for d, t in docs}
+
+
+def test_classifier_by_hand(spark, sf_dir):
+    sf = sf_dir.replace("sf0.001", "sf0.01")
+    docs = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    labels = [tuple(r) for r in spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "quality").collect()]
+    want = quality_by_hand(docs, labels)
+    got = {r.doc_id: r.score for r in C.op5_quality(spark, sf).collect()}
+    assert got.keys() == want.keys() and max(abs(got[d] - want[d]) for d in want) < 1e-6
+    # A repeated id counts once; contradicting labels do not count.
+    odd = docs[:300] + [(docs[0][0], "zzz " * 500_000), (docs[1][0], "0")]
+    twice = labels + [(docs[2][0], 0), (docs[2][0], 1), (None, 1), (docs[3][0], 7)]
+    rows = C.sample(spark.createDataFrame(odd, "doc_id long, text string"), spark.createDataFrame(twice, "doc_id long, quality int"))
+    assert len({r[0] for r in rows}) == len(rows) and docs[2][0] not in {r[0] for r in rows}
+
+
 def mix_by_hand(sizes, weights=M.WEIGHTS, share=M.SHARE, most=M.MOST):
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
     w = {s: weights[i % len(weights)] for i, s in enumerate(names)}
