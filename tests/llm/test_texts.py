@@ -1,4 +1,5 @@
 import math
+import re
 import struct
 import zlib
 from collections import Counter, defaultdict
@@ -204,14 +205,13 @@ def test_mix_many_sources_by_shuffle(spark, monkeypatch):
     assert {r.source: round(r.target, 6) for r in got} == {s: round(t, 6) for s, t in want.items()}
 
 
-def ppm(train):
+def ppm(seen_grams, symbols):
+    """Probability of a symbol after two, from (a, b, symbol) rows, by dicts and the rule written out."""
     two, one, zero = defaultdict(Counter), defaultdict(Counter), Counter()
-    for t in train:
-        s = [256, 256, *t, 256]
-        for a, b, c in zip(s, s[1:], s[2:], strict=False):
-            two[a, b][c] += 1
-            one[b][c] += 1
-            zero[c] += 1
+    for a, b, c in seen_grams:
+        two[a, b][c] += 1
+        one[b][c] += 1
+        zero[c] += 1
 
     def prob(a, b, c):
         p, gone = 1.0, set()
@@ -223,11 +223,45 @@ def ppm(train):
             if c in seen:
                 return p * seen[c] / n
             p, gone = p * len(seen) / n, gone | set(seen)
-        return p / (257 - len(gone))
+        return p / (symbols - len(gone))
 
     return prob
 
 
+def scorer_by_hand(train):
+    """Text to the logarithm of its probability: words by counts, or an escape and their spelling; and what is between them."""
+    cut = lambda t: [x for x in re.split(rb"([\t-\r ])", t.lower()) if x]
+    is_word = lambda x: x not in {bytes([k]) for k in (9, 10, 11, 12, 13, 32)}
+
+    def spelling(w):
+        s = [256, 256, *w, 256]
+        return list(zip(s, s[1:], s[2:], strict=False))
+
+    def gaps(t):
+        t, out, raw = t.lower(), [], [256, 256]
+        for x in [*cut(t), None]:
+            symbol = "end" if x is None else "word" if is_word(x) else x
+            out.append((raw[-2], raw[-1], symbol))
+            raw += list(x or b"")
+        return out
+
+    words = Counter(x for t in train for x in cut(t) if is_word(x))
+    n, v = sum(words.values()), len(words)
+    spell = ppm([g for w, k in words.items() for _ in range(k) for g in spelling(w)], 257)
+    between = ppm([g for t in train for g in gaps(t)], 8)
+    empty = spell(256, 256, 256)
+    spelled = lambda w: math.prod(spell(*g) for g in spelling(w)) / (1 - empty)
+    taken = sum(spelled(w) for w in words)
+
+    def word(w):
+        if w in words:
+            return math.log10(words[w] / (n + v))
+        cost = sum(math.log10(spell(*g)) for g in spelling(w)) - math.log10(1 - empty)
+        return cost + (math.log10(v / (n + v)) - math.log10(1 - taken) if n else 0)
+
+    return lambda t: sum(word(x) for x in cut(t) if is_word(x)) + sum(math.log10(between(*g)) for g in gaps(t))
+
+
 @pytest.mark.parametrize("head", [2e-6, 0.02])
 def test_lm_scores(spark, odd, monkeypatch, head):
     monkeypatch.setattr(L, "HEAD", head)
@@ -235,14 +269,13 @@ def test_lm_scores(spark, odd, monkeypatch, head):
     got = L.score(odd, model, odd["doc_id"].isNull()).collect()
     train = [(r[1] or "").encode() for r in odd_rows() if r[0] is not None]
     counts = Counter(w for t in train for w in [*t.lower().split(), b"\n"])
-    n, v, prob = sum(counts.values()), len(counts), ppm(train)
+    n, v, log = sum(counts.values()), len(counts), scorer_by_hand(train)
     assert (model.n, model.v) == (n, v)
     want = []
     for d, t, _, _ in odd_rows():
         t = (t or "").encode()
         w = [*t.lower().split(), b"\n"]
-        s = [256, 256, *t, 256]
-        want.append((str(d), d is None, len(w), sum(counts[x] > 0 for x in w), round(sum(math.log10((counts[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w), 3), round(sum(math.log10(prob(*x)) for x in zip(s, s[1:], s[2:], strict=False)), 1)))
+        want.append((str(d), d is None, len(w), sum(counts[x] > 0 for x in w), round(sum(math.log10((counts[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w), 3), round(log(t), 1)))
     have = [(str(r.doc_id), r.held_out, r.n_tokens, r.n_known, round(r.base_score, 3), round(r.score, 1)) for r in got]
     for a, b in zip(sorted(have, key=str), sorted(want, key=str), strict=True):
         assert a[:4] == b[:4] and abs(a[4] - b[4]) < 1e-2 and abs(a[5] - b[5]) < 1e-4 * abs(b[5]) + 0.2
@@ -251,6 +284,8 @@ def test_lm_scores(spark, odd, monkeypatch, head):
 def test_lm_is_a_distribution_and_may_be_empty(spark, odd):
     table = L.ppm_table(np.array([5, 300, 257 * 257 + 9]), np.array([3, 1, 2])).reshape(257, 257, 257)
     assert np.allclose((10.0 ** table[[0, 0, 1, 9, 256], [0, 1, 0, 5, 256]].astype(float)).sum(axis=1), 1, atol=1e-5)
+    small = L.ppm_table(np.array([5, 300, 257 * 8 + 3]), np.array([3, 1, 2]), 8).reshape(257, 257, 8)
+    assert np.allclose((10.0 ** small[[0, 0, 1, 9], [0, 37, 0, 5]].astype(float)).sum(axis=1), 1, atol=1e-5)
     model = L.train(odd.limit(0))
     got = L.score(odd, model, odd["doc_id"].isNull()).collect()
     assert len(got) == 9 and all(abs(r.base_score) < 1e-9 and r.n_known == 0 for r in got)
