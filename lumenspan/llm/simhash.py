@@ -211,7 +211,9 @@ def fingerprint_links(fps: DataFrame, max_distance: int = MAX_DISTANCE) -> DataF
     """Distinct fingerprints (column fp, long) to edges (a, b) whose components are those of all links."""
     if not 0 <= max_distance <= 2:
         raise ValueError("max_distance is 0, 1 or 2: beyond, crowded variants have no exact way")
-    variants = fps.select("fp").mapInArrow(_variants(max_distance), "pos int, part long, fp long, crowded boolean")
+    # The table is small and its fan-out is not: it is spread over as many tasks as a shuffle has.
+    spread = fps.select("fp").repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    variants = spread.mapInArrow(_variants(max_distance), "pos int, part long, fp long, crowded boolean")
     met = written(variants.repartition("pos", "part").sortWithinPartitions("pos", "part").mapInArrow(_verified(max_distance), "a long, b long"))
     links = met.where("b is not null")
     if max_distance == 0:
