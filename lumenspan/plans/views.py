@@ -54,6 +54,33 @@ def write_timeline(lines: list[dict]) -> list[dict]:
     return [{**x, "of": seen[x["var"]]} for x in out]
 
 
+_LEAVES = re.compile(r"\b(?:return|throw|break|continue)\b")
+
+
+def bands(lines: list[dict]) -> list[dict]:
+    """Loops, guards and catch blocks of a straight-line program, as bands of lines: from the line that opens one to the last
+    that is indented deeper. A guard is an if whose band, or whose own line, leaves; writes counts the writes in a band."""
+    out: list[dict] = []
+    open_: list[tuple[int, dict]] = []
+    for x in lines:
+        code = x["code"]
+        if not code.strip():
+            continue
+        indent = len(code) - len(code.lstrip())
+        while open_ and open_[-1][0] >= indent:
+            open_.pop()
+        for _, band in open_:
+            band["to"] = x["n"]
+            for v in writes(code):
+                band["writes"][v] = band["writes"].get(v, 0) + 1
+            band["leaves"] = band["leaves"] or bool(_LEAVES.search(blank(code)))
+        if x["tag"] in ("loop", "guard", "catch"):
+            band = {"kind": x["tag"], "from": x["n"], "to": x["n"], "writes": {}, "leaves": bool(_LEAVES.search(blank(code)))}
+            out.append(band)
+            open_.append((indent, band))
+    return [{k: v for k, v in b.items() if k != "leaves"} for b in out if b["kind"] != "guard" or b["leaves"]]
+
+
 def assumptions(p: Projection, n: int) -> dict:
     """What one line takes for granted: its conditions, and for each identifier the last write before it, k of n."""
     lines = program_lines(p)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import os
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import asdict
 
 import pyarrow as pa
@@ -116,17 +116,20 @@ def scan(path: str, lang: str, text: str) -> dict:
     }
 
 
-def parsed(files: DataFrame) -> DataFrame:
-    """One row a file, with arrays of what the scanner finds: the file is the unit of work, so nothing is shuffled."""
+def parsed(files: DataFrame, scanners: Mapping[str, Callable[[str, str, str], dict]] | None = None) -> DataFrame:
+    """One row a file, with arrays of what the scanner finds: the file is the unit of work, so nothing is shuffled.
+
+    scanners has scanners of languages that take scan()'s place: (path, lang, text) to some or all of its arrays."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
     schema = StructType.fromDDL(PARSED)
     arrow = to_arrow_schema(schema)
+    none = dict.fromkeys(("functions", "types", "calls", "locals", "symbols"), [])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [{"repo": r["repo"], "path": r["path"], "lang": r["lang"], **scan(r["path"], r["lang"], r["text"] or "")} for r in batch.to_pylist()]
+            rows = [{"repo": r["repo"], "path": r["path"], "lang": r["lang"], **none, **(scanners or {}).get(r["lang"], scan)(r["path"], r["lang"], r["text"] or "")} for r in batch.to_pylist()]
             yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
     return files.where("lang is not null").select("repo", "path", "lang", "text").mapInArrow(run, schema)

@@ -356,3 +356,12 @@ def test_common_directory_and_endings(spark):
     paths, refs = spark.createDataFrame([("a/b/c.go",), ("xb/c.go",)], "path string"), spark.createDataFrame([("b/c.go",), ("c.go",), ("a/b/c.go",)], "ref string")
     got = {tuple(r) for r in relate.ends_with(paths, "path", refs, "ref").collect()}
     assert got == {("a/b/c.go", "b/c.go"), ("a/b/c.go", "c.go"), ("a/b/c.go", "a/b/c.go"), ("xb/c.go", "c.go")}
+
+
+def test_a_scanner_of_ones_own(spark):
+    from lumenspan.sources import files as source
+
+    files = source.from_texts(spark, {"a.go": "x", "b.java": "class B {}"})
+    got = {r.path: r for r in source.parsed(files, {"go": lambda path, lang, text: {"symbols": [{"name": text, "kind": "func", "line": 1}]}}).collect()}
+    assert [tuple(x) for x in got["a.go"].symbols] == [("x", "func", 1)] and got["a.go"].functions == []
+    assert [t.name for t in got["b.java"].types] == ["B"]

@@ -43,3 +43,11 @@ def test_graph_filter():
 def test_export(spark, tmp_path):
     views.export_edges(spark.createDataFrame([("1", "2", "CALL"), ("1", "3", "OTHER")], "src string, dst string, kind string"), "kind", str(tmp_path / "out"))
     assert [tuple(r) for r in spark.read.option("header", True).csv(str(tmp_path / "out")).collect()] == [("1", "2", "CALL")]
+
+
+def test_bands():
+    code = ["int total = 0;", "for (int i = 0; i < n; i++) {", "    if (i == 3) {", "        continue;", "    }", "    total += i;", "    box.setTotal(total);", "}", "if (total > 3) {", "    total = 3;", "}", "try {", "    go();", "} catch (Exception e) {", "    total = -1;", "}"]
+    tag = lambda c: next((n for n, rx in views._TAGS if rx.search(c)), "")
+    got = views.bands([{"n": k, "code": c, "tag": tag(c)} for k, c in enumerate(code, 1)])
+    assert [(b["kind"], b["from"], b["to"]) for b in got] == [("loop", 2, 7), ("guard", 3, 4), ("catch", 14, 15)]
+    assert got[0]["writes"] == {"total": 1, "box": 1} and got[2]["writes"] == {"total": 1}
