@@ -257,7 +257,7 @@ SAMPLED, LEAST_COMMON, MOST_COMMON = 32, 3, 100_000
 HOT, SALTS = 64, 64
 #: Groups under a shingle up to this size are compared pair by pair; beyond, what is not led is compared with the others.
 SMALL = 128
-#: Parities of shingles kept for a document, and those carried with its rows.
+#: Parities of shingles kept for a document at least, and those carried with its rows.
 PARITIES, FOLDED = 2048, 256
 
 
@@ -298,16 +298,24 @@ def _among(x: np.ndarray, those: np.ndarray) -> np.ndarray:
 
 
 def parity(grams: np.ndarray) -> bytes:
-    """Parities of PARITIES classes of shingles: two texts' differ in no more of them than in shingles."""
-    odd = np.bincount((grams >> np.uint64(7) & np.uint64(PARITIES - 1)).astype(np.int64), minlength=PARITIES) & 1
+    """Parities of classes of shingles, PARITIES or as many as there are shingles (a power of two): two texts' differ in no more
+    of them than in shingles, and those of unrelated texts in about half."""
+    most = max(PARITIES, 1 << max(0, len(grams) - 1).bit_length())
+    odd = np.bincount((grams >> np.uint64(7) & np.uint64(most - 1)).astype(np.int64), minlength=most) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
-def _words(bits: pa.Array, of: int) -> np.ndarray:
+def _words(bits: list[bytes], of: int) -> np.ndarray:
     """Parities as rows of 64-bit words, folded (still parities, of larger classes) to so many bits."""
-    rows = np.frombuffer(b"".join(bits.to_pylist()), np.uint64)
-    rows = rows.reshape(len(bits), len(rows) * 64 // (max(1, len(bits)) * of), of // 64)
-    return np.bitwise_xor.reduce(rows, axis=1)
+    out = np.empty((len(bits), of // 64), np.uint64)
+    sizes = np.fromiter(map(len, bits), np.int64, len(bits))
+    for n in np.unique(sizes):
+        here = np.flatnonzero(sizes == n)
+        for i in range(0, len(here), 1_000):
+            some = here[i : i + 1_000]
+            rows = np.frombuffer(b"".join(bits[k] for k in some), np.uint64).reshape(len(some), n * 8 // of, of // 64)
+            out[some] = np.bitwise_xor.reduce(rows, axis=1)
+    return out
 
 
 def _all_shingles(batches):
@@ -406,7 +414,7 @@ def _met(batches):
         if not batch.num_rows:
             continue
         ids = batch.column(3)
-        held.append((*(batch.column(k).to_numpy() for k in range(3)), ids.is_null().to_numpy(False), ids.fill_null(0).to_numpy(), batch.column(4).to_numpy(False), _words(batch.column(5), FOLDED)))
+        held.append((*(batch.column(k).to_numpy() for k in range(3)), ids.is_null().to_numpy(False), ids.fill_null(0).to_numpy(), batch.column(4).to_numpy(False), _words(batch.column(5).to_pylist(), FOLDED)))
         if held[0][0][0] == held[-1][0][-1]:
             continue
         cols = [np.concatenate(x) for x in zip(*held, strict=True)]
@@ -435,12 +443,20 @@ def _parities(texts: pa.Array) -> pa.Array:
 
 
 def _folded(bits: pa.Array) -> pa.Array:
-    return pa.array([x.tobytes() for x in _words(bits, FOLDED)], pa.binary())
+    return pa.array([x.tobytes() for x in _words(bits.to_pylist(), FOLDED)], pa.binary())
 
 
 def _possible(a: pa.Array, b: pa.Array, n: pa.Array) -> pa.Array:
-    far = np.bitwise_count(_words(a, PARITIES) ^ _words(b, PARITIES)).sum(axis=1)
-    return pa.array(far <= n.to_numpy() * ((1 - SIMILARITY) / (1 + SIMILARITY)) + 1e-6, pa.bool_())
+    a, b, n = a.to_pylist(), b.to_pylist(), n.to_numpy()
+    least = np.fromiter((min(len(x), len(y)) for x, y in zip(a, b, strict=True)), np.int64, len(a))
+    ok = np.zeros(len(a), bool)
+    for size in np.unique(least):
+        at = np.flatnonzero(least == size)
+        for k in range(0, len(at), 1_000):
+            here = at[k : k + 1_000]
+            far = np.bitwise_count(_words([a[i] for i in here], int(size) * 8) ^ _words([b[i] for i in here], int(size) * 8)).sum(axis=1)
+            ok[here] = far <= n[here] * ((1 - SIMILARITY) / (1 + SIMILARITY)) + 1e-6
+    return pa.array(ok)
 
 
 def _picked(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
@@ -475,16 +491,9 @@ def near_copies(rows: DataFrame) -> DataFrame:
         """The pairs (x, y) that are alike: by parities first, then by the sets of shingles."""
         of = lambda k: marks.select(F.col("row").alias(k), F.col("bits").alias(f"bits_{k}"), F.col("n").alias(f"n_{k}"))
         left = written(pairs.join(of("x"), "x").join(of("y"), "y").where(F.arrow_udf(_possible, "boolean")("bits_x", "bits_y", F.col("n_x") + F.col("n_y"))).select("x", "y"))
-        # One pair of each x settles most of them; only what that does not tell to be a copy is compared with the others.
-        one = written(left.groupBy("x").agg(F.min("y").alias("y")))
-        found = written(verified(one))
-        return found.unionByName(verified(left.join(one, ["x", "y"], "left_anti").join(found.select("x"), "x", "left_anti")))
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        pairs = written(pairs)
-        texts = written(_picked(rows.select("row", "text"), pairs.select(F.explode(F.array("x", "y")).alias("row")).distinct(), "left_semi"))
+        texts = written(_picked(rows.select("row", "text"), left.select(F.explode(F.array("x", "y")).alias("row")).distinct(), "left_semi"))
         told = lambda k: texts.select(F.col("row").alias(k), F.col("text").alias(f"text_{k}"))
-        return pairs.join(told("x"), "x").join(told("y"), "y").where(F.arrow_udf(_alike, "boolean")("text_x", "text_y")).select("x", "y")
+        return left.join(told("x"), "x").join(told("y"), "y").where(F.arrow_udf(_alike, "boolean")("text_x", "text_y")).select("x", "y")
 
     led = written(copies_of(pairs).select(F.col("x").alias("row")).distinct())
     rest = met.select("key", "row", "n").join(marks.select("row", "doc_id", F.arrow_udf(_folded, "binary")("bits").alias("bits")).join(led.withColumn("led", F.lit(True)), "row", "left").withColumn("led", F.col("led").isNotNull()), "row")

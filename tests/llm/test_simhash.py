@@ -130,3 +130,20 @@ def test_one_of_each_has_a_way_with_odd_rows(spark):
     assert S.one_of_each(df.limit(0)).count() == 0
     with pytest.raises(TypeError):
         S.one_of_each(df.selectExpr("cast(doc_id as string) as doc_id", "text"))
+
+
+def test_parities_never_rule_out_copies():
+    """Of texts of very different lengths: parities differ in no more classes than the texts in shingles, however they are folded."""
+    r = random.Random(2)
+    sets = [np.unique(np.array([r.getrandbits(64) for _ in range(n)], np.uint64)) for n in (1, 5, 300, 2048, 2049, 9000)]
+    sets += [np.unique(np.r_[s[: max(1, len(s) * 9 // 10)], np.array([r.getrandbits(64) for _ in range(len(s) // 20)], np.uint64)]) for s in sets]
+    for a in sets:
+        for b in sets:
+            x, y = S.parity(a), S.parity(b)
+            size = min(len(x), len(y)) * 8
+            far = int(np.bitwise_count(S._words([x], size) ^ S._words([y], size)).sum())
+            assert far <= len(np.setxor1d(a, b))
+            alike = S.similarity(a, b) >= 0.8
+            assert not alike or S._possible(S.pa.array([x]), S.pa.array([y]), S.pa.array([len(a) + len(b)])).to_pylist() == [True]
+    unrelated = S._possible(S.pa.array([S.parity(sets[5])]), S.pa.array([S.parity(np.unique(np.array([r.getrandbits(64) for _ in range(9000)], np.uint64)))]), S.pa.array([18000]))
+    assert unrelated.to_pylist() == [False]
