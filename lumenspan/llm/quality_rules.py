@@ -163,7 +163,8 @@ def divergence(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
         met = met.join(F.broadcast(of_all), F.lit(True), "left").withColumn("means", F.coalesce("means", "all_means"))
         uniform = F.array_repeat(F.lit(0.0), _CLASSES + len(WORDS) + 1)
         d = _distances(F.col("chars"), F.col("common"), F.coalesce("means", uniform))
-        f = met.withColumn("d", d).withColumns({k: F.when(long & F.col("means").isNotNull(), F.col(f"d.{k}")) for k in ("char_distance", "word_distance", "word_limit")})
+        told = {k: F.when(long & F.col("means").isNotNull(), F.col(f"d.{k}")) for k in ("char_distance", "word_distance", "word_limit")}
+        f = met.withColumn("d", d).withColumns(told | {"word_limit": F.when(F.col("r_lang").isNotNull(), told["word_limit"])})
     return f.withColumn("kept", ~F.col("base_failed") & ~_far()).select("own", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_distance", "word_distance", "word_limit")
 
 
@@ -186,9 +187,9 @@ def _round_sql(k: int, used: str) -> str:
 n{k} AS (SELECT lang, count(*) AS n FROM {used} WHERE lang IS NOT NULL GROUP BY lang HAVING count(*) >= {LEAST_DOCS}), a{k} AS (SELECT count(*) AS n FROM {used}),
 r{k} AS (SELECT u.lang, h, k, sum(p) / any_value(n.n) AS q FROM {used} u JOIN n{k} n ON u.lang = n.lang JOIN shares s ON s.doc_id = u.doc_id GROUP BY u.lang, h, k),
 s{k} AS (SELECT h, k, sum(p) / (SELECT n FROM a{k}) AS q FROM {used} u JOIN shares s ON s.doc_id = u.doc_id GROUP BY h, k),
-e{k} AS (SELECT l.doc_id, g.h, g.k, CASE WHEN l.lang IN (SELECT lang FROM n{k}) THEN coalesce(r.q, 0) ELSE coalesce(s.q, 0) END AS q, coalesce(p.p, 0) AS p
+e{k} AS (SELECT l.doc_id, coalesce(l.lang IN (SELECT lang FROM n{k}), false) AS own, g.h, g.k, CASE WHEN l.lang IN (SELECT lang FROM n{k}) THEN coalesce(r.q, 0) ELSE coalesce(s.q, 0) END AS q, coalesce(p.p, 0) AS p
   FROM (SELECT doc_id, lang FROM base WHERE long AND (SELECT n FROM a{k}) > 0) l CROSS JOIN keys g LEFT JOIN r{k} r ON r.lang = l.lang AND r.h = g.h AND r.k = g.k LEFT JOIN s{k} s ON s.h = g.h AND s.k = g.k LEFT JOIN shares p ON p.doc_id = l.doc_id AND p.h = g.h AND p.k = g.k),
-d{k} AS (SELECT doc_id, max(CASE WHEN h = 'c' THEN js END) AS cd, max(CASE WHEN h = 'w' THEN js END) AS wd, max(CASE WHEN h = 'w' THEN {_LIMIT} END) AS wl FROM (SELECT doc_id, h, {_JS} AS js, coalesce(max(CASE WHEN k = '' THEN q END), 0) AS qo FROM e{k} GROUP BY doc_id, h) GROUP BY doc_id)"""
+d{k} AS (SELECT doc_id, max(CASE WHEN h = 'c' THEN js END) AS cd, max(CASE WHEN h = 'w' THEN js END) AS wd, max(CASE WHEN h = 'w' AND own THEN {_LIMIT} END) AS wl FROM (SELECT doc_id, h, bool_or(own) AS own, {_JS} AS js, coalesce(max(CASE WHEN k = '' THEN q END), 0) AS qo FROM e{k} GROUP BY doc_id, h) GROUP BY doc_id)"""
 
 
 SQL_OP3 = rf"""
@@ -206,6 +207,6 @@ common AS (SELECT doc_id, CASE WHEN v IN ({_WORDS_SQL}) THEN v ELSE '' END AS k,
 counts AS (SELECT doc_id, 'w' AS h, k, n FROM common UNION ALL SELECT doc_id, 'c', unnest(['0', '1', '2', '3', '4', '5', '6']), unnest([c0, c1, c2, c3, c4, n - c0 - c1 - c2 - c3 - c4 - c6, c6]) FROM c),
 shares AS (SELECT doc_id, h, k, n / greatest(sum(n) OVER (PARTITION BY doc_id, h), 1) AS p FROM counts), keys AS (SELECT DISTINCT h, k FROM counts),
 u1 AS (SELECT doc_id, lang FROM base WHERE long AND NOT base_failed),{_round_sql(1, "u1")},
-u2 AS (SELECT u1.* FROM u1 JOIN d1 USING (doc_id) WHERE cd < {MAX_CHAR_DISTANCE} AND wd < wl),{_round_sql(2, "u2")}
+u2 AS (SELECT u1.* FROM u1 JOIN d1 USING (doc_id) WHERE cd < {MAX_CHAR_DISTANCE} AND coalesce(wd < wl, true)),{_round_sql(2, "u2")}
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(cd < {MAX_CHAR_DISTANCE} AND wd < wl, true) AS kept, round(cd, 6) AS char_distance, round(wd, 6) AS word_distance, round(wl, 6) AS word_limit FROM base LEFT JOIN d2 USING (doc_id)
 """

@@ -78,6 +78,8 @@ def test_foreign_and_wordless_texts_fail(spark, sf_dir):
     bare = [(2 * 10**6 + r.doc_id, " ".join(w for w in r.text.split() if w.strip(".,;:!?\"'()[]").lower() not in set(Q.WORDS)), r.lang) for r in some[:40]]
     bare = [x for x in bare if len(x[1].split()) >= 50]
     got = {r.own.doc_id: r.kept for r in Q.divergence(docs.unionByName(spark.createDataFrame(again + bare, docs.schema))).collect()}
+    lost = [(3 * 10**6 + r.doc_id, r.text, "xx" if r.doc_id % 2 else None) for r in some[:40]]
+    assert all(r.kept for r in Q.divergence(docs.unionByName(spark.createDataFrame(lost, docs.schema))).collect() if r.own.doc_id >= 3 * 10**6)
     assert len(again) == 40 and len(bare) > 20
     assert not any(got[x[0]] for x in again + bare) and all(got[r.doc_id] for r in some[:40])
 
