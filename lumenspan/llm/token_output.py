@@ -23,6 +23,7 @@ and text are ignored.
 
 from __future__ import annotations
 
+import atexit
 import base64
 import hashlib
 import json
@@ -34,9 +35,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs
 import tiktoken
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenspan.operators.store import remove, shared_dir
+
 from .common import whole_id, written
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -48,6 +51,8 @@ SHARD_BYTES = 32 << 20
 KEY = 20_240_229
 ROUNDS = 6
 NO_ID = -(1 << 63)
+#: Records read from a shard at once.
+READ = 5_000
 
 
 class Tokens:
@@ -234,5 +239,49 @@ def read_shards(uri: str, vocabulary: str = VOCABULARY, start: int = 0) -> Itera
                 yield slot, int(head["doc_id"]), int(head["seq_no"]), np.frombuffer(record[HEADER.itemsize :], dtype)[: head["n_tokens"]]
 
 
+def shard_rows(spark: SparkSession, uri: str) -> DataFrame:
+    """(slot, shard, at, doc_id, seq_no, n_tokens, record) of the shards in uri, as sequences() gave them to write_shards().
+
+    A task reads one shard front to back, READ records at a time. The least int64 as doc_id is null; a shard that is shorter
+    than the manifest says, or of another digest, raises."""
+    fs, top = pyarrow.fs.FileSystem.from_uri(uri)
+    with fs.open_input_stream(f"{top}/manifest.json") as f:
+        shards = json.loads(f.read())["shards"]
+    told = spark.createDataFrame([tuple(s[c] for c in ("shard", "first_slot", "n", "stride", "sha256")) for s in shards], "shard int, first_slot long, n long, stride long, sha256 string")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, top = pyarrow.fs.FileSystem.from_uri(uri)
+        for batch in batches:
+            for shard, first, n, stride, want in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                path, digest = f"{top}/shard-{shard:05d}.bin", hashlib.sha256()
+                with fs.open_input_file(path) as f:
+                    for k in range(0, n, READ):
+                        m = min(READ, n - k)
+                        data = f.read(m * stride)
+                        digest.update(data)
+                        if len(data) < m * stride or (k + m == n and digest.hexdigest() != want):
+                            raise OSError(f"{path} is not what the manifest says")
+                        head = np.frombuffer(data, np.uint8).reshape(m, stride)[:, : HEADER.itemsize].copy().view(HEADER)[:, 0]
+                        ids, seq_no, n_tokens = (np.ascontiguousarray(head[c]) for c in HEADER.names)
+                        at = np.arange(k, k + m)
+                        cells = pa.Array.from_buffers(pa.binary(), m, [None, pa.py_buffer((np.arange(m + 1) * stride).astype(np.int32)), pa.py_buffer(data)])
+                        yield pa.record_batch([pa.array(first + at), pa.array(np.full(m, shard, np.int32)), pa.array(at * stride), pa.array(ids, mask=ids == NO_ID), pa.array(seq_no), pa.array(n_tokens), cells], names=["slot", "shard", "at", "doc_id", "seq_no", "n_tokens", "record"])
+
+    each = told.repartitionById(max(1, len(shards)), F.col("shard"))
+    return each.mapInArrow(read, "slot long, shard int, at long, doc_id long, seq_no int, n_tokens int, record binary")
+
+
+def _shard_folder(spark: SparkSession) -> str:
+    """A new folder in the shared one, removed when the driver exits."""
+    path = f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}"
+    atexit.register(remove, spark, path)
+    if path.startswith("/"):
+        return f"file://{path}"
+    return path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path
+
+
 def op2_token_order(spark, sf_dir: str) -> DataFrame:
-    return sequences(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    """Writes the shards of documents and their manifest to the shared folder; the rows are read from there."""
+    folder = _shard_folder(spark)
+    write_shards(sequences(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")), folder)
+    return shard_rows(spark, folder)

@@ -318,6 +318,24 @@ def test_shards_round_trip(spark, odd, tmp_path):
     assert T.sequences(odd.limit(0)).count() == 0
 
 
+def test_rows_come_from_the_shards(spark, sf_dir, odd, tmp_path, monkeypatch):
+    """What is read from the shards is what was written; the query reads its own."""
+    monkeypatch.setattr(T, "READ", 7)
+    plain = lambda df: sorted((r.slot, r.shard, r.at, r.doc_id, r.seq_no, r.n_tokens, bytes(r.record)) for r in df.collect())
+    records = T.sequences(odd, seq_len=16, shard_bytes=4_000)
+    T.write_shards(records, f"file://{tmp_path}/s")
+    again = T.shard_rows(spark, f"file://{tmp_path}/s")
+    assert plain(again) == plain(records) and [f.dataType for f in again.schema] == [f.dataType for f in records.schema]
+    T.write_shards(T.sequences(odd.limit(0)), f"file://{tmp_path}/none")
+    assert plain(T.shard_rows(spark, f"file://{tmp_path}/none")) == []
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    assert plain(T.op2_token_order(spark, sf_dir)) == plain(T.sequences(docs))
+    with open(tmp_path / "s/shard-00000.bin", "r+b") as f:
+        f.write(b"?")
+    with pytest.raises(Exception, match="not what the manifest says"):
+        T.shard_rows(spark, f"file://{tmp_path}/s").collect()
+
+
 def slots_by_hand(rows, seq_len, key=T.KEY):
     """slot -> (doc_id, seq_no, ids): documents in the order of XXH64 over id and text, then id and ids, their sequences numbered."""
     tokens, made = T.Tokens(open(T.VOCABULARY, "rb").read()), []
