@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import atexit
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,6 +59,21 @@ def written(df: DataFrame, compression: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def freed(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of a query run herein go when it ends. For results that nothing computes again from its shuffles: a
+    table that was written, an answer that was collected once."""
+    had = spark.conf.get(FREE, "false")
+    spark.conf.set(FREE, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(FREE, had)
+
+
 def let(value: Column, body) -> Column:
     """body(value), with value computed once even where body's lambdas use it many times."""
     return F.element_at(F.transform(F.array(value), body), 1)

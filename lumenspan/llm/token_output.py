@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from lumenspan.operators.store import remove, shared_dir
 
-from .common import whole_id, written
+from .common import freed, whole_id, written
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: how that vocabulary cuts text into pieces.
@@ -147,7 +147,8 @@ def sequences(docs: DataFrame, vocabulary: str = VOCABULARY, seq_len: int = SEQ_
     part = F.shiftright(F.shiftrightunsigned(F.col("h").bitwiseXOR(F.lit(NO_ID)), 33) * ranges, 31).cast("int")
     keyed = docs.select(F.xxhash64(whole_id(docs), "text").alias("h"), whole_id(docs).alias("doc_id"), "text").mapInArrow(tokenise, "h long, doc_id long, ids binary")
     sorted_ = keyed.withColumn("part", part).repartitionById(ranges, F.col("part")).sortWithinPartitions("part", "h", "doc_id", "ids")
-    made = written(sorted_.select("part", "doc_id", "ids").mapInArrow(number, "part int, first long, n long, doc_id long, ids binary"), compression="zstd")
+    with freed(spark):
+        made = written(sorted_.select("part", "doc_id", "ids").mapInArrow(number, "part int, first long, n long, doc_id long, ids binary"), compression="zstd")
     counts = sorted((r.part, r.n) for r in made.groupBy("part").agg(F.sum("n").alias("n")).collect())  # a row for each range
     before, total = {}, 0
     for k, n in counts:
@@ -213,7 +214,8 @@ def write_shards(records: DataFrame, uri: str) -> list[dict]:
         cols = list(zip(*told, strict=True)) or [[]] * 5
         yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], names=["shard", "first_slot", "n", "stride", "sha256"])
 
-    told = [r.asDict() for r in records.mapInArrow(write, "shard int, first_slot long, n long, stride long, sha256 string").orderBy("shard").collect()]  # a row for each shard
+    with freed(records.sparkSession):
+        told = [r.asDict() for r in records.mapInArrow(write, "shard int, first_slot long, n long, stride long, sha256 string").orderBy("shard").collect()]  # a row for each shard
     fs, top = pyarrow.fs.FileSystem.from_uri(uri)
     fs.create_dir(top, recursive=True)
     with fs.open_output_stream(f"{top}/manifest.json") as f:
