@@ -28,7 +28,7 @@ import base64
 import hashlib
 import json
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -53,6 +53,8 @@ ROUNDS = 6
 NO_ID = -(1 << 63)
 #: Records read from a shard at once.
 READ = 5_000
+#: Rounds in which shards are written.
+PARTS = 4
 
 
 class Tokens:
@@ -114,6 +116,12 @@ def _sizes(cells: pa.Array) -> np.ndarray:
 
 def sequences(docs: DataFrame, vocabulary: str = VOCABULARY, seq_len: int = SEQ_LEN, key: int = KEY, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """(slot, shard, at, doc_id, seq_no, n_tokens, record): every sequence at its slot; each partition is a shard, in order."""
+    shards, records = numbered(docs, vocabulary, seq_len, key, shard_bytes)
+    return records(0, shards)
+
+
+def numbered(docs: DataFrame, vocabulary: str = VOCABULARY, seq_len: int = SEQ_LEN, key: int = KEY, shard_bytes: int = SHARD_BYTES) -> tuple[int, Callable[[int, int], DataFrame]]:
+    """The number of shards, and a function that gives the rows of shards first to last - 1, from texts tokenised once."""
     spark = docs.sparkSession
     vocab = spark.sparkContext.broadcast(Path(vocabulary).read_bytes())  # one file, of 1 MB
     name = uuid.uuid4().hex
@@ -155,14 +163,19 @@ def sequences(docs: DataFrame, vocabulary: str = VOCABULARY, seq_len: int = SEQ_
         before[k], total = total, total + n
     per_shard = max(1, shard_bytes // stride)
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def place(batches: Iterator[pa.RecordBatch], low: int, high: int) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = list(zip(*(c.to_pylist() for c in batch.columns), strict=True))
             if not rows:
                 continue
             index = np.concatenate([before[p] + f + np.arange(n) for p, f, n, _, _ in rows])
             slots = permute(index, total, key)
-            pieces = [(d, k, ids[k * width : (k + 1) * width]) for _, _, n, d, ids in rows for k in range(n)]
+            taken = (slots >= low) & (slots < high)
+            if not taken.any():
+                continue
+            every = ((d, k, ids) for _, _, n, d, ids in rows for k in range(n))
+            pieces = [(d, k, ids[k * width : (k + 1) * width]) for (d, k, ids), t in zip(every, taken.tolist(), strict=True) if t]
+            slots = slots[taken]
             doc_id, seq_no, ids = zip(*pieces, strict=True)
             for i in range(0, len(slots), 5_000):
                 s = slice(i, i + 5_000)
@@ -179,12 +192,26 @@ def sequences(docs: DataFrame, vocabulary: str = VOCABULARY, seq_len: int = SEQ_
             records = [raw[i * HEADER.itemsize : (i + 1) * HEADER.itemsize] + x.ljust(stride - HEADER.itemsize, b"\0") for i, x in enumerate(ids)]
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(slots % per_shard * stride), batch.column(2), batch.column(3), pa.array(n, pa.int32()), pa.array(records, pa.binary())], names=["slot", "shard", "at", "doc_id", "seq_no", "n_tokens", "record"])
 
-    dealt = made.mapInArrow(place, "slot long, shard int, doc_id long, seq_no int, ids binary").repartitionById(max(1, -(-total // per_shard)), F.col("shard"))
-    return dealt.sortWithinPartitions("slot").mapInArrow(pack, "slot long, shard int, at long, doc_id long, seq_no int, n_tokens int, record binary")
+    def records(first: int, last: int) -> DataFrame:
+        within = lambda batches: place(batches, first * per_shard, last * per_shard)
+        dealt = made.mapInArrow(within, "slot long, shard int, doc_id long, seq_no int, ids binary").repartitionById(max(1, last - first), F.col("shard") - first)
+        return dealt.sortWithinPartitions("slot").mapInArrow(pack, "slot long, shard int, at long, doc_id long, seq_no int, n_tokens int, record binary")
+
+    return -(-total // per_shard), records
+
+
+def write_all(docs: DataFrame, uri: str, parts: int = PARTS, **options) -> list[dict]:
+    """write_shards() of sequences(docs, **options), a range of shards after the other, in `parts` rounds of about the same size.
+
+    Each round reads the numbered ids again and moves its own share alone, so 1 / parts of the records are in a shuffle."""
+    shards, records = numbered(docs, **options)
+    ends = [shards * k // parts for k in range(parts + 1)]
+    return write_shards([records(a, b) for a, b in zip(ends, ends[1:], strict=False) if a < b] or [records(0, 0)], uri)
 
 
-def write_shards(records: DataFrame, uri: str) -> list[dict]:
+def write_shards(records: DataFrame | list[DataFrame], uri: str) -> list[dict]:
     """Writes each shard of sequences() to uri/shard-NNNNN.bin and the manifest beside them; returns the manifest's shards.
+    A list of tables of different shards is written one after the other.
 
     A task writes under a name of its own and moves the whole file into place, so repeated and lost attempts leave no half
     shard. uri is a folder that executors share, or any store that pyarrow.fs opens."""
@@ -214,8 +241,9 @@ def write_shards(records: DataFrame, uri: str) -> list[dict]:
         cols = list(zip(*told, strict=True)) or [[]] * 5
         yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], names=["shard", "first_slot", "n", "stride", "sha256"])
 
-    with freed(records.sparkSession):
-        told = [r.asDict() for r in records.mapInArrow(write, "shard int, first_slot long, n long, stride long, sha256 string").collect()]  # a row for each shard
+    tables = records if isinstance(records, list) else [records]
+    with freed(tables[0].sparkSession):
+        told = [r.asDict() for t in tables for r in t.mapInArrow(write, "shard int, first_slot long, n long, stride long, sha256 string").collect()]  # a row for each shard
     told.sort(key=lambda s: s["shard"])  # here, since an ordered query would run the tasks once more to sample their rows
     fs, top = pyarrow.fs.FileSystem.from_uri(uri)
     fs.create_dir(top, recursive=True)
@@ -286,5 +314,5 @@ def _shard_folder(spark: SparkSession) -> str:
 def op2_token_order(spark, sf_dir: str) -> DataFrame:
     """Writes the shards of documents and their manifest to the shared folder; the rows are read from there."""
     folder = _shard_folder(spark)
-    write_shards(sequences(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")), folder)
+    write_all(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), folder)
     return shard_rows(spark, folder)

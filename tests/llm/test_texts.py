@@ -326,7 +326,9 @@ def test_rows_come_from_the_shards(spark, sf_dir, odd, tmp_path, monkeypatch):
     T.write_shards(records, f"file://{tmp_path}/s")
     again = T.shard_rows(spark, f"file://{tmp_path}/s")
     assert plain(again) == plain(records) and [f.dataType for f in again.schema] == [f.dataType for f in records.schema]
-    T.write_shards(T.sequences(odd.limit(0)), f"file://{tmp_path}/none")
+    T.write_all(odd, f"file://{tmp_path}/parts", parts=3, seq_len=16, shard_bytes=4_000)
+    assert plain(T.shard_rows(spark, f"file://{tmp_path}/parts")) == plain(records)
+    T.write_all(odd.limit(0), f"file://{tmp_path}/none")
     assert plain(T.shard_rows(spark, f"file://{tmp_path}/none")) == []
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     assert plain(T.op2_token_order(spark, sf_dir)) == plain(T.sequences(docs))
