@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from lumenspan.session import shipped
 
+from .byte_bpe import op12_byte_bpe
 from .decontaminate import op10_leaks
+from .fill_middle import SQL_OP13, op13_fill_middle
+from .filter_audit import SQL_OP11, op11_filter_audit
 from .html_text import op8_main_text
 from .lm_scoring import op7_lm_scores
 from .mixing import SQL_OP6, op6_mix
@@ -26,5 +29,8 @@ QUERIES = {
     "op8_main_text": shipped(op8_main_text),
     "op9_simhash": shipped(op9_simhash),
     "op10_leaks": shipped(op10_leaks),
+    "op11_filter_audit": shipped(op11_filter_audit),
+    "op12_byte_bpe": shipped(op12_byte_bpe),
+    "op13_fill_middle": op13_fill_middle,
 }
-ORACLE_SQL = {"op1_secrets": SQL_OP1, "op3_quality_rules": SQL_OP3, "op4_url_filter": SQL_OP4, "op6_mix": SQL_OP6}
+ORACLE_SQL = {"op1_secrets": SQL_OP1, "op3_quality_rules": SQL_OP3, "op4_url_filter": SQL_OP4, "op6_mix": SQL_OP6, "op11_filter_audit": SQL_OP11, "op13_fill_middle": SQL_OP13}
