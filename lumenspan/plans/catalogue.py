@@ -5,6 +5,9 @@ Every query runs over its whole tables. Limits appear only where the operator is
 
 from __future__ import annotations
 
+import atexit
+import uuid
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -14,10 +17,12 @@ from lumenspan.functions.code import Source, functions
 from lumenspan.functions.regex import bounded, glob_to_regex
 from lumenspan.operators import components as connected
 from lumenspan.operators import graph, program, relate, search, windows
-from lumenspan.operators.store import stored
+from lumenspan.operators.store import remove, shared_dir, stored
 from lumenspan.session import shipped
 from lumenspan.sources import blame
 from lumenspan.sources import files as source
+from lumenspan.streaming import source as streamed
+from lumenspan.streaming import state as keyed
 from lumenspan.streaming import watch
 
 from . import lenses, views
@@ -205,6 +210,20 @@ def watch_window(spark, sf_dir):
     return kept.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.max("event_id").alias("last_id"))
 
 
+@query("""SELECT event_type, count(*)::BIGINT AS n, min(event_id)::BIGINT AS first_id, max(event_id)::BIGINT AS last_id, (SELECT max(event_id) FROM events)::BIGINT AS mark FROM events WHERE event_id > 0 GROUP BY event_type""")
+def watch_stream(spark, sf_dir):
+    """Two rounds of the streaming source with its keyed state, the second of which re-reads ids and finds nothing new; then its window. Marks begin at 0."""
+    events = streamed.Table("dev", "shop", "events", f"{sf_dir}/events.parquet", "event_id", "all")
+    to = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    atexit.register(remove, spark, to)
+    for _ in range(2):
+        changes = keyed.keyed_window(streamed.follow(spark, events, grace=1000), minutes=600, grace=1000, buckets=8)
+        keyed.start(changes, f"{to}/changes", f"{to}/checkpoint", availableNow=True).awaitTermination()
+    rows = keyed.current(keyed.changes_in(spark, f"{to}/changes"))
+    kind = F.element_at("values", F.array_position("columns", F.lit("event_type")).cast("int"))
+    return rows.groupBy(kind.alias("event_type")).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.max("mark").alias("mark"))
+
+
 @query("SELECT coalesce(max(event_id), 0)::BIGINT AS last_id FROM events")
 def watch_mark(spark, sf_dir):
     return watch.mark(_table(spark, sf_dir, "events"), "event_id")

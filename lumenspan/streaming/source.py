@@ -133,35 +133,40 @@ class Ids(InputPartition):
 
 
 class MarkReader(DataSourceStreamReader):
+    """Marks of a round. Spark tells partitions() where a query stands before it asks for the newest offset, after a restart as well,
+    so where each table began is known from the offsets."""
+
     def __init__(self, tables: list[Table], grace: int, ids: int):
         self._tables, self._grace, self._ids = tables, grace, ids
+        self._first: dict[str, int] = {}
+
+    def _begin(self, t: Table) -> int:
+        if t.key not in self._first:
+            self._first[t.key] = 0 if t.bootstrap == "all" else t.reader().newest()
+        return self._first[t.key]
 
-    def _offset(self, first: dict[str, int]) -> dict:
+    def initialOffset(self) -> dict:  # noqa: N802
+        return {t.key: {"first": n, "last_id": n, "late": 0} for t in self._tables for n in [self._begin(t)]}
+
+    def latestOffset(self) -> dict:  # noqa: N802
         out = {}
         for t in self._tables:
-            rows, low = t.reader(), first.get(t.key, 0)
+            rows, low = t.reader(), self._begin(t)
             last = max(rows.newest(), low)
             late = rows.count(max(last - self._grace, low), last) if self._grace else 0
             out[t.key] = {"first": low, "last_id": last, "late": late}
         return out
 
-    def initialOffset(self) -> dict:  # noqa: N802
-        first = {t.key: 0 if t.bootstrap == "all" else t.reader().newest() for t in self._tables}
-        return {k: {"first": n, "last_id": n, "late": 0} for k, n in first.items()}
-
-    def latestOffset(self) -> dict:  # noqa: N802
-        return self._offset({})
-
     def partitions(self, start: dict, end: dict) -> list[Ids]:
-        """What start told as `first` holds on; latestOffset() can't know it, so it is carried by the marks: ids up to `first` are left out."""
+        self._first |= {k: x["first"] for k, x in end.items()}
         out = []
         for t in self._tables:
-            was, now = start.get(t.key), end.get(t.key)
-            if was is None or now is None or was == now:
+            now = end.get(t.key)
+            if now is None or start.get(t.key) == now:
                 continue
-            low = max(was["last_id"] - self._grace, was["first"])
-            high = now["last_id"]
-            out += [Ids(t, a, min(a + self._ids, high), high) for a in range(low, high, self._ids)]
+            was = start.get(t.key) or {"last_id": now["first"]}  # a table that was added to the query
+            low = max(was["last_id"] - self._grace, now["first"])
+            out += [Ids(t, a, min(a + self._ids, now["last_id"]), now["last_id"]) for a in range(low, now["last_id"], self._ids)]
         return out
 
     def read(self, partition: Ids) -> Iterator[tuple]:

@@ -376,6 +376,27 @@ def test_watch_lens(spark, tmp_path):
     assert run(spark, config, lens).fact("dev.default.events").startswith("new_rows=0")
 
 
+def test_watch_lens_by_stream(spark, tmp_path):
+    import sqlite3
+
+    con = sqlite3.connect(tmp_path / "x.db")
+    con.execute("create table events (id integer primary key, kind text)")
+    con.execute("insert into events values (1, 'a,b')")
+    con.commit()
+    params = {"connections": json.dumps({"dev": f"dbapi:sqlite3:{tmp_path}/x.db"}), "tables": "events", "checkpoint": str(tmp_path / "cp"), "grace": "5", "buckets": "2"}
+    lens, config = Lens("postgres-watch", name="w", params=params), Config(root=str(tmp_path))
+    assert run(spark, config, lens).fact("dev.default.events").startswith("new_rows=0")
+    con.execute("insert into events values (2, 'a,b'), (4, null)")
+    con.commit()
+    p = run(spark, config, lens)
+    assert p.fact("dev.default.events") == "new_rows=2 last_id=4 window=10m"
+    assert [x.split(",", 4)[4] for x in shown(p)] == ["id,kind", '2,"a,b"', "4,"]
+    con.execute("insert into events values (3, 'late')")
+    con.commit()
+    p = run(spark, config, lens)
+    assert p.fact("dev.default.events") == "new_rows=1 last_id=4 window=10m" and len(shown(p)) == 4
+
+
 FLOW = {
     "src/A.java": """class A {
     private B b;
