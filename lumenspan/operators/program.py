@@ -193,8 +193,8 @@ def file_graph(files: DataFrame, services: DataFrame, packages: DataFrame) -> tu
     defs = defs.groupBy("service", "handler").agg(F.min_by(F.struct("id", "line"), F.struct("path", "line")).alias("d")).select("service", "handler", F.col("d.id").alias("to"), F.col("d.line").alias("at"))
     registers = stored(routes.join(defs, ["service", "handler"]))
     edges = imports.unionByName(registers.select(F.col("id").alias("from"), "to", F.lit("registers").alias("kind"), F.col("op").alias("label"), F.lit(False).alias("cross")))
-    words = kept.where("service_lang = 'ts'").select("id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"([0-9A-Za-z_]+)"), F.lit(1)))).alias("op"))
-    edges = edges.unionByName(words.join(registers.select("op", "to").distinct(), "op").select(F.col("id").alias("from"), "to", F.lit("api-call").alias("kind"), F.col("op").alias("label"), F.lit(True).alias("cross")))
+    named = search.names_in(kept.where("service_lang = 'ts'"), registers, name="op")
+    edges = edges.unionByName(named.join(registers.select("op", "to").distinct(), "op").select(F.col("id").alias("from"), "to", F.lit("api-call").alias("kind"), F.col("op").alias("label"), F.lit(True).alias("cross")))
     handlers = registers.groupBy(F.col("to").alias("id")).agg(F.array_join(F.array_sort(F.collect_set("op")), ", ").alias("op"), F.min_by("handler", "at").alias("method"), F.min("at").alias("line"))
     routers = registers.select("id").distinct().withColumn("router", F.lit(True))
     nodes = kept.join(handlers, "id", "left").join(routers, "id", "left").select("id", "label", "service", F.col("service_lang").alias("lang"), F.when(F.col("op").isNotNull(), "entrypoint").when(F.col("router"), "router").otherwise("file").alias("kind"), F.col("path").alias("file"), F.coalesce("line", F.lit(0)).cast("long").alias("line"), F.coalesce("op", F.lit("")).alias("op"), F.coalesce("method", F.lit("")).alias("method"))

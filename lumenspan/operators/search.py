@@ -10,6 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .store import stored
+
 Patterns = Sequence[tuple[str, str]]
 
 
@@ -50,6 +52,31 @@ def captures(lines: DataFrame, regex: str, name: str, group: int = 1, text: str
     return lines.withColumn(name, F.explode(F.regexp_extract_all(F.col(text), F.lit(regex), F.lit(group))))
 
 
+_WORD = "0-9A-Za-z_"
+
+
+def names_in(texts: DataFrame, names: DataFrame, key: str = "id", text: str = "text", name: str = "name") -> DataFrame:
+    """(key, name): the names that stand in a text between word boundaries (of ASCII words), whatever characters a name has.
+
+    A run of word characters in a name is a whole word of any text that holds the name there: inside the name by what stands
+    beside it, at its ends by the boundary. So a name meets texts by one of its words, the one that the fewest texts have; a
+    name without any meets them by its first character, which is no word character. What met is then verified by the name as a
+    pattern. A null or empty name stands nowhere."""
+    names = names.select(F.col(name).alias("__name")).where("__name <> ''").distinct()
+    runs = F.regexp_extract_all("__name", F.lit(f"[{_WORD}]+"), F.lit(0))
+    anchors = names.select("__name", F.explode(F.when(F.size(runs) > 0, F.array_distinct(runs)).otherwise(F.array(F.substring("__name", 1, 1)))).alias("__anchor"))
+    words = F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(f"[{_WORD}]+|(?s)[^{_WORD}]"), F.lit(0)))
+    met = stored(texts.select(key, F.explode(words).alias("__anchor")).join(anchors.select("__anchor").distinct(), "__anchor", "left_semi"))
+    found = met.groupBy("__anchor").agg(F.count(F.lit(1)).alias("__texts"))
+    rarest = anchors.join(found, "__anchor", "left").groupBy("__name").agg(F.min_by(F.struct("__anchor", "__texts"), F.struct(F.coalesce("__texts", F.lit(0)), "__anchor")).alias("a"))
+    pairs = rarest.where("a.__texts is not null").select("__name", F.col("a.__anchor").alias("__anchor")).join(met, "__anchor").select(key, "__name").distinct()
+    side = lambda char, ahead: F.when(char.rlike(f"^[{_WORD}]"), f"(?{ahead}![{_WORD}])").otherwise(f"(?{ahead}=[{_WORD}])")
+    quoted = F.concat(F.lit(r"\Q"), F.replace("__name", F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+    pattern = F.concat(side(F.substring("__name", 1, 1), "<"), quoted, side(F.substring("__name", -1, 1), ""))
+    held = pairs.withColumn("__pattern", pattern).join(texts.select(key, F.col(text).alias("__text")), key)
+    return held.where(F.regexp("__text", F.col("__pattern"))).select(key, F.col("__name").alias(name)).distinct()
+
+
 def call_edges(tokens: DataFrame, spans: DataFrame, defined: DataFrame, stop: Sequence[str] = ()) -> DataFrame:
     """(caller, callee, path, line) from call tokens (path, line, callee), function spans (path, name, start, end) and the
     names defined: tokens inside a span that name a defined function, neither a stop word nor the span's own name, once for

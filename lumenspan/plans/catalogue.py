@@ -235,6 +235,20 @@ def _blame(rows: DataFrame, key: str, author: Column, when: Column, order: Colum
     return blame.lines_of(rows.select(key, F.posexplode(shown).alias("p", "s"), order.alias("o")).select(key, (F.col("o") * 4 + F.col("p")).alias("n"), "s"), key)
 
 
+@query(r"""WITH n AS (SELECT DISTINCT array_to_string(string_split(text, ' ')[1:3], ' ') AS name FROM benchmark UNION SELECT DISTINCT regexp_extract(url, '://[^/]*(/[^/?#]*/)', 1) FROM pages
+  UNION SELECT DISTINCT source || '-' || lang FROM documents UNION SELECT DISTINCT regexp_extract(text, '[^\x20-\x7E\s][A-Za-z]+|, [a-z]+ ') FROM documents),
+t AS (SELECT doc_id AS id, text FROM documents UNION ALL SELECT -1 - page_id, html FROM pages)
+SELECT name, count(*)::BIGINT AS n, sum(id)::BIGINT AS ids FROM t JOIN n ON name <> '' AND regexp_matches(text, '\b' || regexp_escape(name) || '\b') GROUP BY name""")
+def names_in_texts(spark, sf_dir):
+    """Names with spaces, slashes, hyphens, commas and letters outside ASCII, between word boundaries of documents and pages."""
+    docs, pages = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "pages")
+    first = F.array_join(F.slice(F.split("text", " "), 1, 3), " ")
+    names = _table(spark, sf_dir, "benchmark").select(first.alias("name")).union(pages.select(F.regexp_extract("url", "://[^/]*(/[^/?#]*/)", 1)))
+    names = names.union(docs.select(F.concat_ws("-", "source", "lang"))).union(docs.select(F.regexp_extract("text", r"[^\x20-\x7E\s][A-Za-z]+|, [a-z]+ ", 0)))
+    texts = docs.select(F.col("doc_id").alias("id"), "text").union(pages.select(-1 - F.col("page_id"), "html"))
+    return search.names_in(texts, names).groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("ids"))
+
+
 @query("SELECT role AS author, count(*)::BIGINT AS n FROM conversations GROUP BY role")
 def blame_authors(spark, sf_dir):
     found = _blame(_table(spark, sf_dir, "conversations"), "conv_id", F.col("role"), F.lit(1_700_000_000), F.col("turn") + 1, F.regexp_replace("text", "\n", " "))

@@ -365,3 +365,16 @@ def test_a_scanner_of_ones_own(spark):
     got = {r.path: r for r in source.parsed(files, {"go": lambda path, lang, text: {"symbols": [{"name": text, "kind": "func", "line": 1}]}}).collect()}
     assert [tuple(x) for x in got["a.go"].symbols] == [("x", "func", 1)] and got["a.go"].functions == []
     assert [t.name for t in got["b.java"].types] == ["B"]
+
+
+def test_names_of_any_characters_stand_in_texts(spark):
+    import re
+
+    from lumenspan.operators import search
+
+    names = ["get-order", "listOrders", "/orders/{id}", "order", "a.b", "a", "{id}", "/", "-x-", "é", "éa", "x+", "$", r"\Ea", "get", "a b", "\n", ""]
+    texts = ["call('get-order')", "x.get-orders()", "listOrders", "alistOrders", "api/orders/{id}x", "/orders/{id}", "(get-order)", "a.b a_b aXb", "1/2", "/", "y-x-z -x-", "aéa é", "x+y", "a$b", r"1\Ea", None, "", "a\nb", "a b", "order-get", "é a"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = {(r.id, r.name) for r in search.names_in(rows, spark.createDataFrame([(n,) for n in [*names, None, "get"]], "name string")).collect()}
+    assert got == {(i, n) for i, t in enumerate(texts) for n in names if n and re.search(rf"\b{re.escape(n)}\b", t or "", re.A)}
+    assert search.names_in(rows.limit(0), spark.createDataFrame([("a",)], "name string")).count() == 0
