@@ -6,7 +6,8 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,3 +36,10 @@ def stored(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     atexit.register(remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def counted(df: DataFrame, **counts: Column) -> tuple[DataFrame, dict[str, int]]:
+    """stored(df) and aggregates of its rows, n their number, made while they are written: one job."""
+    seen = Observation()
+    out = stored(df.observe(seen, F.count(F.lit(1)).alias("n"), *(c.alias(k) for k, c in counts.items())))
+    return out, seen.get

@@ -378,3 +378,38 @@ def test_names_of_any_characters_stand_in_texts(spark):
     got = {(r.id, r.name) for r in search.names_in(rows, spark.createDataFrame([(n,) for n in [*names, None, "get"]], "name string")).collect()}
     assert got == {(i, n) for i, t in enumerate(texts) for n in names if n and re.search(rf"\b{re.escape(n)}\b", t or "", re.A)}
     assert search.names_in(rows.limit(0), spark.createDataFrame([("a",)], "name string")).count() == 0
+
+
+def paths_by_hand(pairs, seeds, ends, most, hops=None):
+    out, todo = [], [[s] for s in seeds]
+    while todo:
+        p = todo.pop()
+        for a, b in pairs:
+            if a == p[-1] and b not in p and (hops is None or len(p) <= hops):
+                (out if b in ends else todo).append([*p, b])
+    return sorted(out, key=lambda p: (len(p), p))[:most]
+
+
+def test_shortest_paths_equal_brute_force(spark):
+    import random
+
+    rng = random.Random(8)
+    for case in range(4):
+        nodes = [f"n{i}" for i in range(8)]
+        pairs = list({(rng.choice(nodes), rng.choice(nodes)) for _ in range(22)})
+        seeds, ends = rng.sample(nodes, 2), rng.sample(nodes, 2)
+        frame = lambda xs: spark.createDataFrame([(x,) for x in xs], "node string")
+        edges = spark.createDataFrame(pairs, "node string, next string").distinct()
+        want = paths_by_hand(pairs, seeds, ends, 9, hops := None if case % 2 else 5)
+        assert [r.path for r in graph.shortest_paths(edges, frame(seeds), frame(ends), 9, hops).collect()] == want
+        if case < 2:
+            assert [r.path for r in graph.deviations(edges, frame(seeds), frame(ends), 9, hops).collect()] == want
+
+
+def test_dead_ends_hide_no_path(spark):
+    """From s by v to e; v leads to 6,000 nodes that only lead back to it; the second path is longer than what those can hold."""
+    pairs = [("s", "v"), ("v", "e"), *((a, b) for i in range(6000) for a, b in (("v", f"d{i}"), (f"d{i}", "v")))]
+    chain = ["s", *(f"w{i}" for i in range(1, 6)), "e"]
+    edges = spark.createDataFrame([*pairs, *zip(chain, chain[1:], strict=False)], "src string, dst string")
+    one = lambda n: spark.createDataFrame([(n,)], "node string")
+    assert [r.path for r in graph.simple_paths(edges, one("s"), ends=one("e"), most=2).collect()] == [["s", "v", "e"], chain]
