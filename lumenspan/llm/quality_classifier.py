@@ -11,7 +11,8 @@ all that the executors are sent.
 
 Defined cases: null and empty texts are scored as texts of length 0; labels that are null or neither 0 nor 1, or name no
 document, are left out; where a class has no labelled text its dictionary is empty, and where only one class or none is
-labelled the score is the share of good labels (0.5 without any); repeated rows and null ids are rows of their own.
+labelled the score is the share of good labels (0.5 without any); repeated rows and null ids are rows of their own;
+ids that are no integers raise at once.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket, written
+from .common import bucket, whole_id, written
 
 BLOCK = 512
 DICT_BYTES = 32_768
@@ -127,6 +128,7 @@ def fit(rows: list[tuple[int, bytes, int]]) -> Model:
 
 def sample(docs: DataFrame, labels: DataFrame) -> list[tuple[int, bytes, int]]:
     """The labelled rows to fit on: of each class the first SAMPLE_ROWS by hash, as far as SAMPLE_BYTES go; no held-out ones."""
+    whole_id(docs), whole_id(labels)  # others than integers raise here
     seen = labels.where("doc_id is not null and quality in (0, 1)").where(bucket(F.col("doc_id"), FOLDS) != 0)
     seen = seen.groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"), F.count_distinct("quality").alias("n")).where("n = 1").drop("n")
     # Of a repeated id the text of least hash counts; its size is known before any text is collected.

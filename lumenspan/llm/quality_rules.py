@@ -12,7 +12,8 @@ One pass over the texts makes the features, about 0.5 kB a document, which are w
 of them, summed on the map side first, so a hot language costs no task.
 
 Defined cases: a null text is an empty one; a null or unknown language has the reference of all; without any reference no
-document is judged by distance; repeated rows and null ids are rows of their own; other columns are ignored.
+document is judged by distance; repeated rows and null ids are rows of their own; other columns are kept in the struct `own`,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import quoted, written
 
 # Common words of four languages.
 COMMON = {
@@ -148,7 +149,7 @@ def _far() -> Column:
 def divergence(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """docs without the text, with the base counts, base_failed, char_distance, word_distance, word_limit and kept."""
     own = [c for c in docs.columns if c != text_col]
-    made = written(docs.select(F.struct(*own).alias("own") if own else F.lit(None).cast("int").alias("own"), F.col(lang_col).alias("lang"), _features(F.col(text_col)).alias("f")).select("own", "lang", "f.*"))
+    made = written(docs.select(F.struct(*map(quoted, own)).alias("own") if own else F.lit(None).cast("int").alias("own"), quoted(lang_col).alias("lang"), _features(quoted(text_col)).alias("f")).select("own", "lang", "f.*"))
     plain = made.withColumn("base_failed", (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     long = (F.col("n_words") >= LEAST_WORDS) & (F.col("word_chars") >= LEAST_CHARS)
     used = plain.where(long & ~F.col("base_failed"))

@@ -7,7 +7,8 @@ to as many partitions as the session shuffles to, by ranges of the hash, are sor
 what the ranges before hold is the number; neither files, splits, cores nor the number of ranges change it. A keyed Feistel
 permutation sends each number to its global slot: it permutes the least even power of two that holds all numbers, and walks
 on along its cycle until it lands below their count, so it is a permutation of exactly the slots. Slots are dense, so their
-ranges are known without sampling: each range is one partition, sorted, and becomes one shard of records of one fixed stride.
+ranges are known without sampling: each range becomes one shard of records of one fixed stride; a task sorts and writes one, or
+a few where there are more shards than the session has shuffle partitions.
 Slot s stands in shard s // per_shard at byte (s % per_shard) * stride: any place can be read or resumed by a seek, one epoch
 in order is one sequential read. The same documents and key give the same shards, so what was written can be resumed.
 
@@ -16,6 +17,9 @@ Texts are tokenised once; their ids are written as a table, so a lost executor c
 Record: doc_id int64, seq_no int32, n_tokens int32, then SEQ_LEN unsigned ids of 2 bytes (4 for vocabularies over 65,536),
 little-endian, unused ones 0. A null doc_id is the least int64.
 
+Copies of one row (id and text alike) share a range of the hash, since nothing tells their places apart; their ids are streamed
+through its task, sorted on disk.
+
 Defined cases: null and empty texts have one sequence, of the end-of-text id alone; repeated rows and null ids are rows of
 their own; ids that are no integers raise at once; an empty table gives no record and no shard; columns other than doc_id
 and text are ignored.
@@ -115,7 +119,7 @@ def _sizes(cells: pa.Array) -> np.ndarray:
 
 
 def sequences(docs: DataFrame, vocabulary: str = VOCABULARY, seq_len: int = SEQ_LEN, key: int = KEY, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """(slot, shard, at, doc_id, seq_no, n_tokens, record): every sequence at its slot; each partition is a shard, in order."""
+    """(slot, shard, at, doc_id, seq_no, n_tokens, record): every sequence at its slot; each partition holds whole shards, in order."""
     shards, records = numbered(docs, vocabulary, seq_len, key, shard_bytes)
     return records(0, shards)
 
@@ -194,7 +198,9 @@ def numbered(docs: DataFrame, vocabulary: str = VOCABULARY, seq_len: int = SEQ_L
 
     def records(first: int, last: int) -> DataFrame:
         within = lambda batches: place(batches, first * per_shard, last * per_shard)
-        dealt = made.mapInArrow(within, "slot long, shard int, doc_id long, seq_no int, ids binary").repartitionById(max(1, last - first), F.col("shard") - first)
+        each = -(-max(1, last - first) // ranges)  # shards of a task, one after the other: no more tasks than the session shuffles to
+        dealt = made.mapInArrow(within, "slot long, shard int, doc_id long, seq_no int, ids binary")
+        dealt = dealt.repartitionById(-(-max(1, last - first) // each), F.floor((F.col("shard") - first) / each).cast("int"))
         return dealt.sortWithinPartitions("slot").mapInArrow(pack, "slot long, shard int, at long, doc_id long, seq_no int, n_tokens int, record binary")
 
     return -(-total // per_shard), records
@@ -298,7 +304,8 @@ def shard_rows(spark: SparkSession, uri: str) -> DataFrame:
                         cells = pa.Array.from_buffers(pa.binary(), m, [None, pa.py_buffer((np.arange(m + 1) * stride).astype(np.int32)), pa.py_buffer(data)])
                         yield pa.record_batch([pa.array(first + at), pa.array(np.full(m, shard, np.int32)), pa.array(at * stride), pa.array(ids, mask=ids == NO_ID), pa.array(seq_no), pa.array(n_tokens), cells], names=["slot", "shard", "at", "doc_id", "seq_no", "n_tokens", "record"])
 
-    each = told.repartitionById(max(1, len(shards)), F.col("shard"))
+    tasks = min(max(1, len(shards)), max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    each = told.repartitionById(tasks, F.col("shard") % tasks)
     return each.mapInArrow(read, "slot long, shard int, at long, doc_id long, seq_no int, n_tokens int, record binary")
 
 
@@ -311,8 +318,13 @@ def _shard_folder(spark: SparkSession) -> str:
     return path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path
 
 
+def materialised(docs: DataFrame, **options) -> DataFrame:
+    """The rows of shards that it writes, with their manifest, to a new place in the shared folder."""
+    folder = _shard_folder(docs.sparkSession)
+    write_all(docs, folder, **options)
+    return shard_rows(docs.sparkSession, folder)
+
+
 def op2_token_order(spark, sf_dir: str) -> DataFrame:
-    """Writes the shards of documents and their manifest to the shared folder; the rows are read from there."""
-    folder = _shard_folder(spark)
-    write_all(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), folder)
-    return shard_rows(spark, folder)
+    """Writes the shards of documents; the rows are read from there."""
+    return materialised(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))

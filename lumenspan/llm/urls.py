@@ -7,7 +7,8 @@ labels or slashes is all that can fit. Keys meet on the first 32 bits of their S
 are confirmed, and the longest rule wins (at equal length the longer host, then block before allow, then code point order).
 
 Defined cases: a null URL or one without :// has an empty host and path and fits no rule; repeated and null ids and
-repeated rows stay rows of their own; an empty rule table leaves every URL to the default; other columns are kept.
+repeated rows stay rows of their own; an empty rule table leaves every URL to the default; other columns are kept, whatever their
+names, but for those named like the four that are added, in whatever case, which are replaced.
 """
 
 from __future__ import annotations
@@ -15,13 +16,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import ascii_lower, quoted
 
 # The rules (host, path, verdict).
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 #: A rule table up to this many rows is broadcast (a row is about 0.2 kB, so 20 MB); beyond, the join is shuffled and AQE splits hot keys.
 BROADCAST_RULES = 100_000
 DEFAULT = "allow"
+ADDED = ("host", "path", "rule", "verdict")
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -55,24 +57,25 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", defaul
     keyed = rules.select(ascii_lower(F.col("host")).alias("r_host"), F.col("path").alias("r_path"), F.col("verdict").alias("r_verdict")).where("r_host is not null and r_path is not null").distinct()
     keyed = keyed.withColumn("r_key", F.concat("r_host", F.lit("\x00"), _directory(F.col("r_path"))))
     bound = keyed.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(F.split("r_host", r"\.", -1))).alias("labels"), F.max(F.size(F.split(_directory(F.col("r_path")), "/", -1)) - 1).alias("depth")).first()
-    host, path = host_and_path(F.col(url_col))
-    own = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
-    base = pages.select(*own).withColumns({"host": host, "path": path})
+    own = [c for c in pages.columns if c.lower() not in ADDED]
+    kept = [F.col("page").getField(c).alias(c) for c in own]
+    host, path = host_and_path(quoted(url_col))
+    # The row rides along as a struct, so that no name of its columns meets one of those below.
+    base = pages.select(F.struct(*map(quoted, own)).alias("page") if own else F.lit(None).cast("int").alias("page"), host.alias("host"), path.alias("path"))
     if not bound["n"]:
-        return base.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
+        return base.select(*kept, "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
     keyed = keyed.withColumns({"r_prefix": _prefix(F.col("r_key")), "r_digest": F.sha2("r_key", 256)}).drop("r_key")
     if bound["n"] <= BROADCAST_RULES:
         keyed = F.broadcast(keyed)
     # The row's number keeps repeated rows apart; it is made once, below the only branch of the plan.
-    row = base.withColumn("__row", F.monotonically_increasing_id())
-    spread = row.select("__row", *own, "host", "path", F.explode(_expressions(F.col("host"), F.col("path"), bound["labels"], bound["depth"])).alias("__key"))
-    fits = (F.sha2("__key", 256) == F.col("r_digest")) & F.startswith("path", "r_path")
-    met = spread.withColumn("__prefix", _prefix(F.col("__key"))).join(keyed, (F.col("__prefix") == F.col("r_prefix")) & fits, "left")
+    row = base.withColumn("row", F.monotonically_increasing_id())
+    spread = row.select("row", "page", "host", "path", F.explode(_expressions(F.col("host"), F.col("path"), bound["labels"], bound["depth"])).alias("key"))
+    fits = (F.sha2("key", 256) == F.col("r_digest")) & F.startswith("path", "r_path")
+    met = spread.withColumn("prefix", _prefix(F.col("key"))).join(keyed, (F.col("prefix") == F.col("r_prefix")) & fits, "left")
     best = F.max(F.when(F.col("r_digest").isNotNull(), F.struct((F.length("r_host") + F.length("r_path")).alias("n"), F.length("r_host").alias("h"), F.when(F.col("r_verdict") == "block", 1).otherwise(0).alias("b"), F.concat("r_host", "r_path").alias("rule"), F.col("r_verdict").alias("verdict"))))
-    # What stands in a row besides its number depends on it, so it rides along as a struct instead of being grouped by.
-    held = F.first(F.struct(*own, "host", "path")).alias("held")
-    out = met.groupBy("__row").agg(held, best.alias("best"))
-    return out.select("held.*", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+    # What stands in a row besides its number depends on it, so it is not grouped by.
+    out = met.groupBy("row").agg(F.first(F.struct("page", "host", "path")).alias("held"), best.alias("best"))
+    return out.select("held.*", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict")).select(*kept, "host", "path", "rule", "verdict")
 
 
 def op4_url_filter(spark, sf_dir: str) -> DataFrame:

@@ -102,7 +102,7 @@ def test_empty_documents(spark, sf_dir, tmp_path):
 @pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
 def test_same_as_sql(spark, sf_dir, tmp_path, name):
     sf, con = sf_dir.replace("sf0.001", "sf0.01"), duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "labels"):
         con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
     if name == "op1_secrets":  # more cases than the tables hold
         from tests.llm.test_secrets_urls import SECRET_40, TRIPLES

@@ -153,3 +153,14 @@ def test_no_rules(spark):
     none = spark.createDataFrame([], "host string, path string, verdict string")
     assert [tuple(r) for r in U.filter_urls(pages, none).collect()] == [(1, "http://net/", "net", "/", None, "allow")]
     assert U.filter_urls(pages.limit(0), spark.createDataFrame(RULES, none.schema)).count() == 0
+
+
+def test_clashing_names_of_pages_stay(spark):
+    pages = spark.createDataFrame([(1, "http://x.net/a/b", "H", "r", "k", "p", 7, 8, 9), (1, "http://x.net/a/b", "H", "r", "k", "p", 7, 8, 9), (2, None, None, None, None, None, None, None, None)], "page_id int, url string, Host string, r_host string, __key string, page string, `a.b` int, row int, __row int")
+    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    for table in (rules, rules.limit(0)):
+        got = U.filter_urls(pages, table)
+        assert got.columns == ["page_id", "url", "r_host", "__key", "page", "a.b", "row", "__row", "host", "path", "rule", "verdict"]
+        rows = sorted(map(tuple, got.collect()), key=str)
+        verdict = ("net/", "block") if table is rules else (None, "allow")
+        assert rows == sorted([(1, "http://x.net/a/b", "r", "k", "p", 7, 8, 9, "x.net", "/a/b", *verdict)] * 2 + [(2, *[None] * 7, "", "", None, "allow")], key=str)

@@ -376,3 +376,30 @@ def test_slots_by_hand_whatever_the_files(spark, sf_dir, odd, tmp_path):
 def test_ids_have_to_be_integers(spark):
     with pytest.raises(TypeError):
         T.sequences(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+
+
+def test_dotted_columns_and_ids_of_text(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    wide = docs.selectExpr("*", "doc_id AS `a.b`", "1 AS own", "2 AS f")
+    key = lambda r: (r.own.doc_id, r.n_words, r.kept)
+    got = Q.divergence(wide).collect()
+    assert sorted(map(key, got)) == sorted(map(key, Q.divergence(docs).collect())) and all(r.own["a.b"] == r.own.doc_id for r in got)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    with pytest.raises(TypeError):
+        C.sample(docs.selectExpr("string(doc_id) AS doc_id", "text"), labels)
+
+
+def test_shards_of_few_tasks(spark, sf_dir, tmp_path):
+    """More shards than shuffle partitions: a task writes several, and the rows are the same."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    key = lambda r: (r.slot, r.doc_id, r.seq_no, bytes(r.record))
+    had = spark.conf.get("spark.sql.shuffle.partitions")
+    small = T.materialised(docs, shard_bytes=40_000)
+    want = [(r.slot, r.shard, *key(r)[1:]) for r in small.orderBy("slot").collect()]
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "2")
+        few = T.materialised(docs, shard_bytes=40_000)
+        assert few.rdd.getNumPartitions() == 2
+        assert [(r.slot, r.shard, *key(r)[1:]) for r in few.orderBy("slot").collect()] == want and want[-1][1] > 8
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", had)
