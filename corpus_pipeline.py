@@ -1,7 +1,7 @@
 """From raw documents to training order: five stages over the documents table, each written and read again.
 
 STAGES: (name, function); a function takes (spark, docs, sf_dir) and returns what is left, with the columns of documents,
-but for the last one, which returns the token records at their slots.
+but for the last one, which writes shards and returns the token records read from them.
 """
 
 from __future__ import annotations
@@ -35,8 +35,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token records in training order."""
-    return token_output.sequences(docs)
+    """Writes the shards of token records in training order; the rows are read from them."""
+    return token_output.materialised(docs)
 
 
 STAGES = [("quality classifier", quality), ("SimHash near-dedup", near_duplicates), ("benchmark decontamination", decontaminated), ("mixing sources", mixed), ("token-ID output", tokens)]

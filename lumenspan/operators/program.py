@@ -47,7 +47,7 @@ def calls_of(parsed: DataFrame) -> DataFrame:
     """(path, name, owner, start, end, calls): functions with the distinct names they call, sorted."""
     funcs = explode(parsed, "functions").select("path", "name", "owner", "start", "end")
     calls = explode(parsed, "calls").select("path", "line", "callee").where(~F.col("callee").isin(*CALL_KEYWORDS))
-    inside = calls.join(funcs, "path").where(F.col("line").between(F.col("start"), F.col("end")) & (F.col("callee") != F.col("name")))
+    inside = relate.span_join(calls, funcs, ["path"], "line").where(F.col("callee") != F.col("name"))
     names = inside.groupBy("path", "name", "start").agg(F.array_join(F.array_sort(F.collect_set("callee")), ", ").alias("calls"))
     return funcs.join(names, ["path", "name", "start"], "left").withColumn("calls", F.coalesce("calls", F.lit("")))
 

@@ -6,11 +6,52 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
+
+
+#: Spans of one key up to which each of its points is compared with each of them.
+FEW_SPANS = 32
+_LEVELS, _FAN = 21, 3  # blocks of 8 to the power of 0 to 20
+
+
+def _shifted(c: Column, level: Column, up: bool = False) -> Column:
+    """c divided by the size of a level's blocks, rounded down (or up)."""
+    by = lambda x: F.call_function("shiftright", x, (level * _FAN).cast("int"))
+    return -by(-c) if up else by(c)
+
+
+def _blocks(start: Column, end: Column) -> Column:
+    """The fewest (level, block) that make up a span: at most 14 a level, each span's blocks being apart."""
+    past = F.least(end.cast("long"), F.lit(1 << 59)) + 1
+    start = F.greatest(start.cast("long"), F.lit(-(1 << 59)))
+
+    def of(level: Column) -> Column:
+        low, high = _shifted(start, level, up=True), _shifted(past, level)
+        inner, outer = _shifted(start, level + 1, up=True) * 8, _shifted(past, level + 1) * 8
+        some = lambda a, b: F.when(a < b, F.sequence(a, b - 1)).otherwise(F.array().cast("array<bigint>"))
+        parts = F.when(inner < outer, F.concat(some(low, inner), some(outer, high))).otherwise(some(low, high))
+        return F.transform(parts, lambda x: F.struct(level.cast("int").alias("level"), x.alias("block")))
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(_LEVELS - 1)), of))
 
 
 def span_join(points: DataFrame, spans: DataFrame, keys: Sequence[str], at: str, start: str = "start", end: str = "end") -> DataFrame:
-    """Points inside spans of the same key, ends included: a hash join on the key with the range as a residual."""
-    return points.join(spans, list(keys)).where(F.col(at).between(F.col(start), F.col(end)))
+    """Points inside spans of the same key, ends included.
+
+    Where no key has more than FEW_SPANS, this is a hash join on the key with the range as a residual. Otherwise each span is cut into
+    blocks of 8^k numbers, and a point meets, by equality, its own block of each size that spans have: every pair meets once, and
+    pairs that don't fit never do. Places that are no integers are compared."""
+    held = F.col(at).between(F.col(start), F.col(end))
+    if not all(isinstance(df.schema[c].dataType, IntegralType) for df, c in ((points, at), (spans, start), (spans, end))):
+        return points.join(spans, list(keys)).where(held)
+    levels = F.transform(_blocks(F.col(start), F.col(end)), lambda x: F.call_function("shiftleft", F.lit(1), x["level"]))
+    used = spans.select(*keys, F.aggregate(levels, F.lit(0), lambda s, x: s.bitwiseOR(x)).alias("__levels"))
+    got = used.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.bit_or("__levels").alias("l")).agg(F.max("n").alias("n"), F.bit_or("l").alias("l")).first()
+    if (got.n or 0) <= FEW_SPANS:
+        return points.join(spans, list(keys)).where(held)
+    own = F.array(*(F.struct(F.lit(k).alias("level"), _shifted(F.col(at).cast("long"), F.lit(k)).alias("block")) for k in range(_LEVELS) if got.l >> k & 1))
+    cut = spans.where(F.col(start) <= F.col(end)).withColumn("__block", F.explode(_blocks(F.col(start), F.col(end))))
+    return points.where(F.col(at).isNotNull()).withColumn("__block", F.explode(own)).join(cut, [*keys, "__block"]).drop("__block")
 
 
 def innermost(points: DataFrame, spans: DataFrame, keys: Sequence[str], at: str, start: str = "start", end: str = "end") -> DataFrame:

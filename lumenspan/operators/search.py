@@ -10,6 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import relate
 from .store import stored
 
 Patterns = Sequence[tuple[str, str]]
@@ -81,7 +82,7 @@ def call_edges(tokens: DataFrame, spans: DataFrame, defined: DataFrame, stop: Se
     """(caller, callee, path, line) from call tokens (path, line, callee), function spans (path, name, start, end) and the
     names defined: tokens inside a span that name a defined function, neither a stop word nor the span's own name, once for
     each line and caller's span."""
-    inside = tokens.join(spans, "path").where(F.col("line").between(F.col("start"), F.col("end")))
+    inside = relate.span_join(tokens, spans, ["path"], "line")
     kept = inside.where((F.col("callee") != F.col("name")) & ~F.col("callee").isin(list(stop) or [""]))
     known = kept.join(defined.select(F.col("name").alias("callee")).distinct(), "callee", "left_semi")
     return known.select(F.col("name").alias("caller"), "callee", "path", "line", "start").distinct().drop("start")

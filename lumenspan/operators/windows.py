@@ -9,22 +9,63 @@ from pyspark.sql import functions as F
 from .store import stored
 
 
+def _ranged(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """df with __part: its rows by ranges of key and order, so that a hot key lies in several parts, one after the other."""
+    return stored(df.repartitionByRange(*keys, *order).withColumn("__part", F.spark_partition_id()))
+
+
+def _carried(parts: DataFrame, keys: list[str], held: Column, name: str, combined: Column) -> DataFrame:
+    """parts with name: what the parts before hold of a row's key; held is one part's, combined those of several, by __part.
+
+    Only the first key of a part can have begun before it, so what is carried over is a row for each part at most."""
+    w = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    each = parts.groupBy(*keys, "__part").agg(held.alias("__held"))
+    over = each.select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), F.col("__part").alias("__p"), combined.over(w).alias(name), F.lag(F.lit(1)).over(Window.partitionBy(*keys).orderBy("__part")).alias("__begun"))
+    over = F.broadcast(over.where("__begun = 1").drop("__begun"))
+    same = F.col("__part") == F.col("__p")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    return parts.join(over, same, "left").drop("__p", *(f"__k{i}" for i in range(len(keys))))
+
+
 def carry_forward(df: DataFrame, keys: list[str], order: list[str], value: Column, name: str) -> DataFrame:
-    """The last value so far that isn't null, by order within keys."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(name, F.last(value, ignorenulls=True).over(w))
+    """The last value so far that isn't null, by order within keys; order tells the rows of a key apart. No task holds a whole key."""
+    parts = _ranged(df.withColumn("__value", value), keys, order)
+    rank = F.struct(*order)
+    met = _carried(parts, keys, F.max_by("__value", F.when(F.col("__value").isNotNull(), rank)), "__before", F.last("__held", ignorenulls=True))
+    w = Window.partitionBy("__part", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    here = F.last("__value", ignorenulls=True).over(w)
+    return met.withColumn(name, F.coalesce(here, F.col("__before"))).select(*df.columns, name)
 
 
 def running_depth(lines: DataFrame, keys: list[str], opens: Column, closes: Column, name: str = "depth", order: str = "line") -> DataFrame:
-    """Openings less closings on all lines before."""
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return lines.withColumn(name, F.coalesce(F.sum(opens - closes).over(w), F.lit(0)).cast("long"))
+    """Openings less closings on all lines before. No task holds a whole key."""
+    parts = _ranged(lines.withColumn("__step", (opens - closes).cast("long")), keys, [order])
+    met = _carried(parts, keys, F.sum("__step"), "__before", F.sum("__held"))
+    w = Window.partitionBy("__part", *keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    depth = F.coalesce(F.sum("__step").over(w), F.lit(0)) + F.coalesce("__before", F.lit(0))
+    return met.withColumn(name, depth.cast("long")).select(*lines.columns, name)
 
 
 def look_back(lines: DataFrame, keys: list[str], test: Column, rows: int, name: str, order: str = "line") -> DataFrame:
-    """The nearest line among the rows before on which test holds, else null."""
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(-rows, -1)
-    return lines.withColumn(name, F.max(F.when(test, F.col(order))).over(w))
+    """The nearest line among the rows before on which test holds, else null. No task holds a whole key.
+
+    Within a part a row sees the rows before it; the first `rows` of a key in a part see the last ones of the parts before, which
+    together are few."""
+    parts = _ranged(lines.withColumn("__line", F.when(test, F.col(order))), keys, [order])
+    local = Window.partitionBy("__part", *keys).orderBy(order)
+    placed = parts.withColumns({"__at": F.row_number().over(local), "__left": F.count(F.lit(1)).over(Window.partitionBy("__part", *keys)), name: F.max("__line").over(local.rowsBetween(-rows, -1))})
+    placed = stored(placed)
+    split = placed.groupBy(*keys).agg(F.count_distinct("__part").alias("__parts")).where("__parts > 1")  # one fewer than the parts at most
+    same = lambda a, b: [a[k].eqNullSafe(b[k]) for k in keys]
+    edge = placed.where((F.col("__at") <= rows) | (F.col("__at") > F.col("__left") - rows))
+    edge = edge.join(F.broadcast(split), same(edge, split), "left_semi")
+    seen = edge.withColumn("__far", F.max("__line").over(Window.partitionBy(*keys).orderBy("__part", order).rowsBetween(-rows, -1))).where(F.col("__at") <= rows)
+    seen = seen.select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), F.col("__part").alias("__p"), F.col("__at").alias("__a"), "__far")
+    on = (F.col("__part") == F.col("__p")) & (F.col("__at") == F.col("__a"))
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    return placed.join(seen, on, "left").withColumn(name, F.coalesce(F.greatest(name, "__far"), name, "__far")).select(*lines.columns, name)
 
 
 def k_of_n(df: DataFrame, key: str, order: str) -> DataFrame:

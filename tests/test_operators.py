@@ -413,3 +413,54 @@ def test_dead_ends_hide_no_path(spark):
     edges = spark.createDataFrame([*pairs, *zip(chain, chain[1:], strict=False)], "src string, dst string")
     one = lambda n: spark.createDataFrame([(n,)], "node string")
     assert [r.path for r in graph.simple_paths(edges, one("s"), ends=one("e"), most=2).collect()] == [["s", "v", "e"], chain]
+
+
+def test_points_in_many_spans_of_one_key(spark):
+    """A hot key whose spans nest and touch, one beyond all points, some empty; every pair comes once."""
+    import random
+
+    from lumenspan.operators import relate
+
+    rng = random.Random(3)
+    spans = [("f", a, a + rng.choice([0, 1, 7, 8, 63, 500, 4000])) for a in (rng.randint(-20, 3000) for _ in range(200))]
+    spans += [("f", 1, 1 << 62), ("f", 0, 7), ("f", 8, 15), ("f", 9, 3), ("f", None, 5), ("g", 2, 4), (None, 1, 9)]
+    points = [("f", p) for p in [*range(-30, 3100, 7), 1 << 40, None]] + [("g", 3), ("g", 5), (None, 3)]
+    s, p = spark.createDataFrame(spans, "path string, start long, end long"), spark.createDataFrame(points, "path string, line long")
+    got = sorted(((r.path, r.line, r.start, r.end) for r in relate.span_join(p, s, ["path"], "line").collect()))
+    assert got == sorted((k, x, a, b) for k, x in points if k and x is not None for j, a, b in spans if j == k and a is not None and a <= x <= b)
+
+
+def test_many_lines_of_one_path_in_linear_work(spark):
+    from lumenspan.operators import relate
+
+    spans = spark.range(100_000).selectExpr("'p' AS path", "id * 10 AS start", "id * 10 + 9 AS end").union(spark.range(1).selectExpr("'p'", "0L", "999999L"))
+    points = spark.range(1_000_000).selectExpr("'p' AS path", "id AS line")
+    joined = relate.span_join(points, spans, ["path"], "line")  # all pairs would be 10^11
+    assert joined.count() == 2_000_000 and relate.innermost(points.where("line % 1000 = 7"), spans, ["path"], "line").where("start = line - 7").count() == 1000
+
+
+@pytest.fixture
+def many_parts(spark):
+    """Small tables keep all their partitions."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_scans_of_a_hot_key_equal_windows(spark, many_parts):
+    """A key with nearly all rows lies in several parts; results are those of a window over whole keys."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from lumenspan.operators import windows
+
+    rows = spark.range(4000).selectExpr("CASE WHEN id % 50 = 0 THEN 'cold' || id % 7 WHEN id % 401 = 1 THEN NULL ELSE 'hot' END AS k", "id AS line", "CASE WHEN xxhash64(id) % 900 = 0 THEN id END AS v", "int(xxhash64(id) % 3) AS o", "int(xxhash64(id, 1) % 3) AS c")
+    rows = rows.cache()
+    w = Window.partitionBy("k").orderBy("line")
+    want = rows.select("line", F.last("v", True).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("a"), F.coalesce(F.sum(F.col("o") - F.col("c")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("b"), F.max(F.when(F.col("v").isNotNull(), F.col("line"))).over(w.rowsBetween(-600, -1)).alias("d"), F.max(F.when(F.col("o") == 1, F.col("line"))).over(w.rowsBetween(-8, -1)).alias("e"))
+    got = windows.carry_forward(rows, ["k"], ["line"], F.col("v"), "a")
+    got = got.join(windows.running_depth(rows, ["k"], F.col("o"), F.col("c"), "b").select("line", "b"), "line")
+    got = got.join(windows.look_back(rows, ["k"], F.col("v").isNotNull(), 600, "d").select("line", "d"), "line")
+    got = got.join(windows.look_back(rows, ["k"], F.col("o") == 1, 8, "e").select("line", "e"), "line")
+    assert windows._ranged(rows, ["k"], ["line"]).where("k = 'hot'").select("__part").distinct().count() > 1
+    assert sorted(map(tuple, got.select("line", "a", "b", "d", "e").collect())) == sorted(map(tuple, want.collect()))
