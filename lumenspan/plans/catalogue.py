@@ -16,7 +16,7 @@ from lumenspan.functions import flow, layout
 from lumenspan.functions.code import Source, functions
 from lumenspan.functions.regex import bounded, glob_to_regex
 from lumenspan.operators import components as connected
-from lumenspan.operators import graph, program, relate, search, windows
+from lumenspan.operators import flows, graph, program, relate, search, windows
 from lumenspan.operators.store import remove, shared_dir, stored
 from lumenspan.session import shipped
 from lumenspan.sources import blame
@@ -158,6 +158,26 @@ def trace_paths(spark, sf_dir):
     return found.select(F.concat(F.lit("/"), F.array_join(F.transform("path", lambda x: x.cast("string")), "/"), F.lit("/")).alias("path"))
 
 
+@query("""WITH RECURSIVE m AS (SELECT c_custkey::BIGINT AS k, c_nationkey AS a, c_mktsegment = 'BUILDING' AND c_nationkey = 7 AS chosen FROM customer WHERE c_custkey > 0),
+w AS (SELECT 4 * k AS src, 4 * k + 1 AS dst FROM m WHERE a % 5 <> 0 UNION ALL SELECT 4 * k + 1, 4 * k + 3 FROM m WHERE a % 3 = 0 UNION ALL SELECT 4 * k + 2, 4 * k + 3 FROM m WHERE a % 2 = 0),
+s AS (SELECT k // 2 AS p, k AS site FROM m WHERE k // 2 IN (SELECT k FROM m)),
+e AS (SELECT src, dst, 0::BIGINT AS push, 0::BIGINT AS pop FROM w UNION ALL SELECT 4 * p + 1, 4 * site, site, 0 FROM s UNION ALL SELECT 4 * site + 3, 4 * p + 2, 0, site FROM s),
+r AS (SELECT 4 * k + 1 AS node, []::BIGINT[] AS stack FROM m WHERE chosen UNION
+  SELECT dst, CASE WHEN push > 0 THEN list_append(stack, push) WHEN pop > 0 AND len(stack) > 0 THEN stack[1:len(stack) - 1] ELSE stack END FROM r JOIN e ON src = node WHERE pop = 0 OR len(stack) = 0 OR stack[len(stack)] = pop)
+SELECT DISTINCT node FROM r""")
+def matched_flow(spark, sf_dir):
+    """Customers as methods: each calls those of twice its key and one more, with a local value, and gets results back. What chosen
+    locals flow into, where a return only goes back to the site whose call was entered."""
+    m = _keys(spark, sf_dir)[0].select("node", F.col("c_nationkey").alias("a"), F.expr(CHOSEN).alias("chosen"))
+    at = lambda k, c="node": F.col(c) * 4 + k  # noqa: E731  (parameter, local, result of calls, return)
+    edge = lambda test, a, b: m.where(test).select(at(a).alias("src"), at(b).alias("dst"))
+    within = edge("a % 5 <> 0", 0, 1).union(edge("a % 3 = 0", 1, 3)).union(edge("a % 2 = 0", 2, 3))
+    sites = m.select(F.col("node").alias("site"), F.expr("node div 2").alias("p")).join(m.select(F.col("node").alias("p")), "p", "left_semi")
+    calls = sites.select("site", at(1, "p").alias("src"), at(0, "site").alias("dst"))
+    returns = sites.select("site", at(3, "site").alias("src"), at(2, "p").alias("dst"))
+    return flows.matched_reach(within, calls, returns, m.where("chosen").select(at(1).alias("node"))).select("node")
+
+
 @query(f"""WITH RECURSIVE {_keys_sql("CASE WHEN k = 2 THEN 1 END")}, r AS (SELECT src AS start, dst AS node, 1::BIGINT AS depth FROM e UNION SELECT start, dst, depth + 1 FROM r JOIN e ON src = node WHERE depth < 40)
 SELECT start, node, min(depth)::BIGINT AS depth FROM r GROUP BY start, node""")
 def subtype_closure(spark, sf_dir):

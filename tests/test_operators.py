@@ -464,3 +464,55 @@ def test_scans_of_a_hot_key_equal_windows(spark, many_parts):
     got = got.join(windows.look_back(rows, ["k"], F.col("o") == 1, 8, "e").select("line", "e"), "line")
     assert windows._ranged(rows, ["k"], ["line"]).where("k = 'hot'").select("__part").distinct().count() > 1
     assert sorted(map(tuple, got.select("line", "a", "b", "d", "e").collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_flows_match_calls_with_returns(spark):
+    """Random methods with recursion against a search over explicit call stacks of bounded depth."""
+    import random
+
+    from lumenspan.operators import flows
+
+    rng = random.Random(11)
+    for _ in range(3):
+        node = lambda m: f"m{m}.{rng.choice('pabr')}"
+        within = list({(node(m), node(m)) for m in range(5) for _ in range(4)})
+        sites = [(s, rng.randrange(5), rng.randrange(5)) for s in range(8)]
+        calls = [(s, f"m{a}.{rng.choice('pab')}", f"m{b}.p") for s, a, b in sites]
+        returns = [(s, f"m{b}.r", f"m{a}.{rng.choice('abr')}") for s, a, b in sites]
+        seeds = [node(0)]
+
+        def reached(start, back=False):
+            edges = [(x, y, None, None) for x, y in within] + [(x, y, s, None) for s, x, y in calls] + [(x, y, None, s) for s, x, y in returns]
+            if back:
+                edges = [(y, x, pop, push) for x, y, push, pop in edges]
+            seen, todo = set(), [(n, ()) for n in start]
+            while todo:
+                n, stack = state = todo.pop()
+                if state in seen or len(stack) > 6:
+                    continue
+                seen.add(state)
+                for x, y, push, pop in edges:
+                    if x == n and push is not None:
+                        todo.append((y, (*stack, push)))
+                    elif x == n and pop is None:
+                        todo.append((y, stack))
+                    elif x == n and (not stack or stack[-1] == pop):
+                        todo.append((y, stack[:-1]))
+            return {n for n, _ in seen}
+
+        frame = lambda rows, names: spark.createDataFrame(rows, names)
+        tables = frame(within, "src string, dst string"), frame(calls, "site int, src string, dst string"), frame(returns, "site int, src string, dst string")
+        start = frame([(s,) for s in seeds], "node string")
+        assert {r.node for r in flows.matched_reach(*tables, start).collect()} == reached(seeds)
+        assert {r.node for r in flows.matched_reach(*tables, start, backward=True).collect()} == reached(seeds, True)
+
+
+def test_a_value_comes_back_to_its_own_caller_only(spark):
+    from lumenspan.operators import flows
+
+    within = spark.createDataFrame([("id.p", "id.r")], "src string, dst string")
+    calls = spark.createDataFrame([(1, "f.x", "id.p"), (2, "g.y", "id.p")], "site int, src string, dst string")
+    returns = spark.createDataFrame([(1, "id.r", "f.z"), (2, "id.r", "g.w")], "site int, src string, dst string")
+    got = flows.matched_reach(within, calls, returns, spark.createDataFrame([("f.x",)], "node string"))
+    assert {r.node for r in got.collect()} == {"f.x", "id.p", "id.r", "f.z"}
+    assert {tuple(r) for r in flows.summaries(within, calls, returns).collect()} == {("f.x", "f.z"), ("g.y", "g.w")}
