@@ -52,11 +52,21 @@ def from_texts(spark: SparkSession, texts: dict[str, str], repo: str = "") -> Da
     return spark.createDataFrame(rows, FILES).withColumn("content_hash", F.substring(F.sha1("text"), 1, 12))
 
 
+#: Bytes of a line from which on it is no line of a source file.
+LONGEST_LINE = 1 << 20
+
+
 def lines(files: DataFrame) -> DataFrame:
-    """(repo, path, lang, is_test, line, text): 1-based lines; a carriage return before a line end goes, a final line end makes no line."""
+    """(repo, path, lang, is_test, line, text): 1-based lines; a carriage return before a line end goes, a final line end makes no line.
+
+    A line of LONGEST_LINE bytes or more is an error that names its file and number."""
     text = F.regexp_replace("text", r"\r?\n\z", "")
     cut = F.split(text, r"\r?\n", -1)
-    return files.where("text is not null and text <> ''").select("repo", "path", "lang", "is_test", F.posexplode(cut).alias("pos", "line_text")).select("repo", "path", "lang", "is_test", (F.col("pos") + 1).cast("long").alias("line"), F.col("line_text").alias("text"))
+    out = files.where("text is not null and text <> ''").select("repo", "path", "lang", "is_test", F.posexplode(cut).alias("pos", "line_text"))
+    n = (F.col("pos") + 1).cast("long")
+    long = F.raise_error(F.concat(F.lit("line too long: "), "path", F.lit(":"), n.cast("string")))
+    kept = F.when(F.octet_length("line_text") >= LONGEST_LINE, long.cast("string")).otherwise(F.col("line_text"))
+    return out.select("repo", "path", "lang", "is_test", n.alias("line"), kept.alias("text"))
 
 
 _FUNCTION = "struct<name:string,owner:string,start:long,end:long,sig:string,annotations:array<string>,params:array<string>>"

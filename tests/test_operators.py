@@ -516,3 +516,26 @@ def test_a_value_comes_back_to_its_own_caller_only(spark):
     got = flows.matched_reach(within, calls, returns, spark.createDataFrame([("f.x",)], "node string"))
     assert {r.node for r in got.collect()} == {"f.x", "id.p", "id.r", "f.z"}
     assert {tuple(r) for r in flows.summaries(within, calls, returns).collect()} == {("f.x", "f.z"), ("g.y", "g.w")}
+
+
+def test_a_line_too_long_is_an_error(spark):
+    from lumenspan.sources import files as source
+
+    fits = source.from_texts(spark, {"a.go": "x" * ((1 << 20) - 1) + "\ny"})
+    assert [(r.line, len(r.text)) for r in source.lines(fits).orderBy("line").collect()] == [(1, (1 << 20) - 1), (2, 1)]
+    with pytest.raises(Exception, match=r"line too long: b\.go:2"):
+        source.lines(source.from_texts(spark, {"b.go": "x\n" + "y" * (1 << 20)})).collect()
+
+
+def test_routes_with_hyphens_and_slashes_reach_their_callers(spark):
+    from lumenspan.operators import program
+    from lumenspan.sources import files as source
+
+    go = 'package api\n\nfunc Routes(rb R) {\n\trb.AddRoute("get-order", deps.GetOrder)\n\trb.AddRoute("/orders/{id}", deps.One)\n\trb.AddRoute("listOrders", deps.List)\n}\n'
+    handlers = "package api\n\nfunc (d D) GetOrder(c C) {}\n\nfunc (d D) One(c C) {}\n\nfunc (d D) List(c C) {}\n"
+    ts = {"web/a.ts": "call('get-order'); call('get-orders')", "web/b.ts": "fetch(`v1/orders/{id}x`); listOrders()", "web/c.ts": "relistOrders(); fetch('/orders/{id}')"}
+    files = source.from_texts(spark, {"api/routes.go": go, "api/handlers.go": handlers} | ts)
+    services = spark.createDataFrame([("api", "api", "go"), ("web", "web", "ts")], "name string, root string, service_lang string")
+    _, edges = program.file_graph(files, services, spark.createDataFrame([], "pkg string, root string"))
+    got = {(r["from"], r.label) for r in edges.where("kind = 'api-call'").collect()}
+    assert got == {("web::web/a.ts", "get-order"), ("web::web/b.ts", "/orders/{id}"), ("web::web/b.ts", "listOrders")}
