@@ -232,17 +232,45 @@ def side_effects(c: Context) -> Projection:
 
 @lens("ast-grep")
 def structural(c: Context) -> Projection:
-    """Structural patterns: $NAME stands for a balanced expression, $$$ for any number of arguments, white space for any."""
+    """Structural patterns: $NAME stands for a balanced expression, the same wherever the name is, $$$ for any number of arguments,
+    white space for any."""
     pattern, lang = c.lens.need("pattern"), c.lens.need("lang")
     want = {"ts": "js", "tsx": "js"}.get(lang, lang)
     shown = [row(c.lens.get("line_format"), r.path, r.line, c.lens.get("label", default="match"), r.text) for r in structural_plan(c, pattern, want).collect()]
     return Projection(pieces=[_block("ast-grep", "ast-grep", "ast-grep", sorted(shown) or [f"// no ast-grep matches under {c.lens.source_root or '.'}"])])
 
 
+#: Brackets within brackets that a structural pattern's $NAME may hold.
+BRACKETS = 16
+
+
+def _nested(opening: str, closing: str, depth: int = BRACKETS) -> str:
+    """A regular expression of a balanced pair of brackets."""
+    other = f"[^\\{opening}\\{closing}]++"
+    return rf"\{opening}(?:{other}{'|' + _nested(opening, closing, depth - 1) if depth > 1 else ''})*+\{closing}"
+
+
+def structural_regex(pattern: str) -> str:
+    """The pattern as a regular expression: a name's first place is a group, its others are what stood there; $_ names nothing."""
+    balanced = rf"(?:[^()\[\]{{}},;]|{_nested('(', ')')}|{_nested('[', ']')})+?"
+    names, out = [], []
+    for p in re.split(r"(\$\$\$\w*|\$[A-Z_]\w*|\s+)", pattern):
+        if p.startswith("$$$"):
+            out.append(rf"(?:[^()]|{_nested('(', ')')})*?")
+        elif p.startswith("$_"):
+            out.append(balanced)
+        elif p.startswith("$") and p in names:
+            out.append(rf"(?:\{names.index(p) + 1})")
+        elif p.startswith("$") and len(p) > 1:
+            names.append(p)
+            out.append(f"({balanced})")
+        else:
+            out.append(r"\s*" if p.isspace() else re.escape(p))
+    return "".join(out)
+
+
 def structural_plan(c: Context, pattern: str, lang: str) -> DataFrame:
-    balanced = r"(?:[^()\[\]{},;]|\((?:[^()]|\([^()]*\))*\)|\[[^\[\]]*\])+?"
-    parts = re.split(r"(\$\$\$\w*|\$[A-Z_]\w*|\s+)", pattern)
-    rx = "".join(r"(?:[^()]|\((?:[^()]|\([^()]*\))*\))*?" if p.startswith("$$$") else balanced if p.startswith("$") else r"\s*" if p.isspace() else re.escape(p) for p in parts)
+    rx = structural_regex(pattern)
     texts = c.files.where((F.col("lang") == lang) & F.col("text").isNotNull()).select("path", F.regexp_replace("text", "\r\n", "\n").alias("text"))
     hits, pieces = F.regexp_extract_all("text", F.lit(rx), F.lit(0)), F.split("text", rx, -1)
     newlines = lambda x: F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit("")))

@@ -331,6 +331,17 @@ def test_cpg_methods_and_structure(spark, shop):
     assert len(shown(ask(spark, shop, "ast-grep", pattern="$A.save($B)", lang="java"))) == 3
 
 
+def test_structural_names_agree_and_brackets_nest(spark, tmp_path):
+    go = "package a\n\nfunc F() {\n\tif (x == x) {}\n\tif (x == y) {}\n\tif (f(1) == f(1)) {}\n\tset(a, a, b)\n\tset(a, b, b)\n\tput(f(g(h(i(j(k[l[1]]))))), 2)\n\tput(1, 2)\n}\n"
+    config = tree(tmp_path, {"a.go": go})
+    at = lambda pattern: sorted(int(x.rpartition(":")[2]) for x in shown(run(spark, config, Lens("ast-grep", params={"pattern": pattern, "lang": "go"}))) if ":" in x)
+    assert at("if ($A == $A)") == [4, 6]
+    assert at("if ($A == $B)") == [4, 5, 6]
+    assert at("if ($_ == $_)") == [4, 5, 6]
+    assert at("set($A, $A, $B)") == [7] and at("set($A, $B, $B)") == [8]
+    assert at("put($A, 2)") == [9, 10] and at("put(f($$$), 2)") == [9]
+
+
 def test_js_events(spark, tmp_path):
     by = {x.id: x for x in run(spark, tree(tmp_path, JS), Lens("js-events")).pieces}
     assert 'emit state:changed line=2 :: bus.emit("state:changed", 1);' in by["events"].lines
