@@ -1,110 +1,92 @@
-"""LM scoring: prediction by partial matching over words and bytes, and word counts beside it.
-
-Training counts, over all training documents, how often each word occurs (A-Z lower-cased, as for the base score), how often
-each byte or the end of the word follows each two bytes before it in a word, and how often each white-space byte, the end of
-the text or a new word follows each two bytes before it in the text. That is a trie whose longest contexts are whole words, as
-many as the corpus has; below them come contexts of 2, 1 and 0 bytes. A word that has been seen is told by its count n of N in
-all, n / (N + V); any other costs the escape V / (N + V) of V different words (method C), and is spelled byte by byte, with
-what the seen words would have taken of the spellings excluded. In spelling, the longest context that has seen a symbol tells
-it, each context that has not costs an escape (d / (n + d) for d symbols seen n times), what a longer context has seen is
-excluded from the shorter ones, and below the last context the symbols left over share alike; white space goes by the same
-rule. A text's score is the sum of the logarithms over all of it, lower-cased; nothing is cut.
-
-The byte contexts cannot exceed 257^3 counts however large the corpus; they are broadcast, and made into tables of 70 MB once
-in a worker. Words have no such bound, so their counts are joined. The words that make up at least HEAD of all training tokens
-(no more than 1 / HEAD of them, of at most HEAD_BYTES bytes) are broadcast and added up where the texts are read, which also
-takes the hot keys out of the join; every other word goes through a shuffled join, with what it would cost to spell, and AQE
-splits what is still uneven.
-
-Defined cases: null and empty texts consist of the end alone; without training documents N and V are 0, every word is spelled
-and all symbols are alike; repeated rows and null ids are rows of their own; ids that are no integers raise at once; other
-columns are ignored.
+"""LM scoring: prediction by partial matching over byte contexts, and word counts beside it.
+
+Training counts, over all training documents, how often each byte (A-Z lower-cased) and the end of the text follow each ORDER
+bytes before them, across words; before a text stands the boundary. The counts of shorter contexts are sums of these. That is a
+trie of all contexts of up to ORDER bytes that the corpus holds; it has no bound and is a table. A byte is told by the longest
+context that was seen: with n counts of N and d different symbols there it has n / (N + d); one not seen there costs the escape
+d / (N + d) (method C) and is told by the next shorter context, with all that the longer one has seen excluded: its counts are
+divided by R + D, for R counts of D symbols left. Below the shortest, the symbols never seen share alike. A text's score is the
+sum of the logarithms over all of it and its end; nothing is cut.
+
+What a gram (context and symbol) costs depends on the gram alone. So texts are cut into blocks of about BLOCK bytes, each block
+asks once for each gram and each word that it holds, and the trie answers by equality joins: a gram with its own counts
+and those of its context, then, order by order, with the answer of the gram that is one byte shorter. Blocks and answers then
+meet in tasks that add up. A hot gram or word has a row for each block, not for each place; a block holds BLOCK bytes or one
+text, and no more grams than that, so copies of a text, hot sources and the like spread over blocks. Nothing is broadcast or
+collected but totals. Texts are looked at PART bytes at a time, within a text as well.
+
+Defined cases: null and empty texts consist of the end alone; without training documents N and V are 0 and all symbols are
+alike; repeated rows and null ids are rows of their own; ids that are no integers raise at once; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
-import uuid
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bucket, quoted, whole_id, written
 
-EDGE = 256  # the boundary symbol
-SYMBOLS = 257
-HEAD = 2e-6
-HEAD_BYTES = 64
+ORDER = 5  # six at most: a gram is a long
+EDGE = 255  # the boundary symbol: no byte of UTF-8
+SYMBOLS = 256
 FOLDS = 10
 END = "\n"  # the end token; no word holds white space
-FLUSH = 300_000
-#: Bytes of texts whose symbols are looked at together: some 60 bytes of memory each.
-PART = 500_000
-#: What follows between words: one of six white-space bytes, the end of the text, a word.
-SPACES = (9, 10, 11, 12, 13, 32)
-SEPARATORS = len(SPACES) + 2
-_LOWER = np.arange(SYMBOLS, dtype=np.int32)
+BLOCK = 48 << 20
+PART = 4 << 20
+#: Different grams or words that a task keeps before it hands them on.
+FLUSH = 4_000_000
+ROWS = 100_000
+_LOWER = np.arange(SYMBOLS, dtype=np.uint8)
 _LOWER[65:91] += 32
-_SPACE = np.zeros(SYMBOLS, bool)
-_SPACE[[*SPACES, EDGE]] = True
-_KIND = np.full(SYMBOLS, SEPARATORS - 1, np.int64)
-_KIND[[*SPACES, EDGE]] = np.arange(SEPARATORS - 1)
+_LOWER[EDGE] = EDGE - 1
 
 
 def _flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The symbols of all texts, lower-cased, each as boundary, boundary, bytes, boundary; and where each text starts."""
+    """The symbols of all texts, lower-cased, each after ORDER boundaries and before one; and where each text starts."""
     texts = texts.cast(pa.large_binary()).fill_null(b"")
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     lengths = np.diff(offsets)
-    starts = np.r_[0, np.cumsum(lengths + 3)]
-    out = np.full(starts[-1], EDGE, np.int32)
-    if lengths.sum():
-        data = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
-        out[np.arange(len(data)) + np.repeat(starts[:-1] + 2 - (offsets[:-1] - offsets[0]), lengths)] = _LOWER[data]
+    starts = np.r_[0, np.cumsum(lengths + ORDER + 1)]
+    out = np.full(starts[-1], EDGE, np.uint8)
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+    for start, at, n in zip(starts, offsets, lengths, strict=False):
+        out[start + ORDER : start + ORDER + n] = _LOWER[data[at : at + n]]
     return out, starts[:-1]
 
 
-def _places(flat: np.ndarray, starts: np.ndarray) -> tuple[tuple, tuple]:
-    """(grams of words, grams between words), each as (places, two before, symbol).
-
-    In words, what stands before their first byte is the boundary, as is what follows their last."""
-    word = np.where(_SPACE[flat], np.int32(EDGE), flat)
-    edge = word == EDGE
-    told = np.ones(len(flat), bool)
-    told[starts] = told[starts + 1] = False
-    before = np.r_[False, edge[:-1]]
-    inside = np.flatnonzero(told & ~(edge & before))
-    between = np.flatnonzero(told & (edge | before))
-    b = word[inside - 1]
-    return (inside, np.where(b == EDGE, b, word[inside - 2]), b, word[inside]), (between, flat[between - 2], flat[between - 1], _KIND[flat[between]])
-
-
-def _parts(texts: pa.Array) -> Iterator[pa.Array]:
-    """The texts in order, no more than PART bytes at a time as far as they can be told apart."""
+def _parts(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
+    """(first, texts from there on), no more than PART bytes at a time as far as they can be told apart."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(texts.cast(pa.large_binary())), 0).to_numpy(False))
     at = 0
     while at < len(texts):
         to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PART, "right")))
-        yield texts.slice(at, to - at)
+        yield at, texts.slice(at, to - at)
         at = to
 
 
-def _counted(a: np.ndarray, b: np.ndarray, s: np.ndarray, symbols: int) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers ((a * 257 + b) * symbols + s) of the grams, in order, and how often each occurs."""
-    used = np.flatnonzero(np.bincount(a, minlength=SYMBOLS) + np.bincount(b, minlength=SYMBOLS))
-    small = np.zeros(SYMBOLS, np.int32)
-    small[used] = np.arange(len(used))
-    n = np.bincount((small[a] * len(used) + small[b]) * symbols + s)
-    keys = np.flatnonzero(n)
-    pair = keys // symbols
-    return (used[pair // max(1, len(used))] * SYMBOLS + used[pair % max(1, len(used))]) * symbols + keys % symbols, n[keys]
+def _grams(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(which text, gram) of every symbol. In a gram, the byte just before the symbol is the highest and the symbol the lowest."""
+    for first, part in _parts(texts):
+        flat, starts = _flat(part)
+        told = np.ones(len(flat), bool)
+        for i in range(ORDER):
+            told[starts + i] = False
+        for lo in range(ORDER, len(flat), PART):
+            hi = min(lo + PART, len(flat))
+            gram = flat[lo - 1 : hi - 1].astype(np.int64)
+            for i in range(2, ORDER + 1):
+                gram = gram << 8 | flat[lo - i : hi - i]
+            at = np.flatnonzero(told[lo:hi])
+            yield first + np.searchsorted(starts, at + lo, "right") - 1, (gram << 8 | flat[lo:hi])[at]
 
 
 def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -115,209 +97,166 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return keys[first], np.add.reduceat(counts, first)
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts to (word, null, n) and (null, gram, n)."""
-    words: Counter[bytes] = Counter()
-    grams: list[tuple[np.ndarray, np.ndarray]] = []
+def _words(text: bytes | None) -> list[bytes]:
+    return (text or b"").lower().split()
 
-    def told(w: list | None, k: np.ndarray | None, n) -> pa.RecordBatch:
-        m = len(n)
-        return pa.record_batch([pa.array(w, pa.string()) if w is not None else pa.nulls(m, pa.string()), pa.array(k, pa.int64()) if k is not None else pa.nulls(m, pa.int64()), pa.array(n, pa.int64())], names=["word", "gram", "n"])
 
-    def flush():
-        known = list(words.items())
-        words.clear()
-        for i in range(0, len(known), 50_000):
-            w, n = zip(*known[i : i + 50_000], strict=True)
-            yield told([x.decode() for x in w], None, n)
+class _Counts:
+    """Words and grams of the texts seen, handed on as rows (block, word, gram, n)."""
 
-    for batch in batches:
-        texts = batch.column(0)
-        if not len(texts):
-            continue
+    def __init__(self):
+        self.words: Counter[bytes] = Counter()
+        self.grams: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add(self, texts: pa.Array) -> bool:
+        """Takes the texts; says whether it is full."""
         for t in texts.cast(pa.large_binary()).to_pylist():
-            words.update((t or b"").lower().split())
-            if len(words) > FLUSH:
-                yield from flush()
-        words[END.encode()] += len(texts)
-        for part in _parts(texts):
-            inside, between = _places(*_flat(part))
-            grams.append(_counted(*inside[1:], SYMBOLS))
-            keys, n = _counted(*between[1:], SEPARATORS)
-            grams.append((keys + SYMBOLS**3, n))
-            if len(grams) >= 32:
-                grams = [_merged(grams)]
-    yield from flush()
-    if grams:
-        keys, n = _merged(grams)
-        for i in range(0, len(keys), 100_000):
-            yield told(None, keys[i : i + 100_000], n[i : i + 100_000])
-
-
-def ppm_table(keys: np.ndarray, counts: np.ndarray, symbols: int = SYMBOLS) -> np.ndarray:
-    """log10 of the probability of each symbol after each two, at (a * 257 + b) * symbols + symbol."""
-    out = np.empty((SYMBOLS, SYMBOLS, symbols), np.float32)
-    one = np.zeros((SYMBOLS, symbols))
-    np.add.at(one.reshape(-1), keys % (SYMBOLS * symbols), counts)
-    zero = one.sum(axis=0)
-    # After b, with what b has seen excluded: the counts without context, then the symbols never seen at all.
-    left = np.where(one > 0, 0.0, zero)
-    kinds, total = (left > 0).sum(axis=1, keepdims=True), left.sum(axis=1, keepdims=True)
-    new = (one == 0) & (zero == 0)
-    escape = np.where(kinds > 0, kinds / np.maximum(total + kinds, 1), 1.0)
-    low = np.where(left > 0, left / np.maximum(total + kinds, 1), escape / np.maximum(new.sum(axis=1, keepdims=True), 1))
-    bounds = np.searchsorted(keys, np.arange(SYMBOLS + 1) * SYMBOLS * symbols)
-    for a in range(SYMBOLS):
-        two = np.zeros((SYMBOLS, symbols))
-        here = slice(bounds[a], bounds[a + 1])
-        two.reshape(-1)[keys[here] - a * SYMBOLS * symbols] = counts[here]
-        n2, d2 = two.sum(axis=1, keepdims=True), (two > 0).sum(axis=1, keepdims=True)
-        e2 = np.where(d2 > 0, d2 / np.maximum(n2 + d2, 1), 1.0)
-        rest = np.where(two > 0, 0.0, one)
-        n1, d1 = rest.sum(axis=1, keepdims=True), (rest > 0).sum(axis=1, keepdims=True)
-        e1 = np.where(d1 > 0, d1 / np.maximum(n1 + d1, 1), 1.0)
-        p = np.where(two > 0, two / np.maximum(n2 + d2, 1), np.where(rest > 0, e2 * rest / np.maximum(n1 + d1, 1), e2 * e1 * low))
-        out[a] = np.log10(np.maximum(p, 1e-30))
-    return out.reshape(-1)
-
-
-class Bytes:
-    """The tables of the byte contexts."""
-
-    def __init__(self, keys: np.ndarray, counts: np.ndarray):
-        cut = np.searchsorted(keys, SYMBOLS**3)
-        self.words, self.between = ppm_table(keys[:cut], counts[:cut]), ppm_table(keys[cut:] - SYMBOLS**3, counts[cut:], SEPARATORS)
-        # No word is empty: the end does not come first.
-        self.first = math.log10(1 - 10.0 ** float(self.words[(EDGE * SYMBOLS + EDGE) * SYMBOLS + EDGE]))
-
-    def costs(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(log10 of spelling each word, how many words each text has, log10 of what is between the words of each text)."""
-        out: list[list[np.ndarray]] = [[np.zeros(0)], [np.zeros(0, np.int64)], [np.zeros(0)]]
-        for part in _parts(texts):
-            flat, first = _flat(part)
-            (at, a, b, s), (gap, c, d, k) = _places(flat, first)
-            cost = self.words[(a * SYMBOLS + b) * SYMBOLS + s]
-            starts = np.flatnonzero(b == EDGE)
-            out[0].append(np.add.reduceat(cost, starts, dtype=np.float64) - self.first if len(starts) else np.zeros(0))
-            out[1].append(np.bincount(np.searchsorted(first, at[starts], "right") - 1, minlength=len(part)))
-            out[2].append(np.bincount(np.searchsorted(first, gap, "right") - 1, weights=self.between[(c * SYMBOLS + d) * SEPARATORS + k], minlength=len(part)))
-        return tuple(map(np.concatenate, out))
+            self.words.update(_words(t))
+        self.words[END.encode()] += len(texts)
+        self.grams += [np.unique(g, return_counts=True) for _, g in _grams(texts)]
+        if sum(len(k) for k, _ in self.grams) > FLUSH:
+            self.grams = [_merged(self.grams)]
+        return len(self.words) > FLUSH or len(self.grams) == 1 and len(self.grams[0][0]) > FLUSH
+
+    def rows(self, block: int) -> Iterator[pa.RecordBatch]:
+        words, grams = list(self.words.items()), _merged(self.grams) if self.grams else ([], [])
+        self.__init__()
+
+        def told(words: pa.Array, grams: pa.Array, n) -> pa.RecordBatch:
+            return pa.record_batch([pa.array(np.full(len(n), block)), words, grams, pa.array(n, pa.int64())], names=["block", "word", "gram", "n"])
+
+        for i in range(0, len(words), ROWS):
+            w, n = zip(*words[i : i + ROWS], strict=True)
+            yield told(pa.array([x.decode() for x in w]), pa.nulls(len(n), pa.int64()), n)
+        for i in range(0, len(grams[0]), ROWS):
+            n = grams[1][i : i + ROWS]
+            yield told(pa.nulls(len(n), pa.string()), pa.array(grams[0][i : i + ROWS]), n)
+
+
+_FOUND = "block long, word string, gram long, n long"
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, text), the rows of a block together, to the words and grams of each block and their counts."""
+    seen, block = _Counts(), None
+    for batch in batches:
+        blocks = batch.column(0).to_numpy(False)
+        cuts = np.flatnonzero(np.diff(blocks)) + 1
+        for lo, hi in zip([0, *cuts], [*cuts, len(blocks)], strict=True):
+            if hi > lo:
+                if block is not None and block != blocks[lo]:
+                    yield from seen.rows(block)
+                block = int(blocks[lo])
+                if seen.add(batch.column(1).slice(lo, hi - lo)):
+                    yield from seen.rows(block)
+    if block is not None:
+        yield from seen.rows(block)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds the number of its block to each row; a block ends with the text that fills it."""
+    first, size = TaskContext.get().partitionId() << 32, 0
+    for batch in batches:
+        if batch.num_rows:
+            sizes = pc.fill_null(pc.binary_length(batch.column("text").cast(pa.large_binary())), 0).to_numpy(False)
+            ends = size + np.cumsum(sizes)
+            yield batch.append_column("block", pa.array(first + (ends - sizes) // BLOCK))
+            size = int(ends[-1])
 
 
 class Model:
-    """Word counts as a table, totals, and what is broadcast: the head of the words, and the byte contexts."""
+    """The trie: grams (k, gram, n), contexts (k, context, total, kinds, above), for each order k; words (word, n) and totals."""
+
+    def __init__(self, grams: DataFrame, contexts: DataFrame, words: DataFrame, n: int, v: int):
+        self.grams, self.contexts, self.words, self.n, self.v = grams, contexts, words, n, v
+
+
+def _of_order(name: str = "gram"):
+    """The gram with its context cut to k bytes."""
+    return F.expr(f"shiftleft(shiftright({name}, 8 * ({ORDER} - k) + 8), 8) | ({name} & 255)").alias("gram")
+
+
+def _orders(grams: DataFrame, *more: str) -> DataFrame:
+    return grams.select("gram", *more, F.explode(F.sequence(F.lit(0), F.lit(ORDER))).alias("k")).select("k", _of_order(), *more)
+
 
-    def __init__(self, words: DataFrame, n: int, v: int, known: float, escape: float, shared: Broadcast):
-        self.words, self.n, self.v, self.known, self.escape, self.shared = words, n, v, known, escape, shared
+#: The gram that is one byte shorter.
+PARENT = "shiftleft(shiftright(gram, 16), 8) | (gram & 255)"
 
 
-def train(docs: DataFrame, text_col: str = "text", head: float = HEAD) -> Model:
-    spark = docs.sparkSession
-    counted = docs.select(quoted(text_col)).mapInArrow(_count, "word string, gram long, n long")
-    counts = written(counted.groupBy("word", "gram").agg(F.sum("n").alias("n")))
+def train(docs: DataFrame, text_col: str = "text") -> Model:
+    found = docs.select(F.lit(0).cast("long").alias("block"), quoted(text_col)).mapInArrow(_count, _FOUND)
+    counts = written(found.groupBy("word", "gram").agg(F.sum("n").alias("n")))
     words = counts.where("word is not null").select("word", "n")
-    is_end = F.col("word") == END
-    total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v"), F.coalesce(F.sum(F.when(is_end, F.col("n"))), F.lit(0)).alias("ends")).first()
-    in_head = (F.col("n") >= head * total.n) & (F.octet_length("word") <= HEAD_BYTES)
-    top = words.where(in_head | is_end).toArrow()  # 1 / head rows at most
-    trie = counts.where("gram is not null").select("gram", "n").orderBy("gram").toArrow()  # 257^3 and 257^2 * 8 rows at most
-    grams = trie["gram"].to_numpy(), trie["n"].to_numpy()
-    tables, key = spark.sparkContext.broadcast(grams), uuid.uuid4().hex
-
-    def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _bytes(key, tables)
-        for batch in batches:
-            if batch.num_rows:
-                yield pa.record_batch([pa.array([float((10.0 ** table.costs(batch.column(0))[0]).sum())])], names=["p"])
-
-    n, v = total.n - total.ends, total.v - (total.ends > 0)
-    taken = words.where(~is_end).select("word").mapInArrow(spelled, "p double").agg(F.sum("p")).first()[0] or 0.0
-    known, escape = (-math.log10(n + v), math.log10(v / (n + v)) - math.log10(max(1 - taken, 1e-9))) if n else (0.0, 0.0)
-    shared = spark.sparkContext.broadcast((top["word"].to_pylist(), top["n"].to_numpy(), total.n, total.v, known, key, tables))
-    return Model(words.where(~in_head & ~is_end), total.n, total.v, known, escape, shared)
-
-
-_READY: dict[str, tuple] = {}
-_TABLES: dict[str, Bytes] = {}
-
-
-def _bytes(key: str, tables: Broadcast) -> Bytes:
-    """The byte contexts of a model, made once in a worker; those of an earlier one go."""
-    if key not in _TABLES:
-        _TABLES.clear()
-        _TABLES[key] = Bytes(*tables.value)
-    return _TABLES[key]
-
-
-def _ready(shared: Broadcast) -> tuple[dict[bytes, tuple[int, float, float]], float, Bytes]:
-    words, n, total, distinct, known, key, tables = shared.value
-    if key not in _READY:
-        _READY.clear()
-        floor = math.log10(total + 0.1 * (distinct + 1))
-        _READY[key] = {w.encode(): (int(c), math.log10(c + 0.1) - floor, math.log10(c) + known) for w, c in zip(words, n, strict=True)}, floor
-    return *_READY[key], _bytes(key, tables)
-
-
-_ROWS = "row long, word string, tf long, spell float, doc struct<doc_id:long,held_out:boolean,n_tokens:long,n_known:long,base:double,score:double>"
-
-
-def _score(shared: Broadcast):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, floor, table = _ready(shared)
-        end_n, end_log, _ = head.get(END.encode(), (0, math.log10(0.1) - floor, 0.0))
-        at = TaskContext.get().partitionId() << 40
-        for batch in batches:
-            texts = batch.column(2)
-            if not len(texts):
-                continue
-            spelled, sizes, scores = table.costs(texts)
-            ends = np.cumsum(sizes)
-            rows, words, tfs, spells = [], [], [], []
-            n_tokens, n_known, base = [], [], []
-            for i, t in enumerate(texts.cast(pa.large_binary()).to_pylist()):
-                n, known, total, score = 1, int(end_n > 0), end_log, 0.0
-                tail = 0
-                own = (t or b"").lower().split()
-                cost = dict(zip(own, spelled[ends[i] - sizes[i] : ends[i]].tolist(), strict=True))
-                for w, tf in Counter(own).items():
-                    n += tf
-                    got = head.get(w)
-                    if got:
-                        known += tf
-                        total += tf * got[1]
-                        score += tf * got[2]
-                    else:
-                        words.append(w)
-                        tfs.append(tf)
-                        spells.append(cost[w])
-                        tail += 1
-                rows += [at + i] * tail
-                n_tokens.append(n)
-                n_known.append(known)
-                base.append(total)
-                scores[i] += score
-            own = np.arange(at, at + len(texts))
-            at += len(texts)
-            doc = pa.StructArray.from_arrays([batch.column(0), batch.column(1), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(scores)], names=["doc_id", "held_out", "n_tokens", "n_known", "base", "score"])
-            # A document's own row joins with nothing: its word is one that no text has, another for each, so they spread.
-            yield pa.record_batch([pa.array(own), pa.array([f"\n{k}" for k in own]), pa.nulls(len(own), pa.int64()), pa.nulls(len(own), pa.float32()), doc], names=["row", "word", "tf", "spell", "doc"])
-            for i in range(0, len(rows), 100_000):
-                part = slice(i, i + 100_000)
-                yield pa.record_batch([pa.array(rows[part], pa.int64()), pa.array([w.decode() for w in words[part]], pa.string()), pa.array(tfs[part], pa.int64()), pa.array(spells[part], pa.float32()), pa.nulls(len(rows[part]), doc.type)], names=["row", "word", "tf", "spell", "doc"])
+    total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
+    grams = written(_orders(counts.where("gram is not null"), "n").groupBy("k", "gram").agg(F.sum("n").alias("n")))
+    shorter = grams.select((F.col("k") + 1).alias("k"), F.col("gram").alias("parent"), F.col("n").alias("over"))
+    met = grams.withColumn("parent", F.expr(PARENT)).join(shorter, ["k", "parent"], "left")
+    contexts = met.groupBy("k", F.shiftright("gram", 8).alias("context")).agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"), F.sum("over").alias("above"))
+    return Model(grams, written(contexts), words, total.n, total.v)
+
+
+def costs(asked: DataFrame, model: Model) -> DataFrame:
+    """(gram, cost): log10 of the probability of every different gram of asked, after its whole context."""
+    grams = _orders(asked.select("gram").distinct()).distinct().withColumn("context", F.shiftright("gram", 8))
+    known = written(grams.join(model.grams, ["k", "gram"], "left").join(model.contexts, ["k", "context"], "left").withColumn("parent", F.expr(PARENT)))
+    n, total, kinds = F.col("n"), F.col("total"), F.col("kinds")
+    escape = F.log10(kinds / (total + kinds))
+    # as_first: the cost where the search starts in this context; as_next: after an escape from it.
+    as_next = -F.log10(F.lit(SYMBOLS) - F.coalesce(kinds, F.lit(0)))
+    as_first = F.when(total.isNull(), as_next).when(n.isNotNull(), F.log10(n / (total + kinds))).otherwise(escape + as_next)
+    told = known.where("k = 0").select(F.col("gram").alias("parent"), n.alias("p_n"), total.alias("p_total"), kinds.alias("p_kinds"), as_first.alias("p_first"), as_next.alias("p_next"))
+    left, new = F.col("p_total") - F.col("above"), F.col("p_kinds") - kinds
+    for k in range(1, ORDER + 1):
+        passed = F.when(new > 0, F.log10(new / (left + new))).otherwise(0.0) + F.col("p_next")
+        as_next = F.when(F.col("p_n").isNotNull(), F.log10(F.try_divide("p_n", left + new))).otherwise(passed)
+        as_first = F.when(total.isNull(), F.col("p_first")).when(n.isNotNull(), F.log10(n / (total + kinds))).otherwise(escape + as_next)
+        told = known.where(F.col("k") == k).join(told, "parent").select(F.col("gram").alias("parent"), n.alias("p_n"), total.alias("p_total"), kinds.alias("p_kinds"), as_first.alias("p_first"), as_next.alias("p_next"))
+    return told.select(F.col("parent").alias("gram"), F.col("p_first").cast("float").alias("cost"))
+
+
+_DOC = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+
+
+def _add(floor: float):
+    def run(texts: pa.Table, told: pa.Table) -> pa.Table:
+        """The texts of one block and what each of its grams costs and how often each of its words was seen."""
+        is_gram = pc.is_valid(told["gram"])
+        grams, words = told.filter(is_gram), told.filter(pc.invert(is_gram))
+        keys, first = np.unique(grams["gram"].to_numpy(), return_index=True)
+        cost, keys = grams["cost"].to_numpy()[first].astype(np.float64), pd.Index(keys)
+        seen = {w.encode(): n for w, n in zip(words["word"].to_pylist(), words["n"].to_pylist(), strict=True)}
+        rows = []
+        for chunk in texts["text"].chunks:
+            score = np.zeros(len(chunk))
+            for which, gram in _grams(chunk):
+                at = keys.get_indexer(gram)
+                if len(at) and at.min() < 0:
+                    raise LookupError("a block holds a gram that it has not asked for")
+                score += np.bincount(which, cost[at], len(chunk))
+            for i in range(len(chunk)):
+                n, known, base = 1, 0, 0.0
+                for w, tf in [*Counter(_words(chunk[i].cast(pa.large_binary()).as_py())).items(), (END.encode(), 1)]:
+                    n += tf if w != END.encode() else 0
+                    known += tf if seen[w] else 0
+                    base += tf * (math.log10(seen[w] + 0.1) - floor)
+                rows.append((n, known, base, score[i]))
+        n, known, base, score = zip(*rows, strict=True)
+        return pa.table({"doc_id": texts["doc_id"], "held_out": texts["held_out"], "n_tokens": pa.array(n, pa.int64()), "n_known": pa.array(known, pa.int64()), "base_score": pa.array(base, pa.float64()), "score": pa.array(score, pa.float64())})
 
     return run
 
 
 def score(docs: DataFrame, model: Model, held_out, text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, base_score, score) for every document."""
+    rows = docs.select(whole_id(docs).alias("doc_id"), held_out.alias("held_out"), quoted(text_col).alias("text"))
+    texts = written(rows.mapInArrow(_blocks, "doc_id long, held_out boolean, text string, block long"))
+    asked = written(texts.select("block", "text").mapInArrow(_count, _FOUND).select("block", "word", "gram"))
+    grams = asked.where("gram is not null").join(costs(asked.where("gram is not null"), model), "gram").select("block", "gram", "cost", F.lit(None).cast("string").alias("word"), F.lit(None).cast("long").alias("n"))
+    words = asked.where("word is not null").select("block", "word").join(model.words, "word", "left")
+    words = words.select("block", F.lit(None).cast("long").alias("gram"), F.lit(None).cast("float").alias("cost"), "word", F.coalesce("n", F.lit(0)).alias("n"))
     floor = math.log10(model.n + 0.1 * (model.v + 1))
-    rows = docs.select(whole_id(docs).alias("doc_id"), held_out.alias("held_out"), quoted(text_col)).mapInArrow(_score(model.shared), _ROWS)
-    met = rows.join(model.words.withColumnRenamed("word", "w"), F.col("word") == F.col("w"), "left")
-    tail = F.sum(F.col("tf") * (F.log10(F.coalesce("n", F.lit(0)) + 0.1) - floor))
-    told = F.sum(F.col("tf") * F.when(F.col("n").isNotNull(), F.log10("n") + model.known).otherwise(F.col("spell") + model.escape))
-    out = met.groupBy("row").agg(F.first("doc", ignorenulls=True).alias("doc"), F.sum(F.when(F.col("n").isNotNull(), F.col("tf"))).alias("known"), tail.alias("tail"), told.alias("told"))
-    none = F.lit(0.0)
-    return out.select("doc.doc_id", "doc.held_out", "doc.n_tokens", (F.col("doc.n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), (F.col("doc.base") + F.coalesce("tail", none)).alias("base_score"), (F.col("doc.score") + F.coalesce("told", none)).alias("score"))
+    return texts.groupBy("block").cogroup(grams.unionByName(words).groupBy("block")).applyInArrow(_add(floor), _DOC)
 
 
 def op7_lm_scores(spark, sf_dir: str) -> DataFrame:

@@ -207,90 +207,83 @@ def test_mix_many_sources_by_shuffle(spark, monkeypatch):
     assert {r.source: round(r.target, 6) for r in got} == {s: round(t, 6) for s, t in want.items()}
 
 
-def ppm(seen_grams, symbols):
-    """Probability of a symbol after two, from (a, b, symbol) rows, by dicts and the rule written out."""
-    two, one, zero = defaultdict(Counter), defaultdict(Counter), Counter()
-    for a, b, c in seen_grams:
-        two[a, b][c] += 1
-        one[b][c] += 1
-        zero[c] += 1
-
-    def prob(a, b, c):
+def scorer_by_hand(train, order=L.ORDER):
+    """Text to the logarithm of its probability: dicts of what follows each context, and the rule written out symbol by symbol."""
+    seen = defaultdict(Counter)
+
+    def places(t):
+        s = [None] * order + list(t.lower()) + [None]
+        return [(s[i - order : i], s[i]) for i in range(order, len(s))]
+
+    for t in train:
+        for before, c in places(t):
+            for k in range(order + 1):
+                seen[tuple(before[order - k :])][c] += 1
+
+    def prob(before, c):
         p, gone = 1.0, set()
-        for seen in (two.get((a, b), {}), one.get(b, {}), zero):
-            seen = {k: v for k, v in seen.items() if k not in gone}
-            if not seen:
+        for k in range(order, -1, -1):
+            here = {x: n for x, n in seen.get(tuple(before[order - k :]), {}).items() if x not in gone}
+            if not here:
                 continue
-            n = sum(seen.values()) + len(seen)
-            if c in seen:
-                return p * seen[c] / n
-            p, gone = p * len(seen) / n, gone | set(seen)
-        return p / (symbols - len(gone))
-
-    return prob
-
-
-def scorer_by_hand(train):
-    """Text to the logarithm of its probability: words by counts, or an escape and their spelling; and what is between them."""
-    cut = lambda t: [x for x in re.split(rb"([\t-\r ])", t.lower()) if x]
-    is_word = lambda x: x not in {bytes([k]) for k in (9, 10, 11, 12, 13, 32)}
-
-    def spelling(w):
-        s = [256, 256, *w, 256]
-        return list(zip(s, s[1:], s[2:], strict=False))
-
-    def gaps(t):
-        t, out, raw = t.lower(), [], [256, 256]
-        for x in [*cut(t), None]:
-            symbol = "end" if x is None else "word" if is_word(x) else x
-            out.append((raw[-2], raw[-1], symbol))
-            raw += list(x or b"")
-        return out
-
-    words = Counter(x for t in train for x in cut(t) if is_word(x))
-    n, v = sum(words.values()), len(words)
-    spell = ppm([g for w, k in words.items() for _ in range(k) for g in spelling(w)], 257)
-    between = ppm([g for t in train for g in gaps(t)], 8)
-    empty = spell(256, 256, 256)
-    spelled = lambda w: math.prod(spell(*g) for g in spelling(w)) / (1 - empty)
-    taken = sum(spelled(w) for w in words)
-
-    def word(w):
-        if w in words:
-            return math.log10(words[w] / (n + v))
-        cost = sum(math.log10(spell(*g)) for g in spelling(w)) - math.log10(1 - empty)
-        return cost + (math.log10(v / (n + v)) - math.log10(1 - taken) if n else 0)
-
-    return lambda t: sum(word(x) for x in cut(t) if is_word(x)) + sum(math.log10(between(*g)) for g in gaps(t))
-
-
-@pytest.mark.parametrize("head", [2e-6, 0.02])
-def test_lm_scores(spark, odd, monkeypatch, head):
-    monkeypatch.setattr(L, "HEAD", head)
-    model = L.train(odd.where("doc_id is not null"), head=head)
-    got = L.score(odd, model, odd["doc_id"].isNull()).collect()
+            n = sum(here.values()) + len(here)
+            if c in here:
+                return p * here[c] / n
+            p, gone = p * len(here) / n, gone | set(here)
+        return p / (256 - len(gone))
+
+    return lambda t: sum(math.log10(prob(before, c)) for before, c in places(t))
+
+
+@pytest.mark.parametrize("block", [L.BLOCK, 1000])
+def test_lm_scores(spark, odd, monkeypatch, block):
+    """Scores are those of a plain trie, whatever the blocks and parts; tokens and base scores are those of plain counts."""
+    monkeypatch.setattr(L, "BLOCK", block)
+    monkeypatch.setattr(L, "PART", block)
+    strange = [(20, "zebra quartz", "en", "a", 0, 0), (21, "the cat and the d\u00f6g", "en", "a", 0, 0), (None, "the mill went to the cat \U0001f600", "en", "a", 0, 0)]
+    docs = odd.unionByName(spark.createDataFrame(strange, odd.schema))
+    model = L.train(odd.where("doc_id is not null"))
+    got = L.score(docs, model, docs["doc_id"].isNull()).collect()
     train = [(r[1] or "").encode() for r in odd_rows() if r[0] is not None]
     counts = Counter(w for t in train for w in [*t.lower().split(), b"\n"])
     n, v, log = sum(counts.values()), len(counts), scorer_by_hand(train)
     assert (model.n, model.v) == (n, v)
     want = []
-    for d, t, _, _ in odd_rows():
+    for d, t, *_ in [*odd_rows(), *strange]:
         t = (t or "").encode()
         w = [*t.lower().split(), b"\n"]
-        want.append((str(d), d is None, len(w), sum(counts[x] > 0 for x in w), round(sum(math.log10((counts[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w), 3), round(log(t), 1)))
-    have = [(str(r.doc_id), r.held_out, r.n_tokens, r.n_known, round(r.base_score, 3), round(r.score, 1)) for r in got]
+        want.append((str(d), d is None, len(w), sum(counts[x] > 0 for x in w), round(sum(math.log10((counts[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w), 3), round(log(t), 4)))
+    have = [(str(r.doc_id), r.held_out, r.n_tokens, r.n_known, round(r.base_score, 3), round(r.score, 4)) for r in got]
     for a, b in zip(sorted(have, key=str), sorted(want, key=str), strict=True):
-        assert a[:4] == b[:4] and abs(a[4] - b[4]) < 1e-2 and abs(a[5] - b[5]) < 1e-4 * abs(b[5]) + 0.2
-
-
-def test_lm_is_a_distribution_and_may_be_empty(spark, odd):
-    table = L.ppm_table(np.array([5, 300, 257 * 257 + 9]), np.array([3, 1, 2])).reshape(257, 257, 257)
-    assert np.allclose((10.0 ** table[[0, 0, 1, 9, 256], [0, 1, 0, 5, 256]].astype(float)).sum(axis=1), 1, atol=1e-5)
-    small = L.ppm_table(np.array([5, 300, 257 * 8 + 3]), np.array([3, 1, 2]), 8).reshape(257, 257, 8)
-    assert np.allclose((10.0 ** small[[0, 0, 1, 9], [0, 37, 0, 5]].astype(float)).sum(axis=1), 1, atol=1e-5)
+        assert a[:4] == b[:4] and abs(a[4] - b[4]) < 1e-2 and abs(a[5] - b[5]) < 1e-5 * abs(b[5]) + 1e-3
+
+
+def test_lm_scores_of_held_out_documents(spark, sf_dir):
+    """The table's own documents, held-out ones against the plain trie; contexts help to tell them."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
+    out = [zlib.crc32(str(r.doc_id).encode()) % 10 == 0 for r in docs]
+    learnt = [(r.text or "").encode() for r, o in zip(docs, out, strict=True) if not o]
+    log, alone = scorer_by_hand(learnt), scorer_by_hand(learnt, 0)
+    want = {r.doc_id: log((r.text or "").encode()) for r, o in zip(docs, out, strict=True) if o}
+    got = {r.doc_id: r for r in L.op7_lm_scores(spark, str(sf_dir)).collect()}
+    assert len(got) == len(docs) and {d for d, r in got.items() if r.held_out} == set(want)
+    assert all(abs(got[d].score - x) < 1e-5 * abs(x) + 1e-3 for d, x in want.items())
+    assert sum(want.values()) > 0.7 * sum(alone((r.text or "").encode()) for r in docs if r.doc_id in want)
+
+
+def test_lm_is_a_distribution_and_may_be_empty(spark, odd, monkeypatch):
+    """After any context, seen or not, the probabilities of all symbols add up to one (where symbols are left to escape to)."""
+    monkeypatch.setattr(L, "PART", 64)
+    model = L.train(odd.where("doc_id is not null"))
+    for before in (b"the c", b"zzzzz", b"e cat", b"qx th", bytes([L.EDGE] * 5)):
+        context = int.from_bytes(before[::-1], "big")
+        asked = spark.createDataFrame([(context << 8 | s,) for s in range(256)], "gram long")
+        total = sum(10.0**r.cost for r in L.costs(asked, model).collect())
+        assert abs(total - 1) < 1e-4, before
     model = L.train(odd.limit(0))
     got = L.score(odd, model, odd["doc_id"].isNull()).collect()
     assert len(got) == 9 and all(abs(r.base_score) < 1e-9 and r.n_known == 0 for r in got)
+    assert abs(next(r.score for r in got if r.doc_id == 2) + math.log10(256)) < 1e-4
     assert L.score(odd.limit(0), model, odd["doc_id"].isNull()).count() == 0
 
 
