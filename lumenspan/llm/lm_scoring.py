@@ -10,8 +10,8 @@ sum of the logarithms over all of it and its end; nothing is cut.
 
 What a gram (context and symbol) costs depends on the gram alone. So texts are cut into blocks of about BLOCK bytes, each block
 asks once for each gram and each word that it holds, and the trie answers by equality joins: a gram with its own counts
-and those of its context, then, order by order, with the answer of the gram that is one byte shorter. Blocks and answers then
-meet in tasks that add up. A hot gram or word has a row for each block, not for each place; a block holds BLOCK bytes or one
+and those of its context, then, order by order, with the answer of the gram that is one byte shorter. Answers and texts
+then come to a task sorted by block, answers first, and are added up. A hot gram or word has a row for each block, not for each place; a block holds BLOCK bytes or one
 text, and no more grams than that, so copies of a text, hot sources and the like spread over blocks. Nothing is broadcast or
 collected but totals. Texts are looked at PART bytes at a time, within a text as well.
 
@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket, quoted, whole_id, written
+from .common import bucket, freed, quoted, whole_id, written
 
 ORDER = 5  # six at most: a gram is a long
 EDGE = 255  # the boundary symbol: no byte of UTF-8
@@ -41,10 +41,12 @@ SYMBOLS = 256
 FOLDS = 10
 END = "\n"  # the end token; no word holds white space
 BLOCK = 48 << 20
-PART = 4 << 20
+PART = 1 << 20
 #: Different grams or words that a task keeps before it hands them on.
 FLUSH = 4_000_000
 ROWS = 100_000
+#: Answers that are packed at a time, into one row for each block among them.
+PACKED = 500_000
 _LOWER = np.arange(SYMBOLS, dtype=np.uint8)
 _LOWER[65:91] += 32
 _LOWER[EDGE] = EDGE - 1
@@ -107,16 +109,20 @@ class _Counts:
     def __init__(self):
         self.words: Counter[bytes] = Counter()
         self.grams: list[tuple[np.ndarray, np.ndarray]] = []
+        self.merged = self.size = 0
 
     def add(self, texts: pa.Array) -> bool:
         """Takes the texts; says whether it is full."""
         for t in texts.cast(pa.large_binary()).to_pylist():
             self.words.update(_words(t))
         self.words[END.encode()] += len(texts)
-        self.grams += [np.unique(g, return_counts=True) for _, g in _grams(texts)]
-        if sum(len(k) for k, _ in self.grams) > FLUSH:
-            self.grams = [_merged(self.grams)]
-        return len(self.words) > FLUSH or len(self.grams) == 1 and len(self.grams[0][0]) > FLUSH
+        for _, g in _grams(texts):
+            self.grams.append(np.unique(g, return_counts=True))
+            self.size += len(self.grams[-1][0])
+            if self.size > self.merged + FLUSH // 2:
+                self.grams = [_merged(self.grams)]
+                self.size = self.merged = len(self.grams[0][0])
+        return len(self.words) > FLUSH or self.merged > FLUSH
 
     def rows(self, block: int) -> Iterator[pa.RecordBatch]:
         words, grams = list(self.words.items()), _merged(self.grams) if self.grams else ([], [])
@@ -141,14 +147,12 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen, block = _Counts(), None
     for batch in batches:
         blocks = batch.column(0).to_numpy(False)
-        cuts = np.flatnonzero(np.diff(blocks)) + 1
-        for lo, hi in zip([0, *cuts], [*cuts, len(blocks)], strict=True):
-            if hi > lo:
-                if block is not None and block != blocks[lo]:
-                    yield from seen.rows(block)
-                block = int(blocks[lo])
-                if seen.add(batch.column(1).slice(lo, hi - lo)):
-                    yield from seen.rows(block)
+        for lo, hi in _runs(blocks):
+            if block is not None and block != blocks[lo]:
+                yield from seen.rows(block)
+            block = int(blocks[lo])
+            if seen.add(batch.column(1).slice(lo, hi - lo)):
+                yield from seen.rows(block)
     if block is not None:
         yield from seen.rows(block)
 
@@ -186,14 +190,18 @@ PARENT = "shiftleft(shiftright(gram, 16), 8) | (gram & 255)"
 
 def train(docs: DataFrame, text_col: str = "text") -> Model:
     found = docs.select(F.lit(0).cast("long").alias("block"), quoted(text_col)).mapInArrow(_count, _FOUND)
-    counts = written(found.groupBy("word", "gram").agg(F.sum("n").alias("n")))
+    with freed(docs.sparkSession):
+        counts = written(found.groupBy("word", "gram").agg(F.sum("n").alias("n")))
     words = counts.where("word is not null").select("word", "n")
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
-    grams = written(_orders(counts.where("gram is not null"), "n").groupBy("k", "gram").agg(F.sum("n").alias("n")))
+    with freed(docs.sparkSession):
+        grams = written(_orders(counts.where("gram is not null"), "n").groupBy("k", "gram").agg(F.sum("n").alias("n")))
     shorter = grams.select((F.col("k") + 1).alias("k"), F.col("gram").alias("parent"), F.col("n").alias("over"))
     met = grams.withColumn("parent", F.expr(PARENT)).join(shorter, ["k", "parent"], "left")
     contexts = met.groupBy("k", F.shiftright("gram", 8).alias("context")).agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"), F.sum("over").alias("above"))
-    return Model(grams, written(contexts), words, total.n, total.v)
+    with freed(docs.sparkSession):
+        contexts = written(contexts)
+    return Model(grams, contexts, words, total.n, total.v)
 
 
 def costs(asked: DataFrame, model: Model) -> DataFrame:
@@ -218,31 +226,87 @@ def costs(asked: DataFrame, model: Model) -> DataFrame:
 _DOC = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
+class _Told:
+    """What each gram of a block costs and how often each of its words was seen."""
+
+    def __init__(self):
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.seen: dict[bytes, int] = {}
+        self.keys, self.cost = None, None
+
+    def add(self, rows: pa.RecordBatch) -> None:
+        for grams, costs in zip(pc.drop_null(rows.column("grams")).to_pylist(), pc.drop_null(rows.column("costs")).to_pylist(), strict=True):
+            self.parts.append((np.frombuffer(grams, np.int64), np.frombuffer(costs, np.float32)))
+        self.seen.update(zip((w.encode() for w in pc.drop_null(rows.column("word")).to_pylist()), pc.drop_null(rows.column("n")).to_pylist(), strict=True))
+
+    def scores(self, texts: pa.Array) -> np.ndarray:
+        if self.keys is None:
+            keys, cost = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+            self.parts, order = [], np.argsort(keys, kind="stable")
+            order = order[np.r_[True, np.diff(keys[order]) > 0]]
+            self.keys, self.cost = pd.Index(keys[order]), cost[order]
+        score = np.zeros(len(texts))
+        for which, gram in _grams(texts):
+            at = self.keys.get_indexer(gram)
+            if len(at) and at.min() < 0:
+                raise LookupError("a block holds a gram that it has not asked for")
+            score += np.bincount(which, self.cost[at], len(texts))
+        return score
+
+    def counted(self, text: bytes | None, floor: float) -> tuple[int, int, float]:
+        """(tokens, known ones, base score)."""
+        n, known, base = 0, 0, 0.0
+        for w, tf in Counter([*_words(text), END.encode()]).items():
+            c = self.seen[w]
+            n, known, base = n + tf, known + tf * (c > 0), base + tf * (math.log10(c + 0.1) - floor)
+        return n, known, base
+
+
+def _runs(values: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Where each run of equal values starts and ends."""
+    cuts = np.flatnonzero(np.diff(values)) + 1
+    return zip([0, *cuts.tolist()], [*cuts.tolist(), len(values)], strict=True) if len(values) else iter(())
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, gram, cost) to (block, grams, costs), PACKED of them at a time."""
+    kept: list[tuple[np.ndarray, ...]] = []
+
+    def flush():
+        blocks, grams, costs = (np.concatenate(x) for x in zip(*kept, strict=True))
+        kept.clear()
+        order = np.argsort(blocks, kind="stable")
+        blocks, grams, costs = blocks[order], grams[order], costs[order]
+        rows = [(blocks[lo], grams[lo:hi].tobytes(), costs[lo:hi].tobytes()) for lo, hi in _runs(blocks)]
+        return pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["block", "grams", "costs"])
+
+    for batch in batches:
+        if batch.num_rows:
+            kept.append(tuple(c.to_numpy(False) for c in batch.columns))
+            if sum(len(k[0]) for k in kept) >= PACKED:
+                yield flush()
+    if kept:
+        yield flush()
+
+
 def _add(floor: float):
-    def run(texts: pa.Table, told: pa.Table) -> pa.Table:
-        """The texts of one block and what each of its grams costs and how often each of its words was seen."""
-        is_gram = pc.is_valid(told["gram"])
-        grams, words = told.filter(is_gram), told.filter(pc.invert(is_gram))
-        keys, first = np.unique(grams["gram"].to_numpy(), return_index=True)
-        cost, keys = grams["cost"].to_numpy()[first].astype(np.float64), pd.Index(keys)
-        seen = {w.encode(): n for w, n in zip(words["word"].to_pylist(), words["n"].to_pylist(), strict=True)}
-        rows = []
-        for chunk in texts["text"].chunks:
-            score = np.zeros(len(chunk))
-            for which, gram in _grams(chunk):
-                at = keys.get_indexer(gram)
-                if len(at) and at.min() < 0:
-                    raise LookupError("a block holds a gram that it has not asked for")
-                score += np.bincount(which, cost[at], len(chunk))
-            for i in range(len(chunk)):
-                n, known, base = 1, 0, 0.0
-                for w, tf in [*Counter(_words(chunk[i].cast(pa.large_binary()).as_py())).items(), (END.encode(), 1)]:
-                    n += tf if w != END.encode() else 0
-                    known += tf if seen[w] else 0
-                    base += tf * (math.log10(seen[w] + 0.1) - floor)
-                rows.append((n, known, base, score[i]))
-        n, known, base, score = zip(*rows, strict=True)
-        return pa.table({"doc_id": texts["doc_id"], "held_out": texts["held_out"], "n_tokens": pa.array(n, pa.int64()), "n_known": pa.array(known, pa.int64()), "base_score": pa.array(base, pa.float64()), "score": pa.array(score, pa.float64())})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows by block: first what is told of it, then its texts."""
+        block, told = None, _Told()
+        for batch in batches:
+            blocks = batch.column("block").to_numpy(False)
+            for lo, hi in _runs(blocks):
+                if blocks[lo] != block:
+                    block, told = blocks[lo], _Told()
+                rows = batch.slice(lo, hi - lo)
+                cut = int(np.searchsorted(rows.column("is_text").to_numpy(False), 1))
+                if cut:
+                    told.add(rows.slice(0, cut))
+                texts = rows.slice(cut)
+                if texts.num_rows:
+                    scores = told.scores(texts.column("text"))
+                    n, known, base = zip(*(told.counted(t, floor) for t in texts.column("text").cast(pa.large_binary()).to_pylist()), strict=True)
+                    yield pa.record_batch([texts.column("doc_id"), texts.column("held_out"), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(scores)], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
     return run
 
@@ -250,13 +314,19 @@ def _add(floor: float):
 def score(docs: DataFrame, model: Model, held_out, text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, base_score, score) for every document."""
     rows = docs.select(whole_id(docs).alias("doc_id"), held_out.alias("held_out"), quoted(text_col).alias("text"))
-    texts = written(rows.mapInArrow(_blocks, "doc_id long, held_out boolean, text string, block long"))
-    asked = written(texts.select("block", "text").mapInArrow(_count, _FOUND).select("block", "word", "gram"))
-    grams = asked.where("gram is not null").join(costs(asked.where("gram is not null"), model), "gram").select("block", "gram", "cost", F.lit(None).cast("string").alias("word"), F.lit(None).cast("long").alias("n"))
-    words = asked.where("word is not null").select("block", "word").join(model.words, "word", "left")
-    words = words.select("block", F.lit(None).cast("long").alias("gram"), F.lit(None).cast("float").alias("cost"), "word", F.coalesce("n", F.lit(0)).alias("n"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    # Fewer tasks make larger blocks, and those ask less often for the same.
+    tasks = max(math.ceil(size / BLOCK), docs.sparkSession.sparkContext.defaultParallelism)
+    with freed(docs.sparkSession):
+        texts = written(rows.coalesce(tasks).mapInArrow(_blocks, "doc_id long, held_out boolean, text string, block long"))
+        asked = written(texts.select("block", "text").mapInArrow(_count, _FOUND).select("block", "word", "gram"))
+        answers = written(costs(asked.where("gram is not null"), model))
+    grams = asked.where("gram is not null").select("block", "gram").join(answers, "gram").select("block", "gram", "cost").mapInArrow(_packed, "block long, grams binary, costs binary")
+    words = asked.where("word is not null").select("block", "word").join(model.words, "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    told = grams.unionByName(words, allowMissingColumns=True).withColumn("is_text", F.lit(0))
+    met = told.unionByName(texts.withColumn("is_text", F.lit(1)), allowMissingColumns=True)
     floor = math.log10(model.n + 0.1 * (model.v + 1))
-    return texts.groupBy("block").cogroup(grams.unionByName(words).groupBy("block")).applyInArrow(_add(floor), _DOC)
+    return met.repartition("block").sortWithinPartitions("block", "is_text").mapInArrow(_add(floor), _DOC)
 
 
 def op7_lm_scores(spark, sf_dir: str) -> DataFrame:
