@@ -98,7 +98,8 @@ def dispatch(pairs: DataFrame, methods_: DataFrame, types_: DataFrame) -> DataFr
     concrete = types_.where("not abstract").select(F.col("name").alias("type")).distinct()
     have = methods_.select("type", F.col("name").alias("callee"), F.col("key").alias("target"))
     runs = pairs.join(below, "recv").join(concrete, "type", "left_semi").join(have, ["type", "callee"]).select("recv", "callee", "target").distinct()
-    own = have.join(concrete, "type", "left_semi").select(F.col("type").alias("recv"), "callee", F.lit(True).alias("own")).distinct()
+    own = pairs.join(have.select(F.col("type").alias("recv"), "callee"), ["recv", "callee"]).join(concrete.select(F.col("type").alias("recv")), "recv")
+    own = own.select("recv", "callee", F.lit(True).alias("own")).distinct()
     runs = runs.join(own, ["recv", "callee"], "left").select("recv", "callee", "target", F.col("own").isNull().alias("di"))
     rest = pairs.join(runs, ["recv", "callee"], "left_anti").join(have.withColumnRenamed("type", "recv"), ["recv", "callee"])
     return runs.unionByName(rest.select("recv", "callee", "target", F.lit(False).alias("di")))

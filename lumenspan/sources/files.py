@@ -6,7 +6,6 @@ import json
 import os
 import re
 from collections.abc import Callable, Iterator, Mapping, Sequence
-from dataclasses import asdict
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -102,7 +101,8 @@ def _arguments(code: str, at: int) -> list[str]:
 def scan(path: str, lang: str, text: str) -> dict:
     """What a file declares and calls."""
     src = Source(text, lang)
-    fns, kinds = functions(src), list(types(src).values()) if lang in ("java", "js") else []
+    owners = types(src) if lang in ("java", "js") else {}
+    fns, kinds = functions(src, owners), list(owners.values())
     calls, names = [], []
     for n in range(1, len(src.lines) + 1):
         code = src.code_line(n)
@@ -120,14 +120,15 @@ def scan(path: str, lang: str, text: str) -> dict:
             if m := _GO_TYPE.match(src.code_line(n)):
                 symbols.append({"name": m[1], "kind": "type", "line": n})
     return {
-        "functions": [{**{k: v for k, v in asdict(f).items() if k not in ("open", "close")}, "params": parameters(f.sig)} for f in fns],
-        "types": [{**asdict(t), "fields": [{"name": a, "type": b, "line": c} for a, b, c in t.fields]} for t in kinds],
+        "functions": [{**{k: v for k, v in vars(f).items() if k not in ("open", "close")}, "params": parameters(f.sig)} for f in fns],
+        "types": [{**vars(t), "fields": [{"name": a, "type": b, "line": c} for a, b, c in t.fields]} for t in kinds],
         "calls": calls, "locals": names, "symbols": sorted(symbols, key=lambda s: (s["line"], s["kind"] != "file")),
     }
 
 
 def parsed(files: DataFrame, scanners: Mapping[str, Callable[[str, str, str], dict]] | None = None) -> DataFrame:
-    """One row a file, with arrays of what the scanner finds: the file is the unit of work, so nothing is shuffled.
+    """One row a file, with arrays of what the scanner finds: the file is the unit of work. Files are spread over all cores first: small
+    ones by the hundred thousand come in a few row groups of a table, which as many tasks would scan.
 
     scanners has scanners of languages that take scan()'s place: (path, lang, text) to some or all of its arrays."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -142,7 +143,9 @@ def parsed(files: DataFrame, scanners: Mapping[str, Callable[[str, str, str], di
             rows = [{"repo": r["repo"], "path": r["path"], "lang": r["lang"], **none, **(scanners or {}).get(r["lang"], scan)(r["path"], r["lang"], r["text"] or "")} for r in batch.to_pylist()]
             yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
-    return files.where("lang is not null").select("repo", "path", "lang", "text").mapInArrow(run, schema)
+    spark = files.sparkSession
+    tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return files.where("lang is not null").select("repo", "path", "lang", "text").repartition(tasks, "path").mapInArrow(run, schema)
 
 
 def explode(parsed_files: DataFrame, what: str) -> DataFrame:

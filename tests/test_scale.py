@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from lumenspan.operators import store
+from lumenspan.sources import files
 
 
 def plan(df):
@@ -17,3 +18,11 @@ def test_large_tables_are_not_broadcast_however_small_their_files(spark):
         assert ("SortMergeJoin" in plan(other.join(table, "k"))) == shuffled
         assert ("BroadcastHashJoin" in plan(other.join(table, "k"))) != shuffled
     assert other.join(large, "k").count() == store.LARGE + 1
+
+
+def test_files_of_one_partition_are_scanned_by_many_tasks(spark):
+    text = F.concat(F.lit("class C"), "id", F.lit(" { void run() { a.set(1); } }"))
+    rows = spark.range(200).coalesce(1).select(F.lit("r").alias("repo"), F.concat("id", F.lit(".java")).alias("path"), F.lit("java").alias("lang"), text.alias("text"))
+    found = files.parsed(rows)
+    used = found.select(F.spark_partition_id().alias("p"), F.explode("functions.name").alias("n")).groupBy("p").count().collect()
+    assert len(used) > 4 and sum(r["count"] for r in used) == 200
