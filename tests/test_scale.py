@@ -1,8 +1,10 @@
 """What keeps queries within their limits on large tables, at small size."""
 
+import random
+
 from pyspark.sql import functions as F
 
-from lumenspan.operators import store
+from lumenspan.operators import graph, store
 from lumenspan.sources import files
 
 
@@ -26,3 +28,42 @@ def test_files_of_one_partition_are_scanned_by_many_tasks(spark):
     found = files.parsed(rows)
     used = found.select(F.spark_partition_id().alias("p"), F.explode("functions.name").alias("n")).groupBy("p").count().collect()
     assert len(used) > 4 and sum(r["count"] for r in used) == 200
+
+
+def pairs_by_search(edges, starts=None):
+    after = {}
+    for a, b in edges:
+        after.setdefault(a, set()).add(b)
+    out = set()
+    for s in after if starts is None else starts:
+        had, now, depth = set(), {s}, 0
+        while now:
+            depth += 1
+            now = {b for a in now for b in after.get(a, ())} - had
+            had |= now
+            out |= {(s, n, depth) for n in now}
+    return out
+
+
+def test_closure_of_packed_starts_over_cycles_and_single_ways(spark):
+    rng = random.Random(5)
+    edges = [(i, 2 * i + k) for i in range(1, 150) for k in (0, 1)] + [(rng.randrange(300), rng.randrange(300)) for _ in range(60)] + [(7, 7), (2, 1)]
+    table = spark.createDataFrame(edges, "src long, dst long")
+    want = pairs_by_search(edges)
+    assert {tuple(r) for r in graph.closure(table).collect()} == want and graph.closure(table).count() == len(want)
+    starts = sorted({a for a, _ in edges})[::2]
+    found = graph.closure(table, starts=spark.createDataFrame([(s,) for s in [*starts, 999]], "start long"))
+    assert len(starts) > graph.BITS and sorted(tuple(r) for r in found.collect()) == sorted(pairs_by_search(edges, starts))
+    ring = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a")], "src string, dst string")
+    assert graph.closure(ring).count() == 9 and graph.closure(ring, max_depth=2).count() == 6
+    assert graph.closure(ring, starts=spark.createDataFrame([("x",), (None,)], "start string")).count() == 0
+
+
+def test_a_node_with_one_way_in_is_never_compared_with_what_was_seen(spark, monkeypatch):
+    """Trees need no memory of pairs: no round of theirs joins what earlier rounds found."""
+    written = []
+    real = graph.counted
+    monkeypatch.setattr(graph, "counted", lambda df, **k: (written.append(plan(df)), real(df, **k))[1])
+    tree = spark.createDataFrame([(i, 2 * i + k) for i in range(1, 60) for k in (0, 1)] + [(2, 1)], "src long, dst long").where("dst <> 2 or src = 1")
+    assert graph.closure(tree).count() == len(pairs_by_search([tuple(r) for r in tree.collect()]))
+    assert len(written) > 4 and not any("LeftAnti" in p or "LeftOuter" in p for p in written)
