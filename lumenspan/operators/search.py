@@ -7,11 +7,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StringType, StructField, StructType
+
+from lumenspan.functions import grams
 
 from . import relate
-from .store import stored
+from .store import counted
 
 Patterns = Sequence[tuple[str, str]]
 
@@ -60,22 +64,32 @@ def names_in(texts: DataFrame, names: DataFrame, key: str = "id", text: str = "t
     """(key, name): the names that stand in a text between word boundaries (of ASCII words), whatever characters a name has.
 
     A run of word characters in a name is a whole word of any text that holds the name there: inside the name by what stands
-    beside it, at its ends by the boundary. So a name meets texts by one of its words, the one that the fewest texts have; a
-    name without any meets them by its first character, which is no word character. What met is then verified by the name as a
-    pattern. A null or empty name stands nowhere."""
-    names = names.select(F.col(name).alias("__name")).where("__name <> ''").distinct()
-    runs = F.regexp_extract_all("__name", F.lit(f"[{_WORD}]+"), F.lit(0))
-    anchors = names.select("__name", F.explode(F.when(F.size(runs) > 0, F.array_distinct(runs)).otherwise(F.array(F.substring("__name", 1, 1)))).alias("__anchor"))
-    words = F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(f"[{_WORD}]+|(?s)[^{_WORD}]"), F.lit(0)))
-    met = stored(texts.select(key, F.explode(words).alias("__anchor")).join(anchors.select("__anchor").distinct(), "__anchor", "left_semi"))
-    found = met.groupBy("__anchor").agg(F.count(F.lit(1)).alias("__texts"))
-    rarest = anchors.join(found, "__anchor", "left").groupBy("__name").agg(F.min_by(F.struct("__anchor", "__texts"), F.struct(F.coalesce("__texts", F.lit(0)), "__anchor")).alias("a"))
-    pairs = rarest.where("a.__texts is not null").select("__name", F.col("a.__anchor").alias("__anchor")).join(met, "__anchor").select(key, "__name").distinct()
-    side = lambda char, ahead: F.when(char.rlike(f"^[{_WORD}]"), f"(?{ahead}![{_WORD}])").otherwise(f"(?{ahead}=[{_WORD}])")
-    quoted = F.concat(F.lit(r"\Q"), F.replace("__name", F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
-    pattern = F.concat(side(F.substring("__name", 1, 1), "<"), quoted, side(F.substring("__name", -1, 1), ""))
-    held = pairs.withColumn("__pattern", pattern).join(texts.select(key, F.col(text).alias("__text")), key)
-    return held.where(F.regexp("__text", F.col("__pattern"))).select(key, F.col("__name").alias(name)).distinct()
+    beside it, at its ends by the boundary. So a name stands where its tokens (words, and other characters) do, with a word on one
+    side of each end, and runs of as many tokens as names have are looked for in one pass over each text. Those that a set of bits of
+    all names lets through meet the names by equality. Names of more than MOST tokens meet texts by their first MOST; these are then
+    verified by the name as a pattern. A null or empty name stands nowhere."""
+    spark = texts.sparkSession
+    kept = names.select(F.col(name).cast("string").alias("name")).where("name <> ''").distinct()
+    keys, of = counted(kept.mapInArrow(grams.keys, grams.KEYS), lengths=F.collect_set("tokens"), longest=F.max(F.octet_length("gram")), beyond=F.count_if(~F.col("whole")))
+    set_of = keys.select((F.col("bit") + 1).alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
+    bits = np.zeros((1 << grams.BITS) // 8, np.uint8)
+    for r in set_of.toLocalIterator():  # 8 MB, however many names there are
+        bits[(r.at - 1) * len(r.bits) : r.at * len(r.bits)] = np.frombuffer(r.bits, np.uint8)
+    held = spark.sparkContext.broadcast(bits)
+    lengths, longest = sorted(of["lengths"] or []), of["longest"] or 0
+    find = lambda batches: grams.finder(lengths, longest, held.value)(batches)
+    rows = texts.select(F.col(key), F.col(text).cast("string").alias("__text"))
+    tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    found = rows.where("__text <> ''").repartition(tasks, key, "__text").mapInArrow(find, StructType([rows.schema[key], StructField("gram", StringType()), StructField("closed", BooleanType())]))
+    met = found.join(keys.select("gram", "name", "whole"), "gram")
+    there = met.where("closed and whole").select(key, F.col("name").alias("__name"))
+    if of["beyond"]:
+        side = lambda char, ahead: F.when(char.rlike(f"^[{_WORD}]"), f"(?{ahead}![{_WORD}])").otherwise(f"(?{ahead}=[{_WORD}])")
+        quoted = F.concat(F.lit(r"\Q"), F.replace("name", F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+        pattern = F.concat(side(F.substring("name", 1, 1), "<"), quoted, side(F.substring("name", -1, 1), ""))
+        asked = met.where("not whole").select(key, "name").distinct().withColumn("__pattern", pattern).join(rows, key)
+        there = there.unionByName(asked.where(F.regexp("__text", F.col("__pattern"))).select(key, F.col("name").alias("__name")))
+    return there.distinct().withColumnRenamed("__name", name)
 
 
 def call_edges(tokens: DataFrame, spans: DataFrame, defined: DataFrame, stop: Sequence[str] = ()) -> DataFrame:

@@ -1,6 +1,7 @@
 """What keeps queries within their limits on large tables, at small size."""
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -67,3 +68,39 @@ def test_a_node_with_one_way_in_is_never_compared_with_what_was_seen(spark, monk
     tree = spark.createDataFrame([(i, 2 * i + k) for i in range(1, 60) for k in (0, 1)] + [(2, 1)], "src long, dst long").where("dst <> 2 or src = 1")
     assert graph.closure(tree).count() == len(pairs_by_search([tuple(r) for r in tree.collect()]))
     assert len(written) > 4 and not any("LeftAnti" in p or "LeftOuter" in p for p in written)
+
+
+def test_names_that_share_a_frequent_word_move_no_text_for_each(spark):
+    """Names of a few tokens are told by equality; only longer ones are looked at as patterns, where their first tokens stand."""
+    from lumenspan.operators import search
+
+    names = [f"{chr(0x100 + i)}the" for i in range(300)] + ["a, the", "the", " "]
+    long = ["x" + "-x" * k for k in (7, 8, 15)] + ["-x" * 9 + "-"]
+    texts = ["the a, the b"] * 3 + [f"x{n} and {n}y" for n in names[:40]] + [n + s for n in long for s in ("", "-x", "x", "-")] + ["y" + long[-1] + "y"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    for some in (names, names + long):
+        found = search.names_in(rows, spark.createDataFrame([(n,) for n in some], "name string"))
+        assert ("RLIKE" in plan(found)) == (some is not names)
+        assert sorted(tuple(r) for r in found.collect()) == sorted((i, n) for i, t in enumerate(texts) for n in some if re.search(rf"\b{re.escape(n)}\b", t, re.A))
+
+
+def test_names_are_found_over_the_ends_of_stretches(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from lumenspan.functions import grams
+
+    names = ["b c", "éa-b", "-", "a", "é", "bb cc", "漢 b"]
+    rng = random.Random(3)
+    texts = ["".join(rng.choice(["a", "b", "c", " ", "-", "é", "漢", "bb cc"]) for _ in range(rng.randrange(40))) for _ in range(200)]
+    (keys,) = grams.keys(iter([pa.record_batch([pa.array(names)], names=["name"])]))
+    bits = np.zeros((1 << grams.BITS) // 8, np.uint8)
+    for b in keys.column("bit").to_pylist():
+        bits[b >> 3] |= 1 << (b & 7)
+    lengths = sorted(set(keys.column("tokens").to_pylist()))
+    want = {(i, n) for i, t in enumerate(texts) for n in names if re.search(rf"\b{re.escape(n)}\b", t, re.A)}
+    batch = pa.record_batch([pa.array(range(300)), pa.array([*["skipped"] * 100, *texts])], names=["id", "text"]).slice(100)
+    for part in (1, 7, 64, 1 << 20):
+        monkeypatch.setattr(grams, "PART", part)
+        got = {(i - 100, g) for out in grams.finder(lengths, 8, bits)(iter([batch])) for i, g in zip(out.column(0).to_pylist(), out.column(1).to_pylist(), strict=True)}
+        assert {(i, g) for i, g in got if g in names} == want
