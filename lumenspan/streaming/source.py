@@ -68,7 +68,7 @@ class ParquetRows:
         return (f > low) & (f <= high)
 
     def newest(self) -> int:
-        found = [b.column(0) for b in self._data.to_batches(columns=[self._column])]
+        found = (b.column(0) for b in self._data.to_batches(columns=[self._column]))
         return max((int(c.drop_null().to_numpy(zero_copy_only=False).max()) for c in found if len(c) > c.null_count), default=0)
 
     def count(self, low: int, high: int) -> int:

@@ -160,3 +160,69 @@ def test_several_tables_and_one_added_later(spark, tmp_path, db):
 def test_names_are_checked():
     with pytest.raises(ValueError):
         source.Table("e", "d", "x; drop table y", "dbapi:sqlite3:y").reader()
+
+
+def test_the_state_store_is_called_for_batches_not_for_rows():
+    """Ids, rows and timers of a key at hand: duplicates in and between batches, rows of two times, what leaves and what is kept."""
+    import pandas as pd
+
+    calls = []
+
+    class Map(dict):
+        def updateValue(self, k, v):  # noqa: N802
+            calls.append(k)
+            self[k] = v
+
+        def getValue(self, k):  # noqa: N802
+            return self[k]
+
+        def containsKey(self, k):  # noqa: N802
+            calls.append(k)
+            return k in self
+
+        def removeKey(self, k):  # noqa: N802
+            calls.append(k)
+            del self[k]
+
+        def keys(self):
+            return iter(list(super().keys()))
+
+    class Value:
+        held = None
+
+        def exists(self):
+            return self.held is not None
+
+        def get(self):
+            return self.held
+
+        def update(self, v):
+            self.held = v
+
+    class Handle:
+        def getMapState(self, *_):  # noqa: N802
+            return Map()
+
+        def getValueState(self, *_):  # noqa: N802
+            return Value()
+
+        def registerTimer(self, at):  # noqa: N802
+            calls.append(at)
+
+    class Expired:
+        def getExpiryTimeInMs(self):  # noqa: N802
+            return 1000 + 60_000 + 1
+
+    def rows(ids, mark, seen):
+        return pd.DataFrame({"id": ids, "mark": mark, "seen_at": pd.Timestamp(seen, unit="ms"), "columns": [["a", "b"]] * len(ids), "values": [[str(i), None] for i in ids]})
+
+    window = state.ArrivalWindow(60_000, 5)
+    window.init(Handle())
+    told = lambda found: sorted(i for f in found for i in f["id"])
+    first = list(window.handleInputRows(("e", "d", "t", 0), iter([rows([*range(1, 2001), 7], 3000, 1000), rows(range(1500, 3001), 3000, 1000)]), None))
+    assert told(first) == list(range(1, 3001)) and len(calls) < 20
+    again = list(window.handleInputRows(("e", "d", "t", 0), iter([rows([2999, 3000, 3001, 3001], 3001, 2000)]), None))
+    assert told(again) == [3001] and again[0].iloc[0].tolist() == ["e", "d", "t", 3001, 3001, pd.Timestamp(2000, unit="ms"), ["a", "b"], ["3001", None], "in"]
+    assert sorted(k for k, in window._told.keys()) == list(range(2997, 3002))
+    gone = list(window.handleExpiredTimer(("e", "d", "t", 0), None, Expired()))
+    assert told(gone) == list(range(1, 3001)) and {c for f in gone for c in f["change"]} == {"out"} and [k[0] for k in window._rows.keys()] == [2000]
