@@ -87,8 +87,10 @@ def _grams(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             gram = flat[lo - 1 : hi - 1].astype(np.int64)
             for i in range(2, ORDER + 1):
                 gram = gram << 8 | flat[lo - i : hi - i]
-            at = np.flatnonzero(told[lo:hi])
-            yield first + np.searchsorted(starts, at + lo, "right") - 1, (gram << 8 | flat[lo:hi])[at]
+            kept = told[lo:hi]
+            a, b = np.searchsorted(starts, (lo, hi - 1), "right")  # the texts a - 1 to b - 1 have symbols here
+            many = np.add.reduceat(kept, np.r_[0, starts[a:b] - lo], dtype=np.int64)
+            yield np.repeat(first + np.arange(a - 1, b), many), (gram << 8 | flat[lo:hi])[kept]
 
 
 def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -223,6 +225,7 @@ def costs(asked: DataFrame, model: Model) -> DataFrame:
     return told.select(F.col("parent").alias("gram"), F.col("p_first").cast("float").alias("cost"))
 
 
+_ANSWERS = "block long, grams binary, costs binary, words binary, n binary"
 _DOC = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
@@ -232,12 +235,14 @@ class _Told:
     def __init__(self):
         self.parts: list[tuple[np.ndarray, np.ndarray]] = []
         self.seen: dict[bytes, int] = {}
-        self.keys, self.cost = None, None
+        self.keys, self.cost, self.base, self.unseen = None, None, None, None
 
     def add(self, rows: pa.RecordBatch) -> None:
-        for grams, costs in zip(pc.drop_null(rows.column("grams")).to_pylist(), pc.drop_null(rows.column("costs")).to_pylist(), strict=True):
-            self.parts.append((np.frombuffer(grams, np.int64), np.frombuffer(costs, np.float32)))
-        self.seen.update(zip((w.encode() for w in pc.drop_null(rows.column("word")).to_pylist()), pc.drop_null(rows.column("n")).to_pylist(), strict=True))
+        for grams, costs, words, n in zip(*(rows.column(c).to_pylist() for c in ("grams", "costs", "words", "n")), strict=True):
+            if grams is not None:
+                self.parts.append((_open(grams), np.frombuffer(costs, np.float32)))
+            if words is not None:
+                self.seen.update(zip(words.split(b" "), np.frombuffer(n, np.int64).tolist(), strict=True))
 
     def scores(self, texts: pa.Array) -> np.ndarray:
         if self.keys is None:
@@ -247,19 +252,21 @@ class _Told:
             self.keys, self.cost = pd.Index(keys[order]), cost[order]
         score = np.zeros(len(texts))
         for which, gram in _grams(texts):
-            at = self.keys.get_indexer(gram)
+            coded = pa.array(gram).dictionary_encode()  # each different gram is looked up once
+            at = self.keys.get_indexer(coded.dictionary.to_numpy())
             if len(at) and at.min() < 0:
                 raise LookupError("a block holds a gram that it has not asked for")
-            score += np.bincount(which, self.cost[at], len(texts))
+            score += np.bincount(which, self.cost[at][coded.indices.to_numpy()], len(texts))
         return score
 
-    def counted(self, text: bytes | None, floor: float) -> tuple[int, int, float]:
-        """(tokens, known ones, base score)."""
-        n, known, base = 0, 0, 0.0
-        for w, tf in Counter([*_words(text), END.encode()]).items():
-            c = self.seen[w]
-            n, known, base = n + tf, known + tf * (c > 0), base + tf * (math.log10(c + 0.1) - floor)
-        return n, known, base
+    def counted(self, texts: list[bytes | None], floor: float) -> Iterator[tuple[int, int, float]]:
+        """(tokens, known ones, base score) of each text."""
+        if self.base is None:
+            self.base = {w: math.log10(c + 0.1) - floor for w, c in self.seen.items()}
+            self.unseen = {w for w, c in self.seen.items() if not c}
+        for text in texts:
+            words = [*_words(text), END.encode()]
+            yield len(words), len(words) - sum(map(self.unseen.__contains__, words)), sum(map(self.base.__getitem__, words))
 
 
 def _runs(values: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -268,22 +275,46 @@ def _runs(values: np.ndarray) -> Iterator[tuple[int, int]]:
     return zip([0, *cuts.tolist()], [*cuts.tolist(), len(values)], strict=True) if len(values) else iter(())
 
 
+def _shut(grams: np.ndarray) -> bytes:
+    """Ascending grams as their steps, the bytes of one place together, compressed."""
+    steps = np.diff(grams, prepend=np.int64(0)).view(np.uint8).reshape(-1, 8)
+    return len(grams).to_bytes(8, "little") + pa.compress(np.ascontiguousarray(steps.T).tobytes(), "zstd", asbytes=True)
+
+
+def _open(shut: bytes) -> np.ndarray:
+    n = int.from_bytes(shut[:8], "little")
+    places = np.frombuffer(pa.decompress(shut[8:], 8 * n, "zstd", asbytes=True), np.uint8).reshape(8, n)
+    return np.cumsum(np.ascontiguousarray(places.T).view(np.int64).ravel())
+
+
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(block, gram, cost) to (block, grams, costs), PACKED of them at a time."""
-    kept: list[tuple[np.ndarray, ...]] = []
+    """(block, gram, cost, word, n) to _ANSWERS, one row for each block among PACKED of them. Words are parted by spaces, which none holds."""
+    kept: list[pa.RecordBatch] = []
 
     def flush():
-        blocks, grams, costs = (np.concatenate(x) for x in zip(*kept, strict=True))
+        rows = pa.Table.from_batches(kept)
         kept.clear()
+        blocks = rows.column("block").to_numpy()
         order = np.argsort(blocks, kind="stable")
-        blocks, grams, costs = blocks[order], grams[order], costs[order]
-        rows = [(blocks[lo], grams[lo:hi].tobytes(), costs[lo:hi].tobytes()) for lo, hi in _runs(blocks)]
-        return pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["block", "grams", "costs"])
+        blocks, costs, n = blocks[order], rows.column("cost").fill_null(0).to_numpy()[order], rows.column("n").fill_null(0).to_numpy()[order]
+        grams, words = rows.column("gram").fill_null(0).to_numpy()[order], rows.column("word").take(pa.array(order)).cast(pa.binary())
+        is_word = words.is_valid().to_numpy()
+        out = []
+        for lo, hi in _runs(blocks):
+            w = is_word[lo:hi]
+            row = [int(blocks[lo]), None, None, None, None]
+            if not w.all():
+                at = np.argsort(grams[lo:hi][~w], kind="stable")
+                row[1:3] = _shut(grams[lo:hi][~w][at]), costs[lo:hi][~w][at].tobytes()
+            if w.any():
+                row[3:] = b" ".join(words.slice(lo, hi - lo).drop_null().to_pylist()), n[lo:hi][w].tobytes()
+            out.append(row)
+        return pa.record_batch([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), *[pa.binary()] * 4), strict=True)], names=["block", "grams", "costs", "words", "n"])
 
     for batch in batches:
         if batch.num_rows:
-            kept.append(tuple(c.to_numpy(False) for c in batch.columns))
-            if sum(len(k[0]) for k in kept) >= PACKED:
+            kept.append(batch)
+            if sum(k.num_rows for k in kept) >= PACKED:
                 yield flush()
     if kept:
         yield flush()
@@ -305,7 +336,7 @@ def _add(floor: float):
                 texts = rows.slice(cut)
                 if texts.num_rows:
                     scores = told.scores(texts.column("text"))
-                    n, known, base = zip(*(told.counted(t, floor) for t in texts.column("text").cast(pa.large_binary()).to_pylist()), strict=True)
+                    n, known, base = zip(*told.counted(texts.column("text").cast(pa.large_binary()).to_pylist(), floor), strict=True)
                     yield pa.record_batch([texts.column("doc_id"), texts.column("held_out"), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(scores)], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
     return run
@@ -318,12 +349,13 @@ def score(docs: DataFrame, model: Model, held_out, text_col: str = "text") -> Da
     # Fewer tasks make larger blocks, and those ask less often for the same.
     tasks = max(math.ceil(size / BLOCK), docs.sparkSession.sparkContext.defaultParallelism)
     with freed(docs.sparkSession):
-        texts = written(rows.coalesce(tasks).mapInArrow(_blocks, "doc_id long, held_out boolean, text string, block long"))
-        asked = written(texts.select("block", "text").mapInArrow(_count, _FOUND).select("block", "word", "gram"))
-        answers = written(costs(asked.where("gram is not null"), model))
-    grams = asked.where("gram is not null").select("block", "gram").join(answers, "gram").select("block", "gram", "cost").mapInArrow(_packed, "block long, grams binary, costs binary")
-    words = asked.where("word is not null").select("block", "word").join(model.words, "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    told = grams.unionByName(words, allowMissingColumns=True).withColumn("is_text", F.lit(0))
+        texts = written(rows.coalesce(tasks).mapInArrow(_blocks, "doc_id long, held_out boolean, text string, block long"), "zstd")
+        asked = written(texts.select("block", "text").mapInArrow(_count, _FOUND).select("block", "word", "gram"), "zstd")
+        answers = written(costs(asked.where("gram is not null"), model), "zstd")
+    none = lambda kind: F.lit(None).cast(kind)
+    grams = asked.where("gram is not null").select("block", "gram").join(answers, "gram").select("block", "gram", "cost", none("string").alias("word"), none("long").alias("n"))
+    words = asked.where("word is not null").select("block", "word").join(model.words, "word", "left").select("block", none("long").alias("gram"), none("float").alias("cost"), "word", F.coalesce("n", F.lit(0)).alias("n"))
+    told = grams.mapInArrow(_packed, _ANSWERS).unionByName(words.mapInArrow(_packed, _ANSWERS)).withColumn("is_text", F.lit(0))
     met = told.unionByName(texts.withColumn("is_text", F.lit(1)), allowMissingColumns=True)
     floor = math.log10(model.n + 0.1 * (model.v + 1))
     return met.repartition("block").sortWithinPartitions("block", "is_text").mapInArrow(_add(floor), _DOC)

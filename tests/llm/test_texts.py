@@ -396,3 +396,19 @@ def test_shards_of_few_tasks(spark, sf_dir, tmp_path):
         assert [(r.slot, r.shard, *key(r)[1:]) for r in few.orderBy("slot").collect()] == want and want[-1][1] > 8
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", had)
+
+
+def test_answers_of_grams_and_words_come_in_one_row_for_each_block():
+    import numpy as np
+    import pyarrow as pa
+
+    rows = [(b, g, g / 8, None, None) for b in (1, 0) for g in (9, 1 << 47, 5)] + [(0, None, None, "é", 3), (0, None, None, L.END, 4), (2, None, None, "x", 0)]
+    kinds = pa.schema([("block", pa.int64()), ("gram", pa.int64()), ("cost", pa.float32()), ("word", pa.string()), ("n", pa.int64())])
+    batch = pa.record_batch([pa.array(v, f.type) for v, f in zip(zip(*rows, strict=True), kinds, strict=True)], schema=kinds)
+    (out,) = L._packed(iter([batch.slice(0, 0), batch]))
+    told = {r["block"]: r for r in out.to_pylist()}
+    assert sorted(told) == [0, 1, 2] and told[1]["words"] is None and told[2]["grams"] is None
+    assert L._open(told[0]["grams"]).tolist() == [5, 9, 1 << 47] and np.frombuffer(told[0]["costs"], np.float32).tolist() == [5 / 8, 9 / 8, (1 << 47) / 8]
+    kept = L._Told()
+    kept.add(out)
+    assert kept.seen == {"é".encode(): 3, b"\n": 4, b"x": 0} and [(n, k) for n, k, _ in kept.counted(["é é x x".encode(), None], 0.0)] == [(5, 3), (1, 1)]
