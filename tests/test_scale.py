@@ -70,6 +70,35 @@ def test_a_node_with_one_way_in_is_never_compared_with_what_was_seen(spark, monk
     assert len(written) > 4 and not any("LeftAnti" in p or "LeftOuter" in p for p in written)
 
 
+def test_lines_of_single_ways_are_told_in_rounds_that_double(spark, monkeypatch):
+    """A line of 200 nodes takes no 200 rounds, and neither do those that come round again or go on below a node with two ways in."""
+    written = []
+    real = graph.counted
+    monkeypatch.setattr(graph, "counted", lambda df, **k: (written.append(1), real(df, **k))[1])
+    line = [(i, i + 1) for i in range(200)] + [(50, 1000), (1000, 1001)]
+    table = spark.createDataFrame(line, "src long, dst long")
+    assert {tuple(r) for r in graph.closure(table).collect()} == pairs_by_search(line) and len(written) < 12
+    assert graph.closure(table, max_depth=5).where("depth > 5").count() == 0 and len(written) < 20
+    assert graph.closure(table, max_depth=5).count() == sum(d <= 5 for _, _, d in pairs_by_search(line))
+    written.clear()
+    ended = [*line, (199, 3000), (1001, 3000), (3000, 3001), *((4000 + i, 4000 + (i + 1) % 40) for i in range(40)), (4007, 5000)]
+    found = [tuple(r) for r in graph.closure(spark.createDataFrame([e for e in ended if e[0] > 185 or e[0] < 20], "src long, dst long")).collect()]
+    want = pairs_by_search([e for e in ended if e[0] > 185 or e[0] < 20])
+    assert len(found) == len(want) and set(found) == want
+
+
+def test_closures_of_many_small_graphs(spark):
+    """Trees, rings with tails, and nodes with several ways in above and below them: 60 graphs in one table."""
+    rng = random.Random(11)
+    single = [(f"{g}-{rng.randrange(12)}", f"{g}-{n}") for g in range(60) for n in range(12) if rng.random() < 0.9]
+    several = [(f"{g}-{rng.randrange(12)}", f"{g}-{rng.randrange(12)}") for g in range(60) for _ in range(rng.randrange(6, 15))]
+    for edges in (single, single + several[:40], several):
+        table = spark.createDataFrame(edges, "src string, dst string")
+        want = sorted(pairs_by_search(edges))
+        assert sorted(tuple(r) for r in graph.closure(table).collect()) == want
+        assert sorted(tuple(r) for r in graph.closure(table, max_depth=3).collect()) == [x for x in want if x[2] <= 3]
+
+
 def test_names_that_share_a_frequent_word_move_no_text_for_each(spark):
     """Names of a few tokens are told by equality; only longer ones are looked at as patterns, where their first tokens stand."""
     from lumenspan.operators import search
