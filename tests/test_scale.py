@@ -99,6 +99,38 @@ def test_closures_of_many_small_graphs(spark):
         assert sorted(tuple(r) for r in graph.closure(table, max_depth=3).collect()) == [x for x in want if x[2] <= 3]
 
 
+def test_pairs_that_follow_from_those_of_a_parent_are_not_looked_for(spark, monkeypatch):
+    """Over a tree with ways up, all rows that are written are few beside the pairs: these are made when the result is read."""
+    written = []
+    real = graph.counted
+    monkeypatch.setattr(graph, "counted", lambda df, **k: (got := real(df, **k), written.append(got[1]["n"]))[0])
+    edges = [(k, t) for k in range(1, 700) for t in (2 * k, 2 * k + 1, k // 3) if 1 <= t < 700]
+    found = graph.closure(spark.createDataFrame(edges, "src long, dst long"), starts=spark.range(1, 700).select(F.col("id").alias("start")))
+    assert sorted(tuple(r) for r in found.collect()) == sorted(pairs_by_search(edges)) and sum(written) < 699 * 699 / 20
+
+
+def test_pairs_told_by_a_forest_and_its_exceptions(spark, monkeypatch):
+    """Trees with other edges, rings, grids and parts apart, as many as 40 graphs in one table, whatever edges the forest leaves open."""
+    monkeypatch.setattr(graph, "OPEN_SHARE", 10)
+    monkeypatch.setattr(graph, "FEW", 1)
+    rng = random.Random(17)
+    tree = [(f"{g:02}-{rng.randrange(n):02}", f"{g:02}-{n:02}") for g in range(40) for n in range(1, 14) if rng.random() < 0.9]
+    other = [(f"{g:02}-{rng.randrange(14):02}", f"{g:02}-{rng.randrange(14):02}") for g in range(40) for _ in range(rng.randrange(12))]
+    grid = [(f"{x}.{y}", f"{u}.{v}") for x in range(7) for y in range(7) for u, v in ((x + 1, y), (x, y + 1)) if u < 7 and v < 7]
+    told, real = [], graph._told_by_forest
+    monkeypatch.setattr(graph, "_told_by_forest", lambda *a: (told.append(1), real(*a))[1])
+    for block, near, edges in ((3, 8, tree + other), (64, 1, tree + other[:60] + grid)):
+        monkeypatch.setattr(graph, "BLOCK", block)
+        monkeypatch.setattr(graph, "NEAR", near)
+        starts = [*sorted({a for a, _ in edges})[::2], "99-99"]
+        found = graph.closure(spark.createDataFrame(edges, "src string, dst string"), starts=spark.createDataFrame([(s,) for s in starts], "start string"))
+        assert sorted(tuple(r) for r in found.collect()) == sorted(pairs_by_search(edges, starts))
+    assert len(told) == 2
+    line = [(i, i + 1) for i in range(70)] + [(10, 200), (200, 201)]
+    found = graph.closure(spark.createDataFrame(line, "src long, dst long"), starts=spark.createDataFrame([(5,), (60,)], "start long"))
+    assert sorted(tuple(r) for r in found.collect()) == sorted(pairs_by_search(line, [5, 60])) and len(told) == 2
+
+
 def test_names_that_share_a_frequent_word_move_no_text_for_each(spark):
     """Names of a few tokens are told by equality; only longer ones are looked at as patterns, where their first tokens stand."""
     from lumenspan.operators import search
